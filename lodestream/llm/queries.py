@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import packing, scratch, token_orc
+from lodestream.llm import minhash, packing, scratch, token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,28 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "sequences")
     packing.write_sequences(read(spark, sf_dir, "documents"), path)
     return packing.piece_digest(packing.read_sequences(spark, path))
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_minhash"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+         else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as sh
+  from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as u, b.doc_id as v, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select u, v from p join n x on x.doc_id = u join n y on y.doc_id = v where 100 * common >= 75 * (x.n + y.n - common)),
+sym as (select u, v from e union select v, u from e),
+reach(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, sym.v from reach r join sym on sym.u = r.other),
+c as (select doc_id, min(other) as component_id from reach group by doc_id)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, w.doc_id = c.component_id as kept
+from w left join n using (doc_id) join c using (doc_id)
+"""
