@@ -49,7 +49,7 @@ with recursive w as (
   from documents),
 s as (
   select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-         else list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) end) as sh
+         else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh
   from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 p as (select a.doc_id as u, b.doc_id as v, count(*) as common from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
