@@ -11,7 +11,8 @@ No group is expanded into all its pairs:
    found give first components;
 3. only in bands that still hold several components, nodes of different components
    are paired, if their sizes and 512 four-bit coordinates allow the similarity
-   (a pair at the threshold is refused with odds under one in a million), and checked.
+   (a pair at the threshold is refused with odds of about one in 70,000), and checked; a
+   pair meets in one of its common bands only.
 
 With 50 bands of 5 rows, a pair at a similarity of 0.75 shares no band with odds of
 about one in 700,000; a more similar pair, with less.
@@ -40,7 +41,7 @@ COORDINATES, NIBBLES_IN_LONG = 512, 16
 SEED = 20
 PERCENT = 75
 #: Coordinates of the sketch that may differ: at a similarity of 0.75 the mean is 120, the standard deviation 9.6.
-MAY_DIFFER = 168
+MAY_DIFFER = 160
 
 _NO_ID = -(2**63)
 _SIGNED = "doc_key bigint, row bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"
@@ -150,18 +151,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     placed = rows.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band")
     open_rows = placed.join(mixed, "band", "left_semi")
-    sketches = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch").join(open_rows.select("node").distinct(), "node", "left_semi")
+    sketches = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands").join(open_rows.select("node").distinct(), "node", "left_semi")
     # Which rows of a band meet doesn't depend on the band, so each row carries what the condition needs.
     ready, ready_path = scratch.table(open_rows.join(sketches, "node"), "minhash-open")
-    a = ready.select("band", *(F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "sketch")))
-    b = ready.select("band", *(F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "sketch")))
+    a = ready.select("band", *(F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "sketch", "bands")))
+    b = ready.select("band", *(F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "sketch", "bands")))
     able = (
         (F.col("node_u") < F.col("node_v"))
         & (F.col("root_u") != F.col("root_v"))
         & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
         & (_differing("sketch_u", "sketch_v") <= MAY_DIFFER)
+        & (F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"])  # in one band only
     )
-    cross = a.join(b, (a["band"] == b["band"]) & able).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    cross = a.join(b, (a["band"] == b["band"]) & able).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     late = _confirmed(cross, texts, percent)
     linked = components(links.unionByName(late), "minhash-all")
 
