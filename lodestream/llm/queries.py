@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, minhash, packing, quality, scratch, token_orc, toxicity
+from lodestream.llm import chat, decontaminate, minhash, packing, quality, scratch, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,27 @@ from f group by conv_id
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents overlap."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_decontaminate"] = r"""
+with masks(mask, p) as (values (0, [0, 1, 3, 4, 6, 9, 11]), (1, [0, 2, 3, 5, 8, 9, 11]), (2, [0, 1, 2, 5, 7, 10, 11])),
+d as (select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from documents),
+b as (select item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as iw from benchmark),
+dp as (select doc_id, w, unnest(range(0, len(w) - 11)) as a from d where len(w) >= 12),
+bp as (select item_id, iw, unnest(range(0, len(iw) - 11)) as j from b where len(iw) >= 12),
+dk as (select doc_id, a, mask, array_to_string(list_transform(p, lambda x: w[a + x + 1]), ' ') as k from dp, masks),
+bk as (select item_id, j, mask, array_to_string(list_transform(p, lambda x: iw[j + x + 1]), ' ') as k from bp, masks),
+h as (select doc_id, item_id, a, j, mask from dk join bk using (mask, k)),
+r as (select h.* from h left join h x on x.doc_id = h.doc_id and x.item_id = h.item_id and x.mask = h.mask and x.a = h.a - 1 and x.j = h.j - 1 where x.doc_id is null),
+e as (select r.*, d.w, b.iw, greatest(-a, -j, -24) as lo, least(len(d.w) - a, len(b.iw) - j, 36) as hi from r join d using (doc_id) join b using (item_id)),
+f as (select doc_id, item_id, list_transform(range(lo, hi), lambda k: case when w[a + k + 1] = iw[j + k + 1] then 1 else 0 end) as flags from e),
+s as (select doc_id, item_id, least(len(flags), 20) as width,
+        list_max(list_transform(range(1, len(flags) - least(len(flags), 20) + 2), lambda i: list_sum(flags[i:i + least(len(flags), 20) - 1]))) as matched from f)
+select doc_id, item_id, max(matched)::int as matched, count(*)::bigint as hits from s where 5 * matched >= 4 * width group by 1, 2
+"""
