@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, decontaminate, minhash, packing, quality, scratch, token_orc, toxicity
+from lodestream.llm import chat, decontaminate, minhash, packing, ppm, quality, scratch, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ s as (select doc_id, item_id, least(len(flags), 20) as width,
         list_max(list_transform(range(1, len(flags) - least(len(flags), 20) + 2), lambda i: list_sum(flags[i:i + least(len(flags), 20) - 1]))) as matched from f)
 select doc_id, item_id, max(matched)::int as matched, count(*)::bigint as hits from s where 5 * matched >= 4 * width group by 1, 2
 """
+
+
+@query
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the byte model and the unigram model."""
+    return ppm.score(read(spark, sf_dir, "documents"))
