@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import chat, decontaminate, minhash, packing, ppm, quality, scratch, token_orc, toxicity
+import corpus_pipeline
+from lodestream.llm import chat, decontaminate, linecrf, minhash, packing, ppm, quality, scratch, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +133,19 @@ select doc_id, item_id, max(matched)::int as matched, count(*)::bigint as hits f
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under the byte model and the unigram model."""
     return ppm.score(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line labeller's verdict on all documents."""
+    return linecrf.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
