@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestream.llm import chat, decontaminate, linecrf, minhash, packing, ppm, quality, scratch, token_orc, toxicity
+from lodestream.llm import attribution, chat, decontaminate, linecrf, minhash, packing, ppm, quality, scratch, token_orc, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +149,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query
+def op5_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each section (line, or piece of a long line) of all documents."""
+    return attribution.section_tokens(read(spark, sf_dir, "documents"))
