@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestream.plans import discovery, events, extensions, fleet, text  # noqa: F401  they register their queries
+from lodestream.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "scrub_ledger_by_source"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
