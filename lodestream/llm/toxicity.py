@@ -45,7 +45,7 @@ LANDMARKS, CANDIDATES, NEGATIVES = 128, 600, 16_000
 #: Bytes of a unit that the kernel sees at once; longer units are cut into overlapping windows.
 WINDOW = 32
 #: Words that a worker remembers; beyond it the memory starts anew (scores don't change).
-MEMO_WORDS = 800_000
+MEMO_WORDS = 200_000
 COST = 20.0
 VARIANT_WEIGHT = 0.1
 STEEPNESS = 4.0
