@@ -37,15 +37,19 @@ def ledger(rows: DataFrame, key: str, text: str, by: str, rules: tuple[Rule, ...
     return hits.join(total, by)
 
 
-def scrubbed(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, text): every row's text with its merged regions replaced by sentinels."""
-    regions = merged(spans(rows, key, text, rules), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("regions"))
-    raw = F.encode(F.col(text), "UTF-8")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+def replaced(text: Column, regions: Column) -> Column:
+    """A text with byte regions (array of s, e, r, in order) replaced by sentinels."""
+    raw = F.encode(text, "UTF-8")
     folded = F.aggregate(
-        "regions",
-        start,
+        regions,
+        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda a, x: F.struct(F.concat(a["done"], F.decode(F.substr(raw, a["at"] + 1, x["s"] - a["at"]), "UTF-8"), sentinel(x["r"])).alias("done"), x["e"].alias("at")),
     )
-    out = F.concat(folded["done"], F.decode(F.substr(raw, folded["at"] + 1), "UTF-8"))
+    return F.concat(folded["done"], F.decode(F.substr(raw, folded["at"] + 1), "UTF-8"))
+
+
+def scrubbed(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(key, text): every row's text with its merged regions replaced by sentinels."""
+    regions = merged(spans(rows, key, text, rules), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("regions"))
+    out = replaced(F.col(text), F.col("regions"))
     return rows.select(key, text).join(regions, key, "left").select(key, F.when(F.col("regions").isNull(), F.col(text)).otherwise(out).alias(text))

@@ -112,3 +112,30 @@ relational(
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy batches of at most 5 objects and a price of 400,000 for each customer's orders; tested against a plain loop."""
     return fleet.batches(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", 5, 400_000.0)
+relational(
+    "install_lifecycle",
+    """select user_id, case when count(case when event_type = 'error' then 1 end) >= 20 then 'revoked' when count(case when event_type = 'signup' then 1 end) > 0 then 'active' else 'pending' end as status,
+       min(case when event_type = 'signup' then ts end) as since from {events} group by user_id""",
+)
+relational(
+    "last_seen_throttled",
+    """select user_id, ts from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as before from {events})
+       where before is null or ts >= before + interval 1 minute""",
+)
+relational(
+    "recipient_difference",
+    """select n_regionkey, max(n_name) as newest, count(distinct n_name) as recipients from {nation} where n_name not in (select n_name from {nation} where n_nationkey < 3) group by n_regionkey""",
+)
+relational(
+    "telemetry_admission",
+    """select event_type, count(case when ts between timestamp '2024-01-15 00:00:00' - interval 5 minutes and timestamp '2024-01-15 00:00:00' + interval 1 day then 1 end) as admitted, count(*) as seen
+       from {events} group by event_type""",
+)
+relational(
+    "organizations_with_config",
+    """select distinct r_name from {region} where r_regionkey in (select n_regionkey from {nation})""",
+)
+relational(
+    "authorship_lookup",
+    """select c_custkey, o_orderkey from {customer} join {orders} on md5(cast(c_custkey as varchar(20))) = md5(cast(o_custkey as varchar(20))) where o_totalprice > 300000""",
+)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import detect
 from lodestream.functions.rules import BY_NAME, PRIORITY, RULES
-from lodestream.operators import align, redaction
+from lodestream.operators import align, jsonl, redaction
 from lodestream.plans.registry import query, read, relational
+from lodestream.sources import archive
 
 _PLANT = "text || ' AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) || ' user' || cast(doc_id as varchar) || '@mail.example.org'"
 _CHECKED = ("aws-access-key-id", "github-pat", "slack-token", "jwt", "kubeconfig-token", "email", "card-pan")
@@ -205,3 +206,46 @@ def align_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = turns.filter("turn % 5 <> 3")
     store = kept.unionByName(kept.filter("turn % 4 = 2")).select("conv_id", F.col("turn").alias("pos"), "role", "text")
     return align.align(turns, store)
+
+
+@query(
+    """select conv_id, turn, 'decoded' as mode, cast(2 as bigint) as hits, '{"role":"' || role || '","mail":"__REDACTED:email__","apiKey":"__REDACTED:key-name__"}' as line from conversations"""
+)
+def jsonl_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as JSON lines with a planted address and key: only those two strings change."""
+    mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@mail.example.org"))
+    line = F.concat(F.lit('{"role":"'), "role", F.lit('","mail":"'), mail, F.lit('","apiKey":"k'), F.col("turn").cast("string"), F.lit('"}'))
+    lines = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), line.alias("line"))
+    out = jsonl.scrub(lines, "id", "line", (BY_NAME["email"], BY_NAME["github-pat"]))
+    return out.select(F.split("id", "/")[0].cast("bigint").alias("conv_id"), F.split("id", "/")[1].cast("bigint").alias("turn"), "mode", F.col("hits").cast("bigint").alias("hits"), "line")
+
+
+@query("select doc_id, cast(strlen(text) as bigint) as payload_size, sha256(text) as payload_sha256, true as whole from documents")
+def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sealed into containers and opened again, with the manifest's hash checked."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.sha2("text", 256).alias("shipped_hash"))).alias("manifest"), F.col("text").alias("payload"))
+    opened = archive.opened(archive.sealed(docs, "doc_id"), "doc_id")
+    return opened.select("doc_id", "payload_size", "payload_sha256", (F.get_json_object("manifest", "$.shipped_hash") == F.col("payload_sha256")).alias("whole"))
+
+
+@query(
+    """select page_id, '{"path":"' || url || '"' || case when page_id % 2 = 0 then ',"source":"web"' else '' end || ',"size":' || strlen(html) || '}' as metadata from pages"""
+)
+def object_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest fields as JSON; fields without a value are left out."""
+    fields = F.struct(F.col("url").alias("path"), F.when(F.col("page_id") % 2 == 0, "web").alias("source"), F.octet_length("html").alias("size"))
+    return read(spark, sf_dir, "pages").select("page_id", F.to_json(fields).alias("metadata"))
+
+
+@query(
+    """select page_id, case when rn = 1 then name when rn = 2 then name || '~' || left(sha256(url), 8) else null end as output from (
+         select page_id, url, 'p' || (page_id % 120) as name, row_number() over (partition by page_id % 120 order by page_id) as rn from pages)"""
+)
+def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output names that differ in case alone: the second gets a suffix, a third none at all."""
+    number = (F.col("page_id") % 120).cast("string")
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("P"), number)).otherwise(F.concat(F.lit("p"), number))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lower(name).alias("name"))
+    rn = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("page_id"))
+    out = F.when(F.col("rn") == 1, F.col("name")).when(F.col("rn") == 2, F.concat("name", F.lit("~"), F.left(F.sha2("url", 256), F.lit(8))))
+    return rows.withColumn("rn", rn).select("page_id", out.alias("output"))

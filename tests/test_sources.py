@@ -1,0 +1,83 @@
+"""JSON Lines redaction, SQLite and container sources, keyed streams."""
+
+import json
+import sqlite3
+
+import pytest
+import zstandard
+
+from lodestream.functions.rules import BY_NAME
+from lodestream.operators import jsonl
+from lodestream.sources import archive, sqlite
+from lodestream.streaming import changes
+
+RULES = (BY_NAME["email"], BY_NAME["github-pat"])
+
+
+def test_jsonl_scrub_touches_dirty_strings_only(spark):
+    lines = {
+        1: '{"a": "me@x.org", "a" : 1.50, "b":["é", {"apiKey": "k1"}]}',
+        2: '{"clean":  "yes"}',
+        3: 'torn {"a": "me@x.org"',
+        4: "",
+        5: '{"id": "aB3dE5fG7hI9jK1lM3nO5pQ7rS9", "x": "aB3dE5fG7hI9jK1lM3nO5pQ7rS9"}',
+        6: '{"out": "' + "z z " * 50 + '", "esc\\n": "q\\"u me@x.org"}',
+    }
+    df = spark.createDataFrame(list(lines.items()), "k int, line string")
+    got = {r["k"]: (r["line"], r["mode"], r["hits"]) for r in jsonl.scrub(df, "k", "line", RULES, drops=("out",), exempt=("id",)).collect()}
+    assert got[1] == ('{"a": "__REDACTED:email__", "a" : 1.50, "b":["é", {"apiKey": "__REDACTED:key-name__"}]}', "decoded", 2)
+    assert got[2] == (lines[2], "decoded", 0)
+    assert got[3] == ('torn {"a": "__REDACTED:email__"', "raw", 1)
+    assert got[4] == ("", "blank", 0)
+    assert got[5][0] == '{"id": "aB3dE5fG7hI9jK1lM3nO5pQ7rS9", "x": "__REDACTED:generic-entropy__"}'
+    assert got[6][0] == '{"out": "__REDACTED:dropped__", "esc\\n": "q\\"u __REDACTED:email__"}'
+
+
+def test_string_tokens_have_paths():
+    found = jsonl.string_tokens('{"a": {"b": ["x", {"c": "y"}]}, "a": "z"}')
+    assert [(p, v) for _, _, p, k, v, _ in found if not k] == [("a.b[]", "x"), ("a.b[].c", "y"), ("a", "z")]
+    assert jsonl.string_tokens('{"a": 1} x') is None and jsonl.string_tokens("[" * 300 + "]" * 300) is None
+
+
+def test_sqlite_key_values_and_records(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "a.db")
+    con.execute("create table kv (key text, value)")
+    con.executemany("insert into kv values (?, ?)", [("a_1", b"x"), ("ab1", "y"), ("auth/plan", "p"), ("auth/token", "t"), ("a_2", 3), ("b", None)])
+    con.execute("create table sessions (id text, model text)")
+    con.execute("insert into sessions values ('s', 'm')")
+    con.execute("create table usage (session_id text, billing_base_url text, n int)")
+    con.execute("insert into usage values ('s', 'http://x', 2)")
+    con.commit()
+    con.close()
+    found = sqlite.files(spark, str(tmp_path))
+    rows = [(r["key"], r["value"], r["truncated"]) for r in sqlite.key_values(found, "kv", ["a_", "auth/"]).collect()]
+    assert rows == [("a_1", "x", False), ("a_2", "3", False), ("auth/plan", "p", False)]
+    assert sqlite.key_values(found, "kv", ["a"], most=2).first()["truncated"]
+    got = [(r["session_id"], r["type"], json.loads(r["json"])) for r in sqlite.records(found, {"session": "sessions", "usage": "usage", "none": "missing"}, drop=("billing_base_url",)).collect()]
+    assert got == [("s", "session", {"id": "s", "model": "m"}), ("s", "usage", {"session_id": "s", "n": 2})]
+
+
+def test_containers_come_back(spark):
+    rows = spark.createDataFrame([(1, '{"a":1}', "text é"), (2, "{}", "")], "k int, manifest string, payload string")
+    got = archive.opened(archive.sealed(rows, "k"), "k").orderBy("k").collect()
+    assert [(r["manifest"], r["payload_size"]) for r in got] == [('{"a":1}', 7), ("{}", 0)]
+
+
+def test_bounded_decoding(spark):
+    files = spark.createDataFrame([("a", zstandard.compress(b"x" * 50)), ("b", zstandard.compress(b"x" * 500))], "path string, content binary")
+    assert [(r["path"], r["too_large"]) for r in archive.decoded(files, 100).orderBy("path").collect()] == [("a", False), ("b", True)]
+
+
+def test_keyed_stream_of_snapshots(spark, tmp_path):
+    schema = "source_id string, id string, size bigint, hash string, mtime bigint"
+    batches = [[("s", "a", 5, "h", 1), ("s", "b", 5, "h", 1)], [("s", "a", 5, "h", 2), ("s", "b", 3, "g", 2)], [("s", "a", 9, "k", 3)]]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = changes.decisions(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        if k == 0:
+            with pytest.raises(Exception, match="(?i)append|update|supported"):
+                changes.decisions(stream).writeStream.format("memory").queryName("x").outputMode("complete").start()
+        q.start().awaitTermination(120)
+    got = sorted((r["id"], r["decision"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "changed"), ("a", "new"), ("a", "unchanged"), ("b", "new"), ("b", "shrunk")]
