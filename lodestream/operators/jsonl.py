@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import detect
@@ -71,30 +71,75 @@ def tokens(lines: DataFrame, key: str, line: str) -> DataFrame:
     return lines.select(F.col(key).alias("k"), F.col(line).alias("line")).mapInPandas(run, f"k {kind}, tok int, start int, end int, path string, is_key boolean, value string, name string")
 
 
-def scrub(lines: DataFrame, key: str, line: str, rules: tuple[Rule, ...] = RULES, drops: tuple[str, ...] = (), exempt: tuple[str, ...] = ()) -> DataFrame:
+def _decoded(value: str) -> Column:
+    """The text that a bare base64 value of 32 characters or more holds (either alphabet, with or without padding), or null."""
+    bare = F.regexp_replace(F.translate(F.col(value), "-_", "+/"), "=+$", "")
+    padded = F.concat(bare, F.repeat(F.lit("="), (4 - F.length(bare) % 4) % 4))
+    shaped = (F.length(value) >= 32) & bare.rlike("^[A-Za-z0-9+/]+$") & (F.length(bare) % 4 != 1)
+    return F.when(shaped, F.try_to_binary(padded, F.lit("base64")).cast("string"))
+
+
+def _shadow(value: str) -> Column:
+    """A value with backslash escapes blanked, at the same length, so that they don't touch what follows."""
+    return F.regexp_replace(F.regexp_replace(F.col(value), r"\\u[0-9a-fA-F]{4}", "      "), r"\\.", "  ")
+
+
+def _token_spans(found: DataFrame, rules: tuple[Rule, ...], drops: tuple[str, ...], exempt: tuple[str, ...]) -> DataFrame:
+    """(k, tok, s, e, p, r): what is to be redacted in each string token.
+
+    The rules scan the value, its form with escapes blanked, and what it holds in base64;
+    a hit in the last takes the whole value, if there is no other.
+    """
+    whole = F.octet_length("value")
+    is_value = (F.col("tok") >= 0) & ~F.col("is_key")
+    one = lambda p, r: F.array(F.struct(F.lit(0).alias("s"), whole.alias("e"), F.lit(p).alias("p"), F.lit(r).alias("r")))
+    empty = F.array().cast("array<struct<s:int,e:int,p:int,r:string>>")
+    short = lambda column: F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"), x["r"].alias("r")))
+    dropped = F.when(is_value & F.col("path").isin(*drops) & (whole >= DROP_BYTES), one(NAME_PRIORITY - 1, "dropped")).otherwise(empty)
+    named = F.when(is_value & detect.secret_key(F.col("name")) & (whole > 0), one(NAME_PRIORITY, "key-name")).otherwise(empty)
+    runs = F.filter(detect.matches(F.col("value"), "[A-Za-z0-9+=_-]{24,}", "generic-entropy", ENTROPY_PRIORITY), lambda x: detect.clears_entropy(x["m"]))
+    entropy = F.when((F.col("tok") >= 0) & ~F.col("path").isin(*exempt), short(runs)).otherwise(empty)
+    plain = found.select("k", "tok", F.lit(0).alias("form"), F.explode(F.concat(dropped, named, entropy)).alias("x"))
+    forms = F.array(
+        F.struct(F.lit(0).alias("form"), F.col("value").alias("text")),
+        F.struct(F.lit(1).alias("form"), F.when(F.contains("value", F.lit("\\")), _shadow("value")).alias("text")),
+        F.struct(F.lit(2).alias("form"), F.when(F.col("tok") >= 0, _decoded("value")).alias("text")),
+    )
+    scans = found.select("k", "tok", whole.alias("whole"), F.explode(F.filter(forms, lambda f: f["text"].isNotNull())).alias("f")).select("k", "tok", "whole", "f.form", "f.text")
+    hits = scans.select("k", "tok", "whole", "form", F.explode(short(detect.all_spans(F.col("text"), rules))).alias("x"))
+    hits = hits.withColumn("x", F.when(F.col("form") == 2, F.struct(F.lit(0).alias("s"), F.col("whole").alias("e"), F.col("x.p").alias("p"), F.col("x.r").alias("r"))).otherwise(F.col("x")))
+    both = plain.unionByName(hits.select("k", "tok", "form", "x")).withColumn("first", F.min("form").over(Window.partitionBy("k", "tok")))
+    return both.filter("form < 2 or first = 2").select("k", "tok", "x.*")
+
+
+def scrub(
+    lines: DataFrame, key: str, line: str, rules: tuple[Rule, ...] = RULES, drops: tuple[str, ...] = (), exempt: tuple[str, ...] = (), levels: int = 1
+) -> DataFrame:
     """(key, line, mode, hits): every line with dirty strings replaced; lines that aren't JSON are scanned as raw text by the rules alone.
 
     In a JSON line the value of a secret key goes whole, and random-looking runs go
     unless their path is exempt; a value of ``DROP_BYTES`` or more at a path to drop
-    goes whole. Only dirty tokens are written anew; all other text stays.
+    goes whole. Strings that hold JSON are scrubbed as lines of their own, ``levels``
+    deep. Only dirty tokens are written anew; all other text stays.
     """
     found = tokens(lines, key, line)
-    json_value = (F.col("tok") >= 0) & ~F.col("is_key")
-    whole = F.octet_length("value")
-    named = F.when(json_value & detect.secret_key(F.col("name")) & (whole > 0), F.array(F.struct(F.lit(0).alias("s"), whole.alias("e"), F.lit(NAME_PRIORITY).alias("p"), F.lit("key-name").alias("r"))))
-    dropped = F.when(json_value & F.col("path").isin(*drops) & (whole >= DROP_BYTES), F.array(F.struct(F.lit(0).alias("s"), whole.alias("e"), F.lit(NAME_PRIORITY - 1).alias("p"), F.lit("dropped").alias("r"))))
-    runs = F.filter(detect.matches(F.col("value"), "[A-Za-z0-9+=_-]{24,}", "generic-entropy", ENTROPY_PRIORITY), lambda x: detect.clears_entropy(x["m"]))
-    short = lambda column: F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"), x["r"].alias("r")))
-    empty = F.array().cast("array<struct<s:int,e:int,p:int,r:string>>")
-    entropy = F.when((F.col("tok") >= 0) & ~F.col("path").isin(*exempt), short(runs)).otherwise(empty)
-    spans = F.concat(short(detect.all_spans(F.col("value"), rules)), F.coalesce(named, empty), F.coalesce(dropped, empty), entropy)
-    dirty = found.withColumn("id", F.struct("k", "tok")).withColumn("x", spans).filter(F.size("x") > 0)
-    regions = redaction.merged(dirty.select("id", F.explode("x").alias("x")).select("id", "x.*"), "id")
+    quoted = F.expr("substr(to_json(array(new)), 2, length(to_json(array(new))) - 2)")
+    nested = None
+    if levels:
+        holds = (F.col("tok") >= 0) & ~F.col("is_key") & F.col("value").rlike(r"^\s*[\[{]") & F.expr("try_parse_json(value) is not null") & ~F.col("path").isin(*drops)
+        documents = found.filter(holds).withColumn("id", F.concat_ws("/", F.col("k").cast("string"), "tok"))
+        inner = scrub(documents.select("id", "value"), "id", "value", rules, drops, exempt, levels - 1).select("id", F.col("value").alias("new"), "hits").filter("hits > 0")
+        nested = documents.select("id", "k", "start", "end").join(inner, "id").select("k", "start", "end", quoted.alias("text"), "hits")
+        found_flat = found.filter(~F.coalesce(holds, F.lit(False)))
+    else:
+        found_flat = found
+    spans = _token_spans(found_flat, rules, drops, exempt).withColumn("id", F.struct("k", "tok")).drop("k", "tok")
+    regions = redaction.merged(spans, "id")
     by_token = regions.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("regions"), F.count("*").alias("hits"))
-    edits = dirty.select("id", "start", "end", "value").join(by_token, "id")
-    new = redaction.replaced(F.col("value"), F.col("regions"))
-    quoted = F.when(F.col("id.tok") < 0, new).otherwise(F.expr("substr(to_json(array(new)), 2, length(to_json(array(new))) - 2)"))
-    edits = edits.withColumn("new", new).select(F.col("id.k").alias("k"), "start", "end", quoted.alias("text"), "hits")
+    edits = found_flat.select(F.struct("k", "tok").alias("id"), "start", "end", "value").join(by_token, "id").withColumn("new", redaction.replaced(F.col("value"), F.col("regions")))
+    edits = edits.select(F.col("id.k").alias("k"), "start", "end", F.when(F.col("id.tok") < 0, F.col("new")).otherwise(quoted).alias("text"), "hits")
+    if nested is not None:
+        edits = edits.unionByName(nested)
     by_line = edits.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("edits"), F.sum("hits").alias("hits"))
     modes = found.groupBy("k").agg(F.when(F.min("tok") < 0, "raw").otherwise("decoded").alias("mode"))
     base = lines.select(F.col(key).alias("k"), F.col(line).alias("line")).join(modes, "k", "left").join(by_line, "k", "left")
@@ -104,4 +149,4 @@ def scrub(lines: DataFrame, key: str, line: str, rules: tuple[Rule, ...] = RULES
         lambda a, x: F.struct(F.concat(a["done"], F.substr("line", a["at"] + 1, x["start"] - a["at"]), x["text"]).alias("done"), x["end"].alias("at")),
     )
     out = F.when(F.col("edits").isNull(), F.col("line")).otherwise(F.concat(folded["done"], F.substr("line", folded["at"] + 1)))
-    return base.select(F.col("k").alias(key), out.alias(line), F.coalesce("mode", F.lit("blank")).alias("mode"), F.coalesce("hits", F.lit(0)).alias("hits"))
+    return base.select(F.col("k").alias(key), out.alias(line), F.coalesce("mode", F.lit("blank")).alias("mode"), F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"))

@@ -33,6 +33,25 @@ def test_jsonl_scrub_touches_dirty_strings_only(spark):
     assert got[6][0] == '{"out": "__REDACTED:dropped__", "esc\\n": "q\\"u __REDACTED:email__"}'
 
 
+def test_jsonl_scrub_looks_inside(spark):
+    import base64
+
+    pat = "ghp_" + "a1B2" * 9
+    inner = json.dumps({"x": "me@x.org", "ok": [1, "two"]})
+    lines = {
+        1: json.dumps({"args": inner, "n": "me@x.org"}),
+        2: json.dumps({"blob": base64.b64encode(("see " + pat).encode()).decode()}),
+        3: json.dumps({"t": "line\\n" + pat + " end"}),
+        4: json.dumps({"blob": base64.b64encode(b"nothing to see here, move along now").decode()}),
+    }
+    df = spark.createDataFrame(list(lines.items()), "k int, line string")
+    got = {r["k"]: json.loads(r["line"]) for r in jsonl.scrub(df, "k", "line", RULES, exempt=("blob", "t")).collect()}
+    assert json.loads(got[1]["args"]) == {"x": "__REDACTED:email__", "ok": [1, "two"]} and got[1]["n"] == "__REDACTED:email__"
+    assert got[2] == {"blob": "__REDACTED:github-pat__"}
+    assert got[3] == {"t": "line\\n__REDACTED:github-pat__ end"}
+    assert got[4] == json.loads(lines[4])
+
+
 def test_string_tokens_have_paths():
     found = jsonl.string_tokens('{"a": {"b": ["x", {"c": "y"}]}, "a": "z"}')
     assert [(p, v) for _, _, p, k, v, _ in found if not k] == [("a.b[]", "x"), ("a.b[].c", "y"), ("a", "z")]
