@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,15 +20,28 @@ SECRET_WORDS = ("password", "passwd", "passphrase", "secret", "credential", "cre
 KEY_QUALIFIERS = ("api", "access", "secret", "private", "auth", "encryption", "signing", "session", "client", "service", "account", "ssh")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unmarked(text: Column) -> Column:
+    """A text without the two control characters that mark matches, at the same length."""
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
+
+
+def folded(text: Column) -> Column:
+    """A text with its ASCII letters in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def matches(text: Column, pattern: str, rule: str = "", priority: int = 0) -> Column:
     """All matches of a Java pattern with byte offsets, in order, with the characters around them.
 
     Spark gives no offsets; marks around each match and the lengths between marks do.
+    ``text`` must be ``unmarked``.
     """
-    plain = F.translate(text, OPEN + CLOSE, "  ")
-    parts = F.split(F.regexp_replace(plain, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
-    first = F.get(parts, F.lit(0))
-    start = F.struct(F.octet_length(first).alias("at"), F.right(first, F.lit(1)).alias("before"), F.array().cast(SPAN).alias("spans"))
+    cut = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
 
     def step(done: Column, part: Column) -> Column:
         m = F.substring_index(part, CLOSE, 1)
@@ -44,7 +58,12 @@ def matches(text: Column, pattern: str, rule: str = "", priority: int = 0) -> Co
         before = F.when(F.length(rest) > 0, F.right(rest, F.lit(1))).otherwise(F.right(m, F.lit(1)))
         return F.struct((done["at"] + F.octet_length(part) - 1).alias("at"), before.alias("before"), F.array_append(done["spans"], span).alias("spans"))
 
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["spans"]
+    def walk(parts: Column) -> Column:
+        first = F.get(parts, F.lit(0))
+        start = F.struct(F.octet_length(first).alias("at"), F.right(first, F.lit(1)).alias("before"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["spans"]
+
+    return bound(cut, walk)
 
 
 def luhn_digits(match: Column) -> Column:
@@ -74,16 +93,15 @@ def pesel_valid(match: Column) -> Column:
     return match.rlike("^[0-9]{11}$") & (total % 10 == 0) & month.between(1, 12) & day.between(1, 31)
 
 
-def gate(text: Column, rule: Rule) -> Column:
-    """Whether one of a rule's keywords occurs, ASCII case apart."""
+def gate(low: Column, rule: Rule) -> Column:
+    """Whether one of a rule's keywords occurs in a folded text."""
     if not rule.keywords:
         return F.lit(True)
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in rule.keywords])
 
 
-def rule_spans(text: Column, rule: Rule) -> Column:
-    """The spans that a rule redacts in a text: its captured group, if guard and checksum accept."""
+def rule_spans(text: Column, low: Column, rule: Rule) -> Column:
+    """The spans that a rule redacts in a text (``low`` is the folded one): its captured group, if guard and checksum accept."""
     found = matches(text, java(rule.pattern), rule.name, PRIORITY[rule.name])
     if rule.capture:
 
@@ -100,11 +118,13 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     check = {"pan": pan_valid, "iban": iban_valid, "pesel": pesel_valid}.get(rule.checksum)
     if check:
         found = F.filter(found, lambda x: check(x["m"]))
-    return F.when(gate(text, rule), found).otherwise(F.array().cast(SPAN))
+    return F.when(gate(low, rule), found).otherwise(F.array().cast(SPAN))
 
 
 def all_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    return F.concat(*(rule_spans(text, r) for r in rules))
+    """The spans of all rules, rule by rule; null for a null text."""
+    both = F.struct(unmarked(text).alias("text"), folded(text).alias("low"))
+    return F.when(text.isNotNull(), bound(both, lambda b: F.concat(*(rule_spans(b["text"], b["low"], r) for r in rules))))
 
 
 def entropy_bits(run: Column) -> Column:

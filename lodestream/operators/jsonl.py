@@ -97,7 +97,7 @@ def _token_spans(found: DataFrame, rules: tuple[Rule, ...], drops: tuple[str, ..
     short = lambda column: F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"), x["r"].alias("r")))
     dropped = F.when(is_value & F.col("path").isin(*drops) & (whole >= DROP_BYTES), one(NAME_PRIORITY - 1, "dropped")).otherwise(empty)
     named = F.when(is_value & detect.secret_key(F.col("name")) & (whole > 0), one(NAME_PRIORITY, "key-name")).otherwise(empty)
-    runs = F.filter(detect.matches(F.col("value"), "[A-Za-z0-9+=_-]{24,}", "generic-entropy", ENTROPY_PRIORITY), lambda x: detect.clears_entropy(x["m"]))
+    runs = F.filter(detect.matches(detect.unmarked(F.col("value")), "[A-Za-z0-9+=_-]{24,}", "generic-entropy", ENTROPY_PRIORITY), lambda x: detect.clears_entropy(x["m"]))
     entropy = F.when((F.col("tok") >= 0) & ~F.col("path").isin(*exempt), short(runs)).otherwise(empty)
     plain = found.select("k", "tok", F.lit(0).alias("form"), F.explode(F.concat(dropped, named, entropy)).alias("x"))
     forms = F.array(
@@ -106,7 +106,7 @@ def _token_spans(found: DataFrame, rules: tuple[Rule, ...], drops: tuple[str, ..
         F.struct(F.lit(2).alias("form"), F.when(F.col("tok") >= 0, _decoded("value")).alias("text")),
     )
     scans = found.select("k", "tok", whole.alias("whole"), F.explode(F.filter(forms, lambda f: f["text"].isNotNull())).alias("f")).select("k", "tok", "whole", "f.form", "f.text")
-    hits = scans.select("k", "tok", "whole", "form", F.explode(short(detect.all_spans(F.col("text"), rules))).alias("x"))
+    hits = scans.select("k", "tok", "whole", "form", F.explode_outer(short(detect.all_spans(F.col("text"), rules))).alias("x")).filter("x is not null")
     hits = hits.withColumn("x", F.when(F.col("form") == 2, F.struct(F.lit(0).alias("s"), F.col("whole").alias("e"), F.col("x.p").alias("p"), F.col("x.r").alias("r"))).otherwise(F.col("x")))
     both = plain.unionByName(hits.select("k", "tok", "form", "x")).withColumn("first", F.min("form").over(Window.partitionBy("k", "tok")))
     return both.filter("form < 2 or first = 2").select("k", "tok", "x.*")

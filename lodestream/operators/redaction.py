@@ -15,8 +15,9 @@ def sentinel(rule: Column) -> Column:
 
 def spans(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(key, s, e, p, r, m): one row for each accepted match; rows without any give none."""
-    found = rows.select(key, detect.all_spans(F.col(text), rules).alias("x"))
-    return found.filter(F.size("x") > 0).select(key, F.explode("x").alias("x")).select(key, "x.s", "x.e", "x.p", "x.r", "x.m")
+    # The outer form infers no filter, which would run all rules again.
+    found = rows.select(key, F.explode_outer(detect.all_spans(F.col(text), rules)).alias("x"))
+    return found.filter("x is not null").select(key, "x.s", "x.e", "x.p", "x.r", "x.m")
 
 
 def merged(found: DataFrame, key: str) -> DataFrame:
