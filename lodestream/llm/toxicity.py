@@ -191,8 +191,6 @@ class Machine:
 
     def learn_of(self, new: Iterable[bytes]) -> None:
         """Compute and remember the margins of new units."""
-        if len(self.seen) > MEMO_WORDS:
-            self.seen, self.margins, self.hot = set(), {}, set()
         self.seen.update(new)
         if not self.landmarks:
             return
@@ -208,6 +206,8 @@ class Machine:
 
     def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
         """Scores from 0 to 1; 0.5 is the machine's border."""
+        if len(self.seen) > MEMO_WORDS:  # before it is known which units are new
+            self.seen, self.margins, self.hot = set(), {}, set()
         held = [units(t) for t in texts]
         new: set[bytes] = set()
         for u in held:

@@ -219,6 +219,17 @@ def test_toxicity(spark, marked):
     assert toxicity.classify(docs(spark, []), labels).count() == 0
 
 
+def test_a_worker_that_forgets_gives_the_same_scores(monkeypatch):
+    marks = [b"blorgnak", b"fenwizzle"]
+    machine = toxicity.Machine(marks, np.array([2.0, 2.0]), -1.0)
+    texts = [f"{prose(20, k)} {'blorgnak' if k % 3 == 0 else ''}".encode() for k in range(60)]
+    want = [machine.scores([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 5)
+    again = toxicity.Machine(marks, np.array([2.0, 2.0]), -1.0)
+    got = np.concatenate([again.scores(texts[k : k + 7]) for k in range(0, 60, 7)])
+    assert got.tolist() == want and (got >= 0.5).sum() == 20
+
+
 def brute_base(text):
     import re
 
