@@ -92,3 +92,38 @@ relational(
     """select l_orderkey, count(case when l_linestatus = 'O' and l_linenumber > last_match then 1 end) as tail, count(case when l_linestatus = 'O' and l_linenumber < last_match then 1 end) as mismatch from (
          select l_orderkey, l_linenumber, l_linestatus, coalesce(max(case when l_linestatus = 'F' then l_linenumber end) over (partition by l_orderkey), 0) as last_match from {lineitem}) group by l_orderkey""",
 )
+relational(
+    "root_pick",
+    """select n_regionkey, min(case when n_name like '%A%' and n_nationkey % 2 = 0 then n_nationkey end) as picked, count(case when n_name not like '%A%' then 1 end) as absent,
+         count(case when n_name like '%A%' and n_nationkey % 2 = 1 then 1 end) as denied from {nation} group by n_regionkey""",
+)
+relational(
+    "parked_backoff_skip",
+    """select doc_id, n_chars % 3 = 0 and n_chars % 120 > 60 and not (doc_id % 10 = 0) as skipped from {documents}""",
+)
+relational(
+    "policy_satisfied",
+    """select o_orderkey, o_orderstatus = 'F' or (o_orderstatus = 'O' and o_totalprice >= 50000) as satisfied from {orders}""",
+)
+relational(
+    "tool_name_match",
+    """select p_partkey, lower(replace(replace(p_type, ' ', ''), '_', '')) like concat('%', lower(substr(p_brand, 1, 5)), '%') or lower(p_type) like 'promo%' as compatible from {part}""",
+)
+relational(
+    "bubble_order",
+    """select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by case when l_returnflag = 'N' then 1 else 0 end, l_shipdate, l_linenumber) as place from {lineitem}
+       where l_linestatus <> 'X'""",
+)
+relational(
+    "enrich_counters",
+    """select l_shipmode_class, count(*) as n, count(case when ok then 1 end) as matched from (
+         select case when l_quantity > 25 then 'large' else 'small' end as l_shipmode_class, l_discount > 0.05 as ok from {lineitem}) group by l_shipmode_class""",
+)
+
+
+@query("select s_suppkey, sha256(length(s_name) || ':' || s_name || length(cast(s_nationkey as varchar)) || ':' || s_nationkey) as fingerprint from supplier")
+def spec_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 over the length-prefixed fields of a specification."""
+    fields = ["s_name", "s_nationkey"]
+    text = F.concat(*(x for f in fields for x in (F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string"))))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(text, 256).alias("fingerprint"))
