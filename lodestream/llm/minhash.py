@@ -7,8 +7,9 @@ share a band are candidates, and every link is confirmed on full sets.
 No group is expanded into all its pairs:
 
 1. texts with equal sets become one node, so copies cost nothing more;
-2. in each band, every node is compared with the band's least node, and the links
-   found give first components;
+2. in each band, every node is compared with one leader, the node that shares most
+   bands with others (an original resembles its altered copies more than they resemble
+   each other), and the links found give first components;
 3. only in bands that still hold several components, nodes of different components
    are paired, if their sizes and 512 four-bit coordinates allow the similarity
    (a pair at the threshold is refused with odds of about one in 70,000), and checked; a
@@ -135,8 +136,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     # A row for each node and band that several nodes share.
     nodes = full.select(F.col("row").alias("node"), "bands").join(sets.select("node"), "node", "left_semi")
     in_bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = in_bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows, rows_path = scratch.table(in_bands.join(shared, "band"), "minhash-rows")
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    sized, sized_path = scratch.table(in_bands.join(shared, "band"), "minhash-sized")
+    ranked = sized.join(sized.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("met", F.negate("node"))).alias("leader"))
+    rows, rows_path = scratch.table(sized.select("band", "node").join(leaders, "band"), "minhash-rows")
 
     # Texts of those nodes, found by id and told from others with that id by their sets.
     wanted = rows.select("node").distinct()
@@ -175,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     out = out.select(
         F.nullif("doc_key", F.lit(_NO_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("doc_key") == component).alias("kept")
     )
-    scratch.drop(docs.sparkSession, rows_path, texts_path, links_path, ready_path)
+    scratch.drop(docs.sparkSession, sized_path, rows_path, texts_path, links_path, ready_path)
     return out
 
 
