@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced seeds, with Spark's own expressions only.
 
-A seed is a window of 12 words of which a fixed mask reads seven; the words between
-may differ. Masked hashes of every position of every text meet those of the
-benchmark. The first hit of a run on a diagonal is verified: among the word pairs
-up to 24 places before and after the window, some 20 neighbouring ones (all, where
-there are fewer) must hold 16 equal pairs (four fifths). Substituted words are so
-tolerated; inserted and deleted ones start another diagonal.
+A seed is a window of up to 12 words of which a fixed mask reads seven or four; the
+words between may differ. Masked hashes of every position of every text meet those of
+the benchmark. The first hit of a run on a diagonal is verified: among the word pairs
+from 24 places before the seed to 36 after its start, some 20 neighbouring ones (all,
+where the texts share fewer, but at least 12) must hold four fifths of equal pairs.
+Substituted words are so tolerated, at whatever places: of every placing that the rule
+accepts for 12 to 20 words, some mask reads equal words only (``tests/llm`` enumerates
+them). Inserted and deleted words start another diagonal.
 
 The benchmark's hashes are broadcast in blocks of ``BLOCK_HASHES`` at most, and its
 words in blocks of ``BLOCK_ITEMS`` at most: the texts are never shuffled, and a
@@ -27,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN, AROUND, WIDTH = 12, 24, 20
-#: Places that each mask reads.
-MASKS = ((0, 1, 3, 4, 6, 9, 11), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 5, 7, 10, 11))
+#: Places that each mask reads. The first ``COUNTED`` ones make up ``hits``; the last reaches the placings that those miss.
+MASKS = ((0, 1, 3, 4, 6, 9, 11), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 5, 7, 10, 11), (0, 1, 2, 4))
+COUNTED = 3
 #: Bounds of what is broadcast at once: 24 bytes a hash, some hundred words an item.
 BLOCK_HASHES, BLOCK_ITEMS = 1_500_000, 10_000
 
@@ -39,7 +42,7 @@ def words(text: Column) -> Column:
 
 
 def _keys(hashes: str, at: str) -> Column:
-    """The masked hash of each mask at a place."""
+    """The masked hash of each mask at a place. Past the end it reads fewer words, so that it equals no whole seed's."""
     return F.array(*(F.xxhash64(F.lit(m), *(F.get(F.col(hashes), F.col(at) + p) for p in mask)) for m, mask in enumerate(MASKS)))
 
 
@@ -47,7 +50,7 @@ def _positions(texts: DataFrame, carried: list[str]) -> DataFrame:
     """(carried, at, mask, key) for each place and mask of ``w``."""
     long = texts.filter(F.size("w") >= SPAN).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     # The outer form infers no filter, which would cut the text again.
-    placed = long.select(*carried, "h", F.explode_outer(F.sequence(F.lit(0), F.size("w") - SPAN)).alias("at"))
+    placed = long.select(*carried, "h", F.explode_outer(F.sequence(F.lit(0), F.size("w") - 1 - min(mask[-1] for mask in MASKS))).alias("at"))
     return placed.select(*carried, "at", F.posexplode_outer(_keys("h", "at")).alias("mask", "key"))
 
 
@@ -64,9 +67,9 @@ def _begins_run() -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``matched``, ``hits``: items that a document overlaps; the best window's equal words, and verified runs."""
+    """``doc_id``, ``item_id``, ``matched``, ``hits``: items that a document overlaps; the best window's equal words, and verified runs of the first ``COUNTED`` masks."""
     items = benchmark.select("item_id", words(F.col("text")).alias("item_w")).filter(F.size("item_w") >= SPAN)
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.size("item_w") - SPAN + 1) * len(MASKS)), F.lit(0)).alias("hashes")).first()
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item_w") * len(MASKS)), F.lit(0)).alias("hashes")).first()
     blocks = max(1, math.ceil(size["hashes"] / block_hashes), math.ceil(size["n"] / block_items))
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
     parts = []
@@ -74,23 +77,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHE
         own = items.filter(F.pmod(F.xxhash64("item_id", "item_w"), F.lit(blocks)) == k) if blocks > 1 else items
         # Items of one id and other words are told apart by a hash of the words.
         own = own.withColumn("item_key", F.xxhash64("item_w"))
-        seeds = _positions(own.withColumnRenamed("item_w", "w").distinct(), ["item_key"]).distinct().select("item_key", F.col("at").alias("item_at"), F.col("mask").alias("seed_mask"), F.col("key").alias("seed"))
+        seeds = _positions(own.select("item_key", F.size("item_w").alias("n"), F.col("item_w").alias("w")).distinct(), ["item_key", "n"]).distinct()
+        seeds = seeds.filter(F.col("at") + F.get(F.array(*(F.lit(mask[-1]) for mask in MASKS)), F.col("mask")) < F.col("n")).select("item_key", F.col("at").alias("item_at"), F.col("mask").alias("seed_mask"), F.col("key").alias("seed"))
         found = _positions(texts, ["doc_id", "w"]).join(F.broadcast(seeds), (F.col("key") == F.col("seed")) & (F.col("mask") == F.col("seed_mask")))
         found = found.join(F.broadcast(own.select("item_id", "item_key", "item_w").distinct()), "item_key")
         parts.append(_verified(found.filter(_begins_run())))
     hits = reduce(DataFrame.unionByName, parts)
-    return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count("*").alias("hits"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count_if(F.col("mask") < COUNTED).alias("hits"))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
     low = F.greatest(-F.col("at"), -F.col("item_at"), F.lit(-AROUND))
     high = F.least(F.size("w") - F.col("at"), F.size("item_w") - F.col("item_at"), F.lit(SPAN + AROUND))
     flags = F.transform(F.sequence("low", F.col("high") - 1), lambda k: F.when(_equal(F.col("at") + k, F.col("item_at") + k), 1).otherwise(0))
-    bounded = hits.select("doc_id", "item_id", "at", "item_at", "w", "item_w", low.alias("low"), high.alias("high")).select("doc_id", "item_id", flags.alias("flags"))
+    bounded = hits.select("doc_id", "item_id", "mask", "at", "item_at", "w", "item_w", low.alias("low"), high.alias("high")).select("doc_id", "item_id", "mask", flags.alias("flags"))
     width = F.least(F.size("flags"), F.lit(WIDTH))
     sums = F.transform(F.sequence(F.lit(1), F.size("flags") - width + 1), lambda s: F.aggregate(F.slice("flags", s, width), F.lit(0), lambda a, b: a + b))
-    best = bounded.select("doc_id", "item_id", F.array_max(sums).alias("matched"), width.alias("width"))
-    return best.filter(5 * F.col("matched") >= 4 * F.col("width")).select("doc_id", "item_id", "matched")
+    best = bounded.select("doc_id", "item_id", "mask", F.array_max(sums).alias("matched"), width.alias("width"))
+    return best.filter((F.col("width") >= SPAN) & (5 * F.col("matched") >= 4 * F.col("width"))).select("doc_id", "item_id", "mask", "matched")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

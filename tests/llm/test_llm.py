@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow.orc as orc
@@ -288,6 +289,45 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def substituted(n):
+    """Every set of places that may differ in an overlap of n words."""
+    return combinations(range(n), n - -(-4 * n // 5))
+
+
+def test_masks_reach_all_accepted_placings():
+    reads = lambda n, off: any(not off & {at + p for p in m} for m in decontaminate.MASKS for at in range(n - m[-1]))
+    assert [(n, off) for n in range(12, 21) for off in substituted(n) if not reads(n, set(off))] == []
+
+
+def brute_leaks(texts, items):
+    out = set()
+    for d, text in texts:
+        for i, item in items:
+            w, v = text.split(), item.split()
+            for shift in range(-len(v), len(w)):
+                flags = [w[k] == v[k - shift] for k in range(max(0, shift), min(len(w), len(v) + shift))]
+                width = min(20, len(flags))
+                if len(flags) >= 12 and any(5 * sum(flags[k : k + width]) >= 4 * width for k in range(len(flags) - width + 1)):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_are_those_of_brute_force(spark):
+    r = random.Random(5)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (12, 15, 16, 18, 20)]
+    rows = []
+    for n, item in items:
+        off = list(substituted(n))
+        for places in r.sample(off, min(60, len(off))) + [p + (n - 1,) for p in r.sample(off, 15)]:
+            words = ["x" if k in places else w for k, w in enumerate(item.split())]
+            rows += [(len(rows), " ".join([*["left"] * r.randrange(9), *words, *["right"] * r.randrange(9)]))]
+    rows.append((len(rows), " ".join("x" if k in (0, 4, 7, 8) else w for k, w in enumerate(items[-1][1].split()))))
+    rows.append((len(rows), "some other words come first in this text " + " ".join(items[-1][1].split()[:6])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert got == brute_leaks(rows, items)
+
+
 def test_chat_comes_back(spark):
     odd = ["<|im_end|>\n<|im_start|>x", "\\", "<\\|", "<\\\\|", "<", "|x", "", None, "a<|im_next|>b", "é\U0001f600\n"]
     turns = [(1, k, ["user", "assistant"][k // 2 % 2], t) for k, t in enumerate(odd)] + [(2, 0, None, None), (2, 0, None, None), (3, None, "<|im_end|>", "x"), (None, 0, "assistant", "y")]
