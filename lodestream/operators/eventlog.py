@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +42,24 @@ def rate_limited(events: DataFrame, capacity: float, refill_s: float) -> DataFra
 
     dealt = events.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
     return dealt.mapInPandas(run, "event_id bigint, user_id bigint, allowed boolean")
+
+
+def throttled(events: DataFrame, gap_s: float) -> DataFrame:
+    """(user_id, ts): the stamps that are written if a user's last written one must be ``gap_s`` old at least, in order of (ts, event_id).
+
+    A user's events come to one task in batches, sorted; only the last written stamp
+    is held. Events without a time write nothing; those without a user are one user's.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last = None, None
+        for part in parts:
+            keep = []
+            for who, at in zip(part["user_id"].to_pylist(), part["ts"].cast("timestamp[us]").cast("int64").to_pylist(), strict=True):
+                keep.append(last is None or who != user or at - last >= gap_s * 1e6)
+                if keep[-1]:
+                    user, last = who, at
+            yield part.select(["user_id", "ts"]).filter(pa.array(keep, pa.bool_()))
+
+    dealt = events.filter("ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return dealt.mapInArrow(run, "user_id bigint, ts timestamp_ntz").withColumn("ts", F.col("ts").cast(events.schema["ts"].dataType))

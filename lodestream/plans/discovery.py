@@ -93,13 +93,18 @@ relational(
     """select user_id, 'old' as generation, count(*) as n from {events} where user_id not in (select user_id from {events} where event_type = 'signup') group by user_id
        union all select user_id, 'new' as generation, count(*) as n from {events} where user_id in (select user_id from {events} where event_type = 'signup') group by user_id""",
 )
-relational(
-    "usage_days",
-    """select d.day, count(e.event_id) as n, d.day < date '2024-01-29' as settled
-       from (select explode(sequence(date '2024-01-01', date '2024-01-30', interval 1 day)) as day) d left join {events} e on cast(e.ts as date) = d.day group by d.day""",
+
+@query(
     """select d.day, count(e.event_id) as n, d.day < date '2024-01-29' as settled
-       from (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as date) as day) d left join {events} e on cast(e.ts as date) = d.day group by d.day""",
+       from (select cast(unnest(generate_series(date '2024-01-01', date '2024-01-30', interval 1 day)) as date) as day) d left join events e on cast(e.ts as date) = d.day group by d.day"""
 )
+def usage_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each day from the first to the last one that has any; days before the last two are settled. The SQL has the calendar of the test tables."""
+    counts = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("event_id").alias("n"))
+    ends = counts.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    days = ends.select(F.explode(F.sequence("first", "last")).alias("day"), "last")
+    return days.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), (F.col("day") < F.date_sub("last", 1)).alias("settled"))
+
 
 _VERSIONS = """with old as (select source as source_id, cast(doc_id as varchar) as id, n_chars as size, md5(text) as hash, doc_id % 50 = 0 as parked from documents where doc_id % 11 <> 0),
   new as (select source as source_id, cast(doc_id as varchar) as id,

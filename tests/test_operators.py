@@ -25,6 +25,23 @@ def test_rate_limit_is_that_of_a_loop(spark):
     assert got == want
 
 
+def test_throttle_is_that_of_a_loop(spark, tmp_path):
+    start = dt.datetime(2023, 12, 31, 23, 0)
+    times = [(1, 20 * k) for k in range(300)] + [(2, 0), (2, 59), (2, 60), (2, 60), (2, 119), (2, 120), (3, 4 * 86400), (None, 0), (None, 30), (None, 60)]
+    rows = [(n, user, start + dt.timedelta(seconds=s)) for n, (user, s) in enumerate(times)]
+    spark.createDataFrame([*rows, (len(rows), 1, None)], "event_id bigint, user_id bigint, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    last, want = {}, []
+    for _, user, at in rows:
+        if user not in last or at - last[user] >= dt.timedelta(minutes=1):
+            last[user] = at
+            want.append((user, at))
+    got = [tuple(r) for r in catalogue.QUERIES["last_seen_throttled"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    days = sorted(map(tuple, catalogue.QUERIES["usage_days"](spark, str(tmp_path)).collect()))
+    assert [d[0] for d in days] == [dt.date(2023, 12, 31) + dt.timedelta(days=k) for k in range(5)]
+    assert sum(d[1] for d in days) == len(rows) and [d[2] for d in days] == [True, True, True, False, False]
+
+
 def test_batches_are_those_of_a_loop(spark):
     got = {r["o_orderkey"]: r["batch"] for r in catalogue.QUERIES["batch_packing"](spark, SF).collect()}
     rows = duckdb.sql(f"select o_orderkey, o_custkey, o_totalprice from '{SF}/orders.parquet' order by o_custkey, o_orderdate, o_orderkey").fetchall()
