@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import detect
 from lodestream.functions.rules import BY_NAME, RULES, java
 from lodestream.operators import redaction
+from lodestream.plans import text
 
 
 def test_rules_are_whole():
@@ -52,6 +53,17 @@ def test_scrub_replaces_regions_and_keeps_the_rest(spark):
     assert got == {1: "é __REDACTED:email__ __REDACTED:aws-access-key-id__ ü", 2: "clean", 3: None}
 
 
+def test_document_queries_scrub_by_all_rules(spark, tmp_path):
+    cases = CASES | {"gitlab-pat": ("glpat-" + "aB3" * 7, "glpat-" + "aB3" * 7)}
+    rows = spark.createDataFrame([(n, "s", t) for n, (t, _) in enumerate(cases.values())], "doc_id bigint, source string, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r["t"] for r in text.scrubbed_documents(spark, str(tmp_path)).collect()}
+    ledger = {r["rule"] for r in text.scrub_ledger_by_source(spark, str(tmp_path)).collect()}
+    for n, (_, part) in enumerate(cases.values()):
+        assert part not in out[n]
+    assert set(cases) - {"token"} <= ledger
+
+
 def test_union_keeps_touching_spans_apart(spark):
     spans = [(1, 0, 5, 1, "a"), (1, 5, 9, 1, "b"), (1, 7, 12, 0, "c"), (1, 20, 21, 3, "d")]
     got = redaction.merged(spark.createDataFrame(spans, "k int, s int, e int, p int, r string"), "k")
