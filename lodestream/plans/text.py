@@ -212,7 +212,7 @@ def align_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select conv_id, turn, 'decoded' as mode, cast(2 as bigint) as hits, '{"role":"' || role || '","mail":"__REDACTED:email__","apiKey":"__REDACTED:key-name__"}' as line from conversations"""
 )
 def jsonl_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as JSON lines with a planted address and key: only those two strings change."""
+    """Lines made of a role, a planted address and a key: only those two strings change. ``jsonl_scrub_conversations`` has the turns' text."""
     mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@mail.example.org"))
     line = F.concat(F.lit('{"role":"'), "role", F.lit('","mail":"'), mail, F.lit('","apiKey":"k'), F.col("turn").cast("string"), F.lit('"}'))
     lines = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), line.alias("line"))
@@ -220,6 +220,17 @@ def jsonl_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.split("id", "/")[0].cast("bigint").alias("conv_id"), F.split("id", "/")[1].cast("bigint").alias("turn"), "mode", F.col("hits").cast("bigint").alias("hits"), "line")
 
 
+@query()
+def jsonl_scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their whole text as JSON lines, scrubbed by all rules; tested on a fixture.
+
+    Lines that are the same are scrubbed once, so that repeated turns stay apart.
+    """
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line")).withColumn("id", F.sha2("line", 256))
+    out = jsonl.scrub(turns.select("id", "line").dropDuplicates(["id"]), "id", "line")
+    return turns.select("conv_id", "turn", "id").join(out, "id").select("conv_id", "turn", "mode", "hits", "line")
+
+
 @query("select doc_id, cast(strlen(text) as bigint) as payload_size, sha256(text) as payload_sha256, true as whole from documents")
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sealed into containers and opened again, with the manifest's hash checked."""
