@@ -1,79 +1,15 @@
-"""Detectors as column expressions: matches with byte offsets, checksums, entropy, key names."""
+"""Checks, entropy, key names, globs and paths as column expressions."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestream.functions.rules import PRIORITY, RULES, Rule, java
-
-#: Two control characters that mark a match; a text's own are blanked first (same length).
-OPEN, CLOSE = "\x01", "\x02"
-SPAN = "array<struct<s:int,e:int,p:int,r:string,m:string,before:string,after:string>>"
-
-# Names that mark a secret, words that make a name one, and what may stand before "key".
-SECRET_WORDS = ("password", "passwd", "passphrase", "secret", "credential", "credentials", "token", "apikey")
-KEY_QUALIFIERS = ("api", "access", "secret", "private", "auth", "encryption", "signing", "session", "client", "service", "account", "ssh")
-
-
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def unmarked(text: Column) -> Column:
-    """A text without the two control characters that mark matches, at the same length."""
-    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
-
-
-def folded(text: Column) -> Column:
-    """A text with its ASCII letters in lower case."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def matches(text: Column, pattern: str, rule: str = "", priority: int = 0) -> Column:
-    """All matches of a Java pattern with byte offsets, in order, with the characters around them.
-
-    Spark gives no offsets; marks around each match and the lengths between marks do.
-    ``text`` must be ``unmarked``.
-    """
-    cut = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
-
-    def step(done: Column, part: Column) -> Column:
-        m = F.substring_index(part, CLOSE, 1)
-        rest = F.substring_index(part, CLOSE, -1)
-        span = F.struct(
-            done["at"].alias("s"),
-            (done["at"] + F.octet_length(m)).alias("e"),
-            F.lit(priority).alias("p"),
-            F.lit(rule).alias("r"),
-            m.alias("m"),
-            done["before"].alias("before"),
-            F.left(rest, F.lit(2)).alias("after"),
-        )
-        before = F.when(F.length(rest) > 0, F.right(rest, F.lit(1))).otherwise(F.right(m, F.lit(1)))
-        return F.struct((done["at"] + F.octet_length(part) - 1).alias("at"), before.alias("before"), F.array_append(done["spans"], span).alias("spans"))
-
-    def walk(parts: Column) -> Column:
-        first = F.get(parts, F.lit(0))
-        start = F.struct(F.octet_length(first).alias("at"), F.right(first, F.lit(1)).alias("before"), F.array().cast(SPAN).alias("spans"))
-        return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["spans"]
-
-    return bound(cut, walk)
-
-
-def luhn_digits(match: Column) -> Column:
-    return F.regexp_replace(match, "[^0-9]", "")
-
-
-def pan_valid(match: Column) -> Column:
-    """A card number: 13 to 19 digits, a first digit of 2 to 6, not one digit alone, and the Luhn check."""
-    digits = luhn_digits(match)
-    return F.length(digits).between(13, 19) & digits.rlike("^[2-6]") & ~digits.rlike(r"^(\d)\1*$") & F.call_function("luhn_check", digits)
+from lodestream.functions.rules import SECRET_NAMES
+from lodestream.functions.scan import BITS, HEX_BITS, KEY_QUALIFIERS, SECRET_WORDS
 
 
 def iban_valid(match: Column) -> Column:
@@ -85,71 +21,38 @@ def iban_valid(match: Column) -> Column:
 
 
 def pesel_valid(match: Column) -> Column:
-    """11 digits: a possible month and day, and the weighted check digit."""
+    """11 digits: a month of one of five centuries, and the weighted check digit."""
     weights = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1)
     digit = lambda k: F.substr(match, F.lit(k + 1), F.lit(1)).cast("int")
     total = reduce(lambda a, b: a + b, [digit(k) * w for k, w in enumerate(weights)])
-    month, day = F.substr(match, F.lit(3), F.lit(2)).cast("int") % 20, F.substr(match, F.lit(5), F.lit(2)).cast("int")
-    return match.rlike("^[0-9]{11}$") & (total % 10 == 0) & month.between(1, 12) & day.between(1, 31)
-
-
-def gate(low: Column, rule: Rule) -> Column:
-    """Whether one of a rule's keywords occurs in a folded text."""
-    if not rule.keywords:
-        return F.lit(True)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(k.lower())) for k in rule.keywords])
-
-
-def rule_spans(text: Column, low: Column, rule: Rule) -> Column:
-    """The spans that a rule redacts in a text (``low`` is the folded one): its captured group, if guard and checksum accept."""
-    found = matches(text, java(rule.pattern), rule.name, PRIORITY[rule.name])
-    if rule.capture:
-
-        def captured(x: Column) -> Column:
-            part = F.regexp_extract(x["m"], java(rule.pattern), rule.capture)
-            at = x["s"] + F.octet_length(F.left(x["m"], F.position(part, x["m"]) - 1))
-            return F.struct(at.alias("s"), (at + F.octet_length(part)).alias("e"), x["p"].alias("p"), x["r"].alias("r"), part.alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-
-        found = F.transform(found, captured)
-    if rule.guard == "has-digit":
-        found = F.filter(found, lambda x: x["m"].rlike("[0-9]"))
-    if rule.guard == "no-decimal-neighbor":
-        found = F.filter(found, lambda x: (x["before"] != ".") & ~x["after"].rlike(r"^\.[0-9]"))
-    check = {"pan": pan_valid, "iban": iban_valid, "pesel": pesel_valid}.get(rule.checksum)
-    if check:
-        found = F.filter(found, lambda x: check(x["m"]))
-    return F.when(gate(low, rule), found).otherwise(F.array().cast(SPAN))
-
-
-def all_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The spans of all rules, rule by rule; null for a null text."""
-    both = F.struct(unmarked(text).alias("text"), folded(text).alias("low"))
-    return F.when(text.isNotNull(), bound(both, lambda b: F.concat(*(rule_spans(b["text"], b["low"], r) for r in rules))))
+    return match.rlike("^[0-9]{11}$") & (total % 10 == 0) & (F.substr(match, F.lit(3), F.lit(2)).cast("int") % 20).between(1, 12)
 
 
 def entropy_bits(run: Column) -> Column:
     """Shannon entropy of a string's characters in bits."""
-    chars = F.filter(F.split(run, ""), lambda c: c != "")
     n = F.length(run)
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
+    share = lambda c: (n - F.length(F.replace(run, c, F.lit("")))) / n
+    shares = F.transform(F.filter(F.array_distinct(F.split(run, "")), lambda c: c != ""), share)
+    return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
 def clears_entropy(run: Column) -> Column:
-    """A run of 24 characters or more that looks random: 4.2 bits, or 3.8 where it is hexadecimal."""
-    return entropy_bits(run) >= F.when(run.rlike("^[0-9a-fA-F]+$"), 3.8).otherwise(4.2)
+    """Whether a run looks random: 4.2 bits a character, or 3.8 where all are hexadecimal."""
+    return entropy_bits(run) >= F.when(run.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(BITS)
 
 
 def key_words(name: Column) -> Column:
     """The lower-case words of a key name, cut at humps and separators."""
-    humps = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.filter(F.split(F.lower(humps), "[^a-z0-9]+"), lambda w: w != "")
+    humps = F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")
+    return F.filter(F.split(F.lower(humps), "[_. :/-]+"), lambda w: w != "")
 
 
 def secret_key(name: Column) -> Column:
-    """Whether a key's last word is a secret word, or "key" after a qualifier."""
-    words = key_words(name)
+    """Whether a key's last word is a secret word, or "key" after a qualifier, or the key is a known environment variable."""
+    words, upper = key_words(name), F.upper(name)
     last, before = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
-    return F.coalesce(last.isin(*SECRET_WORDS) | ((last == "key") & before.isin(*KEY_QUALIFIERS)), F.lit(False))
+    known = reduce(lambda a, b: a | b, [F.endswith(upper, F.lit(n[1:])) if n[0] == "*" else upper == n for n in SECRET_NAMES])
+    return F.coalesce(last.isin(*SECRET_WORDS) | ((last == "key") & before.isin(*KEY_QUALIFIERS)) | known, F.lit(False))
 
 
 def glob_pattern(glob: str) -> str:

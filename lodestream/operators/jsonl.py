@@ -1,152 +1,200 @@
-"""JSON Lines: string tokens with their paths, and redaction that leaves all other bytes as they are."""
+"""JSON Lines: strings with their paths, and redaction that leaves all other bytes as they are."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.functions import detect
-from lodestream.functions.rules import RULES, Rule
-from lodestream.operators import redaction
+from lodestream.functions.rules import TEXT_RULES, Rule
+from lodestream.functions.scan import DROPPED, NAMED, Scanner, is_sentinel, scanner, sentinel
 
-_TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([{}\[\],:])|(-?\d[\d.eE+-]*|true|false|null))', re.S)
-#: Depth beyond which a line counts as raw text; bytes from which a dropped field is dropped.
-DEPTH, DROP_BYTES = 256, 160
-ENTROPY_PRIORITY, NAME_PRIORITY = 900, -1
+_TOKEN = re.compile(r'[ \t\r\n]*+(?:("[^"\\]*+(?:\\.[^"\\]*+)*+")|([{}\[\],:])|(-?\d[\d.eE+-]*)|true|false|null)', re.S)
+#: Depth beyond which a text is no JSON for us; characters of a value's source from which a dropped field is dropped.
+DEPTH, DROP_FROM = 256, 160
+#: What a path shows where it goes on inside a string that holds a document.
+INSIDE = "#json"
 
+Edit = tuple[int, int, str]
 
-def string_tokens(line: str) -> list[tuple[int, int, str, bool, str, str]] | None:
-    """(start, end, path, is key, value, key) of each string of a JSON document; None if the line isn't one.
 
-    Repeated keys and the order of members are kept, as no object is built.
-    """
-    try:
-        json.loads(line)
-    except (ValueError, RecursionError):
-        return None
-    out: list[tuple[int, int, str, bool, str, str]] = []
-    stack: list[list] = []  # [bracket, path of the container, key at hand]
-    at, before = 0, ""
-    while m := _TOKEN.match(line, at):
-        at = m.end()
-        text, mark = m[1], m[2]
-        inside = stack[-1] if stack else None
-        path = "" if inside is None else inside[1] + ("[]" if inside[0] == "[" else (f".{inside[2]}" if inside[1] else inside[2]))
-        if text:
-            value = json.loads(text)
-            if inside and inside[0] == "{" and before != ":":
-                out.append((m.start(1), m.end(1), f"{inside[1]}.*" if inside[1] else "*", True, value, value))
-                inside[2] = value
-            else:
-                out.append((m.start(1), m.end(1), path, False, value, inside[2] if inside and inside[0] == "{" else ""))
-        elif mark in ("{", "["):
-            if len(stack) >= DEPTH:
-                return None
-            stack.append([mark, path, ""])
-        elif mark in ("}", "]"):
-            stack.pop()
-        before = mark or ""
-    return out
-
-
-def tokens(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """(key, tok, start, end, path, is_key, value, name): the strings of each line that is JSON; ``tok`` -1 marks the whole text of one that isn't."""
-    kind = lines.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for k, text in zip(part["k"], part["line"], strict=True):
-                if text is None or not text.strip():
-                    continue
-                found = string_tokens(text)
-                rows += [(k, -1, 0, len(text), "", False, text, "")] if found is None else [(k, n, *t) for n, t in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["k", "tok", "start", "end", "path", "is_key", "value", "name"])
-
-    return lines.select(F.col(key).alias("k"), F.col(line).alias("line")).mapInPandas(run, f"k {kind}, tok int, start int, end int, path string, is_key boolean, value string, name string")
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)
 
 
-def _decoded(value: str) -> Column:
-    """The text that a bare base64 value of 32 characters or more holds (either alphabet, with or without padding), or null."""
-    bare = F.regexp_replace(F.translate(F.col(value), "-_", "+/"), "=+$", "")
-    padded = F.concat(bare, F.repeat(F.lit("="), (4 - F.length(bare) % 4) % 4))
-    shaped = (F.length(value) >= 32) & bare.rlike("^[A-Za-z0-9+/]+$") & (F.length(bare) % 4 != 1)
-    return F.when(shaped, F.try_to_binary(padded, F.lit("base64")).cast("string"))
+def _is_json(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return False
+    return True
 
 
-def _shadow(value: str) -> Column:
-    """A value with backslash escapes blanked, at the same length, so that they don't touch what follows."""
-    return F.regexp_replace(F.regexp_replace(F.col(value), r"\\u[0-9a-fA-F]{4}", "      "), r"\\.", "  ")
+def joined(parent: str, key: str) -> str:
+    return f"{parent}.{key}" if parent else key
 
 
-def _token_spans(found: DataFrame, rules: tuple[Rule, ...], drops: tuple[str, ...], exempt: tuple[str, ...]) -> DataFrame:
-    """(k, tok, s, e, p, r): what is to be redacted in each string token.
+class Walk:
+    """One walk over a JSON text: finds its strings in order, and collects what is to be written in their place.
 
-    The rules scan the value, its form with escapes blanked, and what it holds in base64;
-    a hit in the last takes the whole value, if there is no other.
+    Repeated keys and the order of members are kept, as no object is built.
     """
-    whole = F.octet_length("value")
-    is_value = (F.col("tok") >= 0) & ~F.col("is_key")
-    one = lambda p, r: F.array(F.struct(F.lit(0).alias("s"), whole.alias("e"), F.lit(p).alias("p"), F.lit(r).alias("r")))
-    empty = F.array().cast("array<struct<s:int,e:int,p:int,r:string>>")
-    short = lambda column: F.transform(column, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["p"].alias("p"), x["r"].alias("r")))
-    dropped = F.when(is_value & F.col("path").isin(*drops) & (whole >= DROP_BYTES), one(NAME_PRIORITY - 1, "dropped")).otherwise(empty)
-    named = F.when(is_value & detect.secret_key(F.col("name")) & (whole > 0), one(NAME_PRIORITY, "key-name")).otherwise(empty)
-    runs = F.filter(detect.matches(detect.unmarked(F.col("value")), "[A-Za-z0-9+=_-]{24,}", "generic-entropy", ENTROPY_PRIORITY), lambda x: detect.clears_entropy(x["m"]))
-    entropy = F.when((F.col("tok") >= 0) & ~F.col("path").isin(*exempt), short(runs)).otherwise(empty)
-    plain = found.select("k", "tok", F.lit(0).alias("form"), F.explode(F.concat(dropped, named, entropy)).alias("x"))
-    forms = F.array(
-        F.struct(F.lit(0).alias("form"), F.col("value").alias("text")),
-        F.struct(F.lit(1).alias("form"), F.when(F.contains("value", F.lit("\\")), _shadow("value")).alias("text")),
-        F.struct(F.lit(2).alias("form"), F.when(F.col("tok") >= 0, _decoded("value")).alias("text")),
-    )
-    scans = found.select("k", "tok", whole.alias("whole"), F.explode(F.filter(forms, lambda f: f["text"].isNotNull())).alias("f")).select("k", "tok", "whole", "f.form", "f.text")
-    hits = scans.select("k", "tok", "whole", "form", F.explode_outer(short(detect.all_spans(F.col("text"), rules))).alias("x")).filter("x is not null")
-    hits = hits.withColumn("x", F.when(F.col("form") == 2, F.struct(F.lit(0).alias("s"), F.col("whole").alias("e"), F.col("x.p").alias("p"), F.col("x.r").alias("r"))).otherwise(F.col("x")))
-    both = plain.unionByName(hits.select("k", "tok", "form", "x")).withColumn("first", F.min("form").over(Window.partitionBy("k", "tok")))
-    return both.filter("form < 2 or first = 2").select("k", "tok", "x.*")
+
+    def __init__(self, scan: Scanner, drops: frozenset[str] = frozenset(), exempt: frozenset[str] = frozenset()):
+        self.scan, self.drops, self.exempt = scan, drops, exempt
+        self.hits: Counter = Counter()
+        self.redacted = 0
+
+    def count(self, hits: Counter, size: int) -> None:
+        self.hits.update(hits)
+        self.redacted += size
+
+    def document(self, text: str, path: str = "", depth: int = 0) -> str | None:
+        """The text with its dirty strings rewritten; None if it isn't JSON, or too deep. ``path`` isn't empty inside another document."""
+        inside = bool(path)
+        if not _is_json(text):
+            return None
+        hits, redacted = self.hits.copy(), self.redacted
+        edits: list[Edit] = []
+        open_: list[list] = []  # [bracket, path of what it holds, key at hand as written, as it will be]
+        at, before = 0, ""
+        while m := _TOKEN.match(text, at):
+            at = m.end()
+            top = open_[-1] if open_ else None
+            key, where = "", path
+            if top is not None:
+                key, where = (top[2], joined(top[1], top[3])) if top[0] == "{" else ("", top[1])
+            if m[1] and top is not None and top[0] == "{" and before != ":":
+                name = json.loads(m[1])
+                top[2], top[3] = name, self._key(name, top[1])
+                if top[3] != name:
+                    edits.append((m.start(1), m.end(1), top[3]))
+            elif m[1]:
+                new = self._string(json.loads(m[1]), len(m[1]), key, where, depth + len(open_), inside)
+                if new is not None:
+                    edits.append((m.start(1), m.end(1), new))
+            elif m[3] and inside:
+                new = self._value(m[3], key, where)
+                if new is not None:
+                    edits.append((m.start(3), m.end(3), new))
+            elif m[2] in ("{", "["):
+                if depth + len(open_) >= DEPTH:
+                    self.hits, self.redacted = hits, redacted
+                    return None
+                open_.append([m[2], where if m[2] == "{" else where + "[]", "", ""])
+            elif m[2] in ("}", "]"):
+                open_.pop()
+            before = m[2] or ""
+        out, done = [], 0
+        for s, e, new in edits:
+            out += [text[done:s], json.dumps(new, ensure_ascii=False)]
+            done = e
+        return "".join([*out, text[done:]])
+
+    def _key(self, name: str, parent: str) -> str:
+        free = joined(parent, name) in self.exempt or f"{parent}.*" in self.exempt
+        new, hits, size = self.scan.applied(name, self.scan.spans(name, heuristics=not free))
+        self.count(hits, size)
+        return new
+
+    def _value(self, text: str, key: str, path: str) -> str | None:
+        """A value by the ladder: a secret's name takes it whole, then rules, random runs and the user's name. None if it stays."""
+        if key and text and self.scan.names_secret(key) and not is_sentinel(text):
+            self.count(Counter({NAMED: 1}), len(text.encode()))
+            return sentinel(NAMED)
+        new, hits, size = self.scan.applied(text, self.scan.spans(text, heuristics=path not in self.exempt))
+        self.count(hits, size)
+        return new if hits else None
+
+    def _string(self, text: str, source: int, key: str, path: str, depth: int, inside: bool) -> str | None:
+        if not inside and source >= DROP_FROM + 2 and path in self.drops and path not in self.exempt:
+            self.count(Counter({DROPPED: 1}), len(text.encode()))
+            return sentinel(DROPPED)
+        named = key and self.scan.names_secret(key) and text and not is_sentinel(text)
+        if not named and _looks_like(text) and not self.scan.key_and_value(text):
+            new = self.document(text, path + INSIDE, depth + 1)
+            if new is not None:
+                return new if new != text else None
+        new = self._value(text, key, path)
+        if new is not None and _looks_like(new):
+            again = self.document(new, path + INSIDE, depth + 1)
+            return new if again is None else again
+        return new
+
+    def raw(self, text: str) -> str:
+        """A text that is no JSON: rules and the user's name alone, for there is no path that could be exempt."""
+        new, hits, size = self.scan.applied(text, self.scan.spans(text))
+        self.count(hits, size)
+        return new
+
+
+def _looks_like(text: str) -> bool:
+    return text.lstrip(" \t\r\n")[:1] in ("{", "[") if text else False
+
+
+def scrub_line(line: str | None, scan: Scanner, drops: frozenset[str] = frozenset(), exempt: frozenset[str] = frozenset()) -> tuple[str | None, str, Counter, int]:
+    """A line as it is to be, its mode (blank, decoded or raw), hits by rule, and bytes redacted. Line ends are no part of a line."""
+    if line is None or not line.strip():
+        return line, "blank", Counter(), 0
+    walk = Walk(scan, drops, exempt)
+    try:
+        new = walk.document(line)
+    except UnicodeEncodeError:  # a lone surrogate, which is no text
+        new, walk = None, Walk(scan, drops, exempt)
+    mode = "raw" if new is None else "decoded"
+    return (walk.raw(line) if new is None else new), mode, walk.hits, walk.redacted
 
 
 def scrub(
-    lines: DataFrame, key: str, line: str, rules: tuple[Rule, ...] = RULES, drops: tuple[str, ...] = (), exempt: tuple[str, ...] = (), levels: int = 1
+    lines: DataFrame, key: str, line: str, rules: tuple[Rule, ...] = TEXT_RULES, drops: tuple[str, ...] = (), exempt: tuple[str, ...] = (), user: str = ""
 ) -> DataFrame:
-    """(key, line, mode, hits): every line with dirty strings replaced; lines that aren't JSON are scanned as raw text by the rules alone.
-
-    In a JSON line the value of a secret key goes whole, and random-looking runs go
-    unless their path is exempt; a value of ``DROP_BYTES`` or more at a path to drop
-    goes whole. Strings that hold JSON are scrubbed as lines of their own, ``levels``
-    deep. Only dirty tokens are written anew; all other text stays.
+    """(key, line, mode, hits, redacted, rule_hits): every line with its dirty strings replaced, in one pass and without a shuffle.
+
+    In a JSON line object keys, strings, and numbers inside embedded documents are
+    scanned. The value of a secret's name goes whole; random-looking runs go unless
+    their path is exempt (``parent.*`` exempts the keys of an object); a value at a
+    path to drop goes whole from ``DROP_FROM`` characters on. A string that holds a
+    document is walked as one, its paths marked ``#json``. A line that isn't JSON is
+    scanned as raw text. Null and blank lines stay. An empty table gives no rows.
     """
-    found = tokens(lines, key, line)
-    quoted = F.expr("substr(to_json(array(new)), 2, length(to_json(array(new))) - 2)")
-    nested = None
-    if levels:
-        holds = (F.col("tok") >= 0) & ~F.col("is_key") & F.col("value").rlike(r"^\s*[\[{]") & F.expr("try_parse_json(value) is not null") & ~F.col("path").isin(*drops)
-        documents = found.filter(holds).withColumn("id", F.concat_ws("/", F.col("k").cast("string"), "tok"))
-        inner = scrub(documents.select("id", "value"), "id", "value", rules, drops, exempt, levels - 1).select("id", F.col("value").alias("new"), "hits").filter("hits > 0")
-        nested = documents.select("id", "k", "start", "end").join(inner, "id").select("k", "start", "end", quoted.alias("text"), "hits")
-        found_flat = found.filter(~F.coalesce(holds, F.lit(False)))
-    else:
-        found_flat = found
-    spans = _token_spans(found_flat, rules, drops, exempt).withColumn("id", F.struct("k", "tok")).drop("k", "tok")
-    regions = redaction.merged(spans, "id")
-    by_token = regions.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("regions"), F.count("*").alias("hits"))
-    edits = found_flat.select(F.struct("k", "tok").alias("id"), "start", "end", "value").join(by_token, "id").withColumn("new", redaction.replaced(F.col("value"), F.col("regions")))
-    edits = edits.select(F.col("id.k").alias("k"), "start", "end", F.when(F.col("id.tok") < 0, F.col("new")).otherwise(quoted).alias("text"), "hits")
-    if nested is not None:
-        edits = edits.unionByName(nested)
-    by_line = edits.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("edits"), F.sum("hits").alias("hits"))
-    modes = found.groupBy("k").agg(F.when(F.min("tok") < 0, "raw").otherwise("decoded").alias("mode"))
-    base = lines.select(F.col(key).alias("k"), F.col(line).alias("line")).join(modes, "k", "left").join(by_line, "k", "left")
-    folded = F.aggregate(
-        "edits",
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(F.concat(a["done"], F.substr("line", a["at"] + 1, x["start"] - a["at"]), x["text"]).alias("done"), x["end"].alias("at")),
-    )
-    out = F.when(F.col("edits").isNull(), F.col("line")).otherwise(F.concat(folded["done"], F.substr("line", folded["at"] + 1)))
-    return base.select(F.col("k").alias(key), out.alias(line), F.coalesce("mode", F.lit("blank")).alias("mode"), F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"))
+    kind = lines.schema[key].dataType.simpleString()
+    dropped, free = frozenset(drops), frozenset(exempt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules, user)
+        for b in batches:
+            out = [scrub_line(t, scan, dropped, free) for t in b.column("line").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("k"),
+                    pa.array([x[0] for x in out], pa.string()),
+                    pa.array([x[1] for x in out], pa.string()),
+                    pa.array([sum(x[2].values()) for x in out], pa.int64()),
+                    pa.array([x[3] for x in out], pa.int64()),
+                    pa.array([sorted(x[2].items()) for x in out], pa.map_(pa.string(), pa.int64())),
+                ],
+                names=["k", "line", "mode", "hits", "redacted", "rule_hits"],
+            )
+
+    found = lines.select(F.col(key).alias("k"), F.col(line).alias("line")).mapInArrow(run, f"k {kind}, line string, mode string, hits bigint, redacted bigint, rule_hits map<string,bigint>")
+    return found.select(F.col("k").alias(key), F.col("line").alias(line), "mode", "hits", "redacted", "rule_hits")
+
+
+def split_lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line, ending): the lines of whole texts with their endings (``\\n``, ``\\r\\n`` or none), so that they can be put together again."""
+    cut = F.split(F.col(text), "(?<=\n)")
+    lines = files.select(F.col(key), F.posexplode(F.filter(cut, lambda x: x != "")).alias("line_no", "whole"))
+    ending = F.when(F.endswith("whole", F.lit("\r\n")), "\r\n").when(F.endswith("whole", F.lit("\n")), "\n").otherwise("")
+    return lines.select(key, "line_no", F.left("whole", F.length("whole") - F.length(ending)).alias("line"), ending.alias("ending"))
+
+
+def scan_modes(lines: DataFrame, key: str) -> DataFrame:
+    """(key, lines_parsed, lines_raw, scan_mode) of scrubbed lines by file: ``decoded``, ``raw``, or ``mixed``."""
+    raw, parsed = F.count_if(F.col("mode") == "raw"), F.count_if(F.col("mode") == "decoded")
+    mode = F.when((F.col("lines_raw") > 0) & (F.col("lines_parsed") > 0), "mixed").when(F.col("lines_raw") > 0, "raw").otherwise("decoded")
+    return lines.groupBy(key).agg(parsed.alias("lines_parsed"), raw.alias("lines_raw")).withColumn("scan_mode", mode)

@@ -1,27 +1,60 @@
-"""Redaction: spans, their union with attribution, rewritten text, and ledgers."""
+"""Redaction of free text: spans, their union with attribution, replacement, and the ledger."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions import detect
-from lodestream.functions.rules import RULES, Rule
+from lodestream.functions.rules import TEXT_RULES, Rule
+from lodestream.functions.scan import Span, scanner
 
 
 def sentinel(rule: Column) -> Column:
     return F.concat(F.lit("__REDACTED:"), rule, F.lit("__"))
 
 
-def spans(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, s, e, p, r, m): one row for each accepted match; rows without any give none."""
-    # The outer form infers no filter, which would run all rules again.
-    found = rows.select(key, F.explode_outer(detect.all_spans(F.col(text), rules)).alias("x"))
-    return found.filter("x is not null").select(key, "x.s", "x.e", "x.p", "x.r", "x.m")
+def is_sentinel(value: Column) -> Column:
+    """Whether a value is one sentinel and nothing else."""
+    return value.rlike(r"^__REDACTED:[a-z0-9-]+__\z")
+
+
+def _bytes(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Places of ordered spans in bytes; one pass over the text."""
+    if text.isascii():
+        return [(s, e) for s, e, _, _ in spans]
+    out, at, size = [], 0, 0
+    for s, e, _, _ in spans:
+        size += len(text[at:s].encode()) if s >= at else -len(text[s:at].encode())
+        out.append((size, size + len(text[s:e].encode())))
+        at = s
+    return out
+
+
+def spans(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_RULES, user: str = "") -> DataFrame:
+    """(key, s, e, p, r, m): one row for each match, with its byte offsets; rows without any give none. Only the key and the matches leave the task."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules, user)
+        for b in batches:
+            at, out = [], []
+            for n, t in enumerate(b.column("t").to_pylist()):
+                found = sorted(scan.spans(t)) if t else []
+                at += [n] * len(found)
+                out += [(*place, x[2], x[3], t[x[0] : x[1]]) for place, x in zip(_bytes(t, found), found, strict=True)] if found else []
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int32())), *columns], names=["k", "s", "e", "p", "r", "m"])
+
+    found = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, s bigint, e bigint, p int, r string, m string")
+    return found.withColumnRenamed("k", key)
 
 
 def merged(found: DataFrame, key: str) -> DataFrame:
-    """(key, s, e, r): overlapping spans united and attributed to the first by (start, priority, longest, rule). Spans that only touch stay apart."""
+    """(key, s, e, r): overlapping spans united and attributed to the first by (start, class, longest, rule). Spans that only touch stay apart."""
     order = [F.col("s"), F.col("p"), F.col("e").desc(), F.col("r")]
     w = Window.partitionBy(key).orderBy(*order)
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -30,27 +63,66 @@ def merged(found: DataFrame, key: str) -> DataFrame:
     return islands.groupBy(key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("r", "rn").alias("r")).drop("island")
 
 
-def ledger(rows: DataFrame, key: str, text: str, by: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(by, rule, hits, bytes_redacted, bytes_total): what a scrub of all rows redacts, by group and rule."""
-    regions = merged(spans(rows, key, text, rules), key)
-    hits = regions.join(rows.select(key, by), key).groupBy(by, F.col("r").alias("rule")).agg(F.count("*").alias("hits"), F.sum(F.col("e") - F.col("s")).alias("bytes_redacted"))
-    total = rows.groupBy(by).agg(F.sum(F.octet_length(text)).cast("bigint").alias("bytes_total"))
-    return hits.join(total, by)
+def ledger(rows: DataFrame, text: str, by: str, rules: tuple[Rule, ...] = TEXT_RULES, user: str = "") -> DataFrame:
+    """(by, rule, hits, bytes_redacted, bytes_total): what a scrub of all rows redacts, by group and rule.
+
+    Each task sums its batches; only those sums are shuffled. Groups without a hit
+    have no row. A null text counts as empty.
+    """
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules, user)
+        for b in batches:
+            hits, redacted, total = Counter(), Counter(), Counter()
+            for group, t in zip(b.column("by").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if t:
+                    total[group] += len(t.encode())
+                    found = scan.spans(t)
+                    if found or (scan.user and scan.user in t):
+                        for rule, n, size in scan.tally(t, found):
+                            hits[group, rule] += n
+                            redacted[group, rule] += size
+                else:
+                    total[group] += 0
+            keys = [*hits, *((g, None) for g in total)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([g for g, _ in keys], b.column("by").type),
+                    pa.array([r for _, r in keys], pa.string()),
+                    pa.array([hits[k] for k in keys], pa.int64()),
+                    pa.array([redacted[k] if k[1] else total[k[0]] for k in keys], pa.int64()),
+                ],
+                names=["by", "rule", "hits", "bytes"],
+            )
+
+    sums = rows.select(F.col(by).alias("by"), F.col(text).alias("t")).mapInArrow(run, f"by {kind}, rule string, hits bigint, bytes bigint").groupBy("by", "rule").agg(F.sum("hits").alias("hits"), F.sum("bytes").alias("bytes"))
+    total = F.max(F.when(F.col("rule").isNull(), F.col("bytes"))).over(Window.partitionBy("by"))
+    out = sums.withColumn("bytes_total", total).filter("rule is not null")
+    return out.select(F.col("by").alias(by), "rule", "hits", F.col("bytes").alias("bytes_redacted"), "bytes_total")
+
+
+def scrubbed(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_RULES, user: str = "") -> DataFrame:
+    """(key, text, hits): every row's text with its united regions replaced by sentinels. A null text stays null."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules, user)
+        for b in batches:
+            out = [scan.applied(t, scan.spans(t)) if t else (t, {}, 0) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([x[0] for x in out], pa.string()), pa.array([sum(x[1].values()) for x in out], pa.int64())], names=["k", "t", "hits"])
+
+    found = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, t string, hits bigint")
+    return found.select(F.col("k").alias(key), F.col("t").alias(text), "hits")
 
 
-def replaced(text: Column, regions: Column) -> Column:
-    """A text with byte regions (array of s, e, r, in order) replaced by sentinels."""
-    raw = F.encode(text, "UTF-8")
-    folded = F.aggregate(
-        regions,
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda a, x: F.struct(F.concat(a["done"], F.decode(F.substr(raw, a["at"] + 1, x["s"] - a["at"]), "UTF-8"), sentinel(x["r"])).alias("done"), x["e"].alias("at")),
-    )
-    return F.concat(folded["done"], F.decode(F.substr(raw, folded["at"] + 1), "UTF-8"))
+def density(ledgers: DataFrame, by: str) -> DataFrame:
+    """(by, density): the mean of redacted to all bytes over the files of each group that had something to redact."""
+    share = F.col("bytes_redacted") / F.col("bytes_total")
+    return ledgers.groupBy(by).agg(F.avg(F.when(share > 0, share)).alias("density"))
 
 
-def scrubbed(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, text): every row's text with its merged regions replaced by sentinels."""
-    regions = merged(spans(rows, key, text, rules), key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("s", "e", "r"))).alias("regions"))
-    out = replaced(F.col(text), F.col("regions"))
-    return rows.select(key, text).join(regions, key, "left").select(key, F.when(F.col("regions").isNull(), F.col(text)).otherwise(out).alias(text))
+def slowest(runs: DataFrame, by: str) -> DataFrame:
+    """(by, slowest): the row of the longest ``seconds`` of each group; of ties that with more ``bytes``, then the least ``id``."""
+    order = F.struct(F.col("seconds"), F.col("bytes"), -F.col("id"))
+    return runs.groupBy(by).agg(F.max_by(F.struct("id", "seconds", "bytes"), order).alias("slowest"))

@@ -6,83 +6,107 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import detect
-from lodestream.functions.rules import BY_NAME, PRIORITY, RULES
-from lodestream.operators import align, jsonl, redaction
+from lodestream.functions.rules import BY_NAME, TEXT_RULES, parts_around
+from lodestream.operators import align, documents, jsonl, redaction
+from lodestream.plans.examples import EXAMPLES
 from lodestream.plans.registry import query, read, relational
 from lodestream.sources import archive
 
-_PLANT = "text || ' AKIA' || upper(substr(md5(cast(doc_id as varchar)), 1, 16)) || ' user' || cast(doc_id as varchar) || '@mail.example.org'"
-_CHECKED = ("aws-access-key-id", "github-pat", "slack-token", "jwt", "kubeconfig-token", "email", "card-pan")
-
-
-def _sql_spans(rule: str) -> str:
-    """DuckDB: the spans of one rule, by marks around matches."""
-    r = BY_NAME[rule]
-    pattern = r.pattern.replace("'", "''")
-    gates = " or ".join(f"contains(lower(t), '{k.lower()}')" for k in r.keywords) or "true"
-    whole = f"""select doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as parts from planted where {gates}"""
-    spans = f"""select doc_id, i, string_split(parts[i + 1], chr(2))[1] as m, string_split(parts[i + 1], chr(2))[2] as rest, right(replace(array_to_string(parts[1:i], ''), chr(2), ''), 1) as before,
-        strlen(replace(array_to_string(parts[1:i], ''), chr(2), '')) as s from (select doc_id, parts, unnest(range(1, len(parts))) as i from ({whole}))"""
-    if r.capture:
-        spans = f"""select doc_id, i, regexp_extract(m, '{pattern}', {r.capture}) as m, rest, before, s + strlen(substr(m, 1, instr(m, regexp_extract(m, '{pattern}', {r.capture})) - 1)) as s from ({spans})"""
-    check = "true"
-    if r.checksum == "pan":
-        digit = "regexp_replace(m, '[^0-9]', '', 'g')"
-        luhn = f"""list_sum(list_transform(range(1, len({digit}) + 1), lambda k: case when (len({digit}) - k) % 2 = 0 then cast(substr({digit}, k, 1) as int)
-            else 2 * cast(substr({digit}, k, 1) as int) - case when cast(substr({digit}, k, 1) as int) > 4 then 9 else 0 end end)) % 10 = 0"""
-        check = f"len({digit}) between 13 and 19 and regexp_matches({digit}, '^[2-6]') and replace({digit}, left({digit}, 1), '') <> '' and {luhn} and before <> '.' and not regexp_matches(rest, '^\\.[0-9]')"
-    return f"select doc_id, s, s + strlen(m) as e, {PRIORITY[rule]} as p, '{rule}' as r from ({spans}) where {check}"
-
-
-_LEDGER = f"""with planted as (select doc_id, source, {_PLANT} as t from documents),
-  sp as ({" union all ".join(_sql_spans(r) for r in _CHECKED)}),
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_EXAMPLES = [EXAMPLES[r.name].replace("\n", " ") for r in TEXT_RULES]
+_PLANTED = f"select doc_id, source, text || ' ' || [{', '.join(map(_literal, _EXAMPLES))}][doc_id % {len(_EXAMPLES)} + 1] || ' user' || doc_id || '@mail.example.org' as t from documents"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda k: case when (len({_DIGITS}) - k) % 2 = 0 then cast(substr({_DIGITS}, k, 1) as int)
+    else 2 * cast(substr({_DIGITS}, k, 1) as int) - case when cast(substr({_DIGITS}, k, 1) as int) > 4 then 9 else 0 end end)) % 10 = 0"""
+_CARD = f"""len({_DIGITS}) in (13, 14, 15, 16, 19) and regexp_matches({_DIGITS}, '^(3[04678]|[456]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720)')
+    and regexp_matches(m, '^([0-9]+|[0-9]{{4}} [0-9]{{4}} [0-9]{{4}} [0-9]{{4}}( [0-9]{{3}})?|[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}-[0-9]{{4}}(-[0-9]{{3}})?|[0-9]{{4}} [0-9]{{6}} [0-9]{{5}}|[0-9]{{4}}-[0-9]{{6}}-[0-9]{{5}})$') and {_LUHN}"""
+_ACCOUNT = """len(m) between 15 and 34 and list_reduce(list_transform(string_split(substr(m, 5) || left(m, 4), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end),
+    lambda a, c: (a * (case when c > 9 then 100 else 10 end) + c) % 97) = 1"""
+_PESEL = "list_sum(list_transform(range(1, 12), lambda k: cast(substr(m, k, 1) as int) * [1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1][k])) % 10 = 0 and cast(substr(m, 3, 2) as int) % 20 between 1 and 12"
+_CHECKS = {"": "true", "pan": _CARD, "iban": _ACCOUNT, "pesel": _PESEL}
+_GUARDS = {"": "true", "has-digit": "regexp_matches(m, '[0-9]')", "no-decimal-neighbor": "before <> '.' and not regexp_matches(rest, '^\\.[0-9]')"}
+
+
+def _sql_spans(name: str) -> str:
+    """DuckDB: the spans of one rule, by marks around what stands before the captured group, the group, and what follows."""
+    rule = BY_NAME[name]
+    flags, head, group, tail = (x.replace("'", "''") for x in parts_around(rule))
+    pattern, marks = f"{flags}({group})", "chr(1) || chr(3) || '\\1' || chr(4) || chr(2)"
+    if rule.capture:
+        pattern, marks = f"{flags}({head})({group})({tail})", "chr(1) || '\\1' || chr(3) || '\\2' || chr(4) || '\\3' || chr(2)"
+    gates = " or ".join(f"contains(lower(t), '{k.lower()}')" for k in rule.keywords) or "true"
+    cut = f"select doc_id, string_split(regexp_replace(t, '{pattern}', {marks}, 'g'), chr(1)) as parts from planted where {gates}"
+    bare = "regexp_replace(array_to_string(parts[1:i], ''), '[\x02\x03\x04]', '', 'g')"
+    each = f"select doc_id, parts[i + 1] as x, {bare} as past from (select doc_id, parts, unnest(range(1, len(parts))) as i from ({cut}))"
+    spans = f"""select doc_id, right(past, 1) as before, string_split(x, chr(2))[2] as rest, string_split(string_split(x, chr(3))[2], chr(4))[1] as m,
+        strlen(past) + strlen(string_split(x, chr(3))[1]) as s from ({each})"""
+    return f"select doc_id, s, s + strlen(m) as e, 0 as p, '{name}' as r from ({spans}) where {_CHECKS[rule.checksum]} and {_GUARDS[rule.guard]}"
+
+
+_REGIONS = f"""with planted as ({_PLANTED}),
+  sp as ({" union all ".join(_sql_spans(r.name) for r in TEXT_RULES)}),
   o as (select *, max(e) over w as pe, row_number() over (partition by doc_id order by s, p, e desc, r) as rn from sp
         window w as (partition by doc_id order by s, p, e desc, r rows between unbounded preceding and 1 preceding)),
   i as (select *, sum(case when pe is null or s >= pe then 1 else 0 end) over (partition by doc_id order by rn) as isl from o),
-  m as (select doc_id, min(s) as s, max(e) as e, arg_min(r, rn) as rule from i group by doc_id, isl)
-  select d.source, m.rule, count(*) as hits, cast(sum(m.e - m.s) as bigint) as bytes_redacted, any_value(b.bytes_total) as bytes_total
-  from m join planted d using (doc_id) join (select source, cast(sum(strlen(t)) as bigint) as bytes_total from planted group by source) b on b.source = d.source group by d.source, m.rule"""
+  m as (select doc_id, min(s) as s, max(e) as e, arg_min(r, rn) as rule from i group by doc_id, isl)"""
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a key and an address planted at their ends."""
-    return read(spark, sf_dir, "documents").selectExpr("doc_id", "source", _PLANT.replace("varchar", "string") + " as t")
+    """Documents with an example of some rule and an address at their ends."""
+    examples = F.array(*map(F.lit, _EXAMPLES))
+    planted = F.concat(F.col("text"), F.lit(" "), F.get(examples, (F.col("doc_id") % len(_EXAMPLES)).cast("int")), F.lit(" user"), F.col("doc_id").cast("string"), F.lit("@mail.example.org"))
+    return read(spark, sf_dir, "documents").select("doc_id", "source", planted.alias("t"))
 
 
-@query(_LEDGER)
+@query(
+    _REGIONS
+    + """ select d.source, m.rule, count(*) as hits, cast(sum(m.e - m.s) as bigint) as bytes_redacted, any_value(b.bytes_total) as bytes_total
+  from m join planted d using (doc_id) join (select source, cast(sum(strlen(t)) as bigint) as bytes_total from planted group by source) b on b.source = d.source group by d.source, m.rule"""
+)
 def scrub_ledger_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits and redacted bytes by source and rule, of all rules; the SQL has those that occur in the test tables or are planted."""
-    return redaction.ledger(_planted(spark, sf_dir), "doc_id", "t", "source", RULES)
+    """Hits and redacted bytes by source and rule, of all rules."""
+    return redaction.ledger(_planted(spark, sf_dir), "t", "source")
 
 
-@query()
+@query(_REGIONS + " select rule, count(*) as hits, count(distinct doc_id) as files from m group by rule")
 def scrub_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all rules; tested on a small fixture with a case for each kind of rule."""
-    return redaction.ledger(_planted(spark, sf_dir), "doc_id", "t", "source", RULES)
+    """Regions and documents by rule: spans are found in tasks, and united by Spark's windows."""
+    regions = redaction.merged(redaction.spans(_planted(spark, sf_dir), "doc_id", "t"), "doc_id")
+    return regions.groupBy(F.col("r").alias("rule")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("files"))
 
 
 @query()
 def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text with the regions of all rules replaced by sentinels."""
-    return redaction.scrubbed(_planted(spark, sf_dir), "doc_id", "t", RULES)
+    """Every document's text with the regions of all rules replaced by sentinels; tested on a fixture with a case for each rule."""
+    return redaction.scrubbed(_planted(spark, sf_dir), "doc_id", "t")
 
 
 @query(f"with planted as (select doc_id, text as t from documents) select doc_id, s, e from ({_sql_spans('email')})")
 def detect_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses with their byte offsets."""
-    return redaction.spans(read(spark, sf_dir, "documents"), "doc_id", "text", (BY_NAME["email"],)).select("doc_id", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"))
+    return redaction.spans(read(spark, sf_dir, "documents"), "doc_id", "text", (BY_NAME["email"],)).select("doc_id", "s", "e")
+
+
+@query(f"with planted as ({_PLANTED}) select doc_id, s, e from ({_sql_spans('key-name')})")
+def detect_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand after the name of a secret in plain text, with their byte offsets."""
+    return redaction.spans(_planted(spark, sf_dir), "doc_id", "t", (BY_NAME["key-name"],)).select("doc_id", "s", "e")
 
 
 @query(f"with planted as (select page_id as doc_id, html as t from pages) select doc_id, s, e from ({_sql_spans('card-pan')})")
 def pan_luhn_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers in pages that pass the structural rules and the Luhn check."""
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    return redaction.spans(pages, "doc_id", "html", (BY_NAME["card-pan"],)).select("doc_id", F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"))
+    return redaction.spans(pages, "doc_id", "html", (BY_NAME["card-pan"],)).select("doc_id", "s", "e")
 
 
 @query(
     """select c_custkey, (list_sum(list_transform(range(1, 12), lambda k: cast(substr(n, k, 1) as int) * [1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1][k])) % 10 = 0
-         and cast(substr(n, 3, 2) as int) % 20 between 1 and 12 and cast(substr(n, 5, 2) as int) between 1 and 31) as valid
+         and cast(substr(n, 3, 2) as int) % 20 between 1 and 12) as valid
        from (select c_custkey, lpad(cast(44051401000 + c_custkey as varchar), 11, '0') as n from customer)"""
 )
 def pesel_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +131,16 @@ relational(
 
 
 @query(
-    """select distinct s_suppkey, word, word in ('password', 'passwd', 'secret', 'token', 'credential') or (word = 'key' and q in ('api', 'access', 'private')) as secret from (
-         select s_suppkey, ['api', 'access', 'private', 'row', 'user'][s_suppkey % 5 + 1] as q, ['key', 'token', 'secret', 'name', 'password'][(s_suppkey // 5) % 5 + 1] as word from supplier)"""
+    """select s_suppkey, word, word not in ('key', 'id', 'name', 'passphrase') or (word = 'key' and q in ('api', 'access', 'private', 'secret', 'signing', 'encryption', 'auth')) as secret from (
+         select s_suppkey, ['api', 'access', 'private', 'secret', 'signing', 'encryption', 'auth', 'row', 'session', 'ssh', 'account'][s_suppkey % 11 + 1] as q,
+           ['key', 'token', 'secret', 'name', 'password', 'pwd', 'auth', 'authorization', 'cookie', 'passphrase', 'id', 'passwd', 'credential'][s_suppkey % 13 + 1] as word from supplier)"""
 )
 def secret_key_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key names in camel case: their last word, and whether it marks a secret."""
-    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), at.cast("int"))
-    word = pick(["Key", "Token", "Secret", "Name", "Password"], F.floor(F.col("s_suppkey") / 5) % 5)
-    name = F.concat(pick(["api", "access", "private", "row", "user"], F.col("s_suppkey") % 5), word)
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), (F.col("s_suppkey") % n).cast("int"))
+    before = pick("api access private secret signing encryption auth row session ssh account".split(), 11)
+    word = pick("Key Token Secret Name Password Pwd Auth Authorization Cookie Passphrase Id Passwd Credential".split(), 13)
+    name = F.concat(before, word)
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(detect.key_words(name), -1).alias("word"), detect.secret_key(name).alias("secret"))
 
 
@@ -215,20 +241,15 @@ def jsonl_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines made of a role, a planted address and a key: only those two strings change. ``jsonl_scrub_conversations`` has the turns' text."""
     mail = F.concat(F.lit("u"), F.col("conv_id").cast("string"), F.lit("@mail.example.org"))
     line = F.concat(F.lit('{"role":"'), "role", F.lit('","mail":"'), mail, F.lit('","apiKey":"k'), F.col("turn").cast("string"), F.lit('"}'))
-    lines = read(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), line.alias("line"))
-    out = jsonl.scrub(lines, "id", "line", (BY_NAME["email"], BY_NAME["github-pat"]))
-    return out.select(F.split("id", "/")[0].cast("bigint").alias("conv_id"), F.split("id", "/")[1].cast("bigint").alias("turn"), "mode", F.col("hits").cast("bigint").alias("hits"), "line")
+    lines = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), line.alias("line"))
+    return jsonl.scrub(lines, "id", "line").select("id.conv_id", "id.turn", "mode", "hits", "line")
 
 
 @query()
 def jsonl_scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns with their whole text as JSON lines, scrubbed by all rules; tested on a fixture.
-
-    Lines that are the same are scrubbed once, so that repeated turns stay apart.
-    """
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line")).withColumn("id", F.sha2("line", 256))
-    out = jsonl.scrub(turns.select("id", "line").dropDuplicates(["id"]), "id", "line")
-    return turns.select("conv_id", "turn", "id").join(out, "id").select("conv_id", "turn", "mode", "hits", "line")
+    """Turns with their whole text as JSON lines, scrubbed by all rules; tested on a fixture. Repeated rows stay apart."""
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("line"))
+    return jsonl.scrub(turns, "id", "line").select("id.conv_id", "id.turn", "mode", "hits", "line")
 
 
 @query("select doc_id, cast(strlen(text) as bigint) as payload_size, sha256(text) as payload_sha256, true as whole from documents")
@@ -240,23 +261,24 @@ def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select page_id, '{"path":"' || url || '"' || case when page_id % 2 = 0 then ',"source":"web"' else '' end || ',"size":' || strlen(html) || '}' as metadata from pages"""
+    """select page_id, '{"manifest-version":"1","source-id":"pages","shipped-hash":"' || sha256(html) || '"' || case when page_id % 2 = 0 then ',"shape-sniff":"text"' else '' end || '}' as metadata from pages"""
 )
 def object_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest fields as JSON; fields without a value are left out."""
-    fields = F.struct(F.col("url").alias("path"), F.when(F.col("page_id") % 2 == 0, "web").alias("source"), F.octet_length("html").alias("size"))
-    return read(spark, sf_dir, "pages").select("page_id", F.to_json(fields).alias("metadata"))
+    """The manifest fields that may be seen beside a sealed object, as JSON; fields without a value are left out, and the path never is one."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("manifest_version"), F.lit("pages").alias("source_id"), F.sha2("html", 256).alias("shipped_hash"), F.when(F.col("page_id") % 2 == 0, "text").alias("shape_sniff"), F.col("url").alias("native_path"))
+    return pages.select("page_id", documents.object_metadata(pages.columns).alias("metadata"))
 
 
 @query(
-    """select page_id, case when rn = 1 then name when rn = 2 then name || '~' || left(sha256(url), 8) else null end as output from (
-         select page_id, url, 'p' || (page_id % 120) as name, row_number() over (partition by page_id % 120 order by page_id) as rn from pages)"""
+    """with named as (select page_id, sha256(url) as tag, 'p' || (page_id % 120) as name from pages),
+            first as (select *, row_number() over (partition by name order by page_id) as rn from named),
+            beside as (select *, name || '~' || left(tag, 8) as alt from first)
+       select page_id, case when rn = 1 then name when count(*) over (partition by rn > 1, alt) = 1 or page_id = min(page_id) over (partition by rn > 1, alt) then alt end as output,
+         rn > 1 and page_id <> min(page_id) over (partition by rn > 1, alt) as failed from beside"""
 )
 def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output names that differ in case alone: the second gets a suffix, a third none at all."""
+    """Output names that a file system without case would merge: each later one is written beside the first under its own tag."""
     number = (F.col("page_id") % 120).cast("string")
     name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("P"), number)).otherwise(F.concat(F.lit("p"), number))
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lower(name).alias("name"))
-    rn = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy("page_id"))
-    out = F.when(F.col("rn") == 1, F.col("name")).when(F.col("rn") == 2, F.concat("name", F.lit("~"), F.left(F.sha2("url", 256), F.lit(8))))
-    return rows.withColumn("rn", rn).select("page_id", out.alias("output"))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.sha2("url", 256).alias("tag"), F.lower(name).alias("name"))
+    return documents.claimed(rows, "page_id", "name", "tag")
