@@ -1,14 +1,15 @@
 """Chat formatting by Spark expressions only.
 
 A conversation's turns are collected as structs, sorted, and adjacent turns of one
-role are merged by an array aggregation into one marked turn:
+role are merged by array functions into one marked turn:
 
     <|im_start|>role
     first text<|im_next|>second text<|im_end|>
 
 Inside roles and texts a backslash is doubled and ``<|`` is written ``<\\|``, so no
-text holds a mark and every text comes back as it was. ``loss`` lists the character
-spans of assistant texts in the formatted string, one for each text.
+text holds a mark and every text comes back as it was. ``loss`` lists the spans of
+assistant texts in the formatted string, one for each text, in characters and in
+UTF-8 bytes. Work grows as n log n of a conversation's turns.
 
 Cases: a null text or role counts as empty; turns are in the order of (turn, role,
 text), nulls first, so ties and repeated rows have one result; rows with a null
@@ -19,6 +20,8 @@ turns meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,46 +37,93 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(sizes: Column) -> Column:
+    """Of an array of structs (chars, bytes): the sums up to and with each element.
+
+    By doubling: pass k adds the sum that ends 2**k places earlier, so n elements take
+    log2(n) passes, and no array grows element by element.
+    """
+    add = lambda a, b: F.struct((a["chars"] + F.coalesce(b["chars"], F.lit(0))).alias("chars"), (a["bytes"] + F.coalesce(b["bytes"], F.lit(0))).alias("bytes"))
+
+    def doubled(sums: Column, k: Column) -> Column:
+        back = F.power(F.lit(2), k).cast("int")
+        return F.transform(sums, lambda x, i: add(x, F.when(i >= back, F.get(sums, i - back))))
+
+    passes = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(sizes), F.lit(2)))).cast("int") - 1)
+    return F.aggregate(passes, sizes, doubled)
+
+
+def _merged(t: Column) -> Column:
+    """Sorted turns as runs (role, texts) of neighbours of one role; each run is a slice, found from where roles change."""
+    begins = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+
+    def runs(starts: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(t))
+        return F.transform(
+            starts,
+            lambda s, k: F.struct(F.get(t, s)["role"].alias("role"), F.transform(F.slice(t, s + 1, upto(k) - s), lambda x: escape(x["text"])).alias("texts")),
+        )
+
+    return bound(begins, runs)
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss) of ``turns`` (conv_id, turn, role, text)."""
     one = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
     sorted_turns = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    merged = F.aggregate(
-        "t",
-        F.array().cast("array<struct<role:string,texts:array<string>>>"),
-        lambda done, t: F.when(
-            F.try_element_at(done, F.lit(-1))["role"] == t["role"],
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(t["role"].alias("role"), F.array_append(F.try_element_at(done, F.lit(-1))["texts"], escape(t["text"])).alias("texts"))),
-            ),
-        ).otherwise(F.array_append(done, F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts")))),
+    return _laid_out(sorted_turns.select("conv_id", bound(F.col("t"), _merged).alias("m")))
+
+
+def _pieces(run: Column) -> Column:
+    """What each text of a run adds to the formatted string: before it, itself, after it; and whether it is learnt."""
+    last = F.size(run["texts"]) - 1
+    return F.transform(
+        run["texts"],
+        lambda text, j: F.struct(
+            F.when(j == 0, F.concat(F.lit(START), escape(run["role"]), F.lit(BREAK))).otherwise(NEXT).alias("before"),
+            text.alias("text"),
+            F.when(j == last, END + BREAK).otherwise("").alias("after"),
+            (run["role"] == LEARNT).alias("learnt"),
+        ),
     )
-    return _laid_out(sorted_turns.select("conv_id", merged.alias("m")))
 
 
-def _laid_out(merged: DataFrame) -> DataFrame:
-    """Concatenate merged turns, and place the spans of learnt texts."""
-    head = lambda m: F.concat(F.lit(START), escape(m["role"]), F.lit(BREAK))
-    whole = F.array_join(F.transform("m", lambda m: F.concat(head(m), F.array_join(m["texts"], NEXT), F.lit(END + BREAK))), "")
-    # (length so far, spans so far), turn by turn and text by text
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def add_turn(done: Column, m: Column) -> Column:
-        first = F.struct((done["at"] + F.length(head(m))).alias("at"), done["spans"].alias("spans"))
+def _loss(pieces: Column) -> Column:
+    """The places of learnt texts, in characters and in bytes."""
+    whole = lambda p: F.concat(p["before"], p["text"], p["after"])
+    sizes = F.transform(pieces, lambda p: F.struct(F.length(whole(p)).cast("bigint").alias("chars"), F.octet_length(whole(p)).cast("bigint").alias("bytes")))
+
+    def placed(ends: Column) -> Column:
+        start = lambda p, i, unit, size: F.get(ends, i)[unit] - size(F.concat(p["text"], p["after"]))
+        spans = F.transform(
+            pieces,
+            lambda p, i: F.when(
+                p["learnt"],
+                F.struct(
+                    start(p, i, "chars", F.length).alias("start"),
+                    F.length(p["text"]).cast("bigint").alias("length"),
+                    start(p, i, "bytes", F.octet_length).alias("byte_start"),
+                    F.octet_length(p["text"]).cast("bigint").alias("bytes"),
+                ),
+            ),
+        )
+        return F.filter(spans, lambda s: s.isNotNull())
 
-        def add_text(d: Column, text: Column) -> Column:
-            n = F.length(text).cast("bigint")
-            span = F.struct(d["at"].alias("start"), n.alias("length"))
-            spans = F.when(m["role"] == LEARNT, F.array_append(d["spans"], span)).otherwise(d["spans"])
-            return F.struct((d["at"] + n + len(NEXT)).alias("at"), spans.alias("spans"))
+    return bound(running_sums(sizes), placed)
 
-        inner = F.aggregate(m["texts"], first, add_text)
-        return F.struct((inner["at"] - len(NEXT) + len(END + BREAK)).alias("at"), inner["spans"].alias("spans"))
 
-    return merged.select("conv_id", whole.alias("formatted"), F.aggregate("m", start, add_turn)["spans"].alias("loss"))
+def _laid_out(merged: DataFrame) -> DataFrame:
+    """Concatenate merged turns, and place the spans of learnt texts."""
+    pieces = merged.select("conv_id", F.flatten(F.transform("m", _pieces)).alias("p"))
+    whole = F.array_join(F.transform("p", lambda p: F.concat(p["before"], p["text"], p["after"])), "")
+    return pieces.select("conv_id", whole.alias("formatted"), bound(F.col("p"), _loss).alias("loss"))
 
 
 def parsed(formatted: Column) -> Column:
@@ -93,7 +143,11 @@ def parsed(formatted: Column) -> Column:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what ``formatted`` (conv_id, formatted, loss) holds, from the string and its loss spans alone."""
     turns = parsed(F.col("formatted"))
-    learnt = F.array_join(F.transform("loss", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    # Cut by bytes: characters would be counted from the start again for each span.
+    learnt = bound(
+        F.encode("formatted", "UTF-8"),
+        lambda raw: F.array_join(F.transform("loss", lambda s: unescape(F.decode(F.substr(raw, (s["byte_start"] + 1).cast("int"), s["bytes"].cast("int")), "UTF-8"))), ""),
+    )
     both = formatted.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("bigint").alias("formatted_chars"))
     shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return both.select(
