@@ -10,8 +10,7 @@ whole to one section, by rule:
 
 So a text's counts add up to its number of tokens, which separate encodings of the
 sections would not. Sections cover the text without gaps: ``bounds`` lists where
-they begin (0 first). Without it they are the lines, each with its line break, cut
-after every ``PIECE`` characters.
+they begin (0 first). Without it they are the lines, each with its line break.
 
 A character that several tokens share is in the span of each. Cases: a null text is
 empty; an empty text has one empty section without tokens. Null or repeated ids are
@@ -30,7 +29,6 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import tokenization as tk
 
-PIECE = 1000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _WORD_END = "</w>"
@@ -63,22 +61,27 @@ class FastSpanMemo(SpanMemo):
     def __init__(self, vocabulary: str):
         super().__init__(vocabulary)
         self.model, self.letters, self.parts = self.tokenizer.model, tk._byte_letters(), {}
+        self.held = self.parts_held = 0
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if not tk._SIMPLE.fullmatch(text) or "<|" in text:
-            return super().__missing__(word)
-        if len(self) > tk.MEMO_WORDS:
+        simple = tk._SIMPLE.fullmatch(text) and "<|" not in text
+        out = b"".join([self.parts.get(p) or self._part(p) for p in tk._PARTS.findall(text.lower())]) if simple else super().__missing__(word)
+        self.held += len(word) + len(out) + tk.ENTRY_BYTES
+        if self.held > tk.MEMO_BYTES:
             self.clear()
-        if len(self.parts) > tk.MEMO_WORDS:
-            self.parts.clear()
-        out = b"".join([self.parts.get(p) or self._part(p) for p in tk._PARTS.findall(text.lower())])
+            self.held = 0
         self[word] = out
         return out
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        out = self.parts[part] = bytes([len(t.value.removesuffix(_WORD_END)) for t in self.model.tokenize(spelled)])
+        out = bytes([len(t.value.removesuffix(_WORD_END)) for t in self.model.tokenize(spelled)])
+        self.parts_held += len(part) + len(out) + tk.ENTRY_BYTES
+        if self.parts_held > tk.MEMO_BYTES:
+            self.parts.clear()
+            self.parts_held = 0
+        self.parts[part] = out
         return out
 
 
@@ -97,17 +100,10 @@ def token_spans(text: bytes, memo: SpanMemo) -> tuple[np.ndarray, np.ndarray, np
     return char[place[np.minimum(starts, len(place) - 1)]], char[place[np.minimum(last, len(place) - 1)]], char
 
 
-def line_bounds(text: bytes, char: np.ndarray, piece: int = PIECE) -> np.ndarray:
-    """Where the lines begin, and their pieces."""
+def line_bounds(text: bytes, char: np.ndarray) -> np.ndarray:
+    """Where the lines begin."""
     breaks = char[np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10)] + 1
-    total = int(char[-1]) + 1
-    starts = np.concatenate([[0], breaks[breaks < total]])
-    sizes = np.diff(np.concatenate([starts, [total]]))
-    many = (sizes + piece - 1) // piece
-    if (many > 1).any():
-        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        starts = np.repeat(starts, many) + within * piece
-    return starts
+    return np.concatenate([[0], breaks[breaks <= int(char[-1])]])
 
 
 def allocate(first: np.ndarray, last: np.ndarray, bounds: np.ndarray, total: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +122,7 @@ def allocate(first: np.ndarray, last: np.ndarray, bounds: np.ndarray, total: int
     return np.bincount(a, minlength=n), np.bincount(a[crossing], minlength=n)
 
 
-def _attribute(vocabulary: str, rule: str, piece: int):
+def _attribute(vocabulary: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _MEMOS:
             _MEMOS[vocabulary] = FastSpanMemo(vocabulary)
@@ -144,7 +140,7 @@ def _attribute(vocabulary: str, rule: str, piece: int):
                 else:
                     first = last = np.empty(0, dtype=np.int64)
                     char, total = first, 0
-                bounds = np.array(given[k], dtype=np.int64) if given[k] is not None else line_bounds(text, char, piece) if text else np.zeros(1, dtype=np.int64)
+                bounds = np.array(given[k], dtype=np.int64) if given[k] is not None else line_bounds(text, char) if text else np.zeros(1, dtype=np.int64)
                 n, crossing = allocate(first, last, bounds, total, rule)
                 parts.append((np.arange(len(bounds)), bounds, np.append(bounds[1:], total), n, crossing))
                 rows += [k] * len(bounds)
@@ -156,12 +152,12 @@ def _attribute(vocabulary: str, rule: str, piece: int):
     return run
 
 
-def section_tokens(docs: DataFrame, bounds: Column | None = None, *, rule: str = "most", piece: int = PIECE, vocabulary: str = tk.WORD_BPE) -> DataFrame:
+def section_tokens(docs: DataFrame, bounds: Column | None = None, *, rule: str = "most", vocabulary: str = tk.WORD_BPE) -> DataFrame:
     """``doc_id``, ``section``, ``start``, ``end``, ``n_tokens``, ``n_crossing`` for each section of each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = F.lit(None).cast("array<int>") if bounds is None else bounds.cast("array<int>")
     return docs.select("doc_id", "text", given.alias("bounds")).mapInArrow(
-        _attribute(vocabulary, rule, piece), f"doc_id {kind}, section bigint, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
+        _attribute(vocabulary, rule), f"doc_id {kind}, section bigint, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
     )
 
 

@@ -14,10 +14,14 @@ words in blocks of ``BLOCK_ITEMS`` at most: the texts are never shuffled, and a
 passage that a third of them shares costs no more than another. What is shuffled
 are verified hits.
 
-Words are runs of letters and digits in lower case. Cases: null and empty texts,
-and those of fewer than 12 words, match nothing, be they documents or items. Rows
-that share an id, also a null one, count as one document. An empty table gives no
-rows. Other columns, whatever their names, are left out.
+An item of fewer than 12 words is matched whole and without substitutions, by one
+hash of all its words: anywhere in a text from ``WHOLE_FROM`` words on, and below
+that, where it would meet ordinary phrases, only where it is the whole text.
+
+Words are runs of letters and digits in lower case. Cases: null and empty texts
+match nothing, be they documents or items. Rows that share an id, also a null one,
+count as one document. An empty table gives no rows. Other columns, whatever their
+names, are left out.
 """
 
 from __future__ import annotations
@@ -32,26 +36,30 @@ SPAN, AROUND, WIDTH = 12, 24, 20
 #: Places that each mask reads. The first ``COUNTED`` ones make up ``hits``; the last reaches the placings that those miss.
 MASKS = ((0, 1, 3, 4, 6, 9, 11), (0, 2, 3, 5, 8, 9, 11), (0, 1, 2, 5, 7, 10, 11), (0, 1, 2, 4))
 COUNTED = 3
+#: Words from which a short item is found inside longer texts.
+WHOLE_FROM = 5
 #: Bounds of what is broadcast at once: 24 bytes a hash, some hundred words an item.
 BLOCK_HASHES, BLOCK_ITEMS = 1_500_000, 10_000
 
+Masks = tuple[tuple[int, ...], ...]
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; of a text without any, one empty word."""
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _keys(hashes: str, at: str) -> Column:
+def _keys(hashes: str, at: str, masks: Masks) -> Column:
     """The masked hash of each mask at a place. Past the end it reads fewer words, so that it equals no whole seed's."""
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get(F.col(hashes), F.col(at) + p) for p in mask)) for m, mask in enumerate(MASKS)))
+    return F.array(*(F.xxhash64(F.lit(m), *(F.get(F.col(hashes), F.col(at) + p) for p in mask)) for m, mask in enumerate(masks)))
 
 
-def _positions(texts: DataFrame, carried: list[str]) -> DataFrame:
+def _positions(texts: DataFrame, carried: list[str], masks: Masks = MASKS) -> DataFrame:
     """(carried, at, mask, key) for each place and mask of ``w``."""
-    long = texts.filter(F.size("w") >= SPAN).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    long = texts.filter(F.size("w") >= min([SPAN, *map(len, masks[len(MASKS) :])])).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     # The outer form infers no filter, which would cut the text again.
-    placed = long.select(*carried, "h", F.explode_outer(F.sequence(F.lit(0), F.size("w") - 1 - min(mask[-1] for mask in MASKS))).alias("at"))
-    return placed.select(*carried, "at", F.posexplode_outer(_keys("h", "at")).alias("mask", "key"))
+    placed = long.select(*carried, "h", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("w") - 1 - min(mask[-1] for mask in masks), F.lit(0)))).alias("at"))
+    return placed.select(*carried, "at", F.posexplode_outer(_keys("h", "at", masks)).alias("mask", "key"))
 
 
 def _equal(doc_at: Column, item_at: Column) -> Column:
@@ -67,8 +75,11 @@ def _begins_run() -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHES, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``matched``, ``hits``: items that a document overlaps; the best window's equal words, and verified runs of the first ``COUNTED`` masks."""
-    items = benchmark.select("item_id", words(F.col("text")).alias("item_w")).filter(F.size("item_w") >= SPAN)
+    """``doc_id``, ``item_id``, ``matched``, ``hits``: items that a document overlaps; the best window's equal words, and verified runs of the first ``COUNTED`` masks (of a short item, its places)."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("item_w")).filter("item_w[0] <> ''")
+    # Ten whole numbers at most: how long the short items are.
+    lengths = sorted(r[0] for r in items.filter(F.size("item_w") < SPAN).select(F.size("item_w")).distinct().collect())
+    masks = (*MASKS, *(tuple(range(n)) for n in lengths))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item_w") * len(MASKS)), F.lit(0)).alias("hashes")).first()
     blocks = max(1, math.ceil(size["hashes"] / block_hashes), math.ceil(size["n"] / block_items))
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -77,24 +88,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_hashes: int = BLOCK_HASHE
         own = items.filter(F.pmod(F.xxhash64("item_id", "item_w"), F.lit(blocks)) == k) if blocks > 1 else items
         # Items of one id and other words are told apart by a hash of the words.
         own = own.withColumn("item_key", F.xxhash64("item_w"))
-        seeds = _positions(own.select("item_key", F.size("item_w").alias("n"), F.col("item_w").alias("w")).distinct(), ["item_key", "n"]).distinct()
-        seeds = seeds.filter(F.col("at") + F.get(F.array(*(F.lit(mask[-1]) for mask in MASKS)), F.col("mask")) < F.col("n")).select("item_key", F.col("at").alias("item_at"), F.col("mask").alias("seed_mask"), F.col("key").alias("seed"))
-        found = _positions(texts, ["doc_id", "w"]).join(F.broadcast(seeds), (F.col("key") == F.col("seed")) & (F.col("mask") == F.col("seed_mask")))
+        seeds = _seeds(own, masks)
+        found = _positions(texts, ["doc_id", "w"], masks).join(F.broadcast(seeds), (F.col("key") == F.col("seed")) & (F.col("mask") == F.col("seed_mask")))
         found = found.join(F.broadcast(own.select("item_id", "item_key", "item_w").distinct()), "item_key")
-        parts.append(_verified(found.filter(_begins_run())))
+        whole = (F.size("item_w") >= WHOLE_FROM) | (F.size("w") == F.size("item_w"))
+        parts.append(_verified(found.filter(_begins_run() & whole)))
     hits = reduce(DataFrame.unionByName, parts)
-    return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count_if(F.col("mask") < COUNTED).alias("hits"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.count_if((F.col("mask") < COUNTED) | (F.col("mask") >= len(MASKS))).alias("hits"))
+
+
+def _seeds(items: DataFrame, masks: Masks) -> DataFrame:
+    """(item_key, item_at, seed_mask, seed): every mask at every place of a long item; of a short one, the mask of all its words."""
+    ends = F.get(F.array(*(F.lit(mask[-1]) for mask in masks)), F.col("mask"))
+    placed = _positions(items.select("item_key", F.size("item_w").alias("n"), F.col("item_w").alias("w")).distinct(), ["item_key", "n"], masks).distinct()
+    long = (F.col("n") >= SPAN) & (F.col("mask") < len(MASKS)) & (F.col("at") + ends < F.col("n"))
+    short = (F.col("n") < SPAN) & (F.col("mask") >= len(MASKS)) & (F.col("at") == 0) & (ends + 1 == F.col("n"))
+    return placed.filter(long | short).select("item_key", F.col("at").alias("item_at"), F.col("mask").alias("seed_mask"), F.col("key").alias("seed"))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
     low = F.greatest(-F.col("at"), -F.col("item_at"), F.lit(-AROUND))
     high = F.least(F.size("w") - F.col("at"), F.size("item_w") - F.col("item_at"), F.lit(SPAN + AROUND))
     flags = F.transform(F.sequence("low", F.col("high") - 1), lambda k: F.when(_equal(F.col("at") + k, F.col("item_at") + k), 1).otherwise(0))
-    bounded = hits.select("doc_id", "item_id", "mask", "at", "item_at", "w", "item_w", low.alias("low"), high.alias("high")).select("doc_id", "item_id", "mask", flags.alias("flags"))
+    bounded = hits.select("doc_id", "item_id", "mask", "at", "item_at", "w", "item_w", low.alias("low"), high.alias("high"))
+    bounded = bounded.select("doc_id", "item_id", "mask", flags.alias("flags"), F.size("item_w").alias("n"))
     width = F.least(F.size("flags"), F.lit(WIDTH))
     sums = F.transform(F.sequence(F.lit(1), F.size("flags") - width + 1), lambda s: F.aggregate(F.slice("flags", s, width), F.lit(0), lambda a, b: a + b))
-    best = bounded.select("doc_id", "item_id", "mask", F.array_max(sums).alias("matched"), width.alias("width"))
-    return best.filter((F.col("width") >= SPAN) & (5 * F.col("matched") >= 4 * F.col("width"))).select("doc_id", "item_id", "mask", "matched")
+    best = bounded.select("doc_id", "item_id", "mask", "n", F.array_max(sums).alias("matched"), width.alias("width"))
+    good = F.when(F.col("n") < SPAN, F.col("matched") == F.col("n")).otherwise((F.col("width") >= SPAN) & (5 * F.col("matched") >= 4 * F.col("width")))
+    return best.filter(good).select("doc_id", "item_id", "mask", "matched")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

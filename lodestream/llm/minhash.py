@@ -11,9 +11,10 @@ No group is expanded into all its pairs:
    bands with others (an original resembles its altered copies more than they resemble
    each other), and the links found give first components;
 3. only in bands that still hold several components, nodes of different components
-   are paired, if their sizes and 512 four-bit coordinates allow the similarity
-   (a pair at the threshold is refused with odds of about one in 70,000), and checked; a
-   pair meets in one of its common bands only.
+   are paired, block by block, if their sizes and 512 four-bit coordinates allow the
+   similarity (a pair at the threshold is refused with odds of about one in 70,000;
+   ``may_differ=None`` refuses none), and checked; a pair meets in one of its common
+   bands only.
 
 With 50 bands of 5 rows, a pair at a similarity of 0.75 shares no band with odds of
 about one in 700,000; a more similar pair, with less.
@@ -41,9 +42,12 @@ BANDS, ROWS = 50, 5
 COORDINATES, NIBBLES_IN_LONG = 512, 16
 SEED = 20
 PERCENT = 75
+#: Pairs of one node in one key of a join; nodes of one band in one key.
+SHARE, BLOCK = 256, 512
 #: Coordinates of the sketch that may differ: at a similarity of 0.75 the mean is 120, the standard deviation 9.6.
 MAY_DIFFER = 160
 
+#: What stands for a null id; a real id of that value counts as null.
 _NO_ID = -(2**63)
 _SIGNED = "doc_key bigint, row bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch array<bigint>"
 
@@ -107,10 +111,17 @@ def _checker(percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) that are similar enough by their full sets."""
+    """Those of ``pairs`` (u, v) that are similar enough by their full sets.
+
+    A node that is u of many pairs is dealt over one salt for each ``SHARE`` of them, so
+    that no key of the join has more than about that many.
+    """
+    often = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("salts"))
     one = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    two = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
-    both = pairs.join(one, "v").join(two, "u").select("u", "v", "text_u", "text_v")
+    two = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")).join(often, "u")
+    two = two.select("u", "text_u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = pairs.join(often, "u").select("u", "v", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"))
+    both = dealt.join(one, "v").join(two, ["u", "salt"]).select("u", "v", "text_u", "text_v")
     return both.mapInArrow(_checker(percent), "u bigint, v bigint")
 
 
@@ -126,8 +137,26 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs`` (doc_id: bigint, text)."""
+def _in_blocks(rows: DataFrame, first: bool) -> DataFrame:
+    """Rows of bands with the keys (one, two) under which they meet rows of their band.
+
+    A band's rows are dealt into blocks of about ``BLOCK``. Two blocks meet under one
+    key, so no key has the pairs of a whole band: of the earlier block the first side
+    comes, of the later one the second.
+    """
+    own = F.pmod(F.xxhash64("node", "band"), "blocks")
+    others = F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("bigint"), F.col("own"))
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    one, two = ("own", "other") if first else ("other", "own")
+    return placed.withColumn("one", F.col(one)).withColumn("two", F.col(two))
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED, may_differ: int | None = MAY_DIFFER) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs`` (doc_id: bigint, text).
+
+    Where ``may_differ`` is None no pair is refused by its sketch: every pair of
+    different components in a band is checked on full sets.
+    """
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_key"), "text")
     signed, _ = scratch.table(keyed.mapInArrow(_signer(seed), _SIGNED), "minhash-signed")
     full = signed.filter("n_shingles > 0")
@@ -153,21 +182,25 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
 
     # Bands that still hold several components: pairs across them.
     placed = rows.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band")
-    open_rows = placed.join(mixed, "band", "left_semi")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("a < b").select("band", "blocks")
+    open_rows = placed.join(mixed, "band")
     sketches = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands").join(open_rows.select("node").distinct(), "node", "left_semi")
     # Which rows of a band meet doesn't depend on the band, so each row carries what the condition needs.
     ready, ready_path = scratch.table(open_rows.join(sketches, "node"), "minhash-open")
-    a = ready.select("band", *(F.col(c).alias(f"{c}_u") for c in ("node", "root", "n", "sketch", "bands")))
-    b = ready.select("band", *(F.col(c).alias(f"{c}_v") for c in ("node", "root", "n", "sketch", "bands")))
+    kept = ("node", "root", "n", "sketch", "bands")
+    a = _in_blocks(ready, True).select("band", "one", "two", *(F.col(c).alias(f"{c}_u") for c in kept))
+    b = _in_blocks(ready, False).select("band", "one", "two", *(F.col(c).alias(f"{c}_v") for c in kept))
     able = (
-        (F.col("node_u") < F.col("node_v"))
+        (F.col("node_u") != F.col("node_v"))
+        & ((a["one"] != a["two"]) | (F.col("node_u") < F.col("node_v")))
         & (F.col("root_u") != F.col("root_v"))
         & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        & (_differing("sketch_u", "sketch_v") <= MAY_DIFFER)
         & (F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"])  # in one band only
     )
-    cross = a.join(b, (a["band"] == b["band"]) & able).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    if may_differ is not None:
+        able = able & (_differing("sketch_u", "sketch_v") <= may_differ)
+    meet = (a["band"] == b["band"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
+    cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
     late = _confirmed(cross, texts, percent)
     linked = components(links.unionByName(late), "minhash-all")
 

@@ -18,7 +18,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -102,24 +102,31 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means and Cholesky factors of both classes, and their counts."""
+    """Means of both classes, the inverses of their Cholesky factors, and their counts. ``threshold`` is where decisions fall."""
 
     counts: tuple[float, float]
     means: tuple[np.ndarray, np.ndarray] | None
     factors: tuple[np.ndarray, np.ndarray] | None
+    threshold: float = THRESHOLD
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The probability of class 1 for each row of ``x``."""
+        """From 0 to 1 for each row of ``x``: class 1 the likelier, the higher.
+
+        The log odds are counted from those of the threshold and divided by the number of
+        statistics, which are far from independent, so that scores don't pile up at 0 and
+        1. Neither order nor decisions change by that.
+        """
         n0, n1 = self.counts
         prior = (n1 + 1) / (n0 + n1 + 2)
         if self.factors is None:
             return np.full(len(x), prior)
         logs = []
         for mean, factor in zip(self.means, self.factors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(-0.5 * (z * z).sum(axis=0) - np.log(np.diag(factor)).sum())
+            z = factor @ (x - mean).T
+            logs.append(-0.5 * (z * z).sum(axis=0) + np.log(np.diag(factor)).sum())
         odds = logs[1] - logs[0] + np.log(prior / (1 - prior))
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        border = np.log(self.threshold / (1 - self.threshold))
+        return 1 / (1 + np.exp(-np.clip((odds - border) / len(STATISTICS) + border, -500, 500)))
 
 
 def discriminant(sums: dict[int, np.ndarray], to_pooled: float = TO_POOLED, to_diagonal: float = TO_DIAGONAL) -> Discriminant:
@@ -135,7 +142,7 @@ def discriminant(sums: dict[int, np.ndarray], to_pooled: float = TO_POOLED, to_d
     for c in (0, 1):
         own = (1 - to_pooled) * scatter[c] / counts[c] + to_pooled * pooled
         own = (1 - to_diagonal) * own + to_diagonal * np.diag(np.diag(pooled))
-        factors.append(np.linalg.cholesky((own + own.T) / 2))
+        factors.append(np.linalg.inv(np.linalg.cholesky((own + own.T) / 2)))
     return Discriminant(counts, tuple(means), tuple(factors))
 
 
@@ -159,7 +166,7 @@ def _scorer(model: Discriminant):
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``docs``."""
-    model = fit(docs, labels, rows=rows)
+    model = replace(fit(docs, labels, rows=rows), threshold=threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -175,4 +182,5 @@ def _keeper(model: Discriminant, threshold: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """Rows of ``docs`` that the classifier accepts, with all their columns; it is fitted on labelled rows among them."""
-    return docs.mapInArrow(_keeper(fit(docs, labels, rows=rows), threshold), docs.schema)
+    model = replace(fit(docs, labels, rows=rows), threshold=threshold)
+    return docs.mapInArrow(_keeper(model, threshold), docs.schema)

@@ -126,6 +126,10 @@ f as (select doc_id, item_id, list_transform(range(lo, hi), lambda k: case when
 s as (select doc_id, item_id, least(len(flags), 20) as width,
         list_max(list_transform(range(1, len(flags) - least(len(flags), 20) + 2), lambda i: list_sum(flags[i:i + least(len(flags), 20) - 1]))) as matched from f)
 select doc_id, item_id, max(matched)::int as matched, count(*)::bigint as hits from s where 5 * matched >= 4 * width group by 1, 2
+union all
+select doc_id, item_id, len(iw)::int as matched, len(places)::bigint as hits from (
+  select doc_id, item_id, iw, list_filter(range(0, len(w) - len(iw) + 1), lambda a: w[a + 1:a + len(iw)] = iw) as places
+  from b join d on (len(iw) between 5 and 11 or (len(iw) < 5 and len(w) = len(iw))) where iw[1] <> '') where len(places) > 0
 """
 
 
@@ -153,5 +157,5 @@ if corpus_pipeline.ORACLE_SQL:
 
 @query
 def op5_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each section (line, or piece of a long line) of all documents."""
+    """Tokens of each line of all documents."""
     return attribution.section_tokens(read(spark, sf_dir, "documents"))

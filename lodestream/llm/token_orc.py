@@ -13,6 +13,7 @@ files without rows. Other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from lodestream.llm import tokenization as tk
 
 END_ID = 1
+#: Bytes of compressed input for each shard.
+SHARD_BYTES = 64 << 20
 
 
 def _encoder(vocabulary: str, end_id: int, id_type: pa.DataType | None = None):
@@ -51,6 +54,11 @@ def _encoder(vocabulary: str, end_id: int, id_type: pa.DataType | None = None):
     return run
 
 
+def _estimated_bytes(docs: DataFrame) -> int:
+    """The size of a table as the optimizer estimates it, for files from their lengths; nothing is read."""
+    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def write_tokens(
     docs: DataFrame,
     path: str,
@@ -65,11 +73,12 @@ def write_tokens(
     """Encode ``text`` of all ``docs`` and write ORC below ``path``: ``data`` and ``index``.
 
     ``index`` has a row for each shard: its first id's place among all ids, and the
-    range of its document ids. ``shards`` is Spark's number of shuffle partitions
-    where it isn't given.
+    range of its document ids. Where ``shards`` isn't given there is one for each
+    ``SHARD_BYTES`` of the table by Spark's own estimate, and as many as Spark's shuffle
+    partitions at least.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(_estimated_bytes(docs) / SHARD_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(shards, "doc_id", "tie")
     ordered = ranged.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words that a worker remembers; beyond it the memo starts anew (results don't change).
-MEMO_WORDS = 800_000
+#: Bytes that a worker's memo of words, and that of their parts, may hold; beyond it the memo starts anew (results don't change).
+MEMO_BYTES = 96 << 20
+#: What an entry takes beside its letters and ids.
+ENTRY_BYTES = 180
 #: Tokens in one Arrow batch that a task hands back.
 BATCH_TOKENS = 1_000_000
 
@@ -62,6 +64,7 @@ class WordMemo(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.held = self.parts_held = 0
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
@@ -69,22 +72,27 @@ class WordMemo(dict):
             ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.held += len(word) + len(ids) + ENTRY_BYTES
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 0
         self[word] = ids
         return ids
 
     def _part(self, part: str) -> bytes:
         spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        self.parts_held += len(part) + len(ids) + ENTRY_BYTES
+        if self.parts_held > MEMO_BYTES:
+            self.parts.clear()
+            self.parts_held = 0
+        self.parts[part] = ids
         return ids
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text; of null and empty texts, none."""
         if not text:
             return b""
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        if len(self.parts) > MEMO_WORDS:
-            self.parts.clear()
         return b"".join(map(self.__getitem__, text.split()))
 
 

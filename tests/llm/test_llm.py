@@ -12,6 +12,7 @@ import pyarrow.orc as orc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestream.llm import attribution, chat, decontaminate, linecrf, minhash, packing, ppm, quality, scratch, shingles, token_orc, toxicity
 from lodestream.llm import tokenization as tk
@@ -107,7 +108,7 @@ def brute_components(rows):
     return sorted((i, len(s[k]), least[find(k)], i == least[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-def test_minhash_is_brute_force(spark):
+def test_minhash_is_brute_force(spark, monkeypatch):
     r = random.Random(5)
     rows = [(k, prose(r.randint(0, 60), k)) for k in range(60)]
     for k in range(60, 200):  # near copies at many distances, chains of them, and exact ones
@@ -117,8 +118,19 @@ def test_minhash_is_brute_force(spark):
                 words[r.randrange(len(words))] = "changed" + str(k)
         rows.append((k, (" " if k % 2 else "\n").join(words).upper() if k % 3 == 0 else " ".join(words)))
     rows += [(900, None), (901, ""), (902, " \n"), (7, rows[7][1])]
-    got = sorted(map(tuple, minhash.near_duplicates(docs(spark, rows)).collect()))
-    assert [(a, b, c, d) for a, b, c, d in got] == brute_components(rows)
+    want = brute_components(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(docs(spark, rows)).collect())) == want
+    # The exact way, and keys so small that stars are salted and bands cut into blocks.
+    monkeypatch.setattr(minhash, "SHARE", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    assert sorted(map(tuple, minhash.near_duplicates(docs(spark, rows), may_differ=None).collect())) == want
+
+
+def test_blocks_let_each_pair_of_a_band_meet_once(spark):
+    rows = spark.range(200).selectExpr("id as node", "id % 3 as band", "bigint(1 + id % 3 * 4) as blocks")
+    a, b = minhash._in_blocks(rows, True), minhash._in_blocks(rows, False)
+    met = a.alias("a").join(b.alias("b"), ["band", "one", "two"]).filter("a.node <> b.node and (one <> two or a.node < b.node)").selectExpr("least(a.node, b.node) as u", "greatest(a.node, b.node) as v")
+    assert sorted(map(tuple, met.collect())) == [(u, v) for u, v in combinations(range(200), 2) if u % 3 == v % 3]
 
 
 def test_minhash_null_ids_and_empty_table(spark):
@@ -172,17 +184,41 @@ def test_quality(spark, marked):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
-def test_discriminant_is_the_gaussian_formula():
+@pytest.mark.parametrize(("pooled", "diagonal"), [(0.0, 0.0), (0.5, 0.3), (1.0, 1.0)])
+def test_discriminant_is_the_gaussian_formula(pooled, diagonal):
     r = np.random.default_rng(2)
-    x = {c: r.normal(c, 1 + c, (500, len(quality.STATISTICS))) for c in (0, 1)}
+    width = len(quality.STATISTICS)
+    x = {c: r.normal(c, 1 + c, (500 + 100 * c, width)) for c in (0, 1)}
     sums = {c: np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]) for c, v in x.items()}
-    model = quality.discriminant(sums, 0.0, 0.0)
-    z = r.normal(0.5, 1, len(quality.STATISTICS))
+    model = quality.discriminant(sums, pooled, diagonal)
+    own = {c: np.cov(x[c].T, bias=True) for c in (0, 1)}
+    both = (500 * own[0] + 600 * own[1]) / 1100 + quality.FLOOR * np.eye(width)
+    z = r.normal(0.5, 1, (20, width))
     logs = []
     for c in (0, 1):
-        cov = np.cov(x[c].T, bias=True)
-        logs.append(-0.5 * (z - x[c].mean(0)) @ np.linalg.solve(cov, z - x[c].mean(0)) - 0.5 * np.linalg.slogdet(cov)[1])
-    assert model.score(z[None])[0] == pytest.approx(1 / (1 + math.exp(-(logs[1] - logs[0]))), abs=1e-6)
+        cov = (1 - diagonal) * ((1 - pooled) * own[c] + pooled * both) + diagonal * np.diag(np.diag(both))
+        far = z - x[c].mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", far, np.linalg.inv(cov), far) - 0.5 * np.linalg.slogdet(cov)[1])
+    odds = logs[1] - logs[0] + math.log(601 / 501)
+    border = math.log(0.3 / 0.7)
+    got = model.score(z)
+    assert got == pytest.approx(1 / (1 + np.exp(-((odds - border) / width + border))), abs=1e-6)
+    assert ((got >= 0.3) == (odds >= border)).all()
+
+
+def test_statistics_are_brute_force():
+    text = "AB ab ab! x#1 é.\n\nAB ab\nAB ab\n"
+    words = text.lower().split()
+    raw = text.encode()
+    want = [
+        math.sqrt(1 / len(raw)), math.sqrt(1 / len(words)), 6 / (6 + 9 + 1), math.sqrt(1 / len(raw)), math.sqrt(1 / len(words)), math.sqrt(4 / len(words)), 0.0,
+        math.sqrt(1 - 2 / 3), math.log1p(len(set(words))) / math.log1p(len(words)), math.log1p((len(raw) - len(words)) / len(words)), math.log1p(len(words) / 3), math.log1p(len(words)),
+    ]
+    # Words are told apart as bytes, of which only A-Z are lowered; blanks count as bytes of words.
+    assert quality.statistics(raw) == pytest.approx(want)
+    assert quality.statistics(None).tolist() == quality.statistics(b" ").tolist() == [0.0] * len(want)
+    eight = " ".join("abcdefgh")
+    assert quality.statistics(f"{eight} {eight}".encode())[6] == pytest.approx(math.sqrt(1 / 9))
 
 
 def brute_kernel(s, t, p, decay):
@@ -279,7 +315,7 @@ def test_decontamination(spark):
     swapped = " ".join("other" if k % 9 == 4 else w for k, w in enumerate(item.split()))
     far = " ".join("other" if k % 3 == 1 else w for k, w in enumerate(item.split()))
     rows = [(1, prose(30, 1) + " " + item + " " + prose(5, 2)), (2, swapped.upper() + "."), (3, far), (4, prose(100, 3)), (5, None), (6, " ".join(item.split()[:11])), (None, item), (None, item)]
-    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (7, "another text of the same id " * 4)], "item_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (10, ""), (7, "another text of the same id " * 4)], "item_id bigint, text string")
     for blocks in (1 << 20, 30):  # one block, and several
         got = decontaminate.leaks(docs(spark, rows), bench, block_hashes=blocks).collect()
         assert sorted((r["doc_id"], r["item_id"], r["matched"]) for r in got if r["doc_id"]) == [(1, 7, 20), (2, 7, 18)]
@@ -289,6 +325,14 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_matched_whole(spark):
+    item = "one two three four five six"
+    rows = [(1, f"see One, two three four five six {item} end"), (2, "one two three four five seven six"), (3, "yes"), (4, "yes no"), (5, "YES!"), (6, "a yes b"), (7, "four five six seven"), (8, "one two three four five")]
+    bench = spark.createDataFrame([(1, item), (2, "yes"), (3, "no yes"), (4, " ".join(f"w{k}" for k in range(30)))], "item_id bigint, text string")
+    got = sorted(map(tuple, decontaminate.leaks(docs(spark, rows), bench).collect()))
+    assert got == [(1, 1, 6, 2), (3, 2, 1, 1), (5, 2, 1, 1)]
+
+
 def substituted(n):
     """Every set of places that may differ in an overlap of n words."""
     return combinations(range(n), n - -(-4 * n // 5))
@@ -398,19 +442,17 @@ def test_ppm_blocks_split_anywhere(monkeypatch):
     assert ppm.grams(texts).tolist() == want
 
 
-@pytest.mark.parametrize("rule", ["most", "first"])
-def test_attribution_is_brute_force(spark, tokenizer, rule):
+@pytest.mark.parametrize(("rule", "every"), [("most", None), ("first", None), ("most", 7), ("first", 7)])
+def test_attribution_is_brute_force(spark, tokenizer, rule, every):
+    """Sections are lines, or begin at given places (here after every seven characters)."""
     rows = [(k, t) for k, t in enumerate([None, "", "a", prose(300, 1), "one line\ntwo lines\n\nx!!! ???...", "é" * 50 + "ü\n" * 3, " \n lead", "abcdefghij" * 5])]
-    piece = 7
+    given = every and F.sequence(F.lit(0), F.greatest(F.length(F.coalesce("text", F.lit(""))) - 1, F.lit(0)), F.lit(every))
     got = defaultdict(list)
-    for r in attribution.section_tokens(docs(spark, rows), rule=rule, piece=piece).orderBy("doc_id", "section").collect():
+    for r in attribution.section_tokens(docs(spark, rows), given, rule=rule).orderBy("doc_id", "section").collect():
         got[r["doc_id"]].append((r["start"], r["end"], r["n_tokens"]))
     for i, t in rows:
         t = t or ""
-        bounds, at = [], 0
-        for line in t.splitlines(keepends=True) or [""]:
-            bounds += range(at, at + max(1, len(line)), piece)
-            at += len(line)
+        bounds = list(range(0, max(1, len(t)), every)) if every else [0, *(k + 1 for k, c in enumerate(t[:-1]) if c == "\n")]
         edges = [*bounds, len(t)]
         n = [0] * len(bounds)
         for a, b in tokenizer.encode(t, add_special_tokens=False).offsets:
