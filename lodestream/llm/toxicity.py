@@ -5,22 +5,32 @@ weighted by ``DECAY`` for every byte that it spans (the normalised string
 subsequence kernel). Letters with a gap or an inserted mark between them so still
 match, at a lower weight.
 
-Learning takes labelled sentences. A sentence of a clean document is negative; a
-sentence of a toxic document is positive if it holds a witness: a word that clean
-documents (almost) never use and toxic ones use after so many different words that
-neither chance nor copies of a few documents explain it. Witnesses are the Nyström
-landmarks. The machine (squared hinge loss, Newton's method in the
-primal) separates the witnesses, as written and with gaps and insertions, from the
-words of negative sentences that come near a landmark.
-
-A document scores by the most toxic unit of its text: a word, or a run of three or
-more single letters that are written apart. Units without six tenths of a landmark's
-neighbouring byte pairs in order, with at most two bytes between them, get the
-machine's floor. Nothing but the text goes into a score.
+Learning takes labelled sentences: documents are cut into sentences, each a set of
+units (words, and letters that are written apart). A sentence's feature for a
+landmark is the largest kernel value that a unit of it has. All sentences of clean
+documents are negative. Of a toxic document at least one sentence must be the reason
+for its label: those that hold a landmark as it is written are positive at first, and
+in each further round the one of the largest margin (learning from bags). Each
+landmark's sentences are also given with it gapped, and with letters inserted and
+doubled. The machine has a squared hinge loss and is solved by Newton's method; its
+border is put where the labelled documents are told apart best.
+
+Landmarks are units that clean documents (almost) never use and toxic ones use after
+so many different words that neither chance nor copies of a few documents explain it.
+Units of more than ``WINDOW`` bytes count as overlapping windows, so that none is too
+long; those of fewer than three have no subsequence of three bytes, and never count.
+
+A document's margin is that of its most toxic sentence. A unit is asked about if it
+has ``NEAR`` of a landmark's neighbouring letter pairs, with at most ``GAP`` bytes
+between the two letters (marks and digits don't count); inserted letters leave all
+pairs there. Sentences without such a unit get the floor. Nothing but the text goes
+into a score.
+
+A unit's kernel is worked out with the landmarks that it is near to, and 0 with the rest.
 
 Cases: a null text is empty; an empty text gets the floor, as does every text if no
 labelled document is toxic or none is clean. Repeated rows each get the score of
-their text. An empty table gives no rows.
+their text; in learning, documents of one text are one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +40,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +51,19 @@ from lodestream.llm.labelled import FIT_ROWS, held_out, training_texts
 
 THRESHOLD = 0.5
 ORDER, DECAY = 3, 0.75
-#: Landmarks at most, words that may become one, and negative words that the machine is fitted on.
-LANDMARKS, CANDIDATES, NEGATIVES = 128, 600, 16_000
+#: Landmarks at most (the rank of the approximation), sentences of each class that the machine is fitted on, and rounds of choosing them.
+LANDMARKS, SENTENCES, ROUNDS = 128, 16_000, 3
+#: Share of a landmark's neighbouring letter pairs that a unit must hold to be asked about, and bytes that may stand between two letters of a pair.
+NEAR, GAP = 0.8, 2
 #: Bytes of a unit that the kernel sees at once; longer units are cut into overlapping windows.
 WINDOW = 32
 #: Words that a worker remembers; beyond it the memory starts anew (scores don't change).
 MEMO_WORDS = 200_000
 COST = 20.0
-VARIANT_WEIGHT = 0.1
+#: Weight of a misspelt sentence, and of all negative sentences against all positive ones.
+VARIANT_WEIGHT, NEGATIVE_SHARE = 0.1, 4.0
+#: Toxic documents missed that weigh as much as one clean document lost.
+CLEAN_COST = 5
 STEEPNESS = 4.0
 FLOOR = -1.5
 
@@ -55,10 +71,16 @@ _EDGES = b".,;:!?\"'()[]{}<>*%$&#|-_/\\^~+=@`"
 _APART = re.compile(rb"(?<!\S)\w(?:[ .\-_*]\w){2,}(?!\S)")
 
 
-def units(text: bytes | None) -> set[bytes]:
-    """The distinct lower-cased words of a text, and letters written apart as one word each."""
+_SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n")
+
+
+def lowered(text: bytes | None) -> bytes:
     raw = text or b""
-    low = raw.lower() if raw.isascii() else raw.decode().lower().encode()
+    return raw.lower() if raw.isascii() else raw.decode().lower().encode()
+
+
+def units(low: bytes) -> set[bytes]:
+    """The distinct words of a lower-cased text, and letters written apart as one word each."""
     return set(low.split()) | {re.sub(rb"\W", b"", m) for m in _APART.findall(low)}
 
 
@@ -72,36 +94,32 @@ def _matrix(words: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def kernel(words: list[bytes], others: list[bytes]) -> np.ndarray:
-    """The subsequence kernel of each word with each other one (not normalised)."""
-    width = max([1, *map(len, others)])
-    s, t = _matrix(words, max([1, *map(len, words)])), _matrix(others, width)
+def paired_kernel(words: list[bytes], others: list[bytes]) -> np.ndarray:
+    """The subsequence kernel of each word with the other one at its place (not normalised)."""
+    s, t = _matrix(words, max([1, *map(len, words)])), _matrix(others, max([1, *map(len, others)]))
+    n, width = t.shape
     t_real = t > 0
     # decay[i, j]: weight of reaching place j of t from place i
     step = np.subtract.outer(np.arange(width), np.arange(width)).T
     decay = np.where(step >= 0, DECAY ** np.maximum(step, 0), 0.0).astype(np.float32)
-    shape = (len(words), len(others), width)
     # before[l][.., j]: weight of subsequences of length l in s so far and in t before place j
-    before = [np.ones(shape, np.float32)] + [np.zeros(shape, np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(shape[:2], np.float32)
+    before = [np.ones((n, width), np.float32)] + [np.zeros((n, width), np.float32) for _ in range(ORDER - 1)]
+    total = np.zeros(n, np.float32)
     for k in range(s.shape[1]):
         real = s[:, k] > 0
-        if not real.any():
-            break
-        same = (s[:, k, None, None] == t[None]) & t_real[None] & real[:, None, None]
-        total += DECAY**2 * (before[ORDER - 1] * same).sum(axis=2)
+        same = (s[:, k, None] == t) & t_real & real[:, None]
+        total += DECAY**2 * (before[ORDER - 1] * same).sum(axis=1)
         for length in range(ORDER - 1, 0, -1):
-            new = DECAY**2 * (before[length - 1] * same)
-            reached = new @ decay
+            reached = (DECAY**2 * (before[length - 1] * same)) @ decay
             shifted = np.zeros_like(reached)
-            shifted[..., 1:] = reached[..., :-1]
+            shifted[:, 1:] = reached[:, :-1]
             before[length] = DECAY * before[length] + shifted
     return total
 
 
-def own_kernel(words: list[bytes]) -> np.ndarray:
-    """The kernel of each word with itself."""
-    return np.array([kernel([w], [w])[0, 0] for w in words], dtype=np.float32)
+def kernel(words: list[bytes], others: list[bytes]) -> np.ndarray:
+    """The subsequence kernel of each word with each other one (not normalised)."""
+    return paired_kernel([w for w in words for _ in others], others * len(words)).reshape(len(words), len(others))
 
 
 def bare(word: bytes) -> bytes:
@@ -113,39 +131,30 @@ def windows(word: bytes) -> list[bytes]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def _own_batch(words: list[bytes]) -> np.ndarray:
-    """As ``own_kernel``, for words of one batch at once."""
-    s = _matrix(words, max([1, *map(len, words)]))
-    n, width = s.shape
-    real = s > 0
-    step = np.subtract.outer(np.arange(width), np.arange(width)).T
-    decay = np.where(step >= 0, DECAY ** np.maximum(step, 0), 0.0).astype(np.float32)
-    before = [np.ones((n, width), np.float32)] + [np.zeros((n, width), np.float32) for _ in range(ORDER - 1)]
-    total = np.zeros(n, np.float32)
-    for k in range(width):
-        same = (s[:, k, None] == s) & real & real[:, k, None]
-        total += DECAY**2 * (before[ORDER - 1] * same).sum(axis=1)
-        for length in range(ORDER - 1, 0, -1):
-            reached = (DECAY**2 * (before[length - 1] * same)) @ decay
-            shifted = np.zeros_like(reached)
-            shifted[:, 1:] = reached[:, :-1]
-            before[length] = DECAY * before[length] + shifted
-    return total
-
-
 def _pairs(word: bytes) -> set[tuple[int, int]]:
     return set(zip(word, word[1:], strict=False))
 
 
+def _letters_needed(pairs: set[tuple[int, int]], least: int) -> int:
+    """How many distinct letters a word has at least that has ``least`` of these pairs (0: not worked out)."""
+    letters = sorted({x for p in pairs for x in p})
+    if len(letters) > 12:
+        return 0
+    for n in range(1, len(letters) + 1):
+        if any(sum(a in some and b in some for a, b in pairs) >= least for some in map(set, combinations(letters, n))):
+            return n
+    return len(letters)
+
+
 @dataclass
 class Machine:
-    """Landmarks, the weight of a unit's normalised kernel with each, and a bias."""
+    """Landmarks, the weight of a sentence's feature for each, and a bias."""
 
     landmarks: list[bytes]
     weights: np.ndarray
     bias: float
     seen: set[bytes] = field(default_factory=set)
-    margins: dict[bytes, float] = field(default_factory=dict)
+    features_of: dict[bytes, np.ndarray] = field(default_factory=dict)
     hot: set[bytes] = field(default_factory=set)
 
     def __post_init__(self) -> None:
@@ -157,8 +166,17 @@ class Machine:
         for j, w in enumerate(self.landmarks):
             for p in _pairs(w):
                 self.has[known.index(p), j] = 1
-        self.least = np.maximum(2, np.ceil(0.6 * self.has.sum(axis=0)))
-        self.norms = own_kernel(self.landmarks) if self.landmarks else np.empty(0, np.float32)
+        self.least = np.maximum(2, np.ceil(NEAR * self.has.sum(axis=0) - 1e-6))
+        self.norms = paired_kernel(self.landmarks, self.landmarks) if self.landmarks else np.empty(0, np.float32)
+        # One bit for each byte of the landmarks (bytes beyond 64 kinds share the last), for a first look at many words at once.
+        kinds = {c: min(k, 63) for k, c in enumerate(sorted({c for w in self.landmarks for c in w}))}
+        self.bit_of = np.zeros(256, dtype=np.uint64)
+        for c, k in kinds.items():
+            self.bit_of[c] = 1 << k
+        shared = len(kinds) > 63
+        needs = [0 if shared else _letters_needed(_pairs(w), int(n)) for w, n in zip(self.landmarks, self.least, strict=True)]
+        masks = [int(np.bitwise_or.reduce(self.bit_of[list(w)])) if w else 0 for w in self.landmarks]
+        self.looks = sorted(set(zip(masks, needs, strict=True)))
 
     def __getstate__(self) -> tuple:
         return self.landmarks, self.weights, self.bias
@@ -166,54 +184,85 @@ class Machine:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
+    def lettered(self, words: list[bytes]) -> list[bytes]:
+        """Those words that hold enough of some landmark's letters to be near it; none that is near is lost."""
+        if not words:
+            return []
+        flat = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        held = np.bitwise_or.reduceat(self.bit_of[flat], np.cumsum(sizes) - sizes)
+        good = np.zeros(len(words), dtype=bool)
+        for mask, need in self.looks:
+            good |= np.bitwise_count(held & np.uint64(mask)) >= need
+        return [words[k] for k in np.flatnonzero(good)]
+
     def near(self, words: list[bytes]) -> np.ndarray:
-        """Which words hold six tenths of some landmark's neighbouring pairs, with at most two bytes between."""
-        out = np.zeros(len(words), dtype=bool)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            s = _matrix(some, max([4, *map(len, some)])).astype(np.uint16)
-            found = np.zeros((len(some), len(self.has)), dtype=np.float32)
-            rows = np.arange(len(some))[:, None]
-            for gap in (1, 2, 3):
-                found[rows, self.pair_at[s[:, :-gap] << np.uint16(8) | s[:, gap:]]] = 1
-            found[:, -1] = 0
-            out[at : at + 4096] = (found @ self.has >= self.least).any(axis=1)
-        return out
+        """For each word and landmark, whether the word holds ``NEAR`` of the landmark's neighbouring pairs, with at most ``GAP`` bytes between."""
+        s = _matrix(words, max([GAP + 2, *map(len, words)])).astype(np.uint16)
+        found = np.zeros((len(words), len(self.has)), dtype=np.float32)
+        rows = np.arange(len(words))[:, None]
+        for step in range(1, GAP + 2):
+            found[rows, self.pair_at[s[:, :-step] << np.uint16(8) | s[:, step:]]] = 1
+        found[:, -1] = 0
+        return found @ self.has >= self.least
 
     def features(self, words: list[bytes]) -> np.ndarray:
-        """The normalised kernel of each word with each landmark."""
+        """The normalised kernel of each word with each landmark that it is near, 0 with the others."""
         out = np.zeros((len(words), len(self.landmarks)), dtype=np.float32)
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            own = np.sqrt(np.maximum(np.outer(_own_batch(some), self.norms), 1e-12))
-            out[at : at + 256] = kernel(some, self.landmarks) / own
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            i, j = np.nonzero(self.near(some))
+            if len(i):
+                rows, place = np.unique(i, return_inverse=True)
+                asked = [some[k] for k in rows]
+                own = paired_kernel(asked, asked)[place]
+                both = paired_kernel([some[k] for k in i], [self.landmarks[k] for k in j])
+                out[at + i, j] = both / np.sqrt(np.maximum(own * self.norms[j], 1e-12))
         return out
 
     def learn_of(self, new: Iterable[bytes]) -> None:
-        """Compute and remember the margins of new units."""
+        """Compute and remember the features of new units that are near a landmark."""
+        new = list(new)
         self.seen.update(new)
         if not self.landmarks:
             return
-        parts = [(w, p) for w in new for p in windows(bare(w)) if len(p) >= ORDER]
-        close = [x for x, good in zip(parts, self.near([p for _, p in parts]), strict=True) if good] if parts else []
-        if close:
-            for (w, _), m in zip(close, (self.features([p for _, p in close]) @ self.weights + self.bias).tolist(), strict=True):
-                self.margins[w] = max(m, self.margins.get(w, FLOOR))
-            self.hot = set(self.margins)
-
-    def margin(self, text_units: set[bytes]) -> float:
-        return max([self.margins[w] for w in text_units & self.hot], default=FLOOR)
-
-    def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
-        """Scores from 0 to 1; 0.5 is the machine's border."""
+        parts = [(w, p) for w in self.lettered(new) for p in windows(bare(w)) if len(p) >= ORDER]
+        found = self.features([p for _, p in parts])
+        for k in np.flatnonzero(found.any(axis=1)):
+            w = parts[k][0]
+            self.features_of[w] = np.maximum(found[k], self.features_of[w]) if w in self.features_of else found[k]
+        self.hot = set(self.features_of)
+
+    def sentences(self, low: bytes, whole: set[bytes]) -> list[tuple[set[bytes], np.ndarray]]:
+        """The sentences of a text that hold a near unit: those units, and the sentence's features. ``whole`` has the text's units."""
+        here = whole & self.hot
+        if len(here) < 2:
+            return [({w}, self.features_of[w]) for w in here]
+        out = []
+        for s in _SENTENCE.split(low):
+            if u := here & units(s):
+                out.append((u, np.maximum.reduce([self.features_of[w] for w in u]) if len(u) > 1 else self.features_of[min(u)]))
+        cut = here.difference(*(u for u, _ in out))  # letters apart across a boundary
+        return [*out, *(({w}, self.features_of[w]) for w in sorted(cut))]
+
+    def look(self, texts: Iterable[bytes | None]) -> list[list[tuple[set[bytes], np.ndarray]]]:
+        """The sentences with near units of each text."""
         if len(self.seen) > MEMO_WORDS:  # before it is known which units are new
-            self.seen, self.margins, self.hot = set(), {}, set()
-        held = [units(t) for t in texts]
+            self.seen, self.features_of, self.hot = set(), {}, set()
+        lows = [lowered(t) for t in texts]
+        held = [units(t) for t in lows]
         new: set[bytes] = set()
         for u in held:
             new |= u - self.seen
         self.learn_of(new)
-        return 1 / (1 + np.exp(-STEEPNESS * np.clip([self.margin(u) for u in held], -3, 3)))
+        return [self.sentences(low, u) for low, u in zip(lows, held, strict=True)]
+
+    def margins(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        return np.array([max([float(f @ self.weights) + self.bias for _, f in found], default=FLOOR) for found in self.look(texts)], dtype=np.float64)
+
+    def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        """Scores from 0 to 1; 0.5 is the machine's border."""
+        return 1 / (1 + np.exp(-STEEPNESS * np.clip(self.margins(texts), -3, 3)))
 
 
 def _variants(word: bytes) -> list[bytes]:
@@ -241,88 +290,138 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) ->
     return w[:-1], float(w[-1])
 
 
+def _pieces(low: bytes) -> set[bytes]:
+    """The bare units of a text, long ones as windows."""
+    return {p for w in units(low) for p in windows(w.strip(_EDGES)) if len(p) >= ORDER}
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition: each unit's number of clean and of toxic documents."""
     by = (Counter(), Counter())
     for b in batches:
         for y, t in zip(b.column("y").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-            by[y].update({w.strip(_EDGES) for w in units(t.as_py())})
-        if sum(map(len, by)) > MEMO_WORDS:
-            yield _counts(by)
-            by = (Counter(), Counter())
+            by[y].update(_pieces(lowered(t.as_py())))
+            if sum(map(len, by)) > MEMO_WORDS:
+                yield _counts(by)
+                by = (Counter(), Counter())
     yield _counts(by)
 
 
 def _counts(by: tuple[Counter, Counter]) -> pa.RecordBatch:
-    words = [w for w in by[0].keys() | by[1].keys() if ORDER < len(w) <= WINDOW // 2]
+    words = list(by[0].keys() | by[1].keys())
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([by[0][w] for w in words], pa.int64()), pa.array([by[1][w] for w in words], pa.int64())], names=["word", "clean", "toxic"])
 
 
-def _contexts(words: set[bytes]):
-    """Of toxic documents: which of ``words`` come after which word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = set()
-            for y, t in zip(b.column("y").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                if y:
-                    row = [w.strip(_EDGES) for w in (t.as_py() or b"").decode().lower().encode().split()]
-                    found |= {(w, before) for before, w in zip([b"", *row], row, strict=False) if w in words}
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], names=["word", "before"])
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of toxic documents: which unit comes after which word."""
+    for b in batches:
+        found = set()
+        for y, t in zip(b.column("y").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+            if y:
+                row = [w.strip(_EDGES) for w in lowered(t.as_py()).split()]
+                found |= {(p, before) for before, w in zip([b"", *row], row, strict=False) for p in windows(w)}
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.binary())], names=["word", "before"])
 
-    return run
 
+def _sentence_rows(machine: Machine):
+    """Of labelled documents: the sentences with units near a landmark, whether they hold one as it is written, and their features."""
 
-def _near_words(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = set(machine.landmarks)
         for b in batches:
-            words = b.column("word").to_pylist()
-            yield b.filter(pa.array(machine.near(words) if words else np.zeros(0, bool)))
+            rows = []
+            texts = [t.as_py() for t in b.column("text").cast(pa.binary())]
+            for bag, y, found in zip(b.column("bag").to_pylist(), b.column("y").to_pylist(), machine.look(texts), strict=True):
+                rows += [(bag, y, not marks.isdisjoint(p for w in u for p in windows(w.strip(_EDGES))), f.tolist()) for u, f in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.float32())))], names=["bag", "y", "exact", "f"]
+            )
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Machine:
-    """Fit on ``rows`` labelled rows of ``docs`` at most, none of them held out."""
-    texts = training_texts(docs, labels, label, rows).select("text", "y").cache()
+def landmarks(texts: DataFrame, most: int = LANDMARKS) -> list[bytes]:
+    """The landmarks of labelled ``texts`` (text, y), the ones of most contexts first."""
     counts = texts.mapInArrow(_count, "word binary, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).cache()
     try:
         n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
         if not n.get(0) or not n.get(1):
-            return Machine([], np.empty(0), FLOOR)
-        # So many contexts that chance alone gives less than one word all of whose documents are toxic.
+            return []
+        # So many contexts that chance alone gives less than one unit all of whose documents are toxic.
         often = counts.filter("clean + toxic >= 3").count()
         least = max(3, math.ceil(math.log(max(often, 1)) / math.log((n[0] + n[1]) / n[1])))
-        odd = counts.filter((F.col("toxic") >= least) & (F.col("clean") * n[1] * 100 <= F.col("toxic") * n[0]))
-        words = {bytes(r["word"]) for r in odd.orderBy(F.desc("toxic"), "word").limit(CANDIDATES).collect()}
-        seen = texts.mapInArrow(_contexts(words), "word binary, before binary").groupBy("word").agg(F.countDistinct("before").alias("n"))
-        marks = [bytes(r["word"]) for r in seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(LANDMARKS).collect()]
-        empty = Machine(marks, np.zeros(len(marks)), FLOOR)
-        if not marks:
-            return empty
-        others = counts.filter("clean > 0").select("word", "clean").join(F.broadcast(seen.sparkSession.createDataFrame([(w,) for w in marks], "word binary")), "word", "left_anti")
-        close = others.mapInArrow(_near_words(empty), "word binary, clean bigint").cache()
-        common = close.orderBy(F.desc("clean"), "word").limit(NEGATIVES // 2).collect()
-        other = close.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()
-        close.unpersist()
-        negative = sorted({bytes(r["word"]) for r in common + other})
+        odd = counts.filter((F.col("toxic") >= least) & (F.col("clean") * n[1] * 100 <= F.col("toxic") * n[0])).select("word")
+        seen = texts.mapInArrow(_contexts, "word binary, before binary").join(odd, "word", "left_semi").groupBy("word").agg(F.countDistinct("before").alias("n"))
+        return [bytes(r["word"]) for r in seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
     finally:
         counts.unpersist()
-        texts.unpersist()
-    positive = marks + [v for w in marks for v in _variants(w)]
-    x = empty.features(positive + negative).astype(np.float64)
+
+
+def trained(marks: list[bytes], rows: list[tuple[int, int, bool, list[float]]]) -> Machine:
+    """The machine of sentences (bag, y, whether a landmark is in it, features)."""
+    machine = Machine(marks, np.zeros(len(marks)), FLOOR)
+    f = np.array([r[3] for r in rows], dtype=np.float64).reshape(len(rows), len(marks))
+    bag, y, exact = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+    k = machine.features(marks).astype(np.float64)
     # Nyström: a linear machine on K(., landmarks) K(landmarks, landmarks)^(-1/2)
-    k = empty.features(marks).astype(np.float64)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.array([1.0] * len(marks) + [VARIANT_WEIGHT] * (len(positive) - len(marks)) + [1.0] * len(negative))
-    w, bias = svm(x @ root, y, weight)
-    # Clean words stay on their side: the border moves up to the highest of them, but not above half of the witnesses.
-    margins = x @ (root @ w) + bias
-    highest = max(margins[len(positive) :], default=-1.0)
-    bias -= min(max(0.0, highest + 0.05), float(np.median(margins[: len(marks)])) / 2)
-    return Machine(marks, root @ w, bias)
+    misspelt = machine.features([v for w in marks for v in _variants(w)]).astype(np.float64)
+    misspelt = np.vstack([misspelt, k])
+    chosen = (y == 1) & (exact == 1)
+    w, bias = np.zeros(len(marks)), FLOOR
+    for _ in range(ROUNDS):
+        good, bad = f[chosen], f[y == 0]
+        # All sentences without a near unit are one point, the origin.
+        x = np.vstack([good, misspelt, bad, np.zeros((1, len(marks)))])
+        side = np.array([1.0] * (len(good) + len(misspelt)) + [-1.0] * (len(bad) + 1))
+        heavy = max(1.0, NEGATIVE_SHARE * max(len(good), 1) / (len(bad) + 1))
+        weight = np.array([1.0] * len(good) + [VARIANT_WEIGHT * max(1.0, len(good) / len(misspelt))] * len(misspelt) + [heavy] * (len(bad) + 1))
+        w, bias = svm(x @ root, side, weight / max(1.0, len(good) / 1000))
+        margin = f @ (root @ w) + bias
+        best: dict[int, int] = {}
+        for i in np.flatnonzero(y == 1):
+            if bag[i] not in best or margin[i] > margin[best[bag[i]]]:
+                best[bag[i]] = i
+        after = chosen.copy()
+        after[[i for i in best.values() if margin[i] > 0]] = True
+        if (after == chosen).all():
+            break
+        chosen = after
+    return Machine(marks, root @ w, bias - _border(bag, y, f @ (root @ w) + bias))
+
+
+def _border(bag: np.ndarray, y: np.ndarray, margin: np.ndarray) -> float:
+    """Where the documents' largest margins are told apart at the least cost; of equal borders the middle of the widest gap."""
+    most: dict[int, tuple[float, int]] = {}
+    for b, c, m in zip(bag.tolist(), y.tolist(), margin.tolist(), strict=True):
+        most[b] = max(most.get(b, (-math.inf, c)), (m, c))
+    points = sorted(most.values())
+    lost = sum(1 - c for _, c in points)  # clean documents above the border
+    missed, edges = 0, [(FLOOR, CLEAN_COST * lost, 0.0)]
+    for (m, c), above in zip(points, [*(p[0] for p in points[1:]), 3.0], strict=True):
+        missed, lost = missed + c, lost - (1 - c)
+        if above > m:
+            edges.append(((m + above) / 2, missed + CLEAN_COST * lost, above - m))
+    return min(edges, key=lambda e: (e[1], -e[2]))[0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> Machine:
+    """Fit on ``rows`` labelled rows of ``docs`` at most, none of them held out."""
+    texts = training_texts(docs, labels, label, rows).select("text", "y").dropDuplicates(["text", "y"]).cache()
+    try:
+        marks = landmarks(texts)
+        if not marks:
+            return Machine([], np.empty(0), FLOOR)
+        bags = texts.select(F.xxhash64("text").alias("bag"), "text", "y")
+        found = bags.mapInArrow(_sentence_rows(Machine(marks, np.zeros(len(marks)), FLOOR)), "bag bigint, y int, exact boolean, f array<float>").cache()
+        own = []
+        for c in (0, 1):
+            own += [tuple(r) for r in found.filter(F.col("y") == c).orderBy(F.xxhash64("bag"), "bag", "f").limit(SENTENCES).collect()]
+        found.unpersist()
+    finally:
+        texts.unpersist()
+    return trained(marks, own)
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[bytes | None]:

@@ -240,7 +240,7 @@ def test_kernel_is_brute_force():
     for i, a in enumerate(words):
         for j, b in enumerate(words):
             assert got[i, j] == pytest.approx(brute_kernel(a, b, toxicity.ORDER, toxicity.DECAY), rel=1e-4, abs=1e-6)
-    assert toxicity._own_batch(words) == pytest.approx(np.diag(got), rel=1e-4, abs=1e-6)
+    assert toxicity.paired_kernel(words, words) == pytest.approx(np.diag(got), rel=1e-4, abs=1e-6)
 
 
 def test_toxicity(spark, marked):
@@ -256,6 +256,67 @@ def test_toxicity(spark, marked):
     assert toxicity.classify(docs(spark, []), labels).count() == 0
 
 
+def test_features_are_brute_force():
+    marks = [b"idiot", b"b\xc3\xb6seling", b"abc"]
+    machine = toxicity.Machine(marks, np.ones(3), 0.0)
+    words = [b"idiot", b"i.d.i.o.t", b"idxiot", b"ixxdxxixxoxxt", b"toidi", b"abcabc", b"axbxc", b"bo\xc3\xb6selingx", b"", b"zz"]
+    got = machine.features(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks):
+            pairs = set(zip(m, m[1:]))
+            held = sum(any(0 < y - x <= toxicity.GAP + 1 for x in range(len(w)) for y in range(len(w)) if (w[x], w[y]) == p) for p in pairs)
+            norm = math.sqrt(brute_kernel(w, w, 3, toxicity.DECAY) * brute_kernel(m, m, 3, toxicity.DECAY))
+            near = held >= max(2, math.ceil(toxicity.NEAR * len(pairs) - 1e-6))
+            assert got[i, j] == pytest.approx(brute_kernel(w, m, 3, toxicity.DECAY) / norm if near and norm else 0, rel=1e-3, abs=1e-6), (w, m)
+    asked = {words[k] for k in np.flatnonzero(got.any(axis=1))}
+    assert asked <= set(machine.lettered(words))
+    # Marks between letters and up to two inserted letters leave every pair there: none of 6,000 such spellings is passed over.
+    r = random.Random(3)
+    spelt = []
+    for m in (b"idiot", b"disgusting", b"worthless", b"scum", b"loser"):
+        for _ in range(1200):
+            spelt.append(b"".join(bytes([c]) + bytes(r.choice(b"xyzqaeio.-*") for _ in range(r.randint(0, 2))) for c in m))
+    big = toxicity.Machine([b"idiot", b"disgusting", b"worthless", b"scum", b"loser"], np.ones(5), 0.0)
+    assert len(big.lettered(spelt)) == len(spelt) and big.near(spelt).any(axis=1).all()
+
+
+def test_sentences_pool_their_units():
+    machine = toxicity.Machine([b"idiot", b"loser"], np.array([1.0, 0.5]), -1.0)
+    text = "You idiot and l.o.s.e.r here. An idxiot there!\nnothing here? i d i o t".encode()
+    (found,) = machine.look([text])
+    f = {u: machine.features([toxicity.bare(u)])[0] for u in (b"idiot", b"l.o.s.e.r", b"idxiot")}
+    want = sorted([np.maximum(f[b"idiot"], f[b"l.o.s.e.r"]).tolist(), f[b"idxiot"].tolist(), f[b"idiot"].tolist()])  # the last: letters apart
+    got = sorted({tuple(x.tolist()) for _, x in found})
+    assert np.allclose(got, want)
+    assert machine.margins([text])[0] == pytest.approx(max(x @ machine.weights for x in map(np.array, want)) - 1.0, rel=1e-5)
+    assert machine.margins([b"clean words", b"", None]).tolist() == [toxicity.FLOOR] * 3
+
+
+def test_the_machine_is_the_least_of_its_loss():
+    r = np.random.default_rng(7)
+    x, y, weight = r.normal(0, 1, (60, 4)), np.where(r.random(60) < 0.5, 1.0, -1.0), r.random(60) + 0.1
+    w, bias = toxicity.svm(x, y, weight, 3.0)
+
+    def loss(v):
+        return v[:-1] @ v[:-1] / 3.0 + 1e-6 * v[-1] ** 2 + (weight * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    best = np.append(w, bias)
+    assert all(loss(best) <= loss(best + d) + 1e-9 for d in r.normal(0, 0.05, (500, 5)))
+
+
+def test_bags_find_the_sentence_that_is_the_reason():
+    """Of toxic documents without a landmark as written the sentence nearest to one becomes positive; the border loses no clean document for a missed one."""
+    marks = [b"blorgnak"]
+    near, far = [0.8], [0.3]
+    rows = [(k, 1, True, [1.0]) for k in range(20)] + [(100 + k, 1, False, near) for k in range(20)] + [(100 + k, 1, False, far) for k in range(20)]
+    rows += [(200 + k, 0, False, far) for k in range(40)]
+    machine = toxicity.trained(marks, rows)
+    margin = lambda f: float(np.array(f) @ machine.weights + machine.bias)
+    assert margin([1.0]) > 0 and margin(near) > 0 > margin(far)
+    bag, y, m = np.arange(6), np.array([0, 0, 1, 0, 1, 1]), np.array([-1.0, 0.1, 0.2, 0.5, 0.6, 0.9])
+    assert toxicity._border(bag, y, m) == pytest.approx(0.55)
+
+
 def test_a_worker_that_forgets_gives_the_same_scores(monkeypatch):
     marks = [b"blorgnak", b"fenwizzle"]
     machine = toxicity.Machine(marks, np.array([2.0, 2.0]), -1.0)
