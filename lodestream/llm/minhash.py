@@ -116,11 +116,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     A node that is u of many pairs is dealt over one salt for each ``SHARE`` of them, so
     that no key of the join has more than about that many.
     """
-    often = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("salts"))
+    hot = pairs.groupBy("u").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("salts")).filter("salts > 1")
+    salts = F.coalesce("salts", F.lit(1))
     one = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
-    two = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")).join(often, "u")
-    two = two.select("u", "text_u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    dealt = pairs.join(often, "u").select("u", "v", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"))
+    two = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")).join(hot, "u", "left")
+    two = two.select("u", "text_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    dealt = pairs.join(hot, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"))
     both = dealt.join(one, "v").join(two, ["u", "salt"]).select("u", "v", "text_u", "text_v")
     return both.mapInArrow(_checker(percent), "u bigint, v bigint")
 
@@ -176,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     known = full.select(F.col("row").alias("node"), "doc_key", "set_key").join(wanted, "node", "left_semi")
     texts, texts_path = scratch.table(_texts(keyed, known), "minhash-texts")
 
-    star = rows.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+    star, star_path = scratch.table(rows.filter("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "minhash-star")
     links, links_path = scratch.table(_confirmed(star, texts, percent), "minhash-links")
     first = components(links, "minhash-first")
 
@@ -201,6 +202,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
         able = able & (_differing("sketch_u", "sketch_v") <= may_differ)
     meet = (a["band"] == b["band"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
     cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
+    cross, cross_path = scratch.table(cross, "minhash-cross")
     late = _confirmed(cross, texts, percent)
     linked = components(links.unionByName(late), "minhash-all")
 
@@ -212,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     out = out.select(
         F.nullif("doc_key", F.lit(_NO_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("doc_key") == component).alias("kept")
     )
-    scratch.drop(docs.sparkSession, sized_path, rows_path, texts_path, links_path, ready_path)
+    scratch.drop(docs.sparkSession, sized_path, rows_path, star_path, texts_path, links_path, ready_path, cross_path)
     return out
 
 
