@@ -1,55 +1,254 @@
-"""Ordered alignment of transcripts with a side store, and text overlap joins."""
+"""Ordered alignment of transcripts with a side store, tool names, and text overlap joins."""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AHEAD, PREFIX = 16, 64
+#: Store rows that are looked at from the place on and before it, and characters at which two texts may begin alike.
+AHEAD, BEHIND, PREFIX = 16, 64, 64
+#: Characters from which an argument's value says something, and from which it says much.
+TELLING, LONG = 4, 32
+#: What a pair of block and row shows, the less the earlier.
+AGAINST, WEAK, NEUTRAL, PARTIAL, FOR = range(5)
+
+# Fields of stored arguments that say nothing, and of given ones; names that one tool has on both sides.
+STORED_NOISE = frozenset({"toolCallId", "parsingResult", "requestedSandboxPolicy", "commandDescription", "cwd"})
+GIVEN_NOISE = frozenset({"working_directory", "cwd", "description", "explanation"})
+ALIASES = {"shell": ("runterminalcommandv2", "runterminalcmd"), "strreplace": ("editfilev2", "searchreplace"), "write": ("editfilev2", "writefile", "createfilev2")}
+
+STORE = ("pos", "role", "text", "tool", "args")
+_STAMP = re.compile(r"<timestamp>.*?(?:</timestamp>|\Z)", re.S)
+_QUERY = re.compile(r"<user_query>(.*?)</user_query>", re.S)
 
 
-def _normal(text: str | None) -> str:
-    return " ".join((text or "").split())
+def plain(text: str | None) -> str:
+    """A text without time stamps and query tags, with line feeds alone, trimmed. An open query tag cuts it."""
+    bare = _QUERY.sub(r"\1", _STAMP.sub("", text or ""))
+    return bare.split("<user_query>", 1)[0].replace("\r\n", "\n").strip()
 
 
 def overlaps(a: str, b: str) -> bool:
-    """Whether one text holds the other, or both begin alike for 64 characters."""
-    return bool(a and b) and (a in b or b in a or a[:PREFIX] == b[:PREFIX])
-
-
-def _align(turns: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
-    """Each turn takes the next store row of its role with overlapping text, at most 16 rows ahead; the place moves only on a match."""
-    turns, store = turns.sort_values("turn"), store.sort_values(["pos", "role", "text"])
-    rows = [(r, _normal(t)) for r, t in zip(store["role"], store["text"], strict=True)]
-    at, out = 0, []
-    for role, text in zip(turns["role"], turns["text"], strict=True):
-        want = _normal(text)
-        hit = next((k for k in range(at, min(len(rows), at + AHEAD)) if rows[k][0] == role and overlaps(want, rows[k][1])), None)
-        if hit is not None:
-            at = hit + 1
-        out.append(hit)
-    matched = pd.array(out, dtype="Int64")
-    last = max((k for k, m in enumerate(out) if m is not None), default=-1)
-    status = ["matched" if m is not None else "tail" if k > last else "mismatch" for k, m in enumerate(out)]
-    return pd.DataFrame({"conv_id": turns["conv_id"].to_numpy(), "turn": turns["turn"].to_numpy(), "store_row": matched, "status": status})
-
-
-def align(turns: DataFrame, store: DataFrame) -> DataFrame:
-    """(conv_id, turn, store_row, status) of ``turns`` (conv_id, turn, role, text) against ``store`` (conv_id, pos, role, text).
-
-    A turn without a match is ``tail`` after the last match of its conversation, else ``mismatch``.
+    """Whether one plain text holds the other, or both begin alike for 64 characters (the shorter one's, if it has fewer)."""
+    return bool(a and b) and (a in b or b in a or a[: min(len(a), len(b), PREFIX)] == b[: min(len(a), len(b), PREFIX)])
+
+
+def bare_name(name: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]", "")
+
+
+def names_match(shown: Column, stored: Column) -> Column:
+    """Whether two tools may be one: a name is missing or holds the other, is its alias, or both call other servers' tools."""
+    a, b = bare_name(shown), bare_name(stored)
+    known = reduce(lambda x, y: x | y, [(a == k) & b.isin(*v) for k, v in ALIASES.items()])
+    return (a == "") | (b == "") | F.contains(a, b) | F.contains(b, a) | ((a == "callmcptool") & F.startswith(b, F.lit("mcp"))) | known
+
+
+def _names_match(shown: str | None, stored: str | None) -> bool:
+    a, b = (re.sub("[^a-z0-9]", "", (x or "").lower()) for x in (shown, stored))
+    return a in b or b in a or (a == "callmcptool" and b.startswith("mcp")) or b in ALIASES.get(a, ())
+
+
+def _leaves(value: object, skip: frozenset[str]) -> Iterator[tuple[str, bool]]:
+    """(value, whether it says something) of the texts and numbers in a JSON value."""
+    if isinstance(value, str):
+        if value:
+            yield value, len(value) >= TELLING
+    elif isinstance(value, bool) or value is None:
+        return
+    elif isinstance(value, int | float):
+        yield f"{value:g}", False
+    else:
+        for x in value if isinstance(value, list) else (v for k, v in sorted(value.items()) if k not in skip):
+            yield from _leaves(x, skip)
+
+
+def arguments(given: str | None, stored: str | None) -> tuple[int, int]:
+    """What the arguments of a call show against those stored, and how many telling values are the same."""
+    if not given or (stored or "").strip() in ("", "{}", "null"):
+        return NEUTRAL, 0
+    try:
+        kept = list(_leaves(json.loads(stored), STORED_NOISE))
+        read = True
+    except ValueError:
+        kept, read = [], False
+    if read and not any(telling for _, telling in kept):
+        return NEUTRAL, 0
+    try:
+        asked = json.loads(given)
+        if not isinstance(asked, dict):
+            raise ValueError(given)
+    except ValueError:
+        return (FOR, 1) if not read and given in stored else (AGAINST, 0)
+    have = {v for v, _ in kept}
+    values = list(_leaves(asked, GIVEN_NOISE))
+    telling = [v for v, says in values if says]
+    same = [v for v in telling if v in have or (not read and len(v) >= LONG and (v in stored or json.dumps(v, ensure_ascii=False)[1:-1] in stored))]
+    if not telling:
+        return NEUTRAL, 0
+    unexplained = read and any(v not in have for v, says in values if not says)
+    if same and ((len(same) == len(telling) and not unexplained) or not read):
+        return FOR, len(same)
+    if not same:
+        return AGAINST, 0
+    return (PARTIAL if any(len(v) >= LONG for v in same) else WEAK), len(same)
+
+
+class _Store:
+    """A conversation's store rows, what became of each, and the place that the walk has reached."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows, self.place = rows, 0
+        self.taken: dict[int, tuple[int, int]] = {}
+        self.declined: set[int] = set()
+
+    def weigh(self, block: dict, row: dict) -> tuple[int, int]:
+        if row["role"] and row["role"] != block["role"]:
+            return AGAINST, 0
+        if block["name"] is not None or block["input"] is not None:
+            return arguments(block["input"], row["args"]) if row["tool"] is not None else (AGAINST, 0)
+        if row["tool"] is not None:
+            return AGAINST, 0
+        a, b = plain(block["text"]), row["plain"]
+        if overlaps(a, b):
+            return FOR, 1
+        return (NEUTRAL, 0) if not (a and b) else (AGAINST, 0)
+
+    def find(self, block: dict) -> tuple[int | None, str]:
+        """The row that a block takes, and ``matched``, ``repeat``, ``ambiguous`` or ``none``."""
+        tool = block["name"] is not None or block["input"] is not None
+        free = lambda i: i not in self.taken and i not in self.declined
+        shown = lambda i: (i, *self.weigh(block, self.rows[i]), not tool or _names_match(block["name"], self.rows[i]["tool"]))
+        ahead = [shown(i) for i in range(self.place, min(len(self.rows), self.place + AHEAD)) if i not in self.declined]
+        behind = [shown(i) for i in range(self.place - 1, max(-1, self.place - BEHIND - 1), -1) if free(i)]
+        for side in (ahead, behind):  # what speaks for a row wins, the most first, then the nearest
+            sure = [x for x in side if x[1] == FOR]
+            if sure:
+                return self._take(*max(sure, key=lambda x: x[2])[:3])
+        if not tool:
+            behind = []
+        rest = self._rest(ahead, behind)
+        again = [self.taken[i] for i in self.taken if tool and i < self.place and self.taken[i][0] >= PARTIAL and self.weigh(block, self.rows[i]) == self.taken[i]]
+        if again:
+            if any(free(i) and self.weigh(block, r)[0] == FOR for i, r in enumerate(self.rows)):
+                return None, "none"
+            if rest and rest[1] == NEUTRAL:
+                self.declined.add(rest[0])
+                return None, "ambiguous"
+            if not rest or rest[1:] < max(again):
+                return None, "repeat"
+        return self._take(*rest) if rest else (None, "none")
+
+    @staticmethod
+    def _rest(ahead: list, behind: list) -> tuple[int, int, int] | None:
+        """Of rows that nothing speaks for: a lone partial one, else the nearest ahead, then behind, then those of weak evidence; names must match but for partial ones."""
+        partial = [x for x in [*ahead, *behind] if x[1] == PARTIAL]
+        if len(partial) == 1:
+            return partial[0][:3]
+        for levels in ((PARTIAL, NEUTRAL), (WEAK,)):
+            for side in (ahead, behind):
+                for x in side:
+                    if x[1] in levels and (x[1] == PARTIAL or x[3]):
+                        return x[:3]
+        return None
+
+    def _take(self, i: int, ev: int, n: int) -> tuple[int, str]:
+        self.taken[i] = (ev, n)
+        self.place = max(self.place, i + 1)
+        return i, "matched"
+
+
+def _align(blocks: pd.DataFrame, store: pd.DataFrame) -> pd.DataFrame:
+    if blocks.empty:
+        return pd.DataFrame({"conv_id": [], "turn": [], "store_row": [], "status": []})
+    store = store.rename(columns={f"store_{c}": c for c in STORE})
+    if store.empty:  # it may have no columns then
+        store = pd.DataFrame({c: [] for c in STORE})
+    blocks, store = blocks.sort_values("turn"), store.sort_values(["pos", "role", "text"])
+    read = lambda df, names: [dict(zip(names, (None if pd.isna(v) else v for v in r), strict=True)) for r in df[names].itertuples(index=False)]
+    held = _Store([r | {"plain": plain(r["text"])} for r in read(store, ["role", "text", "tool", "args"])])
+    out = []
+    for b in read(blocks, ["role", "text", "name", "input"]):
+        withheld = (b["text"] or "").strip() == "[REDACTED]"
+        out.append((None, "skipped") if withheld else held.find(b))
+    last = max((k for k, (_, s) in enumerate(out) if s == "matched"), default=None)
+    status = [("tail" if last is not None and k > last else "mismatch") if s == "none" else s for k, (_, s) in enumerate(out)]
+    return pd.DataFrame({"conv_id": blocks["conv_id"].to_numpy(), "turn": blocks["turn"].to_numpy(), "store_row": pd.array([i for i, _ in out], dtype="Int64"), "status": status})
+
+
+def align(blocks: DataFrame, store: DataFrame) -> DataFrame:
+    """(conv_id, turn, store_row, status) of ``blocks`` (conv_id, turn, role, text, and for tool calls name, input) against ``store`` (conv_id, pos, role, text, and tool, args).
+
+    A block takes the row that speaks most for it, of the 16 from the place on, then of
+    the 64 before it; failing that a row that nothing speaks against. The place moves
+    past each row taken, never back. A call that shows the same as one matched before
+    is a ``repeat``; one that could as well be a row without arguments is ``ambiguous``,
+    and neither takes a row. A block without a row is ``tail`` after the last match of
+    its conversation, else ``mismatch``; withheld reasoning is ``skipped``. The walk is
+    by its nature one of each conversation, which meets in one task.
     """
-    both = turns.groupBy("conv_id").cogroup(store.withColumnRenamed("conv_id", "store_conv").groupBy("store_conv"))
+    empty = lambda df, names: df.select("*", *(F.lit(None).cast("string").alias(c) for c in names if c not in df.columns))
+    # New names: columns that both sides take from one table would be one column, and pruned with the other.
+    side = empty(store, ["tool", "args"]).select(F.col("conv_id").alias("store_conv"), *(F.col(c).alias(f"store_{c}") for c in STORE))
+    both = empty(blocks, ["name", "input"]).groupBy("conv_id").cogroup(side.groupBy("store_conv"))
     return both.applyInPandas(lambda a, b: _align(a, b), "conv_id bigint, turn bigint, store_row bigint, status string")
 
 
-def prefix_join(items: DataFrame, turns: DataFrame, n: int) -> DataFrame:
-    """(item_id, conv_id, turn): turns that hold an item's first ``n`` characters.
+def scaffolding(tool: Column, reasoning: Column, step: Column, capability: Column, text: Column) -> Column:
+    """Whether a store row only holds the conversation together: no tool, no reasoning, and a step, a capability, or no text."""
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    return none(tool) & none(reasoning) & (F.coalesce(step, F.lit(False)) | ~none(capability) | none(text))
+
+
+def ordered_rows(headers: DataFrame, inline: DataFrame, rows: DataFrame) -> DataFrame:
+    """(conv_id, row_id, place): a conversation's rows as its headers list them, gaps left out; without any, as its own list has them; else by time.
 
-    Every place of a turn gives a key of ``n`` characters, so that this is an equality join.
+    ``headers`` and ``inline`` have (conv_id, pos, row_id), ``rows`` (conv_id, row_id, created).
     """
-    keys = items.select("item_id", F.left("text", F.lit(n)).alias("key"))
-    long = turns.filter(F.length("text") >= n).select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(1), F.length("text") - n + 1)).alias("at"))
-    placed = long.select("conv_id", "turn", F.substr("text", F.col("at"), F.lit(n)).alias("key"))
-    return placed.join(keys, "key").select("item_id", "conv_id", "turn").distinct()
+    listed = headers.join(rows.select("conv_id", "row_id"), ["conv_id", "row_id"]).select("conv_id", "row_id", F.lit(0).alias("tier"), F.col("pos").cast("string").alias("at"), F.col("pos").alias("n"))
+    own = inline.select("conv_id", "row_id", F.lit(1).alias("tier"), F.lit("").alias("at"), F.col("pos").alias("n"))
+    timed = rows.select("conv_id", "row_id", F.lit(2).alias("tier"), F.coalesce(F.col("created").cast("string"), F.lit("")).alias("at"), F.lit(0).cast("bigint").alias("n"))
+    both = listed.withColumn("at", F.lit("")).unionByName(own).unionByName(timed)
+    best = both.groupBy("conv_id").agg(F.min("tier").alias("tier"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "n", "row_id"))
+    return both.join(best, ["conv_id", "tier"]).select("conv_id", "row_id", place.cast("bigint").alias("place"))
+
+
+def holding(items: DataFrame, turns: DataFrame, key: int = 32) -> DataFrame:
+    """(item_id, conv_id, turn): turns and items of which one holds the other's whole plain text, or that begin alike for 64 characters.
+
+    Each text gives the hash of its first ``key`` characters as a probe, and hashes of
+    all its places of that length as answers; a pair that meets is confirmed on the
+    whole texts. Shorter texts are probed at their own lengths, of which there are at
+    most ``key``. Equal texts are confirmed once.
+    """
+    a = items.select("item_id", _plain(F.col("text")).alias("a")).filter("a <> ''")
+    b = turns.select("conv_id", "turn", _plain(F.col("text")).alias("b")).filter("b <> ''")
+    one, two = a.select("a").distinct(), b.select("b").distinct()
+    pairs = _holds(one, "a", two, "b", key).unionByName(_holds(two, "b", one, "a", key))
+    alike = one.withColumn("k", F.left("a", F.lit(PREFIX))).filter(F.length("a") >= PREFIX).join(two.withColumn("k", F.left("b", F.lit(PREFIX))), "k").select("a", "b")
+    return pairs.unionByName(alike).distinct().join(a, "a").join(b, "b").select("item_id", "conv_id", "turn")
+
+
+def _plain(text: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<timestamp>.*?(?:</timestamp>|\z)", ""), r"(?s)<user_query>(.*?)</user_query>", "$1")
+    return F.regexp_replace(F.replace(F.substring_index(bare, "<user_query>", 1), F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
+
+
+def _holds(small: DataFrame, s: str, large: DataFrame, t: str, key: int) -> DataFrame:
+    """Pairs of texts of which ``t`` holds ``s``: by the first ``key`` characters of ``s``, or all of a shorter one."""
+    probes = small.select(s, F.left(s, F.lit(key)).alias("k")).withColumn("n", F.length("k"))
+    sizes = sorted(r[0] for r in probes.select("n").distinct().collect())  # at most ``key`` numbers
+    if not sizes:
+        return small.crossJoin(large.limit(0)).select("a", "b")
+    at_all = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substr(F.col(t), i, F.lit(n))))
+    cut = F.flatten(F.array(*(F.when(F.length(t) >= n, at_all(n)).otherwise(F.array().cast("array<bigint>")) for n in sizes)))
+    placed = large.select(t, F.explode(F.array_distinct(cut)).alias("h"))
+    met = probes.withColumn("h", F.xxhash64("k")).join(placed, "h")
+    return met.filter(F.contains(t, F.col(s))).select("a", "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["source_id", "id"]
@@ -21,22 +21,55 @@ def classify(now: DataFrame, state: DataFrame) -> DataFrame:
     return now.join(was, KEY, "left").withColumn("decision", decision).drop("_size", "_hash", "_known", "parked")
 
 
+def before_reading(recompute_s: int = 24 * 3600, live: bool = False) -> Column:
+    """``skipped``, ``unchanged`` or ``read``, by what is known without reading a file.
+
+    A parked file waits until ``backoff_until`` unless a new snapshot of its series is
+    there. One of the remembered size, time and path whose hash is known and whose
+    policy is met needs no reading; of a ``live`` source only once it is older than the
+    recompute window.
+    """
+    skip = F.col("parked") & (F.col("now") < F.col("backoff_until")) & ~F.col("new_snapshot")
+    same = ~F.col("parked") & F.col("policy_met") & (F.col("size") == F.col("was_size")) & (F.col("mtime") == F.col("was_mtime")) & (F.col("was_hash") != "") & (F.col("path") == F.col("was_path"))
+    if live:
+        same = same & (F.col("now") - F.col("mtime") >= recompute_s)
+    return F.when(skip, "skipped").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("read")
+
+
+def policy_met(forced: Column, target: Column, sealed: Column) -> Column:
+    """Whether a file needs no new sending: none is forced, or it was sealed under the (known) target policy."""
+    return ~forced | ((target != "") & sealed.eqNullSafe(target))
+
+
 def vanished(state: DataFrame, now: DataFrame) -> DataFrame:
     """State rows without a row in ``now``, of sources that ``now`` holds at all."""
     return state.join(now.select("source_id").distinct(), "source_id", "left_semi").join(now.select(*KEY), KEY, "left_anti")
 
 
+def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, upper_median): the middle value of each group, of two the greater. From counts of equal values, so no group's values meet in one place."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    total = F.sum("n").over(Window.partitionBy(by))
+    placed = counts.withColumns({"upto": upto, "middle": F.floor(total / 2) + 1})
+    return placed.filter((F.col("upto") >= F.col("middle")) & (F.col("upto") - F.col("n") < F.col("middle"))).select(by, F.col(value).cast("bigint").alias("upper_median"))
+
+
 def report(outcomes: DataFrame) -> DataFrame:
-    """Counters by source, and the upper median of shipped sizes: the middle one, of two the greater."""
+    """Counters by source, and the upper median of shipped sizes."""
     shipped = F.col("decision").isin("new", "changed", "shrunk")
-    sizes = F.array_sort(F.collect_list(F.when(shipped, F.col("size"))))
-    return outcomes.groupBy("source_id").agg(
+    counts = outcomes.groupBy("source_id").agg(
         F.count_if(F.col("decision") == "new").alias("n_new"),
         F.count_if(F.col("decision").isin("changed", "shrunk")).alias("n_shipped"),
         F.count_if(F.col("decision") == "unchanged").alias("n_unchanged"),
         F.count_if(F.col("decision") == "parked").alias("n_parked"),
-        F.get(sizes, F.floor(F.count_if(shipped) / 2).cast("int")).cast("bigint").alias("upper_median"),
     )
+    return counts.join(upper_median(outcomes.filter(shipped), "source_id", "size"), "source_id", "left")
+
+
+def of_spec(state: DataFrame, specs: DataFrame) -> DataFrame:
+    """State rows whose source is still read as ``specs`` (source_id, spec) says; rows of another generation, or of a source that is gone, count as never seen."""
+    return state.join(specs.select("source_id", "spec").distinct(), ["source_id", "spec"], "left_semi")
 
 
 def backoff(attempt: str) -> Column:

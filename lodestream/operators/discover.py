@@ -28,12 +28,34 @@ def keep_best(forms: DataFrame, identity: str, order: list) -> DataFrame:
     return best.unionByName(bare)
 
 
-def sample_grid(rows: DataFrame, by: str, order: list, points: int) -> DataFrame:
-    """``points`` evenly spread rows of each group, first and last included; all rows of smaller groups."""
+def sample_grid(rows: DataFrame, by: str, size: str, tie: str, points: int) -> DataFrame:
+    """``points`` evenly spread rows of each group in order of (size, tie), first and last included; all rows of smaller groups.
+
+    Places come from counts of equal sizes; only rows of the sizes that hold a wanted
+    place are ordered, so no group is sorted as a whole.
+    """
+    counts = rows.groupBy(by, size).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(by)
-    placed = rows.withColumns({"_at": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / (points - 1)).cast("bigint"))
-    return placed.filter(F.array_contains(wanted, F.col("_at").cast("bigint"))).drop("_at", "_n")
+    placed = counts.withColumns({"_past": F.sum("_n").over(w.orderBy(size)) - F.col("_n"), "_all": F.sum("_n").over(w)})
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.floor(k * (F.col("_all") - 1) / (points - 1)).cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_all") - 1)
+    places = F.filter(F.when(F.col("_all") <= points, every).otherwise(grid), lambda x: (x >= F.col("_past")) & (x < F.col("_past") + F.col("_n")))
+    wanted = placed.withColumn("_at", F.transform(places, lambda x: x - F.col("_past"))).filter(F.size("_at") > 0).select(by, size, "_at")
+    some = rows.join(wanted, [by, size])
+    rank = F.row_number().over(Window.partitionBy(by, size).orderBy(tie)) - 1
+    return some.withColumn("_rank", rank.cast("bigint")).filter(F.array_contains("_at", F.col("_rank"))).drop("_rank", "_at")
+
+
+def within_budget(rows: DataFrame, by: str, size: str, tie: str, most: int) -> DataFrame:
+    """``rows`` with ``admitted`` and ``remaining``: the first ``most`` of each group in order of (size, tie) are admitted.
+
+    The last admitted row of a group is found among ``most`` rows of each task; all
+    others are only compared with it.
+    """
+    order = Window.partitionBy(by).orderBy(size, tie)
+    last = rows.select(by, size, tie).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).groupBy(by).agg(F.max(F.struct(size, tie)).alias("_last"))
+    counts = rows.groupBy(by).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("remaining"))
+    return rows.join(last.join(counts, by), by).withColumn("admitted", F.struct(size, tie) <= F.col("_last")).drop("_last")
 
 
 def remote(url: str) -> tuple[Column, Column]:

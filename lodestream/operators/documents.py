@@ -46,7 +46,7 @@ def audit_reason(reason: Column) -> Column:
     """A reason fit for the audit log: one line, cut after 500 bytes at a whole character, withheld if it holds a sentinel."""
     line = F.translate(reason, "\n\r", "  ")
     raw = F.encode(line, "UTF-8")
-    cut = F.decode(F.substr(raw, F.lit(1), F.lit(REASON_BYTES)), "UTF-8")
+    cut = F.make_valid_utf8(F.substr(raw, F.lit(1), F.lit(REASON_BYTES)).cast("string"))
     short = F.when(F.octet_length(line) > REASON_BYTES, F.concat(F.regexp_replace(cut, "�+$", ""), F.lit("…(truncated)"))).otherwise(line)
     return F.when(F.contains(line, F.lit("__REDACTED:")), "(reason withheld: contained payload-derived text)").otherwise(short)
 

@@ -17,6 +17,35 @@ def match_hosts(installs: DataFrame, install_id: str, imports: DataFrame, import
     return a.join(b, "label", "left").select(install_id, status.alias("status"), F.when(single, F.col("_import")).alias("import_id"))
 
 
+def paired(objects: DataFrame, tickets: DataFrame, key: str) -> DataFrame:
+    """(key, status) of each object: ``missing`` without a ticket of its id, ``duplicate`` with several, else ``paired``."""
+    held = tickets.groupBy(key).agg(F.count("*").alias("_n"))
+    return objects.select(key).join(held, key, "left").select(key, F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate").otherwise("paired").alias("status"))
+
+
+def served(collection: DataFrame, build: DataFrame, key: str) -> DataFrame:
+    """(key, note) of a collection's rows for a build: those that the build knows are served, the others are named as left out."""
+    known = build.select(key, F.lit(True).alias("_known")).distinct()
+    return collection.select(key).join(known, key, "left").select(key, F.when(F.col("_known"), "served").otherwise("left out: not in this build").alias("note"))
+
+
+def layer_in_force(fetched: Column, cached: Column, age_s: Column, lasts_s: int) -> Column:
+    """(value, origin): the fetched layer, else the cached one while it lasts, else none."""
+    usable = cached.isNotNull() & (age_s < lasts_s)
+    return F.struct(F.coalesce(fetched, F.when(usable, cached)).alias("value"), F.when(fetched.isNotNull(), "fetched").when(usable, "cached").when(cached.isNotNull(), "expired").otherwise("none").alias("origin"))
+
+
+def authors(configs: DataFrame, log: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, author): who wrote exactly these bytes, by their SHA-256; of several, the last."""
+    by_hash = log.groupBy("sha256").agg(F.max_by("author", "at").alias("author"))
+    return configs.select(key, F.sha2(text, 256).alias("sha256")).join(by_hash, "sha256", "left").select(key, "author")
+
+
+def merged_sets(layers: DataFrame, key: str, members: str) -> DataFrame:
+    """(key, members): a map of sets, such as exemptions by family: the union of what any layer lists, in order."""
+    return layers.select(key, F.explode(members).alias("_m")).groupBy(key).agg(F.array_sort(F.collect_set("_m")).alias(members))
+
+
 def catalog_counts(reports: DataFrame, active: DataFrame) -> DataFrame:
     """Active installs by source; a source reported twice by an install counts once."""
     return reports.distinct().join(active, "install", "left_semi").groupBy("source_id").agg(F.count("*").alias("installs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import paths
+from lodestream.operators import align, cdc, documents, fleet, jsonl, paths, records
 from lodestream.plans.registry import query, read, relational
 
 _TREE = "'/home/u' || (page_id % 5) || '/r' || (page_id % 7) || '/src/f' || page_id"
@@ -47,38 +47,20 @@ def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", paths.bounded(F.col("text"), 40).alias("head"))
 
 
-relational(
-    "denied_keys",
-    """select event_id, lower(event_type) like 'sign%' and lower(event_type) not in ('signature', 'signal') as denied from {events}""",
-)
 relational(
     "source_overrides",
     """select p_brand, max(case when p_size > 45 then 1 else 0 end) = 1 as disabled_locally,
          case when max(case when p_size > 45 then 1 else 0 end) = 1 then false else max(case when p_type like 'PROMO%' then 1 else 0 end) = 1 end as enabled from {part} group by p_brand""",
 )
-relational(
-    "enforcement_first_failure",
-    """select c_custkey, case when c_acctbal < -500 then 'balance' when c_mktsegment = 'MACHINERY' then 'segment' when c_nationkey not in (select n_nationkey from {nation} where n_regionkey < 4) then 'region' else 'ok' end as failure
-       from {customer}""",
-)
 relational(
     "ticket_bijection",
     """select coalesce(o.o_orderkey, l.l_orderkey) as object_id, case when o.o_orderkey is null then 'unexpected' when l.l_orderkey is null then 'missing' else 'paired' end as status
        from (select o_orderkey from {orders} where o_orderkey % 3 <> 0) o full outer join (select distinct l_orderkey from {lineitem} where l_orderkey % 4 <> 0) l on l.l_orderkey = o.o_orderkey""",
 )
-relational(
-    "cached_or_fetched",
-    """select n.n_nationkey, coalesce(r.r_name, n.n_name) as layer, case when r.r_name is null then 'cached' else 'fetched' end as origin
-       from {nation} n left join (select r_regionkey, r_name from {region} where r_regionkey % 2 = 0) r on r.r_regionkey = n.n_regionkey""",
-)
 relational(
     "newest_faults",
     """select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events} where event_type = 'error') where rn <= 5""",
 )
-relational(
-    "rule_hit_totals",
-    """select event_type as rule, count(*) as hits, count(distinct user_id) as files from {events} group by event_type""",
-)
 relational(
     "completeness",
     """select d.source, count(l.doc_id) as labelled, count(*) as files, round(cast(100 as double) * count(l.doc_id) / count(*), 3) as percent from {documents} d left join {labels} l on l.doc_id = d.doc_id group by d.source""",
@@ -97,28 +79,6 @@ relational(
     """select n_regionkey, min(case when n_name like '%A%' and n_nationkey % 2 = 0 then n_nationkey end) as picked, count(case when n_name not like '%A%' then 1 end) as absent,
          count(case when n_name like '%A%' and n_nationkey % 2 = 1 then 1 end) as denied from {nation} group by n_regionkey""",
 )
-relational(
-    "parked_backoff_skip",
-    """select doc_id, n_chars % 3 = 0 and n_chars % 120 > 60 and not (doc_id % 10 = 0) as skipped from {documents}""",
-)
-relational(
-    "policy_satisfied",
-    """select o_orderkey, o_orderstatus = 'F' or (o_orderstatus = 'O' and o_totalprice >= 50000) as satisfied from {orders}""",
-)
-relational(
-    "tool_name_match",
-    """select p_partkey, lower(replace(replace(p_type, ' ', ''), '_', '')) like concat('%', lower(substr(p_brand, 1, 5)), '%') or lower(p_type) like 'promo%' as compatible from {part}""",
-)
-relational(
-    "bubble_order",
-    """select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by case when l_returnflag = 'N' then 1 else 0 end, l_shipdate, l_linenumber) as place from {lineitem}
-       where l_linestatus <> 'X'""",
-)
-relational(
-    "enrich_counters",
-    """select l_shipmode_class, count(*) as n, count(case when ok then 1 end) as matched from (
-         select case when l_quantity > 25 then 'large' else 'small' end as l_shipmode_class, l_discount > 0.05 as ok from {lineitem}) group by l_shipmode_class""",
-)
 
 
 @query("select s_suppkey, sha256(length(s_name) || ':' || s_name || length(cast(s_nationkey as varchar)) || ':' || s_nationkey) as fingerprint from supplier")
@@ -127,3 +87,103 @@ def spec_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["s_name", "s_nationkey"]
     text = F.concat(*(x for f in fields for x in (F.length(F.col(f).cast("string")).cast("string"), F.lit(":"), F.col(f).cast("string"))))
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.sha2(text, 256).alias("fingerprint"))
+
+
+_KEYS = ("cursorAuth/accessToken", "CURSORAUTH.refresh", "cursorAuth/cachedEmail", "cursorauth/stripeMembershipType", "cursorAuth/cachedTeams", "composerData:1", "xcursorauth/y")
+
+
+@query("select event_id, event_id % 7 in (0, 1, 4) as denied from events")
+def denied_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store keys that hold credentials, with their exceptions."""
+    key = F.get(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % len(_KEYS)).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", records.key_denied(key).alias("denied"))
+
+
+@query("select c_custkey, ['ok', 'version', 'targets', 'packs', 'version'][c_custkey % 5 + 1] as failure from customer")
+def enforcement_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule of a served configuration that doesn't hold: a version that can be read, a target, known packs."""
+    k = "c_custkey % 5"
+    rows = read(spark, sf_dir, "customer").selectExpr("c_custkey", f"if({k} in (1, 4), 9, 2) as version", f"if({k} in (2, 4), 0, 1) as targets", f"if({k} = 3, array('core', 'x'), array('core')) as packs")
+    known = F.array(F.lit("core"), F.lit("pii"))
+    rules = {"version": F.col("version") > 3, "targets": F.col("targets") == 0, "packs": F.size(F.array_except("packs", known)) > 0}
+    return rows.select("c_custkey", documents.first_failure(rules).alias("failure"))
+
+
+@query("select n_nationkey, case n_nationkey % 4 when 0 then n_name when 1 then 'cached' end as value, ['fetched', 'cached', 'expired', 'none'][n_nationkey % 4 + 1] as origin from nation")
+def cached_or_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer in force: fetched, else cached while it lasts."""
+    k = F.col("n_nationkey") % 4
+    layer = fleet.layer_in_force(F.when(k == 0, F.col("n_name")), F.when(k < 3, F.lit("cached")), F.when(k == 2, 900).otherwise(10), 600)
+    return read(spark, sf_dir, "nation").select("n_nationkey", layer.alias("x")).select("n_nationkey", "x.value", "x.origin")
+
+
+@query(
+    """select rule, cast(sum(n) as bigint) as hits, count(*) as files from (
+         select 'email' as rule, 1 as n from conversations union all select 'key-name', 1 from conversations where turn % 2 = 0 union all select 'path-user', 1 from conversations where turn % 3 = 0) group by rule"""
+)
+def rule_hit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule hits of scrubbed lines, added up."""
+    line = """concat('{"to":"u', conv_id, '@mail.example.org"', if(turn % 2 = 0, ',"password":"p"', ''), if(turn % 3 = 0, ',"cwd":"/home/jane/x /home/jane"', ''), '}')"""
+    rows = read(spark, sf_dir, "conversations").selectExpr("conv_id", f"{line} as line")
+    hits = jsonl.scrub(rows, "conv_id", "line", user="jane").select(F.explode("rule_hits").alias("rule", "n"))
+    return hits.groupBy("rule").agg(F.sum("n").alias("hits"), F.count("*").alias("files"))
+
+
+@query("select doc_id, doc_id % 4 = 1 as skipped from documents")
+def parked_backoff_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parked files that wait: not after their time, nor where a new snapshot is there."""
+    rows = read(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "doc_id % 4 > 0 as parked", "if(doc_id % 4 = 2, 90, 110) as backoff_until", "100 as now", "doc_id % 4 = 3 as new_snapshot", "1 as size", "2 as was_size", "1 as mtime", "1 as was_mtime", "'h' as was_hash",
+        "'p' as path", "'p' as was_path", "true as policy_met",
+    )
+    return rows.select("doc_id", (cdc.before_reading() == "skipped").alias("skipped"))
+
+
+@query("select o_orderkey, [true, true, false, false, false][o_orderkey % 5 + 1] as satisfied from orders")
+def policy_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a file needs no sending anew under the policy in force."""
+    k = F.col("o_orderkey") % 5
+    sealed = F.when(k == 1, "now").when(k == 2, "before").when(k == 3, "").otherwise(F.lit(None).cast("string"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", cdc.policy_met(k > 0, F.when(k == 3, "").otherwise("now"), sealed).alias("satisfied"))
+
+
+_NAMES = (("Shell", "run_terminal_command_v2", True), ("StrReplace", "search_replace", True), ("Write", "create_file_v2", True), ("Read", "read_file_v2", True), ("Shell", "edit_file_v2", False), ("CallMcpTool", "mcp_x_y", True), ("CallMcpTool", "run", False), ("", "x", True), ("Grep", None, True), ("Write", "edit_file", False))
+
+
+@query(f"select p_partkey, [{', '.join(str(ok).lower() for *_, ok in _NAMES)}][p_partkey % {len(_NAMES)} + 1] as compatible from part")
+def tool_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool names of transcripts and of the side store that may be one tool."""
+    pick = lambda k: F.get(F.array(*(F.lit(x[k]) for x in _NAMES)), (F.col("p_partkey") % len(_NAMES)).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", align.names_match(pick(0), pick(1)).alias("compatible"))
+
+
+@query(
+    """with r as (select conv_id, turn from conversations where turn % 7 <> 6)
+       select conv_id, conv_id || '-' || turn as row_id, row_number() over (partition by conv_id order by case when conv_id % 3 = 0 then -turn else turn end) as place
+       from (select * from r where conv_id % 3 <> 1 union all select conv_id, turn from conversations where conv_id % 3 = 1)"""
+)
+def bubble_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store rows as their conversation's headers list them, else as it holds them itself, else by time."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("row_id")).distinct()
+    rows = turns.filter("turn % 7 <> 6 and conv_id % 3 <> 1").select("conv_id", "row_id", F.format_string("%08d", "turn").alias("created"))
+    headers = turns.filter("conv_id % 3 = 0").select("conv_id", F.negate("turn").cast("bigint").alias("pos"), "row_id")
+    inline = turns.filter("conv_id % 3 = 1").select("conv_id", F.col("turn").cast("bigint").alias("pos"), "row_id")
+    return align.ordered_rows(headers, inline, rows)
+
+
+@query(
+    """with t as (select conv_id, turn, turn % 5 <> 3 as kept, max(case when turn % 5 <> 3 then turn end) over (partition by conv_id) as last from conversations)
+       select status, count(*) as n from (select case when kept then 'matched' when last is not null and turn > last then 'tail' else 'mismatch' end as status from t) group by status"""
+)
+def enrich_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by what became of them in the alignment."""
+    from lodestream.plans.text import align_transcript
+
+    return align_transcript(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select f.family, string_agg(distinct f.path, ',' order by f.path) as paths from (select 'f' || (n_nationkey % 3) as family, 'p' || n_regionkey as path from nation union all select '*', 'version') f group by f.family")
+def exemption_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exempt paths by family, united over layers."""
+    layers = read(spark, sf_dir, "nation").selectExpr("concat('f', n_nationkey % 3) as family", "array(concat('p', n_regionkey)) as paths").unionByName(spark.sql("select '*' as family, array('version') as paths"))
+    return fleet.merged_sets(layers, "family", "paths").select("family", F.array_join("paths", ",").alias("paths"))

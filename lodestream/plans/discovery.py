@@ -42,7 +42,7 @@ def identity_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sniff_sample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five evenly spread documents of each source, in order of size."""
-    return discover.sample_grid(read(spark, sf_dir, "documents"), "source", ["n_chars", "doc_id"], 5).select("source", "doc_id")
+    return discover.sample_grid(read(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 5).select("source", "doc_id")
 
 
 relational(
@@ -52,11 +52,15 @@ relational(
     """select source, count(*) as files, cast(sum(case when n_chars <= 5000 then 1 else 0 end) as bigint) as kept, cast(sum(case when n_chars > 5000 then 1 else 0 end) as bigint) as oversize,
        max(case when n_chars > 5000 then n_chars end) as largest from {documents} group by source""",
 )
-relational(
-    "oldest_first_budget",
+
+
+@query(
     """select source, doc_id, rn <= 20 as admitted, greatest(n - 20, 0) as remaining from (
-         select source, doc_id, row_number() over (partition by source order by n_chars, doc_id) as rn, count(*) over (partition by source) as n from {documents})""",
+         select source, doc_id, row_number() over (partition by source order by n_chars, doc_id) as rn, count(*) over (partition by source) as n from documents)"""
 )
+def oldest_first_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty documents of each source by size are admitted."""
+    return discover.within_budget(read(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 20).select("source", "doc_id", "admitted", "remaining")
 
 
 @query(
@@ -167,10 +171,6 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("attempt", "key", cdc.backoff("attempt").alias("delay_s"))
 
 
-relational(
-    "spec_invalidate",
-    """select d.source, d.doc_id from {documents} d join (select source, max(doc_id) % 2 as generation from {documents} group by source) s on s.source = d.source where d.doc_id % 2 = s.generation""",
-)
 relational(
     "source_health",
     """select source, case when files = 0 then 'agent_absent' when ok = 0 then 'root_present_no_match' when unreadable * 2 > files then 'unreadable' else 'collected' end as health, files, ok
@@ -181,3 +181,12 @@ relational(
     """select d.source, count(*) as files, count(case when l.doc_id is null then 1 end) as pending, cast(coalesce(sum(case when l.doc_id is null then d.n_chars end), 0) as bigint) as pending_chars
        from {documents} d left join {labels} l on l.doc_id = d.doc_id group by d.source""",
 )
+
+
+@query("select source, doc_id from documents where doc_id % 2 = cast(substr(source, 4) as int) % 2")
+def spec_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remembered files whose source is still read in the same way."""
+    docs = read(spark, sf_dir, "documents")
+    state = docs.select(F.col("source").alias("source_id"), "doc_id", F.when(F.col("doc_id") % 2 == 0, "v2").otherwise("v1").alias("spec"))
+    specs = docs.select(F.col("source").alias("source_id")).distinct().withColumn("spec", F.when(F.substr("source_id", F.lit(4)).cast("int") % 2 == 0, "v2").otherwise("v1"))
+    return cdc.of_spec(state, specs).select(F.col("source_id").alias("source"), "doc_id")

@@ -16,11 +16,6 @@ relational(
     "dedupe_probe_needed",
     "select o_orderkey from {orders} where not exists (select 1 from {lineitem} where l_orderkey = o_orderkey and l_returnflag = 'R')",
 )
-relational(
-    "ticket_pairing",
-    """select o.o_orderkey, case when t.n is null then 'missing' when t.n > 6 then 'duplicate' else 'paired' end as status
-       from {orders} o left join (select l_orderkey, count(*) as n from {lineitem} group by l_orderkey) t on t.l_orderkey = o.o_orderkey""",
-)
 relational(
     "upload_validation",
     """select l_orderkey, l_linenumber, case when l_quantity <= 0 then 'size' when n > 1 then 'duplicate' when l_linenumber > 6 then 'too_many' when total > 250 then 'batch_bytes' else 'ok' end as reason from (
@@ -56,10 +51,6 @@ def fleet_catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.catalog_counts(reports, active)
 
 
-relational(
-    "served_collection_filter",
-    """select p_partkey, p_brand, case when p_size > 40 then 'left out: size' when p_brand in (select p_brand from {part} where p_retailprice > 2000) then 'left out: brand' else 'served' end as note from {part}""",
-)
 relational(
     "install_overview",
     """select c.c_custkey, o.last_seen, case when o.last_seen is null then null else datediff(date '1998-12-31', o.last_seen) end as silent_days
@@ -120,15 +111,13 @@ relational(
 
 
 @query(
-    """select user_id, ts from (select user_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as before from events)
-       where before is null or ts >= before + interval 1 minute"""
+    """with recursive e as (select distinct user_id, ts from events where ts is not null),
+       k as (select user_id, min(ts) as ts from e group by user_id
+             union all select k.user_id, min(e.ts) as ts from k join e on e.user_id is not distinct from k.user_id and e.ts >= k.ts + interval 1 minute group by k.user_id, k.ts)
+       select user_id, ts from k"""
 )
 def last_seen_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stamps that are written at most once a minute for each user; tested against a plain loop.
-
-    The SQL compares with the event before, not with the last stamp written: it is
-    the same only where no three events of a user come within two minutes.
-    """
+    """Stamps that are written at most once a minute for each user, counted from the last one written."""
     return eventlog.throttled(read(spark, sf_dir, "events"), 60)
 
 
@@ -145,7 +134,26 @@ relational(
     "organizations_with_config",
     """select distinct r_name from {region} where r_regionkey in (select n_regionkey from {nation})""",
 )
-relational(
-    "authorship_lookup",
-    """select c_custkey, o_orderkey from {customer} join {orders} on md5(cast(c_custkey as varchar(20))) = md5(cast(o_custkey as varchar(20))) where o_totalprice > 300000""",
-)
+
+
+@query("select o_orderkey, case when o_orderkey % 11 = 0 then 'missing' when o_orderkey % 7 = 0 then 'duplicate' else 'paired' end as status from orders")
+def ticket_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload tickets paired with their objects by id."""
+    objects = read(spark, sf_dir, "orders").select("o_orderkey")
+    tickets = objects.filter("o_orderkey % 11 <> 0")
+    return fleet.paired(objects, tickets.unionByName(tickets.filter("o_orderkey % 7 = 0")), "o_orderkey")
+
+
+@query("select p_partkey, case when p_partkey % 4 = 0 then 'left out: not in this build' else 'served' end as note from part")
+def served_collection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection's rows that a build knows, and a note for the rest."""
+    part = read(spark, sf_dir, "part")
+    return fleet.served(part, part.filter("p_partkey % 4 <> 0"), "p_partkey")
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'b' || c_custkey when c_custkey % 3 = 1 then 'a' || c_custkey end as author from customer")
+def authorship_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who wrote a configuration, by the hash of its bytes."""
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("{cfg: "), "c_custkey", F.lit("}")).alias("text"))
+    entry = lambda who, at, keep: customers.filter(keep).select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit(who), "c_custkey").alias("author"), F.lit(at).alias("at"))
+    return fleet.authors(customers, entry("a", 1, "c_custkey % 3 < 2").unionByName(entry("b", 2, "c_custkey % 3 = 0")), "c_custkey", "text")

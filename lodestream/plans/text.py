@@ -217,21 +217,33 @@ relational(
 )
 
 
+_ITEMS = "select item_id, case when item_id % 3 = 0 then '<timestamp>now</timestamp> ' || text || ' ' when item_id % 3 = 1 then '<user_query>' || left(text, 80) || '</user_query>' else substr(text, 5, 20) end as text from {benchmark}"
+_TURNS = "select conv_id, turn, case when turn % 4 = 0 then text when turn % 4 = 1 then substr(text, 3, 25) else left(text, 70) || ' and more' end as text from {conversations}"
+_BARE = "trim(replace(replace(replace(text, '<timestamp>now</timestamp>', ''), '<user_query>', ''), '</user_query>', ''), ' ' || chr(9) || chr(10) || chr(13))"
+
+
 @query(
-    """select b.item_id, c.conv_id, c.turn from benchmark b join conversations c on contains(c.text, left(b.text, 5))"""
+    f"""with i as (select item_id, {_BARE} as a from ({_ITEMS.format(benchmark="benchmark")}) union all select 1000 + conv_id as item_id, {_BARE} as a from conversations where turn = 0),
+            t as (select conv_id, turn, {_BARE} as b from ({_TURNS.format(conversations="conversations")}))
+       select distinct item_id, conv_id, turn from i join t on contains(a, b) or contains(b, a) or (length(a) >= 64 and length(b) >= 64 and left(a, 64) = left(b, 64)) where a <> '' and b <> ''"""
 )
 def text_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that hold the first five characters of a benchmark item."""
-    return align.prefix_join(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "conversations"), 5)
+    """Benchmark items and first turns against cuts of all turns: one holds the other, or both begin alike."""
+    turns = read(spark, sf_dir, "conversations")
+    items = spark.sql(_ITEMS, benchmark=read(spark, sf_dir, "benchmark")).unionByName(turns.filter("turn = 0").select((F.col("conv_id") + 1000).alias("item_id"), "text"))
+    return align.holding(items, spark.sql(_TURNS, conversations=turns)).distinct()
 
 
-@query()
+@query(
+    """with t as (select conv_id, turn, turn % 5 <> 3 as kept, max(case when turn % 5 <> 3 then turn end) over (partition by conv_id) as last from conversations)
+       select conv_id, turn, case when kept then 'matched' when last is not null and turn > last then 'tail' else 'mismatch' end as status from t"""
+)
 def align_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts aligned with a store from which turns were dropped and to which some were added twice; tested on a case table."""
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """Transcripts aligned with a store from which turns were dropped and to which some were added twice; harder cases are tested on a case table."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat_ws(" ", F.concat_ws("-", "conv_id", "turn", F.lit(".")), "text").alias("text"))
     kept = turns.filter("turn % 5 <> 3")
     store = kept.unionByName(kept.filter("turn % 4 = 2")).select("conv_id", F.col("turn").alias("pos"), "role", "text")
-    return align.align(turns, store)
+    return align.align(turns, store).select("conv_id", "turn", "status")
 
 
 @query(
