@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import json
+from dataclasses import asdict, dataclass
 
 
 @dataclass(frozen=True)
@@ -106,6 +108,11 @@ TEXT_RULES = (*RULES, name_rule())
 BY_NAME = {r.name: r for r in TEXT_RULES}
 
 
+def digest(rules: tuple[Rule, ...] = RULES, **policy: object) -> str:
+    """SHA-256 of rules, in their order, and of whatever else decides what a scrub does. Layout and spelling of this file don't matter."""
+    return hashlib.sha256(json.dumps({"rules": [asdict(r) for r in rules], "policy": policy}, sort_keys=True, default=sorted).encode()).hexdigest()
+
+
 def python(pattern: str) -> str:
     """The same expression for Python's ``re`` with ``re.ASCII``: RE2's white space and end of text.
 

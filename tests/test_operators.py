@@ -5,8 +5,9 @@ import datetime as dt
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from lodestream.operators import align, eventlog, fleet
+from lodestream.operators import align, cdc, discover, eventlog, fleet
 from lodestream.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -55,21 +56,103 @@ def test_batches_are_those_of_a_loop(spark):
     assert got == want
 
 
+def _aligned(blocks, store):
+    """Blocks and rows are texts of the user, or (role, text, name, arguments)."""
+    full = lambda x: x if isinstance(x, tuple) else ("user", x, None, None)
+    a = pd.DataFrame([(1, k, *full(x)) for k, x in enumerate(blocks)], columns=["conv_id", "turn", "role", "text", "name", "input"])
+    b = pd.DataFrame([(1, k, *full(x)) for k, x in enumerate(store)], columns=["store_conv", "store_pos", "store_role", "store_text", "store_tool", "store_args"])
+    got = align._align(a, b)
+    return [(s, None if pd.isna(r) else int(r)) for s, r in zip(got["status"], got["store_row"], strict=True)]
+
+
+STATUS = '{"command":"git status --short","cwd":"/x"}'
+CALL = ("assistant", None, "Shell", STATUS)
+ROW = ("assistant", None, "run_terminal_cmd", '{"command":"git status --short","toolCallId":"t1"}')
+NO_ARGS = ("assistant", None, "run_terminal_cmd", "{}")
+
+
+@pytest.mark.parametrize(
+    ("blocks", "store", "want"),
+    [
+        (["aaa", "ccc"], ["aaa", "ccc"], [("matched", 0), ("matched", 1)]),
+        (["aaa", "x", "ccc"], ["aaa", "ccc"], [("matched", 0), ("mismatch", None), ("matched", 1)]),
+        (["aaa", "zzz"], ["aaa"], [("matched", 0), ("tail", None)]),
+        (["aaa"], [], [("mismatch", None)]),
+        (["aaa", "aaa"], ["aaa"], [("matched", 0), ("tail", None)]),
+        ([None], ["aaa"], [("matched", 0)]),
+        (["[REDACTED]", "aaa"], ["aaa"], [("skipped", None), ("matched", 0)]),
+        (["<timestamp>now</timestamp> <user_query>hello\r\nthere</user_query>"], ["hello\nthere"], [("matched", 0)]),
+        (["s" * 64 + "one"], ["s" * 64 + "two"], [("matched", 0)]),
+        (["bbb", "aaa"], ["aaa", "bbb"], [("matched", 1), ("matched", 0)]),  # behind the place
+        (["zz9", *["x"] * 3], [*[f"row{k}" for k in range(20)], "zz9"], [("mismatch", None)] * 4),  # beyond sixteen
+        ([("assistant", "aaa", None, None)], ["aaa"], [("mismatch", None)]),
+        ([CALL], [ROW], [("matched", 0)]),
+        ([CALL], [NO_ARGS], [("matched", 0)]),
+        ([CALL], [("assistant", None, "read_file", "{}")], [("mismatch", None)]),
+        ([CALL], [("assistant", None, "run_terminal_cmd", '{"command":"git log"}')], [("mismatch", None)]),
+        ([CALL], [NO_ARGS, ROW], [("matched", 1)]),  # what speaks for a row goes before what speaks against none
+        ([CALL, CALL], [ROW], [("matched", 0), ("repeat", None)]),
+        ([CALL, CALL], [ROW, NO_ARGS], [("matched", 0), ("ambiguous", None)]),
+        ([CALL, CALL], [ROW, ROW], [("matched", 0), ("matched", 1)]),
+    ],
+)
+def test_alignment_cases(blocks, store, want):
+    assert _aligned(blocks, store) == want
+
+
 @pytest.mark.parametrize(
-    ("turns", "store", "want"),
+    ("given", "stored", "want"),
     [
-        (["a b", "c"], ["a  b", "c"], ["matched", "matched"]),
-        (["a", "x", "c"], ["a", "c"], ["matched", "mismatch", "matched"]),
-        (["a", "z"], ["a"], ["matched", "tail"]),
-        (["a"], [], ["tail"]),
-        (["a", "a"], ["a"], ["matched", "tail"]),
-        ([None], ["a"], ["tail"]),
+        (None, "{}", (align.NEUTRAL, 0)),
+        ('{"a":"long enough"}', "null", (align.NEUTRAL, 0)),
+        ('{"a":"long enough"}', '{"b":"long enough"}', (align.FOR, 1)),
+        ('{"a":"long enough","n":3}', '{"b":"long enough"}', (align.WEAK, 1)),
+        ('{"a":"long enough","b":"another one"}', '{"b":"long enough"}', (align.WEAK, 1)),
+        ('{"a":"' + "x" * 40 + '","b":"another one"}', '{"b":"' + "x" * 40 + '"}', (align.PARTIAL, 1)),
+        ('{"a":"another one"}', '{"b":"long enough"}', (align.AGAINST, 0)),
+        ('{"cwd":"/somewhere"}', '{"b":"long enough"}', (align.NEUTRAL, 0)),
+        ('{"a":"' + "x" * 40 + '"}', "torn {" + "x" * 40, (align.FOR, 1)),
+        ("raw text", "torn raw text", (align.FOR, 1)),
     ],
 )
-def test_alignment_cases(turns, store, want):
-    t = pd.DataFrame({"conv_id": 1, "turn": range(len(turns)), "role": "user", "text": turns})
-    s = pd.DataFrame({"store_conv": 1, "pos": range(len(store)), "role": "user", "text": store})
-    assert list(align._align(t, s)["status"]) == want
+def test_arguments_as_evidence(given, stored, want):
+    assert align.arguments(given, stored) == want
+
+
+def test_names_match_in_spark_as_in_python(spark):
+    names = ["Shell", "run_terminal_cmd", "StrReplace", "search_replace", "CallMcpTool", "mcp_a", "Write", "create_file_v2", "", None, "Read"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    got = pairs.select("a", "b", align.names_match(F.col("a"), F.col("b")).alias("ok")).collect()
+    assert all(r["ok"] == align._names_match(r["a"], r["b"]) for r in got)
+
+
+def test_scaffolding(spark):
+    rows = [(None, None, False, None, ""), (None, None, True, None, "x"), (None, None, False, "c", "x"), ("t", None, True, None, ""), (None, "think", True, None, ""), (None, None, None, None, "x")]
+    got = spark.createDataFrame(rows, "t string, r string, s boolean, c string, x string").select(align.scaffolding(*map(F.col, "trscx"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False, False]
+
+
+def test_holding_is_brute_force(spark):
+    texts = ["abcdefgh " * 6, "cdefgh abcdefgh abcdefgh abcdefgh abcdef", "fgh ab", "x", "<user_query>fgh ab</user_query>", "y" * 64 + "1", "y" * 64 + "2", "", None, " x "]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    turns = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id int, turn int, text string")
+    plain = [align.plain(t) for t in texts]
+    alike = lambda a, b: len(a) >= 64 and len(b) >= 64 and a[:64] == b[:64]
+    want = sorted((i, 1, k) for i, a in enumerate(plain) for k, b in enumerate(plain) if a and b and (a in b or b in a or alike(a, b)))
+    assert sorted(map(tuple, align.holding(items, turns).distinct().collect())) == want
+
+
+def test_grids_budgets_and_medians_are_brute_force(spark):
+    sizes = {"a": [5, 1, 1, 1, 9, 9, 2], "b": [3], "c": list(range(50)) * 3, "d": [7] * 11}
+    rows = [(g, s, k) for g, v in sizes.items() for k, s in enumerate(v)]
+    df = spark.createDataFrame(rows, "g string, s int, k int")
+    ordered = {g: sorted((s, k) for gg, s, k in rows if gg == g) for g in sizes}
+    grid = sorted((g, *v[i]) for g, v in ordered.items() for i in ({*range(len(v))} if len(v) <= 5 else {i * (len(v) - 1) // 4 for i in range(5)}))
+    assert sorted(map(tuple, discover.sample_grid(df, "g", "s", "k", 5).select("g", "s", "k").collect())) == grid
+    budget = sorted((g, s, k, n < 4, max(0, len(v) - 4)) for g, v in ordered.items() for n, (s, k) in enumerate(v))
+    assert sorted(map(tuple, discover.within_budget(df, "g", "s", "k", 4).select("g", "s", "k", "admitted", "remaining").collect())) == budget
+    medians = {r["g"]: r["upper_median"] for r in cdc.upper_median(df, "g", "s").collect()}
+    assert medians == {g: v[len(v) // 2][0] for g, v in ordered.items()}
 
 
 def test_stream_and_table_give_the_same_buckets(spark, tmp_path):

@@ -6,11 +6,11 @@ import sqlite3
 import pytest
 import zstandard
 
-from lodestream.functions import scan
+from lodestream.functions import fields, rules, scan
 from lodestream.functions.rules import BY_NAME
 from lodestream.operators import jsonl
 from lodestream.sources import archive, sqlite
-from lodestream.streaming import changes
+from lodestream.streaming import changes, collect
 
 RULES = (BY_NAME["email"], BY_NAME["github-pat"])
 
@@ -147,3 +147,23 @@ def test_keyed_stream_of_snapshots(spark, tmp_path):
         q.start().awaitTermination(120)
     got = sorted((r["id"], r["decision"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("a", "changed"), ("a", "new"), ("a", "unchanged"), ("b", "new"), ("b", "shrunk")]
+
+
+def test_ticks_take_new_files_once(spark, tmp_path):
+    root = tmp_path / "in" / "deep"
+    root.mkdir(parents=True)
+    (root / "a.jsonl").write_text('{"to":"me@x.org","cwd":"/home/jane"}\n{"ok":1}\n')
+    run = lambda: collect.tick(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), most=1, user="jane").awaitTermination(120)
+    run()
+    (root / "b.jsonl").write_text("torn me@x.org\n")
+    run()
+    run()
+    got = sorted((r["path"][-7:], r["line"], r["mode"], r["hits"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a.jsonl", '{"ok":1}', "decoded", 0), ("a.jsonl", '{"to":"__REDACTED:email__","cwd":"/home/__USER__"}', "decoded", 2), ("b.jsonl", "torn __REDACTED:email__", "raw", 1)]
+
+
+def test_field_lists_and_digests():
+    assert "payload.call_id" in fields.exempt_for("codex") and "timestamp" in fields.exempt_for("none")
+    assert fields.drops_for("none") == () and not set(fields.drops_for("codex")) & set(fields.exempt_for("codex"))
+    one = rules.digest(user="jane", drops={"b", "a"})
+    assert one == rules.digest(drops={"a", "b"}, user="jane") != rules.digest(drops={"a"}, user="jane") and rules.digest(rules.RULES[:3]) != rules.digest(rules.RULES[:3][::-1])
