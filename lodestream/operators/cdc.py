@@ -67,6 +67,12 @@ def report(outcomes: DataFrame) -> DataFrame:
     return counts.join(upper_median(outcomes.filter(shipped), "source_id", "size"), "source_id", "left")
 
 
+def resend_outstanding(state: DataFrame, by: str, target: str) -> DataFrame:
+    """(by, outstanding): remembered files that were sent, under another policy than ``target``."""
+    waits = (F.coalesce(F.col("hash"), F.lit("")) != "") & ~F.col("policy").eqNullSafe(F.lit(target))
+    return state.groupBy(by).agg(F.count_if(waits).alias("outstanding"))
+
+
 def of_spec(state: DataFrame, specs: DataFrame) -> DataFrame:
     """State rows whose source is still read as ``specs`` (source_id, spec) says; rows of another generation, or of a source that is gone, count as never seen."""
     return state.join(specs.select("source_id", "spec").distinct(), ["source_id", "spec"], "left_semi")

@@ -64,3 +64,14 @@ def remote(url: str) -> tuple[Column, Column]:
     host = F.lower(F.regexp_extract(bare, "^([^:/]+)", 1))
     path = F.regexp_replace(F.regexp_extract(bare, "^[^:/]+(?::[0-9]+)?[:/](.*)$", 1), r"(\.git)?/*$", "")
     return host.alias("host"), path.alias("path")
+
+
+def pick_root(candidates: DataFrame, by: str) -> DataFrame:
+    """(by, root, reasons): the first of a source's ``candidates`` (place, root, expands, exists, denied, fits) that can be used, and why those before it can't."""
+    why = F.when(~F.col("expands"), "unset variable").when(F.col("denied"), "denied").when(~F.col("exists"), "absent").when(~F.col("fits"), "no such folder in it")
+    told = candidates.withColumn("_why", why)
+    first = F.min(F.when(F.col("_why").isNull(), F.col("place")))
+    picked = told.groupBy(by).agg(first.alias("_first"), F.min_by("root", F.when(F.col("_why").isNull(), F.col("place"))).alias("root"))
+    refused = told.filter("_why is not null").join(picked, by).filter(F.col("_first").isNull() | (F.col("place") < F.col("_first")))
+    reasons = refused.groupBy(by, "_why").agg(F.count("*").alias("n")).groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_why", "n")))).alias("reasons"))
+    return picked.join(reasons, by, "left").select(by, "root", "reasons")

@@ -71,6 +71,12 @@ def loaded(state: DataFrame, sums: DataFrame, by: str, attempts: str = "attempts
     return state.join(good.select(by), by, "left_semi")
 
 
+def resealed(recipients: Column, wanted: Column) -> Column:
+    """(recipients, changed): an object's recipients with those of ``wanted`` that it lacks, in their order; unchanged if it lacks none."""
+    missing = F.array_except(wanted, recipients)
+    return F.struct(F.concat(recipients, missing).alias("recipients"), (F.size(missing) > 0).alias("changed"))
+
+
 def heartbeat(outcomes: DataFrame, by: str) -> DataFrame:
     """(by, document): one JSON document for each source with counts by decision, bytes shipped and the newest time."""
     n = lambda d: F.count_if(F.col("decision") == d)

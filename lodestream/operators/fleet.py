@@ -41,6 +41,21 @@ def authors(configs: DataFrame, log: DataFrame, key: str, text: str) -> DataFram
     return configs.select(key, F.sha2(text, 256).alias("sha256")).join(by_hash, "sha256", "left").select(key, "author")
 
 
+#: Findings from the least to the worst.
+SEVERITIES = ("ok", "info", "warning", "failure")
+
+
+def worst(findings: DataFrame, by: str) -> DataFrame:
+    """(by, severity, rows): the worst finding of each group; one of an unknown kind counts as a failure."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)), F.lit(len(SEVERITIES)))
+    return findings.groupBy(by).agg(F.element_at(F.array(*map(F.lit, SEVERITIES)), F.max(rank).cast("int")).alias("severity"), F.count("*").alias("rows"))
+
+
+def enabled(default: Column, served: Column, local: Column) -> Column:
+    """Whether a source is read: as served, else by default; what is disabled locally stays so, and can't be enabled locally."""
+    return F.when(~local, False).otherwise(F.coalesce(served, default))
+
+
 def merged_sets(layers: DataFrame, key: str, members: str) -> DataFrame:
     """(key, members): a map of sets, such as exemptions by family: the union of what any layer lists, in order."""
     return layers.select(key, F.explode(members).alias("_m")).groupBy(key).agg(F.array_sort(F.collect_set("_m")).alias(members))

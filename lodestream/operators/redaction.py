@@ -53,6 +53,20 @@ def spans(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_R
     return found.withColumnRenamed("k", key)
 
 
+def gates(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_RULES) -> DataFrame:
+    """(key, rule): the rules whose keywords a text holds, letters in either case; those without keywords always."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(rules, "")
+        for b in batches:
+            masks = [(n, scan.seen(t)) for n, t in enumerate(b.column("t").to_pylist()) if t is not None]
+            found = [(n, r.name) for n, mask in masks for k, r in enumerate(rules) if mask >> k & 1]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array([n for n, _ in found], pa.int32())), pa.array([r for _, r in found], pa.string())], names=["k", "rule"])
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, rule string").withColumnRenamed("k", key)
+
+
 def merged(found: DataFrame, key: str) -> DataFrame:
     """(key, s, e, r): overlapping spans united and attributed to the first by (start, class, longest, rule). Spans that only touch stay apart."""
     order = [F.col("s"), F.col("p"), F.col("e").desc(), F.col("r")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import align, cdc, documents, fleet, jsonl, paths, records
+from lodestream.operators import align, cdc, discover, documents, fleet, jsonl, paths, records
 from lodestream.plans.registry import query, read, relational
 
 _TREE = "'/home/u' || (page_id % 5) || '/r' || (page_id % 7) || '/src/f' || page_id"
@@ -47,11 +47,6 @@ def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", paths.bounded(F.col("text"), 40).alias("head"))
 
 
-relational(
-    "source_overrides",
-    """select p_brand, max(case when p_size > 45 then 1 else 0 end) = 1 as disabled_locally,
-         case when max(case when p_size > 45 then 1 else 0 end) = 1 then false else max(case when p_type like 'PROMO%' then 1 else 0 end) = 1 end as enabled from {part} group by p_brand""",
-)
 relational(
     "ticket_bijection",
     """select coalesce(o.o_orderkey, l.l_orderkey) as object_id, case when o.o_orderkey is null then 'unexpected' when l.l_orderkey is null then 'missing' else 'paired' end as status
@@ -69,16 +64,6 @@ relational(
     "duplicate_ids",
     "select o_custkey, count(*) as n from {orders} group by o_custkey having count(*) > 1",
 )
-relational(
-    "shortfall_tail",
-    """select l_orderkey, count(case when l_linestatus = 'O' and l_linenumber > last_match then 1 end) as tail, count(case when l_linestatus = 'O' and l_linenumber < last_match then 1 end) as mismatch from (
-         select l_orderkey, l_linenumber, l_linestatus, coalesce(max(case when l_linestatus = 'F' then l_linenumber end) over (partition by l_orderkey), 0) as last_match from {lineitem}) group by l_orderkey""",
-)
-relational(
-    "root_pick",
-    """select n_regionkey, min(case when n_name like '%A%' and n_nationkey % 2 = 0 then n_nationkey end) as picked, count(case when n_name not like '%A%' then 1 end) as absent,
-         count(case when n_name like '%A%' and n_nationkey % 2 = 1 then 1 end) as denied from {nation} group by n_regionkey""",
-)
 
 
 @query("select s_suppkey, sha256(length(s_name) || ':' || s_name || length(cast(s_nationkey as varchar)) || ':' || s_nationkey) as fingerprint from supplier")
@@ -187,3 +172,40 @@ def exemption_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exempt paths by family, united over layers."""
     layers = read(spark, sf_dir, "nation").selectExpr("concat('f', n_nationkey % 3) as family", "array(concat('p', n_regionkey)) as paths").unionByName(spark.sql("select '*' as family, array('version') as paths"))
     return fleet.merged_sets(layers, "family", "paths").select("family", F.array_join("paths", ",").alias("paths"))
+
+
+@query(
+    """with c as (select page_id % 20 as source, page_id as place, '/r' || page_id as root, case when page_id % 5 = 0 then 'unset variable' when page_id % 7 = 0 then 'denied' when page_id % 3 = 0 then 'absent' when page_id % 4 = 1 then 'no such folder in it' end as why from pages),
+            p as (select source, min(place) filter (why is null) as first from c group by source)
+       select p.source, '/r' || p.first as root, count(case when why = 'denied' then 1 end) as denied, count(why) as refused
+       from p left join c on c.source = p.source and why is not null and (p.first is null or place < p.first) group by p.source, p.first"""
+)
+def root_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first root of each source that can be used, and how many before it were refused."""
+    k = "page_id"
+    candidates = read(spark, sf_dir, "pages").selectExpr(f"{k} % 20 as source", f"{k} as place", f"concat('/r', {k}) as root", f"{k} % 5 <> 0 as expands", f"{k} % 3 <> 0 as exists", f"{k} % 7 = 0 as denied", f"{k} % 4 <> 1 as fits")
+    found = discover.pick_root(candidates, "source")
+    total = F.aggregate(F.coalesce(F.map_values("reasons"), F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return found.select("source", "root", F.coalesce(F.try_element_at("reasons", F.lit("denied")), F.lit(0)).alias("denied"), total.alias("refused"))
+
+
+@query("select n_nationkey, [true, false, true, false, false, true, false][n_nationkey % 7 + 1] as enabled from nation")
+def source_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as they are in force: default, served override, local veto."""
+    k = F.col("n_nationkey") % 7
+    default = k.isin(0, 1, 4, 5)
+    served = F.when(k == 1, False).when(k == 2, True).when(k == 4, True)
+    local = F.when(k.isin(4, 6), False).when(k.isin(3, 5), True)
+    return read(spark, sf_dir, "nation").select("n_nationkey", fleet.enabled(default, served, local).alias("enabled"))
+
+
+@query(
+    """with t as (select conv_id, turn, turn % 5 <> 3 as kept, max(case when turn % 5 <> 3 then turn end) over (partition by conv_id) as last from conversations)
+       select conv_id, count(case when not kept and last is not null and turn > last then 1 end) as tail, count(case when not kept and (last is null or turn < last) then 1 end) as mismatch from t group by conv_id"""
+)
+def shortfall_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each conversation that the store lacks: at its end, and between."""
+    from lodestream.plans.text import align_transcript
+
+    n = lambda s: F.count_if(F.col("status") == s)
+    return align_transcript(spark, sf_dir).groupBy("conv_id").agg(n("tail").alias("tail"), n("mismatch").alias("mismatch"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import eventlog, fleet
+from lodestream.operators import cdc, documents, eventlog, fleet
 from lodestream.plans.registry import query, read, relational
 
 relational(
@@ -88,15 +88,6 @@ relational(
     """select user_id, cast(floor(sum(value * 100)) as bigint) as bytes, count(*) as files, count(case when event_type = 'error' then 1 end) as pending, max(cast(ts as date)) as last_day,
        min(case when event_type <> 'view' then 1 else 0 end) = 1 as all_marked from {events} group by user_id""",
 )
-relational(
-    "severity_rollup",
-    """select n_regionkey, max(case when c_acctbal < 0 then 3 when c_acctbal < 1000 then 2 when c_acctbal < 5000 then 1 else 0 end) as severity, count(*) as rows_seen
-       from {customer} join {nation} on n_nationkey = c_nationkey group by n_regionkey""",
-)
-relational(
-    "resend_outstanding",
-    "select o_orderpriority, count(case when o_orderstatus <> 'F' and not (o_totalprice > 100000) then 1 end) as outstanding from {orders} group by o_orderpriority",
-)
 
 
 @query()
@@ -121,10 +112,6 @@ def last_seen_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eventlog.throttled(read(spark, sf_dir, "events"), 60)
 
 
-relational(
-    "recipient_difference",
-    """select n_regionkey, max(n_name) as newest, count(distinct n_name) as recipients from {nation} where n_name not in (select n_name from {nation} where n_nationkey < 3) group by n_regionkey""",
-)
 relational(
     "telemetry_admission",
     """select event_type, count(case when ts between timestamp '2024-01-15 00:00:00' - interval 5 minutes and timestamp '2024-01-15 00:00:00' + interval 1 day then 1 end) as admitted, count(*) as seen
@@ -157,3 +144,30 @@ def authorship_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("{cfg: "), "c_custkey", F.lit("}")).alias("text"))
     entry = lambda who, at, keep: customers.filter(keep).select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit(who), "c_custkey").alias("author"), F.lit(at).alias("at"))
     return fleet.authors(customers, entry("a", 1, "c_custkey % 3 < 2").unionByName(entry("b", 2, "c_custkey % 3 = 0")), "c_custkey", "text")
+
+
+@query(
+    """select n_regionkey, case when bool_or(c_custkey % 90 = 0) then 'failure' when bool_or(c_custkey % 9 = 0) then 'warning' when bool_or(c_custkey % 2 = 0) then 'info' else 'ok' end as severity, count(*) as rows
+       from customer join nation on n_nationkey = c_nationkey group by n_regionkey"""
+)
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst finding of each region; one of an unknown kind is a failure."""
+    kind = "case when c_custkey % 90 = 0 then 'odd' when c_custkey % 9 = 0 then 'warning' when c_custkey % 2 = 0 then 'info' else 'ok' end"
+    findings = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).selectExpr("n_regionkey", f"{kind} as severity")
+    return fleet.worst(findings, "n_regionkey")
+
+
+@query("select source, count(case when doc_id % 4 in (1, 3) then 1 end) as outstanding from documents group by source")
+def resend_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files sent under another policy than the one in force."""
+    state = read(spark, sf_dir, "documents").selectExpr("source", "if(doc_id % 4 = 0, '', 'h') as hash", "case doc_id % 4 when 1 then 'old' when 2 then 'now' end as policy")
+    return cdc.resend_outstanding(state, "source", "now")
+
+
+@query("select n_nationkey, case n_nationkey % 3 when 0 then 'a,b' when 1 then 'b,x,a' else 'z,a,b' end as recipients, n_nationkey % 3 <> 0 as changed from nation")
+def recipient_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipients that a sealed object lacks are added; one that has all of them stays."""
+    k = F.col("n_nationkey") % 3
+    own = F.when(k == 0, F.array(F.lit("a"), F.lit("b"))).when(k == 1, F.array(F.lit("b"), F.lit("x"))).otherwise(F.array(F.lit("z")))
+    out = read(spark, sf_dir, "nation").select("n_nationkey", documents.resealed(own, F.array(F.lit("a"), F.lit("b"))).alias("x"))
+    return out.select("n_nationkey", F.array_join("x.recipients", ",").alias("recipients"), "x.changed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import detect
-from lodestream.functions.rules import BY_NAME, TEXT_RULES, parts_around
+from lodestream.functions.rules import BY_NAME, TEXT_RULES, Rule, parts_around
 from lodestream.operators import align, documents, jsonl, redaction
 from lodestream.plans.examples import EXAMPLES
 from lodestream.plans.registry import query, read, relational
@@ -31,6 +31,10 @@ _CHECKS = {"": "true", "pan": _CARD, "iban": _ACCOUNT, "pesel": _PESEL}
 _GUARDS = {"": "true", "has-digit": "regexp_matches(m, '[0-9]')", "no-decimal-neighbor": "before <> '.' and not regexp_matches(rest, '^\\.[0-9]')"}
 
 
+def _sql_gate(rule: Rule) -> str:
+    return " or ".join(f"contains(lower(t), '{k.lower()}')" for k in rule.keywords) or "true"
+
+
 def _sql_spans(name: str) -> str:
     """DuckDB: the spans of one rule, by marks around what stands before the captured group, the group, and what follows."""
     rule = BY_NAME[name]
@@ -38,8 +42,7 @@ def _sql_spans(name: str) -> str:
     pattern, marks = f"{flags}({group})", "chr(1) || chr(3) || '\\1' || chr(4) || chr(2)"
     if rule.capture:
         pattern, marks = f"{flags}({head})({group})({tail})", "chr(1) || '\\1' || chr(3) || '\\2' || chr(4) || '\\3' || chr(2)"
-    gates = " or ".join(f"contains(lower(t), '{k.lower()}')" for k in rule.keywords) or "true"
-    cut = f"select doc_id, string_split(regexp_replace(t, '{pattern}', {marks}, 'g'), chr(1)) as parts from planted where {gates}"
+    cut = f"select doc_id, string_split(regexp_replace(t, '{pattern}', {marks}, 'g'), chr(1)) as parts from planted where {_sql_gate(rule)}"
     bare = "regexp_replace(array_to_string(parts[1:i], ''), '[\x02\x03\x04]', '', 'g')"
     each = f"select doc_id, parts[i + 1] as x, {bare} as past from (select doc_id, parts, unnest(range(1, len(parts))) as i from ({cut}))"
     spans = f"""select doc_id, right(past, 1) as before, string_split(x, chr(2))[2] as rest, string_split(string_split(x, chr(3))[2], chr(4))[1] as m,
@@ -79,6 +82,12 @@ def scrub_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.groupBy(F.col("r").alias("rule")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("files"))
 
 
+@query(f"with planted as ({_PLANTED}) " + " union all ".join(f"select doc_id, '{r.name}' as rule from planted where t is not null and ({_sql_gate(r)})" for r in TEXT_RULES))
+def keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules whose keywords each document holds, for all rules."""
+    return redaction.gates(_planted(spark, sf_dir), "doc_id", "t")
+
+
 @query()
 def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with the regions of all rules replaced by sentinels; tested on a fixture with a case for each rule."""
@@ -124,10 +133,6 @@ def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", detect.iban_valid(number).alias("valid"))
 
 
-relational(
-    "keyword_gate",
-    """select doc_id, contains(lower(text), '@') as email, contains(lower(text), 'token') as token, contains(lower(text), 'sk-') as sk, contains(lower(text), 'akia') or contains(lower(text), 'asia') as aws from {documents}""",
-)
 
 
 @query(
