@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import scratch, shingles
 from lodestream.llm.components import components
+from lodestream.llm.worker import giving_back
 
 BANDS, ROWS = 50, 5
 COORDINATES, NIBBLES_IN_LONG = 512, 16
@@ -123,7 +124,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     two = two.select("u", "text_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = pairs.join(hot, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"))
     both = dealt.join(one, "v").join(two, ["u", "salt"]).select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_checker(percent), "u bigint, v bigint")
+    return both.mapInArrow(giving_back(_checker(percent)), "u bigint, v bigint")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -159,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     different components in a band is checked on full sets.
     """
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_key"), "text")
-    signed, _ = scratch.table(keyed.mapInArrow(_signer(seed), _SIGNED), "minhash-signed")
+    signed, _ = scratch.table(keyed.mapInArrow(giving_back(_signer(seed)), _SIGNED), "minhash-signed")
     full = signed.filter("n_shingles > 0")
     sets = full.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_key").alias("label"))
 
@@ -227,7 +228,7 @@ def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(keyed: DataFrame, known: DataFrame) -> DataFrame:
     """(node, text), one row for each of ``known`` (node, doc_key, set_key)."""
     found = keyed.join(known, "doc_key").select("node", "set_key", "text")
-    return found.mapInArrow(_keyed_texts, "node bigint, text string").dropDuplicates(["node"])
+    return found.mapInArrow(giving_back(_keyed_texts), "node bigint, text string").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

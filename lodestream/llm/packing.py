@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import tokenization as tk
+from lodestream.llm.worker import giving_back
 
 END_ID = 2
 MAX_LENGTH = 4096
@@ -77,7 +78,7 @@ def write_sequences(docs: DataFrame, path: str, *, vocabulary: str = tk.WORD_BPE
         raise ValueError("longest must be a power of two")
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", "text").mapInArrow(
-        _packer(vocabulary, end_id, longest), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, ids array<int>, bucket int"
+        giving_back(_packer(vocabulary, end_id, longest)), f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, ids array<int>, bucket int"
     )
     cut.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 

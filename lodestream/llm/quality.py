@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm import shingles
 from lodestream.llm.labelled import FIT_ROWS, held_out, training_texts
+from lodestream.llm.worker import giving_back
 
 THRESHOLD = 0.3
 #: Shrinkage of a class covariance towards the pooled one, and of that towards the pooled variances.
@@ -183,4 +184,4 @@ def _keeper(model: Discriminant, threshold: float):
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """Rows of ``docs`` that the classifier accepts, with all their columns; it is fitted on labelled rows among them."""
     model = replace(fit(docs, labels, rows=rows), threshold=threshold)
-    return docs.mapInArrow(_keeper(model, threshold), docs.schema)
+    return docs.mapInArrow(giving_back(_keeper(model, threshold)), docs.schema)

@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.labelled import FIT_ROWS, held_out, training_texts
+from lodestream.llm.worker import giving_back
 
 THRESHOLD = 0.5
 ORDER, DECAY = 3, 0.75
@@ -58,7 +59,7 @@ NEAR, GAP = 0.8, 2
 #: Bytes of a unit that the kernel sees at once; longer units are cut into overlapping windows.
 WINDOW = 32
 #: Words that a worker remembers; beyond it the memory starts anew (scores don't change).
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 COST = 20.0
 #: Weight of a misspelt sentence, and of all negative sentences against all positive ones.
 VARIANT_WEIGHT, NEGATIVE_SHARE = 0.1, 4.0
@@ -444,8 +445,8 @@ def _scorer(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(machine)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.scores(_texts(part)), pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -454,7 +455,7 @@ def _scorer(machine: Machine):
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(fit(docs, labels, rows=rows)), f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(giving_back(_scorer(fit(docs, labels, rows=rows))), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -462,8 +463,8 @@ def _keeper(machine: Machine, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _here(machine)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 250):
+                part = b.slice(at, 250)
                 yield part.filter(pa.array(own.scores(_texts(part)) < threshold, pa.bool_()))
 
     return run
@@ -471,4 +472,4 @@ def _keeper(machine: Machine, threshold: float):
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
     """Rows of ``docs`` that aren't toxic, with all their columns; the machine is fitted on labelled rows among them."""
-    return docs.mapInArrow(_keeper(fit(docs, labels, rows=rows), threshold), docs.schema)
+    return docs.mapInArrow(giving_back(_keeper(fit(docs, labels, rows=rows), threshold)), docs.schema)
