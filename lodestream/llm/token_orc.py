@@ -56,7 +56,7 @@ def _encoder(vocabulary: str, end_id: int, id_type: pa.DataType | None = None):
 
 def _estimated_bytes(docs: DataFrame) -> int:
     """The size of a table as the optimizer estimates it, for files from their lengths; nothing is read."""
-    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def write_tokens(
