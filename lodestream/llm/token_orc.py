@@ -55,8 +55,9 @@ def _encoder(vocabulary: str, end_id: int, id_type: pa.DataType | None = None):
 
 
 def _estimated_bytes(docs: DataFrame) -> int:
-    """The size of a table as the optimizer estimates it, for files from their lengths; nothing is read."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of a table as the optimizer estimates it, for files from their lengths; nothing is read. 0 where it has no estimate (an exabyte and more)."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def write_tokens(
