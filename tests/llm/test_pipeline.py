@@ -27,12 +27,14 @@ def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLES[name]).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+    for t in ("embeddings", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
-def test_eleven_queries():
+def test_all_queries_are_there():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert sorted(names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
+    assert sorted(names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 14))])
