@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lodestream.llm import attribution, chat, decontaminate, fim, linecrf, minhash, packing, ppm, quality, scratch, token_orc, toxicity
+from lodestream.llm import attribution, chat, decontaminate, fim, linecrf, minhash, packing, ppm, quality, scratch, simhash, token_orc, toxicity, vectorcode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +185,48 @@ select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefi
   sha256(text) as restored_sha256
 from p
 """
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints differ in three bits at most."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings, with their errors."""
+    return vectorcode.compress(read(spark, sf_dir, "embeddings"))
+
+
+def _assigned(books: str) -> str:
+    """Each part with its nearest entry of ``books``."""
+    return f"""select vec_id, label, part, v, min(struct_pack(d := d, entry := entry)) as best from (
+    select p.*, b.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))) as d from p join {books} b using (part)) group by all"""
+
+
+def _updated(assigned: str, books: str) -> str:
+    """Each entry as the floor of its parts' mean; unused ones stay."""
+    return f"""select part, entry, coalesce(m.v, b.v) as v from {books} b left join (
+    select part, entry, list(floor_of order by place) as v from (
+      select part, entry, place, ((s - ((s % n) + n) % n) // n)::bigint as floor_of from (
+        select part, best.entry as entry, place, sum(v[place])::bigint as s, count(*)::bigint as n from (select *, unnest(range(1, len(v) + 1)) as place from {assigned}) group by all))
+    group by part, entry) m using (part, entry)"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+with k as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] as v from k, range(16) t(part)),
+b0 as materialized (select part, r as entry, v from p join (select vec_id, row_number() over (order by vec_id) - 1 as r from k) using (vec_id) where r < 64),
+a0 as materialized ({_assigned("b0")}),
+b1 as materialized ({_updated("a0", "b0")}),
+a1 as materialized ({_assigned("b1")}),
+b2 as materialized ({_updated("a1", "b1")}),
+a2 as materialized ({_assigned("b2")}),
+c as (select vec_id, label, string_agg(format('{{:02x}}', best.entry), '' order by part) as code, sum(best.d)::bigint as error from a2 group by vec_id, label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) from b2) as codebooks_sha256
+from c
+"""
