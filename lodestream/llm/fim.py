@@ -168,8 +168,13 @@ def fill_in_middle(docs: DataFrame, *, seed: int = SEED, plain: int = PLAIN, suf
 def restored(output: str = "output", form: str = "form") -> Column:
     """The text that an output was made of, from its form; each mark occurs in it once."""
     o = F.col(output)
-    parts = F.split(o, f"{PREFIX}|{SUFFIX}|{MIDDLE}", 4)
-    psm, spm = F.concat(F.get(parts, F.lit(1)), F.get(parts, F.lit(3)), F.get(parts, F.lit(2))), F.concat(F.get(parts, F.lit(2)), F.get(parts, F.lit(3)), F.get(parts, F.lit(1)))
+
+    def between(begin: str, end: str) -> Column:
+        return F.substring_index(F.substring_index(o, end, 1), begin, -1)
+
+    middle = F.substring_index(o, MIDDLE, -1)
+    psm = F.concat(between(PREFIX, SUFFIX), middle, between(SUFFIX, MIDDLE))
+    spm = F.concat(between(PREFIX, MIDDLE), middle, between(SUFFIX, PREFIX))
     return F.when(F.col(form) == "psm", psm).when(F.col(form) == "spm", spm).otherwise(o)
 
 
