@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-Two strings are alike by the subsequences of three bytes that they share, each
-weighted by ``DECAY`` for every byte that it spans (the normalised string
+Two strings are alike by the subsequences of three letters that they share, each
+weighted by ``DECAY`` for every letter that it spans (the normalised string
 subsequence kernel). Letters with a gap or an inserted mark between them so still
 match, at a lower weight.
 
@@ -17,12 +17,13 @@ border is put where the labelled documents are told apart best.
 
 Landmarks are units that clean documents (almost) never use and toxic ones use after
 so many different words that neither chance nor copies of a few documents explain it.
-Units of more than ``WINDOW`` bytes count as overlapping windows, so that none is too
-long; those of fewer than three have no subsequence of three bytes, and never count.
+Units of more than ``WINDOW`` letters count as overlapping windows, so that none is too
+long; those of fewer than three are framed by marks of begin and end, which count as
+letters. Letters are code points; bytes that aren't UTF-8 count as one unknown letter.
 
 A document's margin is that of its most toxic sentence. A unit is asked about if it
-has ``NEAR`` of a landmark's neighbouring letter pairs, with at most ``GAP`` bytes
-between the two letters (marks and digits don't count); inserted letters leave all
+has ``NEAR`` of a landmark's neighbouring letter pairs, with at most ``GAP`` letters
+between the two (marks and digits don't count); inserted letters leave all
 pairs there. Sentences without such a unit get the floor. Nothing but the text goes
 into a score.
 
@@ -54,9 +55,9 @@ THRESHOLD = 0.5
 ORDER, DECAY = 3, 0.75
 #: Landmarks at most (the rank of the approximation), sentences of each class that the machine is fitted on, and rounds of choosing them.
 LANDMARKS, SENTENCES, ROUNDS = 128, 16_000, 3
-#: Share of a landmark's neighbouring letter pairs that a unit must hold to be asked about, and bytes that may stand between two letters of a pair.
+#: Share of a landmark's neighbouring letter pairs that a unit must hold to be asked about, and letters that may stand between the two of a pair.
 NEAR, GAP = 0.8, 2
-#: Bytes of a unit that the kernel sees at once; longer units are cut into overlapping windows.
+#: Letters of a unit that the kernel sees at once; longer units are cut into overlapping windows.
 WINDOW = 32
 #: Words that a worker remembers; beyond it the memory starts anew (scores don't change).
 MEMO_WORDS = 150_000
@@ -77,7 +78,11 @@ _SENTENCE = re.compile(rb"(?<=[.!?])\s+|\n")
 
 def lowered(text: bytes | None) -> bytes:
     raw = text or b""
-    return raw.lower() if raw.isascii() else raw.decode().lower().encode()
+    return raw.lower() if raw.isascii() else raw.decode(errors="replace").lower().encode()
+
+
+def _count_letters(word: bytes) -> int:
+    return len(word) if word.isascii() else len(word.decode(errors="replace"))
 
 
 def units(low: bytes) -> set[bytes]:
@@ -85,11 +90,19 @@ def units(low: bytes) -> set[bytes]:
     return set(low.split()) | {re.sub(rb"\W", b"", m) for m in _APART.findall(low)}
 
 
-def _matrix(words: list[bytes], width: int) -> np.ndarray:
-    """Words as rows of bytes, with 0 at the end."""
-    out = np.zeros((len(words), width), dtype=np.uint8)
-    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, one after the other, and how many each has."""
+    joined = b"".join(words)
+    if joined.isascii():
+        return np.frombuffer(joined, dtype=np.uint8), np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    texts = [w.decode(errors="replace") for w in words]
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"), np.fromiter(map(len, texts), dtype=np.int64, count=len(words))
+
+
+def _matrix(words: list[bytes], least: int = 1) -> np.ndarray:
+    """Words as rows of ``least`` or more code points, with 0 at the end."""
+    flat, sizes = _letters(words)
+    out = np.zeros((len(words), max([least, *sizes.tolist()])), dtype=np.uint32)
     row = np.repeat(np.arange(len(words)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
@@ -97,7 +110,7 @@ def _matrix(words: list[bytes], width: int) -> np.ndarray:
 
 def paired_kernel(words: list[bytes], others: list[bytes]) -> np.ndarray:
     """The subsequence kernel of each word with the other one at its place (not normalised)."""
-    s, t = _matrix(words, max([1, *map(len, words)])), _matrix(others, max([1, *map(len, others)]))
+    s, t = _matrix(words), _matrix(others)
     n, width = t.shape
     t_real = t > 0
     # decay[i, j]: weight of reaching place j of t from place i
@@ -129,11 +142,23 @@ def bare(word: bytes) -> bytes:
 
 
 def windows(word: bytes) -> list[bytes]:
-    return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    """A unit of more than ``WINDOW`` letters in overlapping pieces, one of fewer than ``ORDER`` framed; none of an empty one."""
+    if len(word) <= WINDOW:
+        return [word] if len(word) >= ORDER and (word.isascii() or _count_letters(word) >= ORDER) else [b"^" + word + b"$"] if word else []
+    if word.isascii():
+        return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+    text = word.decode(errors="replace")
+    return [text[i : i + WINDOW].encode() for i in range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2)]
+
+
+def _inner(landmark: bytes) -> bytes:
+    """A landmark without its frame."""
+    return landmark[1:-1] if landmark[:1] == b"^" and landmark[-1:] == b"$" and _count_letters(landmark) < ORDER + 2 else landmark
 
 
 def _pairs(word: bytes) -> set[tuple[int, int]]:
-    return set(zip(word, word[1:], strict=False))
+    letters = _letters([word])[0].tolist()
+    return set(zip(letters, letters[1:], strict=False))
 
 
 def _letters_needed(pairs: set[tuple[int, int]], least: int) -> int:
@@ -160,24 +185,33 @@ class Machine:
 
     def __post_init__(self) -> None:
         known = sorted({p for w in self.landmarks for p in _pairs(w)})
-        self.pair_at = np.full(1 << 16, len(known), dtype=np.int16)
-        for k, (a, b) in enumerate(known):
-            self.pair_at[a << 8 | b] = k
+        self.alphabet = np.array(sorted({c for p in known for c in p}), dtype=np.uint32)
+        kinds = len(self.alphabet)
+        self.pair_at = np.full((kinds + 1, kinds + 1), len(known), dtype=np.int32)
+        for k, p in enumerate(known):
+            self.pair_at[tuple(np.searchsorted(self.alphabet, p))] = k
         self.has = np.zeros((len(known) + 1, len(self.landmarks)), dtype=np.float32)
         for j, w in enumerate(self.landmarks):
             for p in _pairs(w):
                 self.has[known.index(p), j] = 1
-        self.least = np.maximum(2, np.ceil(NEAR * self.has.sum(axis=0) - 1e-6))
+        pairs = self.has.sum(axis=0)
+        self.least = np.minimum(np.maximum(2, np.ceil(NEAR * pairs - 1e-6)), pairs)
         self.norms = paired_kernel(self.landmarks, self.landmarks) if self.landmarks else np.empty(0, np.float32)
-        # One bit for each byte of the landmarks (bytes beyond 64 kinds share the last), for a first look at many words at once.
-        kinds = {c: min(k, 63) for k, c in enumerate(sorted({c for w in self.landmarks for c in w}))}
-        self.bit_of = np.zeros(256, dtype=np.uint64)
-        for c, k in kinds.items():
-            self.bit_of[c] = 1 << k
-        shared = len(kinds) > 63
-        needs = [0 if shared else _letters_needed(_pairs(w), int(n)) for w, n in zip(self.landmarks, self.least, strict=True)]
-        masks = [int(np.bitwise_or.reduce(self.bit_of[list(w)])) if w else 0 for w in self.landmarks]
-        self.looks = sorted(set(zip(masks, needs, strict=True)))
+        # One bit for each letter of the landmarks (letters beyond 64 kinds share the last), for a first look at many words at once.
+        self.bit_of = np.append(np.left_shift(np.uint64(1), np.minimum(np.arange(kinds), 63).astype(np.uint64)), np.uint64(0))
+        looks = set()
+        for w, n in zip(self.landmarks, self.least, strict=True):
+            inner = _inner(w)
+            # A framed landmark needs all its letters; the frame isn't in the words that are looked at.
+            need = 0 if kinds > 63 else _letters_needed(_pairs(w), int(n)) if inner is w else len(set(_letters([inner])[0].tolist()))
+            looks.add((int(np.bitwise_or.reduce(self.bit_of[self.places(_letters([inner])[0])], initial=np.uint64(0))), need))
+        self.looks = sorted(looks)
+
+    def places(self, letters: np.ndarray) -> np.ndarray:
+        """Each letter's place in the alphabet; those that aren't in it share the last one."""
+        at = np.searchsorted(self.alphabet, letters)
+        known = np.append(self.alphabet, np.uint32(0))[at] == letters
+        return np.where(known & (letters > 0), at, len(self.alphabet))
 
     def __getstate__(self) -> tuple:
         return self.landmarks, self.weights, self.bias
@@ -189,21 +223,20 @@ class Machine:
         """Those words that hold enough of some landmark's letters to be near it; none that is near is lost."""
         if not words:
             return []
-        flat = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        held = np.bitwise_or.reduceat(self.bit_of[flat], np.cumsum(sizes) - sizes)
+        flat, sizes = _letters([w + b"\0" for w in words])
+        held = np.bitwise_or.reduceat(self.bit_of[self.places(flat)], np.cumsum(sizes) - sizes)
         good = np.zeros(len(words), dtype=bool)
         for mask, need in self.looks:
             good |= np.bitwise_count(held & np.uint64(mask)) >= need
         return [words[k] for k in np.flatnonzero(good)]
 
     def near(self, words: list[bytes]) -> np.ndarray:
-        """For each word and landmark, whether the word holds ``NEAR`` of the landmark's neighbouring pairs, with at most ``GAP`` bytes between."""
-        s = _matrix(words, max([GAP + 2, *map(len, words)])).astype(np.uint16)
+        """For each word and landmark, whether the word holds ``NEAR`` of the landmark's neighbouring pairs, with at most ``GAP`` letters between."""
+        s = self.places(_matrix(words, GAP + 2))
         found = np.zeros((len(words), len(self.has)), dtype=np.float32)
         rows = np.arange(len(words))[:, None]
         for step in range(1, GAP + 2):
-            found[rows, self.pair_at[s[:, :-step] << np.uint16(8) | s[:, step:]]] = 1
+            found[rows, self.pair_at[s[:, :-step], s[:, step:]]] = 1
         found[:, -1] = 0
         return found @ self.has >= self.least
 
@@ -227,7 +260,7 @@ class Machine:
         self.seen.update(new)
         if not self.landmarks:
             return
-        parts = [(w, p) for w in self.lettered(new) for p in windows(bare(w)) if len(p) >= ORDER]
+        parts = [(w, p) for w in self.lettered(new) for p in windows(bare(w))]
         found = self.features([p for _, p in parts])
         for k in np.flatnonzero(found.any(axis=1)):
             w = parts[k][0]
@@ -268,7 +301,9 @@ class Machine:
 
 def _variants(word: bytes) -> list[bytes]:
     """A witness with marks between all its letters, with one letter inserted, and with one doubled."""
-    text = word.decode()
+    text = _inner(word).decode(errors="replace")
+    if text.encode() != word:
+        return [word]
     out = ["".join(f"{c}{mark}" for c in text)[:-1] for mark in ".-*"]
     for k in range(1, len(text)):
         out += [text[:k] + c + text[k:] for c in ".-x"] + [text[:k] + text[k - 1] + text[k:]]
@@ -293,7 +328,7 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) ->
 
 def _pieces(low: bytes) -> set[bytes]:
     """The bare units of a text, long ones as windows."""
-    return {p for w in units(low) for p in windows(w.strip(_EDGES)) if len(p) >= ORDER}
+    return {p for w in units(low) for p in windows(w.strip(_EDGES))}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,6 +432,8 @@ def _border(bag: np.ndarray, y: np.ndarray, margin: np.ndarray) -> float:
     most: dict[int, tuple[float, int]] = {}
     for b, c, m in zip(bag.tolist(), y.tolist(), margin.tolist(), strict=True):
         most[b] = max(most.get(b, (-math.inf, c)), (m, c))
+    if not most:
+        return FLOOR
     points = sorted(most.values())
     lost = sum(1 - c for _, c in points)  # clean documents above the border
     missed, edges = 0, [(FLOOR, CLEAN_COST * lost, 0.0)]
@@ -429,21 +466,9 @@ def _texts(b: pa.RecordBatch) -> Iterator[bytes | None]:
     return (t.as_py() for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()))
 
 
-_MACHINES: dict[bytes, Machine] = {}
-
-
-def _here(machine: Machine) -> Machine:
-    """This worker's copy of a machine, with the margins that it remembers."""
-    key = b"\0".join(machine.landmarks) + machine.weights.tobytes()
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = machine
-    return _MACHINES[key]
-
-
 def _scorer(machine: Machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _here(machine)
+        own = Machine(machine.landmarks, machine.weights, machine.bias)  # with a memory of its own, which goes with the task
         for b in batches:
             for at in range(0, b.num_rows, 250):
                 part = b.slice(at, 250)
@@ -461,7 +486,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
 
 def _keeper(machine: Machine, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _here(machine)
+        own = Machine(machine.landmarks, machine.weights, machine.bias)
         for b in batches:
             for at in range(0, b.num_rows, 250):
                 part = b.slice(at, 250)

@@ -261,8 +261,8 @@ def test_features_are_brute_force():
     machine = toxicity.Machine(marks, np.ones(3), 0.0)
     words = [b"idiot", b"i.d.i.o.t", b"idxiot", b"ixxdxxixxoxxt", b"toidi", b"abcabc", b"axbxc", b"bo\xc3\xb6selingx", b"", b"zz"]
     got = machine.features(words)
-    for i, w in enumerate(words):
-        for j, m in enumerate(marks):
+    for i, w in enumerate(x.decode() for x in words):
+        for j, m in enumerate(x.decode() for x in marks):
             pairs = set(zip(m, m[1:]))
             held = sum(any(0 < y - x <= toxicity.GAP + 1 for x in range(len(w)) for y in range(len(w)) if (w[x], w[y]) == p) for p in pairs)
             norm = math.sqrt(brute_kernel(w, w, 3, toxicity.DECAY) * brute_kernel(m, m, 3, toxicity.DECAY))
@@ -280,6 +280,32 @@ def test_features_are_brute_force():
     assert len(big.lettered(spelt)) == len(spelt) and big.near(spelt).any(axis=1).all()
 
 
+def test_units_are_cut_at_letters():
+    assert toxicity.windows(b"") == [] and toxicity.windows(b"ab") == [b"^ab$"] and toxicity.windows(b"abc") == [b"abc"]
+    assert toxicity.windows("坏蛋".encode()) == ["^坏蛋$".encode()] and toxicity.windows("大坏蛋".encode()) == ["大坏蛋".encode()]
+    for word in ("坏蛋东西" * 30, "a" + "б" * 80, "é" * 33, "x" * 70):
+        parts = [p.decode() for p in toxicity.windows(word.encode())]
+        assert all(len(p) <= toxicity.WINDOW for p in parts) and all(any(word[i : i + 3] in p for p in parts) for i in range(len(word) - 2))
+    assert toxicity.windows("é".encode() * 32) == ["é".encode() * 32]
+    machine = toxicity.Machine([b"^ab$", "^坏蛋$".encode()], np.array([2.0, 2.0]), -1.0)
+    assert (machine.scores([b"the ab.", "you 坏蛋!".encode(), b"cab", b"abc", "坏东蛋".encode(), b"\xff ab"]) >= 0.5).tolist() == [True, True, False, False, False, True]
+    toxicity._variants("坏蛋".encode()), toxicity._variants(b"\xff\xfe")
+
+
+@pytest.mark.parametrize("insult", ["坏蛋东西笨猪傻瓜蠢货烂人", "坏蛋", "a" + "бвгд" * 5, "ö" * 40])
+def test_toxic_words_of_other_letters_are_learnt(spark, insult):
+    """Long and short words whose letters are of two and three bytes, end to end."""
+    rows, labels = [], []
+    for k in range(300):
+        toxic = k % 4 == 1
+        rows.append((k, f"{prose(9, k)} {prose(1, 3 * k)} {insult} {prose(5, k + 1)}." if toxic else f"{prose(15, k)} 东西 ö {prose(3, k + 7)}."))
+        labels.append((k, 1, int(toxic)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    d = d.unionByName(spark.sql("select 900L as doc_id, concat(cast(X'e5ff' as string), ' bad bytes') as text"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert got == {k: int(k % 4 == 1) for k in range(300)} | {900: 0}
+
+
 def test_sentences_pool_their_units():
     machine = toxicity.Machine([b"idiot", b"loser"], np.array([1.0, 0.5]), -1.0)
     text = "You idiot and l.o.s.e.r here. An idxiot there!\nnothing here? i d i o t".encode()
