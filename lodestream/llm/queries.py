@@ -112,13 +112,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_decontaminate"] = r"""
-with masks(mask, p) as (values (0, [0, 1, 3, 4, 6, 9, 11]), (1, [0, 2, 3, 5, 8, 9, 11]), (2, [0, 1, 2, 5, 7, 10, 11])),
+with masks(mask, p) as (values (0, [0, 1, 2, 4, 6, 7]), (1, [0, 1, 4, 8, 9, 10]), (2, [0, 2, 5, 6, 8, 10]), (3, [0, 1, 2, 3, 7, 10])),
 d as (select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as w from documents),
 b as (select item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') as iw from benchmark),
-dp as (select doc_id, w, unnest(range(0, len(w) - 11)) as a from d where len(w) >= 12),
-bp as (select item_id, iw, unnest(range(0, len(iw) - 11)) as j from b where len(iw) >= 12),
-dk as (select doc_id, a, mask, array_to_string(list_transform(p, lambda x: w[a + x + 1]), ' ') as k from dp, masks),
-bk as (select item_id, j, mask, array_to_string(list_transform(p, lambda x: iw[j + x + 1]), ' ') as k from bp, masks),
+dp as (select doc_id, w, unnest(range(0, len(w))) as a from d where len(w) >= 12),
+bp as (select item_id, iw, unnest(range(0, len(iw))) as j from b where len(iw) >= 12),
+dk as (select doc_id, a, mask, array_to_string(list_transform(p, lambda x: w[a + x + 1]), ' ') as k from dp join masks on a + p[6] < len(w)),
+bk as (select item_id, j, mask, array_to_string(list_transform(p, lambda x: iw[j + x + 1]), ' ') as k from bp join masks on j + p[6] < len(iw)),
 h as (select doc_id, item_id, a, j, mask from dk join bk using (mask, k)),
 r as (select h.* from h left join h x on x.doc_id = h.doc_id and x.item_id = h.item_id and x.mask = h.mask and x.a = h.a - 1 and x.j = h.j - 1 where x.doc_id is null),
 e as (select r.*, d.w, b.iw, greatest(-a, -j, -24) as lo, least(len(d.w) - a, len(b.iw) - j, 36) as hi from r join d using (doc_id) join b using (item_id)),

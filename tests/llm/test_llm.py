@@ -558,3 +558,15 @@ def test_field_attribution(spark, tokenizer):
 
 def test_scratch_tables_lie_in_the_shared_folder(spark):
     assert scratch.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_common_phrases_are_no_seeds(spark):
+    """An opening that many items share pairs no document with all of them; a document that goes on like an item is still found."""
+    for mask in decontaminate.MASKS:
+        assert all(sum(a <= p < a + 6 for p in mask) <= 4 for a in range(12))
+    items = [(k, "what is the value of " + " ".join(f"i{k}w{j}" for j in range(15))) for k in range(2000)]
+    rows = [(k, " ".join(f"{prose(20, 3 * k + j)} what is the value of" for j in range(3)) + " " + prose(9, k)) for k in range(400)] + [(400, prose(9, 1) + " " + items[77][1])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    seeds = decontaminate._seeds(bench.select("item_id", decontaminate.words(F.col("text")).alias("item_w")).withColumn("item_key", F.xxhash64("item_w")), decontaminate.MASKS)
+    assert seeds.groupBy("seed_mask", "seed").count().agg(F.max("count")).first()[0] == 1
+    assert [r["doc_id"] for r in decontaminate.leaks(docs(spark, rows), bench).collect()] == [400]
