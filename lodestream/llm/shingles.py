@@ -8,11 +8,15 @@ fingerprint with odds of 2**-64.
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import xxhash
 
 WIDTH = 5
+#: Bytes of a text after which its words are cut anew, so that they aren't all held at once.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: log2 of the number of places that the two permutations act on.
 PLACES = 20
 
@@ -31,13 +35,24 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def _word_hashes(text: bytes) -> np.ndarray:
+    """A fingerprint of each word; a long text is cut into words piece by piece."""
+    parts, at = [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        found = words(text[at:end])
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=_U, count=len(found)))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, dtype=_U)
+
+
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct fingerprints of all ``width``-word shingles; of fewer words, of the whole sequence; of none, empty."""
-    found = words(text)
-    n = len(found)
+    h = _word_hashes(text or b"")
+    n = len(h)
     if not n:
         return np.empty(0, dtype=_U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=_U, count=n)
     if n < width:
         return mix((h * _ROW[:n]).sum(dtype=_U, keepdims=True) + _U(n))
     s = h[: n - width + 1] * _ROW[0]

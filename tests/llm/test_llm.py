@@ -570,3 +570,11 @@ def test_common_phrases_are_no_seeds(spark):
     seeds = decontaminate._seeds(bench.select("item_id", decontaminate.words(F.col("text")).alias("item_w")).withColumn("item_key", F.xxhash64("item_w")), decontaminate.MASKS)
     assert seeds.groupBy("seed_mask", "seed").count().agg(F.max("count")).first()[0] == 1
     assert [r["doc_id"] for r in decontaminate.leaks(docs(spark, rows), bench).collect()] == [400]
+
+
+def test_long_texts_have_the_sets_of_their_words(monkeypatch):
+    texts = [b"", b" ", b"a", b"x" * 50, prose(300, 4).encode() + b"\n" + b"y" * 40 + b" end", b"  " + prose(7, 1).encode() + b"\x0b\x0c "]
+    want = [shingles.shingle_set(t).tolist() for t in texts]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        assert [shingles.shingle_set(t).tolist() for t in texts] == want
