@@ -197,7 +197,8 @@ def align(blocks: DataFrame, store: DataFrame) -> DataFrame:
     # New names: columns that both sides take from one table would be one column, and pruned with the other.
     side = empty(store, ["tool", "args"]).select(F.col("conv_id").alias("store_conv"), *(F.col(c).alias(f"store_{c}") for c in STORE))
     both = empty(blocks, ["name", "input"]).groupBy("conv_id").cogroup(side.groupBy("store_conv"))
-    return both.applyInPandas(lambda a, b: _align(a, b), "conv_id bigint, turn bigint, store_row bigint, status string")
+    kind = blocks.schema["conv_id"].dataType.simpleString()
+    return both.applyInPandas(lambda a, b: _align(a, b), f"conv_id {kind}, turn bigint, store_row bigint, status string")
 
 
 def scaffolding(tool: Column, reasoning: Column, step: Column, capability: Column, text: Column) -> Column:
