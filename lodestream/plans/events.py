@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.operators import eventlog
 from lodestream.plans.registry import query, read, relational
+from lodestream.streaming import changes
 
 relational(
     "tail_n_audit",
@@ -73,3 +76,20 @@ relational(
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate limit of each user: 5 tokens, one back an hour; tested against a plain loop."""
     return eventlog.rate_limited(read(spark, sf_dir, "events"), capacity=5, refill_s=3600)
+
+
+@query(
+    """with e as (select cast(user_id as varchar) as id, ts as "at", floor(value)::bigint as size, event_type as hash from events where user_id is not null),
+            o as (select *, row_number() over w as n, lag("at") over w as was_at, lag(size) over w as was_size, lag(hash) over w as was_hash, lead("at") over w as next_at from e
+                  window w as (partition by id order by "at", size nulls first, hash nulls first)),
+            d as (select id, "at", case when was_at is null or was_at + interval 12 hour <= "at" then 'new' when was_size is not distinct from size and was_hash is not distinct from hash then 'unchanged'
+                    when coalesce(size, 0) < coalesce(was_size, 0) then 'shrunk' else 'changed' end as decision, next_at from o)
+       select id, "at", decision from d
+       union all select id, "at" + interval 12 hour as "at", 'forgotten' as decision from d where next_at is null or "at" + interval 12 hour <= next_at"""
+)
+def watched_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as snapshots of their users' files: what is done about each, and when a file not seen for twelve hours is forgotten. Parked files and streams are tested apart."""
+    events = read(spark, sf_dir, "events").filter("user_id is not null")
+    none = F.lit(None).cast("string")
+    rows = events.select(F.lit("events").alias("source_id"), F.col("user_id").cast("string").alias("id"), F.col("ts").alias("at"), none.alias("path"), F.floor("value").cast("bigint").alias("size"), F.col("event_type").alias("hash"), none.alias("error"))
+    return changes.decided(rows, datetime(2200, 1, 1), forget=timedelta(hours=12)).select("id", "at", "decision")
