@@ -57,6 +57,18 @@ def opened(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "sealed").mapInPandas(run, f"{key} {kind}, manifest string, payload_size bigint, payload_sha256 string")
 
 
+def unsealed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, manifest, payload) of rows (key, content)."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            both = [unseal(bytes(c)) for c in p["content"]]
+            yield pd.DataFrame({key: p[key], "manifest": [m.decode() for m, _ in both], "payload": [d for _, d in both]})
+
+    return rows.select(key, "content").mapInPandas(run, f"{key} {kind}, manifest string, payload binary")
+
+
 def decoded(files: DataFrame, most: int) -> DataFrame:
     """(path, content, too_large) of zstd files (path, content); a file that decodes to more than ``most`` bytes has no content."""
     import zstandard
