@@ -197,6 +197,28 @@ def base64_text(value: str) -> str | None:
     return None
 
 
+_KEY_BEGIN = re.compile(r"-----BEGIN[A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_END = re.compile(r"(?=(-----END[A-Z ]*PRIVATE KEY(?: BLOCK)?-----))")
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private keys from a begin mark to the first end mark after it. End marks are looked for once, so that begin marks without one cost no more than their own length."""
+    begin = _KEY_BEGIN.search(text)
+    if not begin:
+        return []
+    ends = [m.span(1) for m in _KEY_END.finditer(text, begin.end())]
+    starts = [s for s, _ in ends]
+    out = []
+    while begin:
+        k = bisect_left(starts, begin.end())
+        if k == len(ends):
+            break
+        out.append((begin.start(), ends[k][1]))
+        begin = _KEY_BEGIN.search(text, ends[k][1])
+    return out
+
+
+
 class Scanner:
     """A set of rules, and a user's name that is hidden in paths; texts are scanned by the rules whose keywords they hold."""
 
@@ -227,6 +249,8 @@ class Scanner:
             return emails
         if rule.name == "url-userinfo-credentials":
             return logins
+        if rule.name == "private-key-block":
+            return key_blocks
         at = re.compile(python(rule.pattern), re.ASCII)
         needs = {"pan": _DIGITS, "pesel": _DIGITS, "iban": _ACCOUNT}.get(rule.checksum)
 

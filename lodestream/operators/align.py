@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,14 +76,14 @@ def arguments(given: str | None, stored: str | None) -> tuple[int, int]:
     if not given or (stored or "").strip() in ("", "{}", "null"):
         return NEUTRAL, 0
     try:
-        kept = list(_leaves(json.loads(stored), STORED_NOISE))
+        kept = list(_leaves(json.loads(stored, parse_int=float), STORED_NOISE))
         read = True
     except ValueError:
         kept, read = [], False
     if read and not any(telling for _, telling in kept):
         return NEUTRAL, 0
     try:
-        asked = json.loads(given)
+        asked = json.loads(given, parse_int=float)
         if not isinstance(asked, dict):
             raise ValueError(given)
     except ValueError:
@@ -224,17 +226,21 @@ def ordered_rows(headers: DataFrame, inline: DataFrame, rows: DataFrame) -> Data
 def holding(items: DataFrame, turns: DataFrame, key: int = 32) -> DataFrame:
     """(item_id, conv_id, turn): turns and items of which one holds the other's whole plain text, or that begin alike for 64 characters.
 
-    Each text gives the hash of its first ``key`` characters as a probe, and hashes of
-    all its places of that length as answers; a pair that meets is confirmed on the
-    whole texts. Shorter texts are probed at their own lengths, of which there are at
-    most ``key``. Equal texts are confirmed once.
+    Texts go by a digest; what is joined first are hashes. A text holds another only if
+    it has all of the other's stretches of ``key`` characters. Of some of these, spread
+    over the other text, the one that occurs in the fewest texts is looked for; if one
+    occurs nowhere, nothing is. A common beginning is so no hot key. Texts of fewer
+    than ``key`` characters are looked for whole, by length. Digests that met are
+    confirmed on the whole texts.
     """
-    a = items.select("item_id", _plain(F.col("text")).alias("a")).filter("a <> ''")
-    b = turns.select("conv_id", "turn", _plain(F.col("text")).alias("b")).filter("b <> ''")
-    one, two = a.select("a").distinct(), b.select("b").distinct()
-    pairs = _holds(one, "a", two, "b", key).unionByName(_holds(two, "b", one, "a", key))
-    alike = one.withColumn("k", F.left("a", F.lit(PREFIX))).filter(F.length("a") >= PREFIX).join(two.withColumn("k", F.left("b", F.lit(PREFIX))), "k").select("a", "b")
-    return pairs.unionByName(alike).distinct().join(a, "a").join(b, "b").select("item_id", "conv_id", "turn")
+    a = items.select("item_id", _plain(F.col("text")).alias("text")).filter("text <> ''").withColumn("id", F.md5("text"))
+    b = turns.select("conv_id", "turn", _plain(F.col("text")).alias("text")).filter("text <> ''").withColumn("id", F.md5("text"))
+    one, two = (side.select("id", "text").dropDuplicates(["id"]) for side in (a, b))
+    pairs = _holds(one, two, key).select(F.col("small").alias("a"), F.col("large").alias("b")).unionByName(_holds(two, one, key).select(F.col("large").alias("a"), F.col("small").alias("b")))
+    begins = lambda side, name: side.filter(F.length("text") >= PREFIX).select(F.col("id").alias(name), F.md5(F.left("text", F.lit(PREFIX))).alias("k"))
+    alike = begins(one, "a").join(begins(two, "b"), "k").select("a", "b")
+    found = pairs.unionByName(alike).distinct()
+    return found.join(a.select(F.col("id").alias("a"), "item_id"), "a").join(b.select(F.col("id").alias("b"), "conv_id", "turn"), "b").select("item_id", "conv_id", "turn")
 
 
 def _plain(text: Column) -> Column:
@@ -242,14 +248,69 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(F.replace(F.substring_index(bare, "<user_query>", 1), F.lit("\r\n"), F.lit("\n")), r"^\s+|\s+$", "")
 
 
-def _holds(small: DataFrame, s: str, large: DataFrame, t: str, key: int) -> DataFrame:
-    """Pairs of texts of which ``t`` holds ``s``: by the first ``key`` characters of ``s``, or all of a shorter one."""
-    probes = small.select(s, F.left(s, F.lit(key)).alias("k")).withColumn("n", F.length("k"))
-    sizes = sorted(r[0] for r in probes.select("n").distinct().collect())  # at most ``key`` numbers
-    if not sizes:
-        return small.crossJoin(large.limit(0)).select("a", "b")
-    at_all = lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.xxhash64(F.substr(F.col(t), i, F.lit(n))))
-    cut = F.flatten(F.array(*(F.when(F.length(t) >= n, at_all(n)).otherwise(F.array().cast("array<bigint>")) for n in sizes)))
-    placed = large.select(t, F.explode(F.array_distinct(cut)).alias("h"))
-    met = probes.withColumn("h", F.xxhash64("k")).join(placed, "h")
-    return met.filter(F.contains(t, F.col(s))).select("a", "b")
+#: Stretches of a text that are looked for in others.
+ANCHORS = 8
+#: An odd base of the rolled hash, and what undoes it, both modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_UNDO = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), dtype=np.uint64)
+    out[1:] = np.uint64(base)
+    return np.multiply.accumulate(out)
+
+
+def _stretches(text: str, n: int, rolled: np.ndarray, undo: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of ``n`` characters, from the running sums of the whole text."""
+    count = len(text) - n + 1
+    h = (rolled[n:] - rolled[:count]) * undo[:count] + np.uint64(n)
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(_BASE)).view(np.int64)
+
+
+def _rolled(text: str) -> tuple[np.ndarray, np.ndarray]:
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+    return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * _powers(_BASE, len(letters)), dtype=np.uint64)]), _powers(_UNDO, len(letters))
+
+
+def _places(sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of all distinct stretches of ``sizes`` characters in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rolled, undo = _rolled(text)
+                for n in sizes:
+                    if n <= len(text):
+                        h = np.unique(_stretches(text, n, rolled, undo))
+                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(h), dtype=np.int64))), pa.array(h)], names=["large", "h"])
+
+    return run
+
+
+def _anchors(key: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text some hashes of stretches of ``key`` characters, first and last ones among them; of a shorter one the hash of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                n = min(key, len(text))
+                h = _stretches(text, n, *_rolled(text))
+                rows += [(name, n, int(h[at])) for at in sorted({int(x) for x in np.linspace(0, len(h) - 1, ANCHORS)})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["small", "n", "h"])
+
+    return run
+
+
+def _holds(small: DataFrame, large: DataFrame, key: int) -> DataFrame:
+    """(small, large): digests of texts of which ``large`` (id, text) holds ``small`` (id, text)."""
+    sizes = sorted(r[0] for r in small.select(F.least(F.length("text"), F.lit(key)).alias("n")).distinct().collect())  # at most ``key`` numbers
+    asked = small.select("id", "text").mapInArrow(_anchors(key), "small string, n int, h bigint").distinct()
+    placed = large.select("id", "text").mapInArrow(_places(sizes), "large string, h bigint").join(asked.select("h").distinct(), "h", "left_semi")
+    counted = asked.join(placed.groupBy("h").agg(F.count("*").alias("often")), "h", "left").groupBy("small").agg(F.min(F.struct(F.coalesce("often", F.lit(0).cast("bigint")).alias("often"), "h")).alias("best"))
+    rarest = counted.filter("best.often > 0").select("small", F.col("best.h").alias("h"))
+    met = rarest.join(placed, "h").select("small", "large").distinct()
+    texts = met.join(small.select(F.col("id").alias("small"), F.col("text").alias("s")), "small").join(large.select(F.col("id").alias("large"), F.col("text").alias("t")), "large")
+    return texts.filter(F.contains("t", F.col("s"))).select("small", "large")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import sys
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -87,6 +88,7 @@ def _rewritten(values: DataFrame, key: str, value: str, change: Callable[[object
     kind = values.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.set_int_max_str_digits(0)  # numbers may have any number of digits
         for b in batches:
             out, changed = [], []
             for text in b.column("v").to_pylist():

@@ -111,3 +111,10 @@ _ladder(
     f"""'{{"uuid":"{_GLUED}' || turn || '","in":{{"uuid":"__REDACTED:generic-entropy__"}},"x":{{"uuid":' || turn || '}}}}'""",
     1,
 )
+_ladder(
+    "red_numbers",
+    "A number of any length leaves its line a decoded one, and is kept.",
+    """'{"password":"pw' || conv_id || '","n":' || repeat('1', 5000) || '.5,"big":-' || repeat('9', 4400) || '}'""",
+    """'{"password":"__REDACTED:key-name__","n":' || repeat('1', 5000) || '.5,"big":-' || repeat('9', 4400) || '}'""",
+    1,
+)

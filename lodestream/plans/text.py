@@ -222,8 +222,8 @@ relational(
 )
 
 
-_ITEMS = "select item_id, case when item_id % 3 = 0 then '<timestamp>now</timestamp> ' || text || ' ' when item_id % 3 = 1 then '<user_query>' || left(text, 80) || '</user_query>' else substr(text, 5, 20) end as text from {benchmark}"
-_TURNS = "select conv_id, turn, case when turn % 4 = 0 then text when turn % 4 = 1 then substr(text, 3, 25) else left(text, 70) || ' and more' end as text from {conversations}"
+_ITEMS = "select item_id, case when item_id % 3 = 0 then '<timestamp>now</timestamp> ' || text || ' ' when item_id % 3 = 1 then '<user_query>' || left(text, 80) || '</user_query>' else substr(text, 5, 20) end as text from {benchmark} union all select 100000 + item_id, text from {benchmark}"
+_TURNS = "select conv_id, turn, case when turn % 4 = 0 then text when turn % 4 = 1 then substr(text, 3, 25) else left(text, 70) || ' and more' end as text from {conversations} union all select conv_id, 1000 + turn, text from {conversations}"
 _BARE = "trim(replace(replace(replace(text, '<timestamp>now</timestamp>', ''), '<user_query>', ''), '</user_query>', ''), ' ' || chr(9) || chr(10) || chr(13))"
 
 
@@ -233,7 +233,7 @@ _BARE = "trim(replace(replace(replace(text, '<timestamp>now</timestamp>', ''), '
        select distinct item_id, conv_id, turn from i join t on contains(a, b) or contains(b, a) or (length(a) >= 64 and length(b) >= 64 and left(a, 64) = left(b, 64)) where a <> '' and b <> ''"""
 )
 def text_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items and first turns against cuts of all turns: one holds the other, or both begin alike."""
+    """Benchmark items and first turns, whole and cut, against all turns, whole and cut: one holds the other, or both begin alike."""
     turns = read(spark, sf_dir, "conversations")
     items = spark.sql(_ITEMS, benchmark=read(spark, sf_dir, "benchmark")).unionByName(turns.filter("turn = 0").select((F.col("conv_id") + 1000).alias("item_id"), "text"))
     return align.holding(items, spark.sql(_TURNS, conversations=turns)).distinct()

@@ -171,3 +171,22 @@ def test_globs(glob, path, hit):
     import re
 
     assert bool(re.match(detect.glob_pattern(glob), path)) == hit
+
+
+def test_key_blocks_are_those_of_the_expression_in_linear_time():
+    import random
+    import re
+    import time
+
+    from lodestream.functions.rules import BY_NAME, python
+    from lodestream.functions.scan import key_blocks
+
+    at = re.compile(python(BY_NAME["private-key-block"].pattern), re.ASCII)
+    r = random.Random(8)
+    parts = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY BLOCK-----", "END PRIVATE KEY-----", "-----END PGP PRIVATE KEY BLOCK-----", "-----", "abc\n", "BEGIN", " PRIVATE KEY", "-----BEGIN CERTIFICATE-----"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(9)))
+        assert key_blocks(text) == [m.span() for m in at.finditer(text)], text
+    for flood in ("-----BEGIN PRIVATE KEY-----\n" * 40_000, "-----END PRIVATE KEY-----\n" * 20_000 + "-----BEGIN PRIVATE KEY-----\n" * 20_000):
+        began = time.time()
+        assert key_blocks(flood) == [] and time.time() - began < 1.0

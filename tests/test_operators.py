@@ -190,3 +190,22 @@ def test_query_equals_its_sql(spark, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), con.execute(catalogue.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+def test_holding_of_long_texts_and_common_beginnings(spark):
+    """Texts of 200,000 characters, and items that begin alike: no row carries a text until hashes have met."""
+    import random
+    import time
+
+    r = random.Random(6)
+    letters = "abcdefgh é日🙂"
+    long = "".join(r.choice(letters) for _ in range(200_000))
+    opening = "the same beginning of all items, longer than any stretch. "[:58]
+    items = [(k, opening + f"then item {k} goes on on its own way {k * k}") for k in range(300)] + [(900, long[70_000:150_000]), (901, long[5:15]), (902, long[199_990:]), (903, "zz" * 40), (904, long + "x")]
+    turns = [(1, 1, long), (1, 2, "x" * 100 + items[7][1] + "y"), (1, 3, opening), (1, 4, items[8][1][:70]), (2, 1, "a" * 100_000)]
+    began = time.time()
+    got = set(map(tuple, align.holding(spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string")).collect()))
+    want = {(i, c, t) for i, a in items for c, t, b in turns if a in b or b in a or (len(a) >= 64 <= len(b) and a[:64] == b[:64])}
+    assert got == want and (900, 1, 1) in want and (904, 1, 1) in want
+    assert time.time() - began < 60
+    assert align.holding(spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string")).count() == 0
