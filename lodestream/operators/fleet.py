@@ -91,3 +91,18 @@ def batches(rows: DataFrame, key: str, order: list[str], size: str, most: int, b
 
     zipped = F.explode(F.arrays_zip("items", F.aggregate("items", start, add)["out"].alias("batch")))
     return listed.select(key, zipped.alias("z")).select(key, *(F.col(f"z.items.{c}").alias(c) for c in order), F.col("z.batch").alias("batch"))
+
+
+def accepted(asked: DataFrame, reported: DataFrame, stored: DataFrame, unverified: DataFrame) -> DataFrame:
+    """(doc, at, id) for each document of ``asked`` (doc, at, id): its first entry that nothing accepts; null where all are accepted.
+
+    An entry is accepted if ``reported`` (id) has its id, or the document itself already
+    has it (``stored``: doc, id) or confirms it (``unverified``: doc, id). What a document
+    holds comes from one union by document and id; only entries left are looked for
+    among the reported ones.
+    """
+    ours = asked.select("doc", "id", "at", F.lit(False).alias("held"))
+    theirs = stored.select("doc", "id").unionByName(unverified.select("doc", "id")).select("doc", "id", F.lit(None).cast(asked.schema["at"].dataType).alias("at"), F.lit(True).alias("held"))
+    open_ = ours.unionByName(theirs).groupBy("doc", "id").agg(F.min("at").alias("at"), F.max("held").alias("held")).filter("not held and at is not null")
+    first = open_.join(reported.select("id").distinct(), "id", "left_anti").groupBy("doc").agg(F.min(F.struct("at", "id")).alias("f"))
+    return asked.select("doc").distinct().join(first, "doc", "left").select("doc", "f.at", "f.id")
