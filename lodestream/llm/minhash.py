@@ -197,10 +197,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
         & ((a["one"] != a["two"]) | (F.col("node_u") < F.col("node_v")))
         & (F.col("root_u") != F.col("root_v"))
         & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        & (F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"])  # in one band only
     )
+    # In this order: sketches refuse most pairs, and bands are compared for the others alone.
     if may_differ is not None:
         able = able & (_differing("sketch_u", "sketch_v") <= may_differ)
+    able = able & (F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"])  # in one band only
     meet = (a["band"] == b["band"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
     cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
     cross, cross_path = scratch.table(cross, "minhash-cross")
