@@ -133,7 +133,7 @@ def _attribute(vocabulary: str, rule: str):
             parts: list[tuple[np.ndarray, ...]] = []
             texts = b.column("text").cast(pa.binary())
             for k, t in enumerate(texts):
-                text = t.as_py() or b""
+                text = tk.as_utf8(t.as_py() or b"")
                 if text:
                     first, last, char = token_spans(text, memo)
                     total = int(char[-1]) + 1

@@ -7,7 +7,8 @@ role are merged by array functions into one marked turn:
     first text<|im_next|>second text<|im_end|>
 
 Inside roles and texts a backslash is doubled and ``<|`` is written ``<\\|``, so no
-text holds a mark and every text comes back as it was. ``loss`` lists the spans of
+text holds a mark and every text comes back as it was; a line break in a role is
+written ``<|nl|>``. ``loss`` lists the spans of
 assistant texts in the formatted string, one for each text, in characters and in
 UTF-8 bytes. Work grows as n log n of a conversation's turns.
 
@@ -25,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, NEXT, END, BREAK = "<|im_start|>", "<|im_next|>", "<|im_end|>", "\n"
+START, NEXT, END, BREAK, ROLE_BREAK = "<|im_start|>", "<|im_next|>", "<|im_end|>", "\n", "<|nl|>"
 LEARNT = "assistant"
 
 
@@ -37,6 +38,14 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit(BREAK), F.lit(ROLE_BREAK))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(ROLE_BREAK), F.lit(BREAK)))
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -87,7 +96,7 @@ def _pieces(run: Column) -> Column:
     return F.transform(
         run["texts"],
         lambda text, j: F.struct(
-            F.when(j == 0, F.concat(F.lit(START), escape(run["role"]), F.lit(BREAK))).otherwise(NEXT).alias("before"),
+            F.when(j == 0, F.concat(F.lit(START), escape_role(run["role"]), F.lit(BREAK))).otherwise(NEXT).alias("before"),
             text.alias("text"),
             F.when(j == last, END + BREAK).otherwise("").alias("after"),
             (run["role"] == LEARNT).alias("learnt"),
@@ -134,7 +143,7 @@ def parsed(formatted: Column) -> Column:
             blocks,
             lambda b: F.transform(
                 F.split(F.substr(b, F.locate(BREAK, b) + 1), r"<\|im_next\|>"),
-                lambda text: F.struct(unescape(F.substr(b, F.lit(len(START) + 1), F.locate(BREAK, b) - len(START) - 1)).alias("role"), unescape(text).alias("text")),
+                lambda text: F.struct(unescape_role(F.substr(b, F.lit(len(START) + 1), F.locate(BREAK, b) - len(START) - 1)).alias("role"), unescape(text).alias("text")),
             ),
         )
     )

@@ -6,6 +6,7 @@ Python worker. A word of printable ASCII and precomposed Latin letters needs no
 normalisation but lower case; the vocabulary's own pattern cuts it and the
 tokenizer's model encodes the parts. Any other word goes through the whole
 tokenizer. The result is that of ``Tokenizer.encode(text, add_special_tokens=False)``.
+Bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -55,6 +56,16 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def as_utf8(text: bytes) -> bytes:
+    """A text with U+FFFD for what isn't UTF-8."""
+    if not text.isascii():
+        try:
+            text.decode()
+        except UnicodeDecodeError:
+            return text.decode(errors="replace").encode()
+    return text
+
+
 class WordMemo(dict):
     """Maps a word's UTF-8 bytes to its ids as little-endian unsigned 32-bit integers."""
 
@@ -67,7 +78,7 @@ class WordMemo(dict):
         self.held = self.parts_held = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+        text = word.decode(errors="replace")
         if _SIMPLE.fullmatch(text) and "<|" not in text:
             ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
         else:

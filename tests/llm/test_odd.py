@@ -9,6 +9,8 @@ import pytest
 from test_llm import docs, labelled, prose
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lodestream.llm import attribution, chat, decontaminate, linecrf, minhash, packing, ppm, quality, scratch, token_orc, toxicity
 
 
@@ -100,6 +102,42 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         scratch.shared_dir(Session())
 
 
+def test_a_cluster_of_one_machine_is_a_cluster():
+    class Context:
+        master = "local-cluster[3,2,3000]"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session())
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    """They count as U+FFFD; no task fails."""
+    bad = b"good words \xff\xfe b\xc3 \xe6\x97 end\nline \x80two"
+    clean = bad.decode(errors="replace")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr(f"cast(X'{bad.hex()}' as string)").alias("text"))
+    want = spark.createDataFrame([(0, clean)], "doc_id bigint, text string")
+    for k, d in enumerate((docs, want)):
+        token_orc.write_tokens(d, str(tmp_path / f"orc{k}"))
+        packing.write_sequences(d, str(tmp_path / f"seq{k}"))
+    read = lambda k: (token_orc.token_digest(token_orc.read_tokens(spark, str(tmp_path / f"orc{k}"))).collect(), sorted(map(tuple, packing.piece_digest(packing.read_sequences(spark, str(tmp_path / f"seq{k}"))).collect())))
+    assert read(0) == read(1)
+    assert attribution.section_tokens(docs).collect() == attribution.section_tokens(want).collect()
+
+
+def test_roles_with_line_breaks_come_back(spark):
+    roles = ["sys\nassistant", "a\n", "\n", "<|nl|>", "\\n", "x\\\ny", "<|nl|>\n<|im_end|>\n"]
+    turns = spark.createDataFrame([(k, 0, r, "hi\nyou") for k, r in enumerate(roles)], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.format_conversations(turns).select("conv_id", chat.parsed(F.col("formatted")).alias("t")).collect()
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["t"]] for r in got} == {k: [(r, "hi\nyou")] for k, r in enumerate(roles)}
+
+
 def test_the_field_is_the_most_likely_one():
     """The likelihood by enumeration of all labellings; no other weights near give more."""
     r = np.random.default_rng(3)
