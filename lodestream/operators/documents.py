@@ -52,13 +52,13 @@ def audit_reason(reason: Column) -> Column:
 
 
 def checksums(state: DataFrame, by: str) -> DataFrame:
-    """(by, version, rows, checksum) of a state table: the xor of its rows' SHA-256 over their JSON with columns in order of name.
+    """(by, version, rows, checksum) of a state table: the sums, modulo 2**60, of quarters of its rows' SHA-256 over their JSON with columns in order of name.
 
-    It doesn't depend on the order of rows, so it is a sum over partitions; the same
-    rows give the same document.
+    It doesn't depend on the order of rows, so it is a sum over partitions; equal rows
+    count as often as they are there.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(state.columns)), {"ignoreNullFields": "false"}), 256)
-    lanes = [F.bit_xor(F.conv(F.substr("h", F.lit(1 + 15 * k), F.lit(15)), 16, 10).cast("bigint")) for k in range(4)]
+    lanes = [(F.sum(F.conv(F.substr("h", F.lit(1 + 15 * k), F.lit(15)), 16, 10).cast("decimal(38,0)")) % F.lit(1 << 60).cast("decimal(38,0)")).cast("bigint") for k in range(4)]
     text = F.concat(*(F.lpad(F.lower(F.hex(x)), 15, "0") for x in lanes))
     return state.select(by, row.alias("h")).groupBy(by).agg(F.lit(STATE_VERSION).alias("version"), F.count("*").alias("rows"), text.alias("checksum"))
 

@@ -122,7 +122,7 @@ def audit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with s as (select o_orderstatus as source, o_orderkey as id, o_custkey % 3 as attempts from orders),
             h as (select source, sha256('{"attempts":' || attempts || ',"id":' || id || ',"source":"' || source || '"}') as h from s),
-            x as (select source, count(*) as rows, bit_xor(cast('0x' || h[1:15] as bigint)) as a, bit_xor(cast('0x' || h[16:30] as bigint)) as b, bit_xor(cast('0x' || h[31:45] as bigint)) as c, bit_xor(cast('0x' || h[46:60] as bigint)) as d from h group by source)
+            x as (select source, count(*) as rows, (sum(cast('0x' || h[1:15] as bigint)::hugeint) % 1152921504606846976)::bigint as a, (sum(cast('0x' || h[16:30] as bigint)::hugeint) % 1152921504606846976)::bigint as b, (sum(cast('0x' || h[31:45] as bigint)::hugeint) % 1152921504606846976)::bigint as c, (sum(cast('0x' || h[46:60] as bigint)::hugeint) % 1152921504606846976)::bigint as d from h group by source)
        select source, 1 as version, rows, lpad(lower(to_hex(a)), 15, '0') || lpad(lower(to_hex(b)), 15, '0') || lpad(lower(to_hex(c)), 15, '0') || lpad(lower(to_hex(d)), 15, '0') as checksum from x"""
 )
 def state_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:

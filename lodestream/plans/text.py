@@ -11,6 +11,7 @@ from lodestream.operators import align, documents, jsonl, redaction
 from lodestream.plans.examples import EXAMPLES
 from lodestream.plans.registry import query, read, relational
 from lodestream.sources import archive
+from lodestream.sources.spread import spread
 
 
 def _literal(text: str) -> str:
@@ -62,7 +63,7 @@ def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an example of some rule and an address at their ends."""
     examples = F.array(*map(F.lit, _EXAMPLES))
     planted = F.concat(F.col("text"), F.lit(" "), F.get(examples, (F.col("doc_id") % len(_EXAMPLES)).cast("int")), F.lit(" user"), F.col("doc_id").cast("string"), F.lit("@mail.example.org"))
-    return read(spark, sf_dir, "documents").select("doc_id", "source", planted.alias("t"))
+    return spread(read(spark, sf_dir, "documents")).select("doc_id", "source", planted.alias("t"))
 
 
 @query(
@@ -97,7 +98,7 @@ def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with planted as (select doc_id, text as t from documents) select doc_id, s, e from ({_sql_spans('email')})")
 def detect_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses with their byte offsets."""
-    return redaction.spans(read(spark, sf_dir, "documents"), "doc_id", "text", (BY_NAME["email"],)).select("doc_id", "s", "e")
+    return redaction.spans(spread(read(spark, sf_dir, "documents")), "doc_id", "text", (BY_NAME["email"],)).select("doc_id", "s", "e")
 
 
 @query(f"with planted as ({_PLANTED}) select doc_id, s, e from ({_sql_spans('key-name')})")
@@ -156,7 +157,7 @@ def secret_key_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def entropy_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long runs of key characters, and whether they look random."""
-    runs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+=_-]{24,}"), F.lit(0))).alias("run")).distinct()
+    runs = spread(read(spark, sf_dir, "documents")).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+=_-]{24,}"), F.lit(0))).alias("run")).distinct()
     return runs.select("doc_id", "run", detect.clears_entropy(F.col("run")).alias("clears"))
 
 

@@ -209,3 +209,9 @@ def test_holding_of_long_texts_and_common_beginnings(spark):
     assert got == want and (900, 1, 1) in want and (904, 1, 1) in want
     assert time.time() - began < 60
     assert align.holding(spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string")).count() == 0
+
+
+def test_equal_rows_count_in_checksums(spark):
+    rows = lambda *ids: spark.createDataFrame([("s", i, 0) for i in ids], "source string, id int, attempts int")
+    of = lambda df: documents.checksums(df, "source").first()["checksum"]
+    assert len({of(rows(1, 1)), of(rows(2, 2)), of(rows(1, 2)), of(rows(1, 1, 1)), of(rows(1))}) == 5 and of(rows(1, 2, 2)) == of(rows(2, 1, 2).repartition(3))
