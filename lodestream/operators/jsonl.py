@@ -185,6 +185,15 @@ def scrub(
     return found.select(F.col("k").alias(key), F.col("line").alias(line), "mode", "hits", "redacted", "rule_hits")
 
 
+def scrub_by_source(lines: DataFrame, key: str, line: str, source: str, catalog: DataFrame, **options) -> DataFrame:
+    """As ``scrub``, but lines of a source that ``catalog`` (source, scrub) declares not to be scrubbed stay as they are, in mode ``bypassed``. A source that it doesn't have, or says nothing of, is scrubbed."""
+    free = catalog.groupBy("source").agg(F.bool_and(~F.coalesce("scrub", F.lit(True))).alias("_free")).filter("_free").select(F.col("source").alias("_source"))
+    match = F.col(source) == F.col("_source")
+    done = scrub(lines.join(free, match, "left_anti"), key, line, **options)
+    kept = lines.join(free, match, "left_semi").select(key, line, F.lit("bypassed").alias("mode"), *(F.lit(0).cast("bigint").alias(c) for c in ("hits", "redacted")), F.create_map().cast("map<string,bigint>").alias("rule_hits"))
+    return done.unionByName(kept)
+
+
 def split_lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, line, ending): the lines of whole texts with their endings (``\\n``, ``\\r\\n`` or none), so that they can be put together again."""
     cut = F.split(F.col(text), "(?<=\n)")

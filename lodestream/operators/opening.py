@@ -110,9 +110,11 @@ def index(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(_INDEX).parquet(f"{out}/index")
 
 
-def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = True) -> DataFrame:
+def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = True, preview: bool = False) -> DataFrame:
     """Bring the outputs below ``out`` up to date with ``found`` (key, install, source, tag, manifest, payload), and say what was done: (key, output, done).
 
+    A ``preview`` says what would be done, by the same plan, and writes nothing.
+
     The native path in an object's manifest, made safe, is its output's place below its
     install and source. An output whose place, manifest and size are as they were is
     ``unchanged`` and not written; a run that changes nothing writes nothing. Payloads
@@ -137,12 +139,15 @@ def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = Tr
     changed = told.filter(~F.col("done").isin("failed", "unchanged"))
 
     report = told.select("key", "output", "done")
+    if preview:
+        return report
     plan = f"{out}/runs/{run}"
     report.write.parquet(f"{plan}/report")
     report = spark.read.schema(report.schema).parquet(f"{plan}/report")
     if report.filter(~F.col("done").isin("failed", "unchanged")).isEmpty():
+        report = told.select("key", "output", "done")
         _drop(spark, plan)
-        return told.select("key", "output", "done")
+        return report
     keys = report.filter(~F.col("done").isin("failed", "unchanged")).select("key")
     changed.join(keys, "key", "left_semi").select("key", "payload", F.lit(run).alias("run")).write.mode("append").partitionBy("run").parquet(f"{out}/payload")
     new = changed.select("key", "output", "sidecar_hash", "payload_size", F.lit(run).alias("run"), "install", "source")

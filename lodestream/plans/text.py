@@ -263,6 +263,18 @@ def jsonl_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.scrub(lines, "id", "line").select("id.conv_id", "id.turn", "mode", "hits", "line")
 
 
+@query(
+    """select conv_id, turn, case when role = 'assistant' then 'bypassed' else 'decoded' end as mode, case when role = 'assistant' then 0 else 1 end::bigint as hits,
+         '{"n":' || conv_id || ',"mail":"' || case when role = 'assistant' then 'u' || conv_id || '@mail.example.org' else '__REDACTED:email__' end || '"}' as line from conversations"""
+)
+def scrub_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a planted address, by role: one role is declared not to be scrubbed, another has no declaration."""
+    line = F.format_string('{"n":%d,"mail":"u%d@mail.example.org"}', "conv_id", "conv_id")
+    lines = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.coalesce("role", F.lit("")).alias("role"), line.alias("line"))
+    catalog = read(spark, sf_dir, "conversations").select(F.col("role").alias("source"), F.when(F.col("role") == "assistant", F.lit(False)).alias("scrub")).distinct()
+    return jsonl.scrub_by_source(lines, "id", "line", "role", catalog).select("id.conv_id", "id.turn", "mode", "hits", "line")
+
+
 @query()
 def jsonl_scrub_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with their whole text as JSON lines, scrubbed by all rules; tested on a fixture. Repeated rows stay apart."""

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.operators import align, cdc, discover, eventlog, fleet
+from lodestream.operators import align, cdc, discover, documents, eventlog, fleet
 from lodestream.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
