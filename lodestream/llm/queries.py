@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from lodestream.llm import attribution, chat, decontaminate, fim, linecrf, minhash, packing, ppm, quality, scratch, simhash, token_orc, toxicity, vectorcode
+from lodestream.sources.spread import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores where they lie in one file of few row groups."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 @query
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as ORC and read back."""
@@ -34,14 +40,14 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of power-of-two length, written and read back."""
     path = scratch.new_path(spark, "sequences")
-    packing.write_sequences(read(spark, sf_dir, "documents"), path)
+    packing.write_sequences(texts(spark, sf_dir), path)
     return packing.piece_digest(packing.read_sequences(spark, path))
 
 
 @query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(texts(spark, sf_dir))
 
 
 ORACLES["op6_minhash"] = r"""
@@ -66,7 +72,7 @@ from w left join n using (doc_id) join c using (doc_id)
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.classify(texts(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 @query
@@ -102,13 +108,13 @@ from f group by conv_id
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
-    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.classify(texts(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents overlap."""
-    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(texts(spark, sf_dir), read(spark, sf_dir, "benchmark"))
 
 
 ORACLES["op7_decontaminate"] = r"""
@@ -142,7 +148,7 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the line labeller's verdict on all documents."""
-    return linecrf.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return linecrf.judge(texts(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 @query
@@ -158,13 +164,13 @@ if corpus_pipeline.ORACLE_SQL:
 @query
 def op5_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of all documents."""
-    return attribution.section_tokens(read(spark, sf_dir, "documents"))
+    return attribution.section_tokens(texts(spark, sf_dir))
 
 
 @query
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents transformed for filling in the middle, and read back."""
-    return fim.digest(fim.fill_in_middle(read(spark, sf_dir, "documents")))
+    return fim.digest(fim.fill_in_middle(texts(spark, sf_dir)))
 
 
 ORACLES["op13_fim"] = r"""
@@ -190,7 +196,7 @@ from p
 @query
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose fingerprints differ in three bits at most."""
-    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(texts(spark, sf_dir))
 
 
 @query
