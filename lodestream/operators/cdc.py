@@ -81,3 +81,40 @@ def of_spec(state: DataFrame, specs: DataFrame) -> DataFrame:
 def backoff(attempt: str) -> Column:
     """Seconds: one minute doubled by attempt, at most an hour."""
     return F.least(F.lit(60) * F.power(F.lit(2), F.least(F.col(attempt), F.lit(8))).cast("bigint"), F.lit(3600)).cast("bigint")
+
+
+def refreshed(now: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What was read (``now``: source_id, id, path, size, mtime, hash) against the state (as ``now``, and parked, attempts, policy_met): decisions, and the state's next rows.
+
+    The content's hash decides: a file of the remembered hash whose policy is met is
+    ``unchanged``, and only what is remembered of its place, size and time is written
+    anew; whatever parked it is over. Another one is ``shipped``, as ``shrunk`` if it is
+    smaller than remembered under the same path. Rows of the state that weren't read stay.
+    """
+    was = state.select(*KEY, *(F.col(c).alias(f"_{c}") for c in ("path", "size", "hash", "policy_met")), F.lit(True).alias("_known"))
+    both = now.join(was, KEY, "left")
+    same = F.coalesce(F.col("_known") & F.col("_policy_met") & (F.col("_hash") == F.col("hash")), F.lit(False))
+    shrunk = F.coalesce((F.col("size") < F.col("_size")) & (F.col("path") == F.col("_path")), F.lit(False))
+    told = both.withColumn("decision", F.when(same, "unchanged").when(shrunk, "shrunk").otherwise("shipped"))
+    after = told.select(*KEY, "path", "size", "mtime", "hash", F.lit(False).alias("parked"), F.lit(0).alias("attempts"), F.lit(True).alias("policy_met"))
+    kept = state.join(now.select(*KEY), KEY, "left_anti").select(*after.columns)
+    return told.select(*now.columns, "decision"), after.unionByName(kept)
+
+
+def pending(files: DataFrame, state: DataFrame, specs: DataFrame) -> DataFrame:
+    """``files`` (source_id, id, size, mtime, spec, session) with ``pending``: whether a report counts them as still to be sent.
+
+    All files of a source whose remembered spec (``specs``: source_id, spec) is another
+    one are. Of the others a file is if the state (source_id, id, size, mtime, hash,
+    parked) doesn't have it, or with another size or time. A database's ``session`` has
+    no size or time of its own: it is if it isn't there, was never sent, is parked, or
+    wasn't committed by the last run that committed any session of its source.
+    """
+    was = state.select(*KEY, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"), F.col("parked").alias("_parked"), F.lit(True).alias("_known"))
+    both = files.join(was, KEY, "left").join(specs.select("source_id", F.col("spec").alias("_spec")), "source_id", "left")
+    checked = both.filter("session and _known").groupBy("source_id").agg(F.max("_mtime").alias("_checked"))
+    both = both.join(checked, "source_id", "left")
+    new_spec = F.col("_spec").isNotNull() & (F.col("_spec") != F.col("spec"))
+    old_session = (F.coalesce("_hash", F.lit("")) == "") | F.col("_parked") | (F.col("_mtime") < F.col("_checked"))
+    waits = F.when(new_spec | F.col("_known").isNull(), True).when(F.col("session"), old_session).otherwise((F.col("_size") != F.col("size")) | (F.col("_mtime") != F.col("mtime")))
+    return both.select(*files.columns, F.coalesce(waits, F.lit(True)).alias("pending"))

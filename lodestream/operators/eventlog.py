@@ -63,3 +63,30 @@ def throttled(events: DataFrame, gap_s: float) -> DataFrame:
 
     dealt = events.filter("ts is not null").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
     return dealt.mapInArrow(run, "user_id bigint, ts timestamp_ntz").withColumn("ts", F.col("ts").cast(events.schema["ts"].dataType))
+
+
+def audit_tail(lines: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The last ``most`` entries of a log of two generations, the oldest first, and how many lines were passed over.
+
+    ``lines`` has (generation, line_no, line), the rotated file being generation 0. A
+    line that is no JSON object, a torn one, say, is no entry. Each task keeps ``most``
+    entries at most before any are moved.
+    """
+    read = lines.withColumn("entry", F.from_json("line", "map<string,string>")).filter(F.trim("line") != "")
+    bad = read.agg(F.count_if(F.col("entry").isNull()).alias("malformed"))
+    last = read.filter("entry is not null").orderBy(F.desc("generation"), F.desc("line_no")).limit(most)
+    return last.orderBy("generation", "line_no").select("generation", "line_no", "line", "entry"), bad
+
+
+def failure_log(outcomes: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
+    """(by, streak, first, log): the failures since the last success of each group (``failed``, ``message``), their number, when the streak began, and the last ``most`` of them, the oldest first.
+
+    No more than ``most`` messages of a group are gathered in one place.
+    """
+    at = F.struct(*order)
+    good = outcomes.filter("not failed").groupBy(by).agg(F.max(at).alias("_good"))
+    since = outcomes.filter("failed").join(good, by, "left").filter(F.col("_good").isNull() | (at > F.col("_good")))
+    counts = since.groupBy(by).agg(F.count("*").alias("streak"), F.min(order[0]).alias("first"))
+    last = since.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*(F.desc(c) for c in order)))).filter(F.col("_rank") <= most)
+    log = last.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "message"))), lambda x: x["message"]).alias("log"))
+    return counts.join(log, by)
