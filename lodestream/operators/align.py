@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -71,25 +71,36 @@ def _leaves(value: object, skip: frozenset[str]) -> Iterator[tuple[str, bool]]:
             yield from _leaves(x, skip)
 
 
+@lru_cache(maxsize=4096)
+def _stored(stored: str) -> tuple[tuple[tuple[str, bool], ...], frozenset[str], bool]:
+    """The leaves of stored arguments, their values, and whether they could be read."""
+    try:
+        kept = tuple(_leaves(json.loads(stored, parse_int=float), STORED_NOISE))
+    except ValueError:
+        return (), frozenset(), False
+    return kept, frozenset(v for v, _ in kept), True
+
+
+@lru_cache(maxsize=64)
+def _given(given: str) -> tuple[tuple[str, bool], ...] | None:
+    """The leaves of a call's arguments; None if they aren't an object."""
+    try:
+        asked = json.loads(given, parse_int=float)
+    except ValueError:
+        return None
+    return tuple(_leaves(asked, GIVEN_NOISE)) if isinstance(asked, dict) else None
+
+
 def arguments(given: str | None, stored: str | None) -> tuple[int, int]:
     """What the arguments of a call show against those stored, and how many telling values are the same."""
     if not given or (stored or "").strip() in ("", "{}", "null"):
         return NEUTRAL, 0
-    try:
-        kept = list(_leaves(json.loads(stored, parse_int=float), STORED_NOISE))
-        read = True
-    except ValueError:
-        kept, read = [], False
+    kept, have, read = _stored(stored)
     if read and not any(telling for _, telling in kept):
         return NEUTRAL, 0
-    try:
-        asked = json.loads(given, parse_int=float)
-        if not isinstance(asked, dict):
-            raise ValueError(given)
-    except ValueError:
+    values = _given(given)
+    if values is None:
         return (FOR, 1) if not read and given in stored else (AGAINST, 0)
-    have = {v for v, _ in kept}
-    values = list(_leaves(asked, GIVEN_NOISE))
     telling = [v for v, says in values if says]
     same = [v for v in telling if v in have or (not read and len(v) >= LONG and (v in stored or json.dumps(v, ensure_ascii=False)[1:-1] in stored))]
     if not telling:
@@ -109,6 +120,22 @@ class _Store:
         self.rows, self.place = rows, 0
         self.taken: dict[int, tuple[int, int]] = {}
         self.declined: set[int] = set()
+        # Which rows' arguments hold a value, and which can't be read: only those can speak for a call.
+        self.holding: dict[str, list[int]] = {}
+        self.unread: list[int] = []
+        for i, row in enumerate(rows):
+            if row["tool"] is not None and row["args"]:
+                _, have, read = _stored(row["args"])
+                if not read:
+                    self.unread.append(i)
+                for v in have:
+                    self.holding.setdefault(v, []).append(i)
+
+    def asked(self, block: dict) -> list[int]:
+        """The rows, in order, that share a telling value with a call, or can't be read."""
+        values = _given(block["input"]) if block["input"] else ()
+        found = {i for v, says in values or () if says for i in self.holding.get(v, ())}
+        return sorted(found.union(self.unread))
 
     def weigh(self, block: dict, row: dict) -> tuple[int, int]:
         if row["role"] and row["role"] != block["role"]:
@@ -136,9 +163,10 @@ class _Store:
         if not tool:
             behind = []
         rest = self._rest(ahead, behind)
-        again = [self.taken[i] for i in self.taken if tool and i < self.place and self.taken[i][0] >= PARTIAL and self.weigh(block, self.rows[i]) == self.taken[i]]
+        able = self.asked(block) if tool else []
+        again = [self.taken[i] for i in able if i in self.taken and i < self.place and self.taken[i][0] >= PARTIAL and self.weigh(block, self.rows[i]) == self.taken[i]]
         if again:
-            if any(free(i) and self.weigh(block, r)[0] == FOR for i, r in enumerate(self.rows)):
+            if any(free(i) and self.weigh(block, self.rows[i])[0] == FOR for i in able):
                 return None, "none"
             if rest and rest[1] == NEUTRAL:
                 self.declined.add(rest[0])

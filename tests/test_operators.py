@@ -215,3 +215,18 @@ def test_equal_rows_count_in_checksums(spark):
     rows = lambda *ids: spark.createDataFrame([("s", i, 0) for i in ids], "source string, id int, attempts int")
     of = lambda df: documents.checksums(df, "source").first()["checksum"]
     assert len({of(rows(1, 1)), of(rows(2, 2)), of(rows(1, 2)), of(rows(1, 1, 1)), of(rows(1))}) == 5 and of(rows(1, 2, 2)) == of(rows(2, 1, 2).repartition(3))
+
+
+def test_long_conversations_with_many_calls():
+    """Six thousand calls, each like its neighbours in part, take seconds: only rows that share a telling value are weighed again."""
+    import json
+    import time
+
+    n = 6000
+    args = lambda k: json.dumps({"path": f"/src/module_{k}/file.py", "mode": "edit", "n": k})
+    blocks = pd.DataFrame({"conv_id": [1] * (n + 2), "turn": range(n + 2), "role": ["assistant"] * (n + 2), "text": [None] * (n + 2), "name": ["Write"] * (n + 2), "input": [args(k) for k in range(n)] + [args(5), args(n + 1)]})
+    store = pd.DataFrame({"store_conv": [1] * n, "store_pos": range(n), "store_role": ["assistant"] * n, "store_text": [None] * n, "store_tool": ["write_file"] * n, "store_args": [args(k) for k in range(n)]})
+    began = time.time()
+    got = align._align(blocks, store)
+    assert time.time() - began < 30
+    assert got["status"].tolist() == ["matched"] * n + ["repeat", "tail"] and got["store_row"].tolist()[:n] == list(range(n))
