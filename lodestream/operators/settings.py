@@ -130,3 +130,33 @@ def catalog(specs: DataFrame) -> DataFrame:
 def first_fault(faults: dict[str, Column]) -> Column:
     """The name of the first fault that holds; null if none does."""
     return reduce(lambda rest, f: F.when(f[1], f[0]).otherwise(rest), reversed(list(faults.items())), F.lit(None).cast("string"))
+
+
+def resolved(entries: DataFrame, kinds: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """What layers of settings make together, and the hosts whose layers are refused.
+
+    ``entries`` has (host, rank, local, field, value: array of texts), a row for each field
+    that a layer sets; ``kinds`` says of each field how layers combine: ``last`` (the
+    highest layer's value), ``union`` (all values, those of lower layers first), ``off``
+    (as ``last``, but a layer that isn't the machine owner's may only turn it off),
+    ``local`` (the machine owner's layers alone), ``remote`` (others alone). The first
+    entry, by layer and then by name, that may not be refuses its host's whole
+    configuration: (host, field, rank, reason). The rest is (host, field, value, origin),
+    the origin being the highest layer that said something.
+    """
+    kind = F.coalesce(*(F.when(F.col("field") == f, F.lit(k)) for f, k in kinds.items()))
+    told = entries.withColumn("kind", kind)
+    fault = first_fault(
+        {
+            "no such setting": F.col("kind").isNull(),
+            "machine-owner only": (F.col("kind") == "local") & ~F.col("local"),
+            "served by the control plane only": (F.col("kind") == "remote") & F.col("local"),
+            "may be turned off but never on": (F.col("kind") == "off") & ~F.col("local") & (F.get("value", F.lit(0)) == "true"),
+        }
+    )
+    refused = told.withColumn("reason", fault).filter("reason is not null").groupBy("host").agg(F.min(F.struct("rank", "field", "reason")).alias("f")).select("host", "f.field", "f.rank", "f.reason")
+    said = told.join(refused.select("host"), "host", "left_anti").filter(F.size("value") > 0)
+    # A few layers for each field.
+    merged = said.groupBy("host", "field", "kind").agg(F.max("rank").alias("origin"), F.max_by("value", "rank").alias("last"), F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("all"))
+    union = F.array_distinct(F.flatten(F.transform("all", lambda x: x["value"])))
+    return merged.select("host", "field", F.when(F.col("kind") == "union", union).otherwise(F.col("last")).alias("value"), "origin"), refused

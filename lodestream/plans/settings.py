@@ -91,3 +91,31 @@ def next_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' orders as runs over files, twelve at most: how long each waits for its next one."""
     runs = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("files"), F.count_if(F.col("o_orderstatus") == "F").alias("shipped"), F.bool_or((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 300000)).alias("failed"))
     return runs.select("o_custkey", settings.next_wait(F.col("failed"), F.col("files") > 12, F.col("shipped"), F.lit(900).cast("bigint")).alias("wait_s"))
+
+
+_LAYERS = [
+    (0, True, "schedule", "true", "'15m'"), (2, False, "schedule", "c % 2 = 1", "c % 50 || 'm'"), (3, True, "schedule", "c % 3 = 0", "'1h'"),
+    (0, True, "packs", "true", "'a,b'"), (2, False, "packs", "c % 5 = 0", "'c,a'"), (3, True, "packs", "c % 7 = 0", "'d'"),
+    (0, True, "autoupdate", "true", "'true'"), (2, False, "autoupdate", "c % 6 = 1", "'false'"), (2, False, "autoupdate", "c % 50 = 3", "'true'"), (3, True, "autoupdate", "c % 4 = 0", "'false'"),
+    (3, True, "state_dir", "c % 8 = 0", "'/x' || c"), (2, False, "state_dir", "c % 60 = 7", "'/y'"), (2, False, "endpoint", "c % 3 = 1", "'/t'"), (3, True, "endpoint", "c % 70 = 9", "'/u'"), (3, True, "typo", "c % 90 = 11", "'1'"),
+]
+
+
+@query(
+    "with n as (select c_custkey as c from customer), e as ("
+    + " union all ".join(f"select c, {rank} as rank, {str(local).lower()} as loc, '{field}' as field, {value} as value from n where {when}" for rank, local, field, when, value in _LAYERS)
+    + """), w as (select *, case when field = 'typo' then 'no such setting' when field = 'state_dir' and not loc then 'machine-owner only' when field = 'endpoint' and loc then 'served by the control plane only'
+                        when field = 'autoupdate' and not loc and value = 'true' then 'may be turned off but never on' end as reason from e),
+         r as (select c, arg_min((field, rank, reason), (rank, field)) as f from w where reason is not null group by c),
+         o as (select *, arg_max(value, rank) over (partition by c, field) as last, max(rank) over (partition by c, field) as origin from e where c not in (select c from r)),
+         p as (select distinct c, field, origin, case when field = 'packs' then 'a,b' || case when c % 5 = 0 then ',c' else '' end || case when c % 7 = 0 then ',d' else '' end else last end as value from o)
+       select c as host, field, value, origin from p union all select c, 'refused: ' || f[1] as field, f[3] as value, f[2] as origin from r"""
+)
+def resolved_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hosts with four layers of settings: what they make together, with origins, and which are refused and why."""
+    hosts = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    each = [F.when(F.expr(when), F.struct(F.lit(rank).alias("rank"), F.lit(local).alias("local"), F.lit(field).alias("field"), F.split(F.expr(value), ",").alias("value"))) for rank, local, field, when, value in _LAYERS]
+    entries = hosts.select(F.col("c").alias("host"), F.explode(F.array(*each)).alias("e")).filter("e is not null").select("host", "e.*")
+    merged, refused = settings.resolved(entries, {"schedule": "last", "packs": "union", "autoupdate": "off", "state_dir": "local", "endpoint": "remote"})
+    shown = merged.select("host", "field", F.array_join("value", ",").alias("value"), "origin")
+    return shown.unionByName(refused.select("host", F.concat(F.lit("refused: "), "field").alias("field"), F.col("reason").alias("value"), F.col("rank").alias("origin")))
