@@ -18,6 +18,8 @@ line by line, so that no unit is put together to be hashed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +86,11 @@ def _block_id() -> Column:
     return F.shiftleft("line_no", _PLACE_BITS).bitwiseOR(F.col("place").cast("bigint"))
 
 
-def enrich(lines: DataFrame, store: DataFrame | None, unreadable: str | None = None) -> tuple[DataFrame, DataFrame]:
+def enrich(lines: DataFrame, store: DataFrame | None, unreadable: str | None = None, cut: Callable[[DataFrame], DataFrame] = lambda found: found) -> tuple[DataFrame, DataFrame]:
     """Outcomes of units, and the lines of the objects made.
 
+    Both come from one alignment; ``cut`` may write that and read it again, so that it isn't made twice.
+
     ``lines`` has (path, line_no, line), ``store`` (conv_id, pos, role, text, tool, args,
     row_id, and more of ``KNOWN``) in order and without scaffolding, or is None where
     there is none; ``unreadable`` says why it can't be read. Outcomes are (path, conv_id,
@@ -109,7 +113,7 @@ def enrich(lines: DataFrame, store: DataFrame | None, unreadable: str | None = N
     asked = blocks.filter("place is not null").select(F.col("path").alias("conv_id"), _block_id().alias("turn"), "role", "text", "name", "input")
     side = wanted.select(F.col("path").alias("conv_id"), "pos", "role", "text", "tool", "args")
     drafts = units.join(wanted.select("path").distinct(), "path", "left_anti").select(F.col("path").alias("conv_id"))
-    found = align.align(asked.join(drafts, "conv_id", "left_anti"), side)
+    found = cut(align.align(asked.join(drafts, "conv_id", "left_anti"), side))
 
     count = lambda s: F.count_if(F.col("status") == s)
     counts = found.groupBy(F.col("conv_id").alias("path")).agg(count("mismatch").alias("mismatches"), count("repeat").alias("repeats"), count("tail").alias("tail"), count("ambiguous").alias("ambiguous"))

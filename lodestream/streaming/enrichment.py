@@ -80,7 +80,12 @@ def slice_done(batch: DataFrame, number: int, *, out: str, store: Store, policy:
         enrich.numbered(batch.withColumn("row", F.monotonically_increasing_id()), ["begin", "row"]).write.mode("overwrite").parquet(at("staged"))
         _scrubbed(spark.read.parquet(at("staged")), family, user).write.mode("overwrite").parquet(at("raw"))
     staged = spark.read.parquet(at("staged"))
-    outcomes, made = enrich.enrich(staged, *store(spark))
+
+    def cut(found: DataFrame) -> DataFrame:
+        found.write.mode("overwrite").parquet(at("aligned"))
+        return spark.read.schema(found.schema).parquet(at("aligned"))
+
+    outcomes, made = enrich.enrich(staged, *store(spark), cut)
     named = outcomes.withColumn("path", enrich.derived_path(F.col("path")))
     told = enrich.decided(named, state_before(spark, f"{out}/state", number), policy).withColumn("decided_in", F.lit(number).cast("bigint"))
     told.write.mode("overwrite").parquet(at("decisions"))
@@ -92,7 +97,7 @@ def slice_done(batch: DataFrame, number: int, *, out: str, store: Store, policy:
     if number % WHOLE == WHOLE - 1:
         state_before(spark, f"{out}/state", number + 1).write.mode("overwrite").parquet(f"{out}/state/upto={number}")
     told.drop("decided_in").write.mode("overwrite").parquet(at("outcomes"))
-    for kind in ("staged", "decisions"):
+    for kind in ("staged", "aligned", "decisions"):
         fs, path = _folder(spark, at(kind))
         fs.delete(path, True)
 
