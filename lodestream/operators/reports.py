@@ -110,7 +110,7 @@ def surveyed(files: DataFrame) -> DataFrame:
 
 
 def usage_records(sessions: DataFrame, messages: DataFrame, usage: DataFrame, namespace: str) -> DataFrame:
-    """(session_id, type, place, record): a session's row, its messages in order of time and its usage by model, as JSON; what each has is what its table has.
+    """(session_id, type, place, record): a session's row, its messages in order of time and id (equal ones by what they hold) and its usage by model, as JSON; what each has is what its table has.
 
     Usage gets ``usage_id``, a key of the session and of model, provider, base address,
     mode and task; the address itself is left out.
@@ -121,7 +121,7 @@ def usage_records(sessions: DataFrame, messages: DataFrame, usage: DataFrame, na
     at = lambda *by: F.row_number().over(Window.partitionBy("session_id").orderBy(*by))
     return (
         whole(sessions, "session", F.lit(1))
-        .unionByName(whole(messages, "message", at("timestamp", "id")))
+        .unionByName(whole(messages, "message", at("timestamp", "id", F.to_json(F.struct(*sorted(messages.columns))))))
         .unionByName(whole(keyed, "usage", at("model", "billing_provider", "billing_base_url", "billing_mode", "task")))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import cdc, documents, records, redaction
+from lodestream.operators import cdc, discover, documents, records, redaction
 from lodestream.plans.registry import query, read
 
 
@@ -36,10 +36,15 @@ def shape_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("page_id", *(records.sniff(F.col("head"), kind, "28b52ffd").alias(kind) for kind in ("jsonl", "json", "magic", "text")))
 
 
-@query("select source, case when bool_and(doc_id % 3 <> 0) then 'unexpected_shape' else 'ok' end as shape, count(case when doc_id % 3 <> 0 then 1 end) as failures from documents where doc_id % 40 < 4 group by source")
+@query(
+    """with r as (select source, doc_id, row_number() over (partition by source order by n_chars, doc_id) - 1 as i, count(*) over (partition by source) as n from documents),
+            g as (select source, doc_id from r where exists (select 1 from (values (0), (1), (2), (3), (4)) g(k) where i = cast(floor(k * (n - 1) / 4.0) as bigint)))
+       select source, case when bool_and(doc_id % 3 <> 0) then 'unexpected_shape' else 'ok' end as shape, count(case when doc_id % 3 <> 0 then 1 end) as failures from g group by source"""
+)
 def source_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources condemned only where every sampled file fails."""
-    samples = read(spark, sf_dir, "documents").filter("doc_id % 40 < 4").selectExpr("source", "doc_id as place", "if(doc_id % 3 = 0, 'ok', 'unexpected_shape') as shape")
+    """Sources condemned only where every file of their spread sample fails."""
+    grid = discover.sample_grid(read(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 5)
+    samples = grid.selectExpr("source", "doc_id as place", "if(doc_id % 3 = 0, 'ok', 'unexpected_shape') as shape")
     return records.source_sniff(samples, "source")
 
 

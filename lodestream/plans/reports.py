@@ -102,15 +102,15 @@ def survey_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with u as (select o_orderkey as k, l_partkey % 3 as m, l_suppkey % 2 as p, sum(l_quantity)::bigint as tokens from lineitem join orders on o_orderkey = l_orderkey where o_orderkey % 4 = 0 group by all),
+    """with u as (select o_orderkey as k, l_partkey % 3 as m, l_suppkey % 2 as p, sum(l_quantity)::bigint as tokens from lineitem join orders on o_orderkey = l_orderkey group by all),
             x as (select k, sha256('sessions' || chr(0) || k || chr(0) || '["m' || m || '","p' || p || '","https://x' || p || '",null,"t"]') as h, m, p, tokens from u)
-       select k as session_id, 'session' as type, 1::bigint as place, '{"id":"' || o_orderkey || '","source":"' || o_orderpriority || '"}' as record from (select o_orderkey as k, * from orders) where k % 4 = 0
-       union all select l_orderkey, 'message', (row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber))::bigint, '{"content":"' || l_returnflag || '","id":' || l_linenumber || ',"timestamp":' || epoch(l_shipdate)::bigint || '}' from lineitem where l_orderkey % 4 = 0
+       select k as session_id, 'session' as type, 1::bigint as place, '{"id":"' || o_orderkey || '","source":"' || o_orderpriority || '"}' as record from (select o_orderkey as k, * from orders)
+       union all select l_orderkey, 'message', (row_number() over (partition by l_orderkey order by l_shipdate, l_linenumber, l_returnflag))::bigint, '{"content":"' || l_returnflag || '","id":' || l_linenumber || ',"timestamp":' || epoch(l_shipdate)::bigint || '}' from lineitem
        union all select k, 'usage', (row_number() over (partition by k order by m, p))::bigint, '{"billing_provider":"p' || p || '","model":"m' || m || '","task":"t","tokens":' || tokens || ',"usage_id":"' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '"}' from x"""
 )
 def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as sessions with messages and usage by model, as records of one form."""
-    orders, line = read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0"), read(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    orders, line = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     sessions = orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("source"))
     messages = line.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("content"), F.unix_timestamp("l_shipdate").alias("timestamp"))
     by = [F.col("l_orderkey").alias("session_id"), F.format_string("m%d", F.col("l_partkey") % 3).alias("model"), F.format_string("p%d", F.col("l_suppkey") % 2).alias("billing_provider")]

@@ -101,6 +101,18 @@ def detect_email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.spans(spread(read(spark, sf_dir, "documents")), "doc_id", "text", (BY_NAME["email"],)).select("doc_id", "s", "e")
 
 
+@query(
+    f"""with planted as ({_PLANTED}), m as ({_sql_spans('email')}), f as (select doc_id, sum(e - s) as redacted from m group by doc_id)
+        select source, round(avg(redacted / strlen(t)), 9) as density from planted join f using (doc_id) group by source"""
+)
+def redaction_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean share of each document's bytes that are addresses, by source, over documents that have any."""
+    rows = _planted(spark, sf_dir)
+    found = redaction.spans(rows, "doc_id", "t", (BY_NAME["email"],)).groupBy("doc_id").agg(F.sum(F.col("e") - F.col("s")).alias("bytes_redacted"))
+    files = rows.select("doc_id", "source", F.octet_length("t").alias("bytes_total")).join(found, "doc_id")
+    return redaction.density(files, "source").select("source", F.round("density", 9).alias("density"))
+
+
 @query(f"with planted as ({_PLANTED}) select doc_id, s, e from ({_sql_spans('key-name')})")
 def detect_named_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that stand after the name of a secret in plain text, with their byte offsets."""
