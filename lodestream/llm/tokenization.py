@@ -22,7 +22,7 @@ import pyarrow as pa
 
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes that a worker's memo of words, and that of their parts, may hold; beyond it the memo starts anew (results don't change).
-MEMO_BYTES = 96 << 20
+MEMO_BYTES = 48 << 20
 #: What an entry takes beside its letters and ids.
 ENTRY_BYTES = 180
 #: Tokens in one Arrow batch that a task hands back.
