@@ -32,14 +32,22 @@ def claimed(rows: DataFrame, key: str, name: str, tag: str) -> DataFrame:
     return placed.filter("rn = 1").select(key, F.col(name).alias("output"), F.lit(False).alias("failed")).unionByName(late)
 
 
-def safe_path(native: Column) -> Column:
-    """A path of any system as one below a folder: slashes, no empty or dot segments, a drive as its letter. Null if it climbs, holds a NUL or is empty."""
+def windows_fault(name: Column) -> Column:
+    """Whether Windows takes no file of that name: a character that it reserves, a dot or blank at the end, a device's name."""
+    return name.rlike(r'[<>:"|?*\p{Cc}]|[. ]$') | name.rlike(r"(?i)^(?:con|prn|aux|nul|com[0-9]|lpt[0-9]) *(?:\..*)?$")
+
+
+def safe_path(native: Column, windows: bool = False) -> Column:
+    """A path of any system as one below a folder: slashes, no empty or dot segments, a drive as its letter. Null if it climbs, holds a NUL or is empty, or, for ``windows``, if a segment can't be a name there."""
     parts = F.filter(F.split(F.replace(native, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
     first = F.get(parts, F.lit(0))
     rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     led = F.when(first.rlike("^[A-Za-z]:$"), F.left(first, F.lit(1))).otherwise(first)
+    whole = F.concat(F.array(led), rest)
     bad = F.array_contains(parts, "..") | F.contains(native, F.lit("\0")) | (F.size(parts) == 0)
-    return F.when(~bad, F.array_join(F.concat(F.array(led), rest), "/"))
+    if windows:
+        bad = bad | F.exists(whole, windows_fault)
+    return F.when(~bad, F.array_join(whole, "/"))
 
 
 def audit_reason(reason: Column) -> Column:

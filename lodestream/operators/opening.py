@@ -110,13 +110,15 @@ def index(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(_INDEX).parquet(f"{out}/index")
 
 
-def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = True, preview: bool = False) -> DataFrame:
+def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = True, windows: bool = False, preview: bool = False) -> DataFrame:
     """Bring the outputs below ``out`` up to date with ``found`` (key, install, source, tag, manifest, payload), and say what was done: (key, output, done).
 
     A ``preview`` says what would be done, by the same plan, and writes nothing.
 
-    The native path in an object's manifest, made safe, is its output's place below its
-    install and source. An output whose place, manifest and size are as they were is
+    The native path in an object's manifest, made safe (``windows``: also for names there),
+    is its output's place below its install and source; ``.zst`` goes, as payloads were
+    decompressed. An object whose manifest names another install or source than its key
+    failed. An output whose place, manifest and size are as they were is
     ``unchanged`` and not written; a run that changes nothing writes nothing. Payloads
     are added; the index, which says which payload is whose output, is overwritten in
     those partitions of install and source alone in which something changed. So an
@@ -126,7 +128,10 @@ def open_into(found: DataFrame, out: str, *, case: bool = True, forms: bool = Tr
     """
     spark = found.sparkSession
     run = uuid.uuid4().hex
-    native = safe_path(F.get_json_object("manifest", "$.native_path"))
+    said = lambda field: F.get_json_object("manifest", f"$.{field}")
+    ours = F.coalesce(said("install_id"), F.col("install")) == F.col("install")
+    ours = ours & (F.coalesce(said("source_id"), F.col("source")) == F.col("source"))
+    native = F.when(ours, F.regexp_replace(safe_path(said("native_path"), windows), r"(?<=[^/])\.zst$", ""))
     name = F.concat_ws("/", "install", "source", F.when(native != "", native))
     rows = found.withColumn("name", F.when(native.isNotNull(), name))
     want = placed(rows, case, forms).withColumn("sidecar_hash", F.sha2("manifest", 256)).withColumn("payload_size", F.octet_length("payload").cast("bigint"))
