@@ -11,10 +11,11 @@ No group is expanded into all its pairs:
    bands with others (an original resembles its altered copies more than they resemble
    each other), and the links found give first components;
 3. only in bands that still hold several components, nodes of different components
-   are paired, block by block, if their sizes and 512 four-bit coordinates allow the
+   are paired, block by block and without the pairs within a band's largest
+   component, if their sizes and 512 four-bit coordinates allow the
    similarity (a pair at the threshold is refused with odds of about one in 70,000;
-   ``may_differ=None`` refuses none), and checked; a pair meets in one of its common
-   bands only.
+   ``may_differ=None`` refuses none), and checked; a pair that meets in several bands
+   is checked once.
 
 With 50 bands of 5 rows, a pair at a similarity of 0.75 shares no band with odds of
 about one in 700,000; a more similar pair, with less.
@@ -127,27 +128,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(giving_back(_checker(percent)), "u bigint, v bigint")
 
 
-def _differing(a: str, b: str) -> Column:
-    """How many four-bit coordinates differ between two sketches."""
+#: The sketch's longs, a column each: sums over an array's elements make a method too long for the JVM to compile.
+_SKETCH = [f"s{i}" for i in range(COORDINATES // NIBBLES_IN_LONG)]
+
+
+def _differing() -> Column:
+    """How many four-bit coordinates differ between the sketches of u and v."""
     ones = 0x1111111111111111
     total = F.lit(0)
-    for i in range(COORDINATES // NIBBLES_IN_LONG):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+    for c in _SKETCH:
+        x = F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         total = total + F.bit_count(x.bitwiseAND(F.lit(ones)))
     return total
 
 
-def _in_blocks(rows: DataFrame, first: bool) -> DataFrame:
+def _in_blocks(rows: DataFrame, first: bool, split: bool = False) -> DataFrame:
     """Rows of bands with the keys (one, two) under which they meet rows of their band.
 
     A band's rows are dealt into blocks of about ``BLOCK``. Two blocks meet under one
     key, so no key has the pairs of a whole band: of the earlier block the first side
-    comes, of the later one the second.
+    comes, of the later one the second. Where they are ``split``, rows of the band's
+    ``main`` component go into the ``ahead`` first blocks (0: one block has all) and
+    are no second side, so that they don't meet each other.
     """
-    own = F.pmod(F.xxhash64("node", "band"), "blocks")
-    others = F.sequence(F.col("own"), F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("bigint"), F.col("own"))
+    deal = lambda n: F.pmod(F.xxhash64("node", "band"), n)
+    own, least = deal(F.col("blocks")), F.col("own")
+    if split:
+        rows = rows if first else rows.filter("root <> main")
+        own = F.when(F.col("ahead") == 0, own).when(F.col("root") == F.col("main"), deal(F.col("ahead"))).otherwise(F.col("ahead") + deal(F.col("blocks") - F.col("ahead")))
+        least = F.greatest("own", "ahead")
+    others = F.sequence(least, F.col("blocks") - 1) if first else F.sequence(F.lit(0).cast("bigint"), F.col("own"))
     placed = rows.withColumn("own", own).withColumn("other", F.explode(others))
     one, two = ("own", "other") if first else ("other", "own")
     return placed.withColumn("one", F.col(one)).withColumn("two", F.col(two))
@@ -184,26 +196,28 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
 
     # Bands that still hold several components: pairs across them.
     placed = rows.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("a < b").select("band", "blocks")
+    in_roots = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
+    mixed = in_roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).filter("most < n")
+    ahead = F.when(F.col("n") > BLOCK, F.ceil(F.col("most") / BLOCK)).otherwise(0)
+    mixed = mixed.select("band", "main", ahead.alias("ahead"), (ahead + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("blocks"))
     open_rows = placed.join(mixed, "band")
-    sketches = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch", "bands").join(open_rows.select("node").distinct(), "node", "left_semi")
+    sketches = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "sketch").join(open_rows.select("node").distinct(), "node", "left_semi")
     # Which rows of a band meet doesn't depend on the band, so each row carries what the condition needs.
     ready, ready_path = scratch.table(open_rows.join(sketches, "node"), "minhash-open")
-    kept = ("node", "root", "n", "sketch", "bands")
-    a = _in_blocks(ready, True).select("band", "one", "two", *(F.col(c).alias(f"{c}_u") for c in kept))
-    b = _in_blocks(ready, False).select("band", "one", "two", *(F.col(c).alias(f"{c}_v") for c in kept))
+    longs = [F.coalesce(F.col("sketch")[i], F.lit(0).cast("bigint")).alias(c) for i, c in enumerate(_SKETCH)]
+    ready = ready.select("band", "main", "ahead", "blocks", "node", "root", "n", *longs)
+    kept = ("node", "root", "main", "n", *_SKETCH)
+    a = _in_blocks(ready, True, True).select("band", "one", "two", *(F.col(c).alias(f"{c}_u") for c in kept))
+    b = _in_blocks(ready, False, True).select("band", "one", "two", *(F.col(c).alias(f"{c}_v") for c in kept if c != "main"))
     able = (
-        (F.col("node_u") != F.col("node_v"))
-        & ((a["one"] != a["two"]) | (F.col("node_u") < F.col("node_v")))
-        & (F.col("root_u") != F.col("root_v"))
+        (F.col("root_u") != F.col("root_v"))
+        & ((a["one"] != a["two"]) | (F.col("root_u") == F.col("main_u")) | (F.col("node_u") < F.col("node_v")))
         & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
     )
-    # In this order: sketches refuse most pairs, and bands are compared for the others alone.
     if may_differ is not None:
-        able = able & (_differing("sketch_u", "sketch_v") <= may_differ)
-    able = able & (F.array_min(F.array_intersect("bands_u", "bands_v")) == a["band"])  # in one band only
+        able = able & (_differing() <= may_differ)
     meet = (a["band"] == b["band"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
-    cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
+    cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
     cross, cross_path = scratch.table(cross, "minhash-cross")
     late = _confirmed(cross, texts, percent)
     linked = components(links.unionByName(late), "minhash-all")

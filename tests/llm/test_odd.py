@@ -182,3 +182,13 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     want = (set(good) - {leaked}) | {1003}
     # The classifiers are trained, not told: one or two documents may be judged otherwise.
     assert len(got ^ want) <= 2 and {1000, 1001, 1002, leaked}.isdisjoint(got) and copied in got
+
+
+def test_pairs_within_a_bands_largest_component_dont_meet(spark):
+    """One stray node beside a component of 900 meets each of them once, in blocks; before, the 900 met each other too."""
+    from lodestream.llm import minhash
+
+    rows = spark.range(901).selectExpr("7L as band", "id as node", "case when id = 900 then 900L else 0L end as root", "0L as main", "2L as ahead", "3L as blocks")
+    a, b = (minhash._in_blocks(rows, first, True) for first in (True, False))
+    met = a.alias("a").join(b.alias("b"), ["band", "one", "two"]).selectExpr("a.node as u", "b.node as v").collect()
+    assert sorted((r["u"], r["v"]) for r in met) == [(k, 900) for k in [*range(900), 900]]
