@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.rules import TEXT_RULES, Rule
 from lodestream.functions.scan import Span, scanner
+from lodestream.sources.spread import dealt
+
+#: Bytes of spans, as Spark estimates them, that one task sorts.
+SPANS_BYTES = 8 << 20
 
 
 def sentinel(rule: Column) -> Column:
@@ -68,13 +72,21 @@ def gates(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_R
 
 
 def merged(found: DataFrame, key: str) -> DataFrame:
-    """(key, s, e, r): overlapping spans united and attributed to the first by (start, class, longest, rule). Spans that only touch stay apart."""
+    """(key, s, e, r): overlapping spans united and attributed to the first by (start, class, longest, rule). Spans that only touch stay apart.
+
+    Keys are dealt over so many tasks that each has about ``SPANS_BYTES`` of spans, and a
+    task sorts them once: an island's end and attribution come from windows in that order.
+    """
     order = [F.col("s"), F.col("p"), F.col("e").desc(), F.col("r")]
     w = Window.partitionBy(key).orderBy(*order)
-    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = found.withColumn("rn", F.row_number().over(w)).withColumn("new", F.when(reach.isNull() | (F.col("s") >= reach), 1).otherwise(0))
-    islands = opened.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("rn")))
-    return islands.groupBy(key, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min_by("r", "rn").alias("r")).drop("island")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt(found.select(key, "s", "e", "p", "r"), SPANS_BYTES, key).withColumn("reach", F.max("e").over(before))
+    rows = rows.withColumn("new", F.coalesce(F.col("reach").isNull() | (F.col("s") >= F.col("reach")), F.lit(False)))
+    # The largest (island, end) of the rows before the next island, or of all rows of the key, is this island's end.
+    last = F.max(F.struct("island", "e"))
+    rows = rows.withColumn("island", F.count_if("new").over(upto)).withColumn("ended", last.over(before)).withColumn("whole", last.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    end = F.coalesce(F.lead("ended").over(w), F.col("whole"))
+    return rows.filter("new").select(key, "s", end["e"].alias("e"), "r")
 
 
 def ledger(rows: DataFrame, text: str, by: str, rules: tuple[Rule, ...] = TEXT_RULES, user: str = "") -> DataFrame:

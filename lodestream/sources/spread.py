@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: From here on a size is a default or a product of defaults.
+UNKNOWN = 1 << 50
+
 
 def _bytes(text: str) -> int:
     """A size as Spark's settings write it."""
@@ -12,6 +15,16 @@ def _bytes(text: str) -> int:
     return int(bare[:-1]) << units[bare[-1]] if bare[-1:] in units else int(bare)
 
 
+def _size(table: DataFrame) -> int:
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(table: DataFrame, most: int, *keys: str) -> DataFrame:
+    """``table`` dealt by ``keys`` over a task for each ``most`` bytes that Spark takes it for, and no fewer than its session shuffles by: what a task holds doesn't grow with the table. Where Spark knows no size, as of rows that came from Python, it is the session's number."""
+    size, least = _size(table), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(max(least, -(-size // most)) if size < UNKNOWN else least, *keys)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """``table`` dealt over all cores, where it lies in fewer files than there are cores and is so small that its scan would leave cores idle.
 
@@ -21,7 +34,6 @@ def spread(table: DataFrame) -> DataFrame:
     """
     spark = table.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(table.inputFiles()) >= cores:
+    if _size(table) >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(table.inputFiles()) >= cores:
         return table
     return table.repartition(cores)

@@ -230,3 +230,31 @@ def test_long_conversations_with_many_calls():
     got = align._align(blocks, store)
     assert time.time() - began < 30
     assert got["status"].tolist() == ["matched"] * n + ["repeat", "tail"] and got["store_row"].tolist()[:n] == list(range(n))
+
+
+def test_spans_are_sorted_once_in_tasks_that_dont_grow(spark, monkeypatch, tmp_path):
+    """Odd spans too (empty, backwards, endless, nested): as by hand, from one sort; more bytes, more tasks."""
+    from lodestream.operators import redaction
+
+    import random
+
+    r = random.Random(3)
+    rows = [(r.randrange(40), s, r.choice([None, s, s - 3, *[s + r.randrange(12)] * 9]), r.randrange(3), f"r{r.randrange(4)}") for s in (r.randrange(60) for _ in range(900))]
+    want = []
+    for k in range(40):
+        islands, reach = [], None
+        for _, s, e, _, rule in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[3], x[2] is None, -(x[2] or 0), x[4])):
+            if reach is None or s >= reach:
+                islands.append([k, s, None, rule])
+            ends = [x for x in (islands[-1][2], e) if x is not None]
+            islands[-1][2] = max(ends, default=None)
+            reach = max((x for x in (reach, e) if x is not None), default=None)
+        want += map(tuple, islands)
+    spans = spark.createDataFrame(rows, "k int, s int, e int, p int, r string")
+    got = redaction.merged(spans, "k")
+    order = lambda t: [x if x is not None else -99 for x in t]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(map(tuple, want), key=order)
+    assert redaction.merged(spans, "k")._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    monkeypatch.setattr(redaction, "SPANS_BYTES", 200)
+    spans.write.parquet(str(tmp_path / "spans"))
+    assert redaction.merged(spark.read.parquet(str(tmp_path / "spans")), "k").rdd.getNumPartitions() > 10
