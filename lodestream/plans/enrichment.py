@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.operators import enrich
 from lodestream.plans.registry import query, read
+from lodestream.sources.shared import new_path
 
 
 @query(
@@ -28,7 +29,14 @@ def enriched_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = enrich.numbered(turns.select(path.alias("path"), line.alias("line"), "turn", "role", "text"), ["turn", "role", "text"])
     kept = turns.filter("conv_id % 5 <> 0 and not (conv_id % 7 = 3 and turn % 3 = 1) and not (conv_id % 7 = 5 and turn >= 2)")
     store = kept.select("conv_id", F.col("turn").alias("pos"), "role", "text", F.concat_ws("/", "conv_id", "turn").alias("row_id"))
-    outcomes, made = enrich.enrich(lines, store)
+
+    def cut(found: DataFrame) -> DataFrame:
+        # Conversations are walked once, though outcomes and lines both ask for what was found.
+        path = new_path(spark, "enriched-aligned")
+        found.write.parquet(path)
+        return spark.read.schema(found.schema).parquet(path)
+
+    outcomes, made = enrich.enrich(lines, store, cut=cut)
     state = spark.createDataFrame([], "path string, source_hash string, output_hash string, policy string")
     told = enrich.decided(outcomes, state, "")
     held = made.groupBy("path").agg(F.count("*").alias("lines"), F.count_if(F.contains("line", F.lit('"_enrich":['))).alias("enriched"))

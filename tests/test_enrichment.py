@@ -156,3 +156,11 @@ def test_a_slice_run_again_gives_the_same_and_state_is_put_together(spark, tmp_p
     assert (row["policy"], row["slice"]) == ("q", 2)
     enrichment.slice_done(batch, 2, out=out, store=store, policy="q")  # the stream didn't note the end
     assert read(2) == [(path, "shipped")]
+
+
+def test_conversations_are_walked_once_by_the_query(spark):
+    """Outcomes and lines read what was found; before, the plan that is returned walked each conversation four times."""
+    from lodestream.plans import catalogue
+
+    plan = catalogue.QUERIES["enriched_conversations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan
