@@ -8,8 +8,11 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestream.sources.spread import pieces
+
 LEVEL = 3
 
 
@@ -38,35 +41,41 @@ def sealed(rows: DataFrame, key: str) -> DataFrame:
     """(key, sealed) of rows (key, manifest: string, payload: string)."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({key: p[key], "sealed": [seal((m or "").encode(), (t or "").encode()) for m, t in zip(p["manifest"], p["payload"], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            done = [seal((m.as_py() or "").encode(), (t.as_py() or "").encode()) for m, t in zip(b.column("manifest"), b.column("payload"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(done, pa.binary())], names=[key, "sealed"])
 
-    return rows.select(key, "manifest", "payload").mapInPandas(run, f"{key} {kind}, sealed binary")
+    return rows.select(key, "manifest", "payload").mapInArrow(run, f"{key} {kind}, sealed binary")
 
 
 def opened(rows: DataFrame, key: str) -> DataFrame:
     """(key, manifest, payload_size, payload_sha256) of rows (key, sealed)."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            both = [unseal(bytes(s)) for s in p["sealed"]]
-            yield pd.DataFrame({key: p[key], "manifest": [m.decode() for m, _ in both], "payload_size": [len(d) for _, d in both], "payload_sha256": [hashlib.sha256(d).hexdigest() for _, d in both]})
+    def told(sealed_: bytes) -> tuple[str, int, str]:
+        manifest, payload = unseal(sealed_)
+        return manifest.decode(), len(payload), hashlib.sha256(payload).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            out = [told(s.as_py()) for s in b.column("sealed")]
+            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(key), *columns], names=[key, "manifest", "payload_size", "payload_sha256"])
 
-    return rows.select(key, "sealed").mapInPandas(run, f"{key} {kind}, manifest string, payload_size bigint, payload_sha256 string")
+    return rows.select(key, "sealed").mapInArrow(run, f"{key} {kind}, manifest string, payload_size bigint, payload_sha256 string")
 
 
 def unsealed(rows: DataFrame, key: str) -> DataFrame:
     """(key, manifest, payload) of rows (key, content)."""
     kind = rows.schema[key].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            both = [unseal(bytes(c)) for c in p["content"]]
-            yield pd.DataFrame({key: p[key], "manifest": [m.decode() for m, _ in both], "payload": [d for _, d in both]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            both = [unseal(c.as_py()) for c in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([m.decode() for m, _ in both], pa.string()), pa.array([d for _, d in both], pa.binary())], names=[key, "manifest", "payload"])
 
-    return rows.select(key, "content").mapInPandas(run, f"{key} {kind}, manifest string, payload binary")
+    return rows.select(key, "content").mapInArrow(run, f"{key} {kind}, manifest string, payload binary")
 
 
 def decoded(files: DataFrame, most: int) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows that a Python worker makes objects of at a time.
+ROWS = 128
+
 #: From here on a size is a default or a product of defaults.
 UNKNOWN = 1 << 50
 
@@ -37,3 +43,10 @@ def spread(table: DataFrame) -> DataFrame:
     if _size(table) >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(table.inputFiles()) >= cores:
         return table
     return table.repartition(cores)
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``ROWS`` rows: objects and results of one part are given back before those of the next are made."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)

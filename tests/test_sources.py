@@ -167,3 +167,14 @@ def test_field_lists_and_digests():
     assert fields.drops_for("none") == () and not set(fields.drops_for("codex")) & set(fields.exempt_for("codex"))
     one = rules.digest(user="jane", drops={"b", "a"})
     assert one == rules.digest(drops={"a", "b"}, user="jane") != rules.digest(drops={"a"}, user="jane") and rules.digest(rules.RULES[:3]) != rules.digest(rules.RULES[:3][::-1])
+
+
+def test_workers_make_objects_of_a_few_rows_at_a_time():
+    """A batch of Spark's comes in parts, in order and whole; before, all of it was turned into objects at once."""
+    import pyarrow as pa
+
+    from lodestream.sources import spread
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["k"])
+    parts = list(spread.pieces(iter([batch, batch.slice(0, 0), batch.slice(5, 1)])))
+    assert max(p.num_rows for p in parts) <= spread.ROWS and [k for p in parts for k in p.column("k").to_pylist()] == [*range(10_000), 5]
