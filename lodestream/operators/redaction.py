@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestream.functions.rules import TEXT_RULES, Rule
 from lodestream.functions.scan import Span, scanner
-from lodestream.sources.spread import dealt
+from lodestream.sources.spread import dealt, pieces
 
 #: Bytes of spans, as Spark estimates them, that one task sorts.
 SPANS_BYTES = 8 << 20
@@ -44,7 +44,7 @@ def spans(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules, user)
-        for b in batches:
+        for b in pieces(batches):
             at, out = [], []
             for n, t in enumerate(b.column("t").to_pylist()):
                 found = sorted(scan.spans(t)) if t else []
@@ -63,7 +63,7 @@ def gates(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEXT_R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules, "")
-        for b in batches:
+        for b in pieces(batches):
             masks = [(n, scan.seen(t)) for n, t in enumerate(b.column("t").to_pylist()) if t is not None]
             found = [(n, r.name) for n, mask in masks for k, r in enumerate(rules) if mask >> k & 1]
             yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array([n for n, _ in found], pa.int32())), pa.array([r for _, r in found], pa.string())], names=["k", "rule"])
@@ -99,7 +99,7 @@ def ledger(rows: DataFrame, text: str, by: str, rules: tuple[Rule, ...] = TEXT_R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules, user)
-        for b in batches:
+        for b in pieces(batches):
             hits, redacted, total = Counter(), Counter(), Counter()
             for group, t in zip(b.column("by").to_pylist(), b.column("t").to_pylist(), strict=True):
                 if t:
@@ -134,7 +134,7 @@ def scrubbed(rows: DataFrame, key: str, text: str, rules: tuple[Rule, ...] = TEX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules, user)
-        for b in batches:
+        for b in pieces(batches):
             out = [scan.applied(t, scan.spans(t)) if t else (t, {}, 0) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([x[0] for x in out], pa.string()), pa.array([sum(x[1].values()) for x in out], pa.int64())], names=["k", "t", "hits"])
 
