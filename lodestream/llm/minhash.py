@@ -11,11 +11,12 @@ No group is expanded into all its pairs:
    bands with others (an original resembles its altered copies more than they resemble
    each other), and the links found give first components;
 3. only in bands that still hold several components, nodes of different components
-   are paired, block by block and without the pairs within a band's largest
-   component, if their sizes and 512 four-bit coordinates allow the
+   are paired. In a band with at most ``FEW`` nodes outside its largest component these
+   meet the others block by block, if their sizes and 512 four-bit coordinates allow the
    similarity (a pair at the threshold is refused with odds of about one in 70,000;
-   ``may_differ=None`` refuses none), and checked; a pair that meets in several bands
-   is checked once.
+   ``may_differ=None`` refuses none). In any other band nodes meet by what sets them
+   apart from the leader (``_apart``), which loses no pair. Pairs found are checked; one
+   that meets in several bands is checked once.
 
 With 50 bands of 5 rows, a pair at a similarity of 0.75 shares no band with odds of
 about one in 700,000; a more similar pair, with less.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestream.llm import scratch, shingles
@@ -46,6 +47,10 @@ SEED = 20
 PERCENT = 75
 #: Pairs of one node in one key of a join; nodes of one band in one key.
 SHARE, BLOCK = 256, 512
+#: Nodes outside a band's largest component that meet all others of the band.
+FEW = 32
+#: Rows of whose sets the differences are handed back at a time.
+AT_ONCE = 128
 #: Coordinates of the sketch that may differ: at a similarity of 0.75 the mean is 120, the standard deviation 9.6.
 MAY_DIFFER = 160
 
@@ -112,8 +117,25 @@ def _checker(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) that are similar enough by their full sets.
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair the sizes of both sets, and the shingles that only one of them has."""
+    last, held = None, None
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(at, AT_ONCE)
+            ids, texts, sizes, only = b.column("u").to_pylist(), b.column("text_u").cast(pa.binary()), [], []
+            for k, other in enumerate(b.column("text_v").cast(pa.binary())):
+                if ids[k] != last:
+                    last, held = ids[k], shingles.shingle_set(texts[k].as_py())
+                found = shingles.shingle_set(other.as_py())
+                sizes.append((len(held), len(found)))
+                only.append(np.setxor1d(held, found, assume_unique=True).view(np.int64))
+            n_u, n_v = zip(*sizes, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(n_u, pa.int64()), pa.array(n_v, pa.int64()), _lists(only, 0)], names=["u", "v", "n_u", "n_v", "only"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with text_u and text_v.
 
     A node that is u of many pairs is dealt over one salt for each ``SHARE`` of them, so
     that no key of the join has more than about that many.
@@ -124,8 +146,46 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     two = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")).join(hot, "u", "left")
     two = two.select("u", "text_u", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     dealt = pairs.join(hot, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), salts).cast("int").alias("salt"))
-    both = dealt.join(one, "v").join(two, ["u", "salt"]).select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(giving_back(_checker(percent)), "u bigint, v bigint")
+    return dealt.join(one, "v").join(two, ["u", "salt"]).select("u", "v", "text_u", "text_v")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are similar enough by their full sets."""
+    return _with_texts(pairs, texts).mapInArrow(giving_back(_checker(percent)), "u bigint, v bigint")
+
+
+def _apart(apart: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u < v: pairs of different components among nodes that were compared with one leader; no similar pair is left out.
+
+    ``apart`` has (leader, node, root, asks, n_leader, n, only): sizes of the sets, the
+    shingles that only one of them has, and whether the node's component isn't the
+    leader's, so that the node isn't similar to the leader. Of two nodes of different
+    components at least one asks.
+
+    With o the leader, x one that asks and y any other node, the sets of x and y have
+    |x and o| + |y and o| - |o| + |only x and only y| shingles in common. So to be similar
+    they must share p(|x| + |y|) / (100 + p) less the first three terms of ``only``. As
+    |x and o| < p(|x| + |o|) / (100 + p), that is more than (p|y| + 100|o|) / (100 + p)
+    - |y and o|, whatever x is. So y shows all but so many of its ``only``, those first that
+    the fewest ask for, and x asks with all of its own: of near copies of one text that
+    differ each in its own way, few meet. Those it doesn't show count as shared.
+    """
+    both = ((F.col("n_leader") + F.col("n") - F.size("only")) / 2).cast("bigint")
+    needs = F.floor((percent * F.col("n") + 100 * F.col("n_leader")) / (100 + percent)) - both + 1
+    sides = lambda c: [F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "n", "both", "size"))]
+    each = apart.withColumn("both", both).withColumn("size", F.size("only")).withColumn("hidden", needs - 1).filter("hidden < size or asks")
+    asks = each.filter("asks").select("leader", *sides("x"), F.explode("only").alias("e"))
+    often = asks.groupBy("leader", "e").agg(F.count("*").alias("often"))
+    shown = each.filter("hidden < size").select("leader", "n_leader", "asks", "hidden", *sides("y"), F.explode("only").alias("e"))
+    shown = shown.join(often, ["leader", "e"], "left").withColumn("often", F.coalesce("often", F.lit(0)) - F.col("asks").cast("int"))
+    rank = F.row_number().over(Window.partitionBy("leader", "y").orderBy("often", "e"))
+    shown = shown.withColumn("rank", rank).filter("rank <= size_y - hidden and often > 0").drop("asks", "often", "rank")
+    must = F.ceil(percent * (F.col("n_x") + F.col("n_y")) / (100 + percent)) - F.col("both_x") - F.col("both_y") + F.col("n_leader")
+    able = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (must <= F.least("size_x", "size_y"))
+    a, b = asks.alias("a"), shown.alias("b")
+    met = a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.e") == F.col("b.e")) & able)
+    shared = met.groupBy("a.leader", "x", "y").agg(F.count("*").alias("shared"), F.first(must - F.col("hidden")).alias("must"))
+    return shared.filter("shared >= must").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
 #: The sketch's longs, a column each: sums over an array's elements make a method too long for the JVM to compile.
@@ -195,9 +255,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     first = components(links, "minhash-first")
 
     # Bands that still hold several components: pairs across them.
-    placed = rows.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    # The leader has met all of them.
+    placed = rows.filter("node <> leader").join(first, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
     in_roots = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     mixed = in_roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).filter("most < n")
+    many = placed.join(mixed.filter(F.col("n") - F.col("most") > FEW).select("band"), "band", "left_semi").select("leader", "node", "root").distinct()
+    many, many_path = scratch.table(many, "minhash-many")
+    mixed = mixed.filter(F.col("n") - F.col("most") <= FEW)
     ahead = F.when(F.col("n") > BLOCK, F.ceil(F.col("most") / BLOCK)).otherwise(0)
     mixed = mixed.select("band", "main", ahead.alias("ahead"), (ahead + F.ceil((F.col("n") - F.col("most")) / BLOCK)).alias("blocks"))
     open_rows = placed.join(mixed, "band")
@@ -217,7 +281,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     if may_differ is not None:
         able = able & (_differing() <= may_differ)
     meet = (a["band"] == b["band"]) & (a["one"] == b["one"]) & (a["two"] == b["two"])
-    cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
+    cross = a.join(b, meet & able).select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v"))
+    # Bands with many outside the largest component.
+    apart = _with_texts(many.select(F.col("leader").alias("u"), F.col("node").alias("v")), texts).mapInArrow(giving_back(_differ), "u bigint, v bigint, n_u bigint, n_v bigint, only array<bigint>")
+    apart = apart.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("n_u").alias("n_leader"), F.col("n_v").alias("n"), "only")
+    led = first.select(F.col("node").alias("leader"), F.col("root").alias("root_leader"))
+    apart = apart.join(many.join(led, "leader", "left"), ["leader", "node"]).withColumn("asks", F.col("root") != F.coalesce("root_leader", "leader"))
+    apart, apart_path = scratch.table(apart, "minhash-apart")
+    cross = cross.unionByName(_apart(apart, percent)).distinct()
     cross, cross_path = scratch.table(cross, "minhash-cross")
     late = _confirmed(cross, texts, percent)
     linked = components(links.unionByName(late), "minhash-all")
@@ -230,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     out = out.select(
         F.nullif("doc_key", F.lit(_NO_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NO_ID)).alias("component_id"), (F.col("doc_key") == component).alias("kept")
     )
-    scratch.drop(docs.sparkSession, sized_path, rows_path, star_path, texts_path, links_path, ready_path, cross_path)
+    scratch.drop(docs.sparkSession, sized_path, rows_path, star_path, texts_path, links_path, ready_path, many_path, apart_path, cross_path)
     return out
 
 

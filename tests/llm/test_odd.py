@@ -192,3 +192,45 @@ def test_pairs_within_a_bands_largest_component_dont_meet(spark):
     a, b = (minhash._in_blocks(rows, first, True) for first in (True, False))
     met = a.alias("a").join(b.alias("b"), ["band", "one", "two"]).selectExpr("a.node as u", "b.node as v").collect()
     assert sorted((r["u"], r["v"]) for r in met) == [(k, 900) for k in [*range(900), 900]]
+
+
+def near_copies(n, changes, seed):
+    """One text of 150 words, and copies that differ from it by so many words each, drawn from ``changes``; some copies of those."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{seed}x{k}" for k in range(150)]
+    rows = [" ".join(base)]
+    for k in range(n):
+        words = base[:] if k % 7 else r.choice(rows).split()
+        for at in r.sample(range(len(words)), r.choice(changes)):
+            words[at] = r.choice([f"own{k}x{at}", "shared", f"group{k % 3}"])
+        rows.append(" ".join(words[: len(words) - k % 5]))
+    return rows
+
+
+def test_strays_beside_a_large_component_meet_it_by_what_sets_them_apart(spark, monkeypatch):
+    """Copies too far from their text for a link: none of them is paired with the whole component, and no link is lost."""
+    from itertools import combinations
+
+    from lodestream.llm import minhash, shingles
+
+    texts = near_copies(160, [1, 2, 3, 4, 5, 6], 1) + near_copies(60, [3, 4, 5], 2)
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if root[a] != root[b] and shingles.jaccard_at_least(sets[a], sets[b], 75):
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    monkeypatch.setattr(minhash, "FEW", 0)
+    found, kept = [], minhash._apart
+    monkeypatch.setattr(minhash, "_apart", lambda *args: found.append(args[0]) or kept(*args))
+    monkeypatch.setattr(minhash.scratch, "drop", lambda *_: None)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 150
+    # Before, all pairs of different components in a band met.
+    pairs, of, under = kept(found[0], 75).count(), {}, {}
+    for r in found[0].select("leader", "node", "root").collect():
+        of[r["node"]] = r["root"]
+        under.setdefault(r["leader"], []).append(r["node"])
+    crossing = {(min(a, b), max(a, b)) for nodes in under.values() for a, b in combinations(nodes, 2) if of[a] != of[b]}
+    assert len(crossing) > 500 and pairs < len(crossing) / 4
