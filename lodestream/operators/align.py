@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestream.sources.shared import new_path
+
 #: Store rows that are looked at from the place on and before it, and characters at which two texts may begin alike.
 AHEAD, BEHIND, PREFIX = 16, 64, 64
 #: Characters from which an argument's value says something, and from which it says much.
@@ -251,15 +253,17 @@ def ordered_rows(headers: DataFrame, inline: DataFrame, rows: DataFrame) -> Data
     return both.join(best, ["conv_id", "tier"]).select("conv_id", "row_id", place.cast("bigint").alias("place"))
 
 
-def holding(items: DataFrame, turns: DataFrame, key: int = 32) -> DataFrame:
+def holding(items: DataFrame, turns: DataFrame, key: int = 16) -> DataFrame:
     """(item_id, conv_id, turn): turns and items of which one holds the other's whole plain text, or that begin alike for 64 characters.
 
-    Texts go by a digest; what is joined first are hashes. A text holds another only if
-    it has all of the other's stretches of ``key`` characters. Of some of these, spread
+    Texts go by a digest; what is joined first are hashes of stretches. Of each few
+    neighbouring stretches the one of the least hash is taken (``_cut``), so a text that
+    holds another also has all that were taken of the other. Of some of these, spread
     over the other text, the one that occurs in the fewest texts is looked for; if one
-    occurs nowhere, nothing is. A common beginning is so no hot key. Texts of fewer
-    than ``key`` characters are looked for whole, by length. Digests that met are
-    confirmed on the whole texts.
+    occurs nowhere, nothing is. A common beginning is so no hot key. Stretches have
+    ``key`` characters in texts that are longer by four, and fewer in shorter texts; the
+    shortest are looked for whole, by length. Digests that met are confirmed on the
+    whole texts.
     """
     a = items.select("item_id", _plain(F.col("text")).alias("text")).filter("text <> ''").withColumn("id", F.md5("text"))
     b = turns.select("conv_id", "turn", _plain(F.col("text")).alias("text")).filter("text <> ''").withColumn("id", F.md5("text"))
@@ -302,43 +306,77 @@ def _rolled(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(letters * _powers(_BASE, len(letters)), dtype=np.uint64)]), _powers(_UNDO, len(letters))
 
 
-def _places(sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hashes of all distinct stretches of ``sizes`` characters in each text."""
+def _cut(n: int, key: int) -> tuple[int, int]:
+    """How long the stretches are by which a text of ``n`` characters is looked for, and of how many neighbours one is taken."""
+    if n >= key + 4:
+        return key, 5
+    if n >= key:
+        return key - 2, 3
+    return (key - 4, 1) if n >= key - 4 else (n, 1)
+
+
+def _taken(text: str, n: int, neighbours: int, rolled: np.ndarray, undo: np.ndarray) -> np.ndarray:
+    """Of each so many neighbouring stretches of ``n`` characters the least hash; none if the text has fewer."""
+    h = _stretches(text, n, rolled, undo) if n <= len(text) else np.empty(0, dtype=np.int64)
+    count = len(h) - neighbours + 1
+    return np.minimum.reduce([h[i : i + count] for i in range(neighbours)]) if count > 0 else h[:0]
+
+
+#: Hashes in one Arrow batch that a task hands back.
+HASHES = 100_000
+
+
+def _places(cuts: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The distinct hashes that are taken of each text, for all ``cuts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda names, found: pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, dtype=np.int64), [len(h) for h in found])), pa.array(np.concatenate(found))], names=["large", "h"])
         for batch in batches:
-            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            names, found, held = [], [], 0
+            for name, text in zip(batch.column("large").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 rolled, undo = _rolled(text)
-                for n in sizes:
-                    if n <= len(text):
-                        h = np.unique(_stretches(text, n, rolled, undo))
-                        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()).take(pa.array(np.zeros(len(h), dtype=np.int64))), pa.array(h)], names=["large", "h"])
+                found.append(np.unique(np.concatenate([_taken(text, *cut, rolled, undo) for cut in cuts])))
+                names.append(name)
+                held += len(found[-1])
+                if held >= HASHES:
+                    yield made(names, found)
+                    names, found, held = [], [], 0
+            if names:
+                yield made(names, found)
 
     return run
 
 
 def _anchors(key: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each text some hashes of stretches of ``key`` characters, first and last ones among them; of a shorter one the hash of all of it."""
+    """Some of the hashes that are taken of each text, spread over it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                n = min(key, len(text))
-                h = _stretches(text, n, *_rolled(text))
-                rows += [(name, n, int(h[at])) for at in sorted({int(x) for x in np.linspace(0, len(h) - 1, ANCHORS)})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["small", "n", "h"])
+                h = _taken(text, *_cut(len(text), key), *_rolled(text))
+                rows += [(name, int(h[at])) for at in sorted({int(x) for x in np.linspace(0, len(h) - 1, ANCHORS)})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64()))], names=["small", "h"])
 
     return run
 
 
 def _holds(small: DataFrame, large: DataFrame, key: int) -> DataFrame:
     """(small, large): digests of texts of which ``large`` (id, text) holds ``small`` (id, text)."""
-    sizes = sorted(r[0] for r in small.select(F.least(F.length("text"), F.lit(key)).alias("n")).distinct().collect())  # at most ``key`` numbers
-    asked = small.select("id", "text").mapInArrow(_anchors(key), "small string, n int, h bigint").distinct()
-    placed = large.select("id", "text").mapInArrow(_places(sizes), "large string, h bigint").join(asked.select("h").distinct(), "h", "left_semi")
+    sizes = [r[0] for r in small.select(F.least(F.length("text"), F.lit(key + 4)).alias("n")).distinct().collect()]  # a few numbers
+    cuts = sorted({_cut(n, key) for n in sizes})
+    if not cuts:
+        return small.select(F.col("id").alias("small"), F.col("id").alias("large"))
+    # Two texts under one number are both looked at.
+    large = large.select(F.xxhash64("id").alias("large"), "id", "text")
+    asked = small.select("id", "text").mapInArrow(_anchors(key), "small string, h bigint").distinct()
+    placed = large.select("large", "text").mapInArrow(_places(cuts), "large bigint, h bigint").join(asked.select("h").distinct(), "h", "left_semi")
+    # Read twice, and the hashes of all texts are shuffled once.
+    path = new_path(small.sparkSession, "stretches")
+    placed.write.parquet(path)
+    placed = small.sparkSession.read.schema(placed.schema).parquet(path)
     counted = asked.join(placed.groupBy("h").agg(F.count("*").alias("often")), "h", "left").groupBy("small").agg(F.min(F.struct(F.coalesce("often", F.lit(0).cast("bigint")).alias("often"), "h")).alias("best"))
     rarest = counted.filter("best.often > 0").select("small", F.col("best.h").alias("h"))
     met = rarest.join(placed, "h").select("small", "large").distinct()
-    texts = met.join(small.select(F.col("id").alias("small"), F.col("text").alias("s")), "small").join(large.select(F.col("id").alias("large"), F.col("text").alias("t")), "large")
-    return texts.filter(F.contains("t", F.col("s"))).select("small", "large")
+    texts = met.join(small.select(F.col("id").alias("small"), F.col("text").alias("s")), "small").join(large.select("large", "id", F.col("text").alias("t")), "large")
+    return texts.filter(F.contains("t", F.col("s"))).select("small", F.col("id").alias("large"))

@@ -211,6 +211,27 @@ def test_holding_of_long_texts_and_common_beginnings(spark):
     assert align.holding(spark.createDataFrame([], "item_id bigint, text string"), spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string")).count() == 0
 
 
+def test_stretches_taken_are_few_and_all_taken_of_what_a_text_holds():
+    """Before, each text gave the hashes of all its stretches, of every length below 32 that was asked for."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh é日🙂") for _ in range(3000))
+    large = align._rolled(text)
+    for n in [*range(1, 40), 200]:
+        cut = align._cut(n, 16)
+        held = set(align._taken(text, *cut, *large).tolist())
+        for at in r.sample(range(3000 - n), 40):
+            small = text[at : at + n]
+            taken = set(align._taken(small, *cut, *align._rolled(small)).tolist())
+            assert taken and taken <= held
+    cuts = sorted({align._cut(n, 16) for n in range(12, 40)})
+    batch = pa.RecordBatch.from_pydict({"large": pa.array([1], pa.int64()), "text": [text]})
+    assert sum(b.num_rows for b in align._places(cuts)(iter([batch]))) < 2 * len(text)
+
+
 def test_equal_rows_count_in_checksums(spark):
     rows = lambda *ids: spark.createDataFrame([("s", i, 0) for i in ids], "source string, id int, attempts int")
     of = lambda df: documents.checksums(df, "source").first()["checksum"]
