@@ -1,12 +1,14 @@
-"""Token ids of whole texts, with a memo of words.
+"""Token ids of whole texts, with memos of words and of their parts.
 
 ``word_bpe_49k`` drops white space and never joins characters across it, so the
-ids of a text are the ids of its words in order. A word is encoded once for each
-Python worker. A word of printable ASCII and precomposed Latin letters needs no
-normalisation but lower case; the vocabulary's own pattern cuts it and the
-tokenizer's model encodes the parts. Any other word goes through the whole
-tokenizer. The result is that of ``Tokenizer.encode(text, add_special_tokens=False)``.
-Bytes that aren't UTF-8 count as U+FFFD.
+ids of a text are the ids of its words in order. A text of printable ASCII and
+precomposed Latin letters needs no normalisation but lower case; the vocabulary's
+own pattern cuts it into parts and the tokenizer's model encodes each part, once for
+each Python worker as long as the memo holds it. Any other text is encoded word by
+word with a memo of words; those of its words that aren't simple in that sense go
+through the whole tokenizer. The result is that of
+``Tokenizer.encode(text, add_special_tokens=False)``. Bytes that aren't UTF-8 count as
+U+FFFD. Long texts are cut at white space, so that their parts aren't all held at once.
 """
 
 from __future__ import annotations
@@ -21,17 +23,22 @@ import numpy as np
 import pyarrow as pa
 
 WORD_BPE = "word_bpe_49k.json"
-#: Bytes that a worker's memo of words, and that of their parts, may hold; beyond it the memo starts anew (results don't change).
-MEMO_BYTES = 48 << 20
+#: Bytes that a worker's memo of words, and that of parts, may hold; beyond it the memo starts anew (results don't change).
+MEMO_BYTES, PART_BYTES = 48 << 20, 96 << 20
 #: What an entry takes beside its letters and ids.
 ENTRY_BYTES = 180
 #: Tokens in one Arrow batch that a task hands back.
 BATCH_TOKENS = 1_000_000
+#: Bytes of a text that are encoded at a time.
+PIECE = 1 << 20
 
-_LOWER = "a-zß-öø-ÿā-ž"
-_SIMPLE = re.compile("[!-~À-ÖØ-öø-įĲ-ž]+")
-#: The tokenizer's own splitting pattern, for lower-cased words of the simple kind (a fixed value).
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^{_LOWER}0-9]+")
+_LOWER, _WHITE = "a-zß-öø-ÿā-ž", " \t-\r"
+_KINDS = "!-~À-ÖØ-öø-įĲ-ž"
+_SIMPLE = re.compile(f"[{_KINDS}]+")
+_SIMPLE_TEXT = re.compile(f"[{_KINDS}{_WHITE}]*")
+_SPACE = re.compile(f"[{_WHITE}]".encode())
+#: The tokenizer's own splitting pattern, for lower-cased words and texts of the simple kind (a fixed value).
+_PARTS = re.compile(rf"[{_LOWER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_LOWER}0-9{_WHITE}]+")
 
 
 def vocabulary_path(name: str = WORD_BPE) -> str:
@@ -66,21 +73,37 @@ def as_utf8(text: bytes) -> bytes:
     return text
 
 
+class PartMemo(dict):
+    """Maps a lower-cased part to its ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters, self.held = model.tokenize, _byte_letters(), 0
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        self.held += len(part) + len(ids) + ENTRY_BYTES
+        if self.held > PART_BYTES:
+            self.clear()
+            self.held = 0
+        self[part] = ids
+        return ids
+
+
 class WordMemo(dict):
     """Maps a word's UTF-8 bytes to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, vocabulary: str = WORD_BPE):
         super().__init__()
         self.tokenizer = load(vocabulary)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.parts: dict[str, bytes] = {}
-        self.held = self.parts_held = 0
+        self.parts = PartMemo(self.tokenizer.model)
+        self.held = 0
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode(errors="replace")
         if _SIMPLE.fullmatch(text) and "<|" not in text:
-            ids = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
+            ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
         else:
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         self.held += len(word) + len(ids) + ENTRY_BYTES
@@ -90,21 +113,23 @@ class WordMemo(dict):
         self[word] = ids
         return ids
 
-    def _part(self, part: str) -> bytes:
-        spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        ids = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        self.parts_held += len(part) + len(ids) + ENTRY_BYTES
-        if self.parts_held > MEMO_BYTES:
-            self.parts.clear()
-            self.parts_held = 0
-        self.parts[part] = ids
-        return ids
+    def _piece(self, raw: bytes) -> bytes:
+        text = raw.decode(errors="replace")
+        if _SIMPLE_TEXT.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text.lower())))
+        return b"".join(map(self.__getitem__, raw.split()))
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text; of null and empty texts, none."""
-        if not text:
-            return b""
-        return b"".join(map(self.__getitem__, text.split()))
+        if not text or len(text) <= PIECE:
+            return self._piece(text or b"")
+        found, at = [], 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            found.append(self._piece(text[at:end]))
+            at = end
+        return b"".join(found)
 
 
 _MEMOS: dict[str, WordMemo] = {}

@@ -54,6 +54,22 @@ def test_memo_gives_the_tokenizers_ids(text):
     assert np.frombuffer(memo.encode(text.encode()), dtype="<u4").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_simple_texts_are_encoded_by_parts_and_other_ones_by_words(monkeypatch):
+    """A text of simple words asks the model for each new part alone; words with other punctuation or capitals cost nothing more."""
+    memo, asked = tk.WordMemo(), []
+    one = memo.parts.tokenize
+    memo.parts.tokenize = lambda part: asked.append(part) or one(part)
+    for text in ["Thonely thonely, THONELY! don't", "thonely.\u0020\x0bdon't thonely,\tétée"]:
+        assert np.frombuffer(memo.encode(text.encode()), dtype="<u4").tolist() == memo.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 7 and not memo
+    odd = "thonely 中文 <|x|> thonely"
+    assert np.frombuffer(memo.encode(odd.encode()), dtype="<u4").tolist() == memo.tokenizer.encode(odd, add_special_tokens=False).ids
+    assert sorted(memo) == sorted(set(odd.encode().split()))
+    monkeypatch.setattr(tk, "PIECE", 7)  # a long text is cut at white space
+    long = " ".join(f"Thonely{k}, don't 中" for k in range(40))
+    assert np.frombuffer(memo.encode(long.encode()), dtype="<u4").tolist() == memo.tokenizer.encode(long, add_special_tokens=False).ids
+
+
 def test_token_orc(spark, tokenizer, tmp_path):
     rows = ODD + [(k, prose(k % 50, k)) for k in range(10, 300)]
     path = str(tmp_path / "t")
