@@ -15,8 +15,10 @@ No group is expanded into all its pairs:
    meet the others block by block, if their sizes and 512 four-bit coordinates allow the
    similarity (a pair at the threshold is refused with odds of about one in 70,000;
    ``may_differ=None`` refuses none). In any other band nodes meet by what sets them
-   apart from the leader (``_apart``), which loses no pair. Pairs found are checked; one
-   that meets in several bands is checked once.
+   apart from a guide (``_apart``), which loses no pair. The guide is the one that shares
+   most bands of the leaders that the band's leader meets, so that bands of one crowd have
+   one guide and a node is described once, not once for each band. Pairs found are checked;
+   one that meets in several bands is checked once.
 
 With 50 bands of 5 rows, a pair at a similarity of 0.75 shares no band with odds of
 about one in 700,000; a more similar pair, with less.
@@ -158,9 +160,9 @@ def _apart(apart: DataFrame, percent: int) -> DataFrame:
     """(u, v), u < v: pairs of different components among nodes that were compared with one leader; no similar pair is left out.
 
     ``apart`` has (leader, node, root, asks, n_leader, n, only): sizes of the sets, the
-    shingles that only one of them has, and whether the node's component isn't the
-    leader's, so that the node isn't similar to the leader. Of two nodes of different
-    components at least one asks.
+    shingles that only one of them has, and whether the node neither has the leader's
+    component nor is similar to it. Of two nodes of different components at least one
+    asks, or both are linked by way of the leader.
 
     With o the leader, x one that asks and y any other node, the sets of x and y have
     |x and o| + |y and o| - |o| + |only x and only y| shingles in common. So to be similar
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     shared = in_bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     sized, sized_path = scratch.table(in_bands.join(shared, "band"), "minhash-sized")
     ranked = sized.join(sized.groupBy("node").agg(F.sum("n").alias("met")), "node")
-    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("met", F.negate("node"))).alias("leader"))
+    leaders = ranked.groupBy("band").agg(F.max_by("node", F.struct("met", F.negate("node"))).alias("leader"), F.max("met").alias("met"))
     rows, rows_path = scratch.table(sized.select("band", "node").join(leaders, "band"), "minhash-rows")
 
     # Texts of those nodes, found by id and told from others with that id by their sets.
@@ -259,7 +261,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     placed = rows.filter("node <> leader").join(first, "node", "left").select("band", "leader", "node", F.coalesce("root", "node").alias("root"))
     in_roots = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     mixed = in_roots.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).filter("most < n")
-    many = placed.join(mixed.filter(F.col("n") - F.col("most") > FEW).select("band"), "band", "left_semi").select("leader", "node", "root").distinct()
+    crowded = rows.join(mixed.filter(F.col("n") - F.col("most") > FEW).select("band"), "band", "left_semi").select("leader", "node").distinct()
+    guides = rows.select(F.col("node").alias("led"), "leader", "met").join(crowded.select(F.col("leader").alias("led")).distinct(), "led", "left_semi")
+    guides = guides.groupBy("led").agg(F.max_by("leader", F.struct("met", F.negate("leader"))).alias("guide"))
+    many = crowded.join(guides.withColumnRenamed("led", "leader"), "leader").filter("node <> guide").select(F.col("guide").alias("leader"), "node").distinct()
+    many = many.join(first, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root"))
     many, many_path = scratch.table(many, "minhash-many")
     mixed = mixed.filter(F.col("n") - F.col("most") <= FEW)
     ahead = F.when(F.col("n") > BLOCK, F.ceil(F.col("most") / BLOCK)).otherwise(0)
@@ -286,12 +292,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, seed: int = SEED
     apart = _with_texts(many.select(F.col("leader").alias("u"), F.col("node").alias("v")), texts).mapInArrow(giving_back(_differ), "u bigint, v bigint, n_u bigint, n_v bigint, only array<bigint>")
     apart = apart.select(F.col("u").alias("leader"), F.col("v").alias("node"), F.col("n_u").alias("n_leader"), F.col("n_v").alias("n"), "only")
     led = first.select(F.col("node").alias("leader"), F.col("root").alias("root_leader"))
-    apart = apart.join(many.join(led, "leader", "left"), ["leader", "node"]).withColumn("asks", F.col("root") != F.coalesce("root_leader", "leader"))
+    # A guide may be similar to a node that it wasn't compared with before.
+    similar = (100 + percent) * (F.col("n_leader") + F.col("n") - F.size("only")) >= 2 * percent * (F.col("n_leader") + F.col("n"))
+    apart = apart.join(many.join(led, "leader", "left"), ["leader", "node"]).withColumn("other", F.col("root") != F.coalesce("root_leader", "leader"))
+    apart = apart.withColumn("similar", F.col("other") & similar).withColumn("asks", F.col("other") & ~similar).drop("root_leader", "other")
     apart, apart_path = scratch.table(apart, "minhash-apart")
+    guided = apart.filter("similar").select(F.col("leader").alias("u"), F.col("node").alias("v"))
     cross = cross.unionByName(_apart(apart, percent)).distinct()
     cross, cross_path = scratch.table(cross, "minhash-cross")
     late = _confirmed(cross, texts, percent)
-    linked = components(links.unionByName(late), "minhash-all")
+    linked = components(links.unionByName(late).unionByName(guided), "minhash-all")
 
     named = sets.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.join(linked.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("label").alias("least"))

@@ -234,3 +234,24 @@ def test_strays_beside_a_large_component_meet_it_by_what_sets_them_apart(spark,
         under.setdefault(r["leader"], []).append(r["node"])
     crossing = {(min(a, b), max(a, b)) for nodes in under.values() for a, b in combinations(nodes, 2) if of[a] != of[b]}
     assert len(crossing) > 500 and pairs < len(crossing) / 4
+
+
+def test_a_crowd_has_one_guide_and_each_node_is_described_once(spark, monkeypatch):
+    """Before, a node was compared with the leader of each crowded band and its differences were exploded for each of them."""
+    from itertools import combinations
+
+    from lodestream.llm import minhash, shingles
+
+    texts = near_copies(90, [2, 4, 5, 6, 7], 3) + near_copies(50, [4, 6], 4)
+    sets = [shingles.shingle_set(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if root[a] != root[b] and shingles.jaccard_at_least(sets[a], sets[b], 75):
+            root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    monkeypatch.setattr(minhash, "FEW", 4)
+    found, kept = [], minhash._apart
+    monkeypatch.setattr(minhash, "_apart", lambda *args: found.append(args[0]) or kept(*args))
+    monkeypatch.setattr(minhash.scratch, "drop", lambda *_: None)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 130
+    assert found[0].count() <= 1.1 * found[0].select("node").distinct().count() > 50
