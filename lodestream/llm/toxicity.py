@@ -45,11 +45,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.llm.labelled import FIT_ROWS, held_out, training_texts
-from lodestream.llm.worker import giving_back
+from lodestream.llm.worker import give_back, giving_back
 
 THRESHOLD = 0.5
 ORDER, DECAY = 3, 0.75
@@ -59,6 +60,8 @@ LANDMARKS, SENTENCES, ROUNDS = 128, 16_000, 3
 NEAR, GAP = 0.8, 2
 #: Letters of a unit that the kernel sees at once; longer units are cut into overlapping windows.
 WINDOW = 32
+#: Rows of features that fitting works on at a time.
+BLOCK = 2048
 #: Words that a worker remembers; beyond it the memory starts anew (scores don't change).
 MEMO_WORDS = 150_000
 COST = 20.0
@@ -311,15 +314,21 @@ def _variants(word: bytes) -> list[bytes]:
 
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss; y is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.eye(x1.shape[1]) / cost
+    """Weights and bias of a linear machine with squared hinge loss; y is -1 or 1. Rows are taken ``BLOCK`` at a time, so that no copy of all is made."""
+    n = x.shape[1] + 1
+    ridge = np.eye(n) / cost
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(n)
     for _ in range(50):
-        active = y * (x1 @ w) < 1
-        xs = x1[active] * weight[active, None]
-        after = np.linalg.solve(xs.T @ x1[active] + ridge, xs.T @ y[active])
+        square, side = ridge.copy(), np.zeros(n)
+        for at in range(0, len(x), BLOCK):
+            part = slice(at, at + BLOCK)
+            x1 = np.hstack([x[part], np.ones((len(x[part]), 1))])
+            active = y[part] * (x1 @ w) < 1
+            xs = x1[active] * weight[part][active, None]
+            square += xs.T @ x1[active]
+            side += xs.T @ y[part][active]
+        after = np.linalg.solve(square, side)
         if np.allclose(after, w, atol=1e-9):
             break
         w = after
@@ -393,28 +402,53 @@ def landmarks(texts: DataFrame, most: int = LANDMARKS) -> list[bytes]:
         counts.unpersist()
 
 
+def _times(f: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``f @ by`` in double precision, ``BLOCK`` rows at a time."""
+    out = np.empty((len(f), *by.shape[1:]))
+    for at in range(0, len(f), BLOCK):
+        out[at : at + BLOCK] = f[at : at + BLOCK].astype(np.float64) @ by
+    return out
+
+
+def _columns(rows: list[tuple[int, int, bool, list[float]]], n_marks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bag, y, exact and the features (a row for each sentence, single precision) of rows as ``trained`` takes them."""
+    f = np.array([r[3] for r in rows], dtype=np.float32).reshape(len(rows), n_marks)
+    bag, y, exact = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+    return bag, y, exact, f
+
+
+def _fetched(rows: DataFrame, n_marks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_columns``, of a table (bag, y, exact, f); it comes as Arrow columns, so the driver makes no object for each number."""
+    got = rows.toArrow()
+    f = pc.list_flatten(got.column("f")).to_numpy().reshape(got.num_rows, n_marks)
+    bag, y, exact = (got.column(c).cast(pa.int64()).to_numpy() for c in ("bag", "y", "exact"))
+    return bag, y, exact, f
+
+
 def trained(marks: list[bytes], rows: list[tuple[int, int, bool, list[float]]]) -> Machine:
     """The machine of sentences (bag, y, whether a landmark is in it, features)."""
+    return _trained(marks, *_columns(rows, len(marks)))
+
+
+def _trained(marks: list[bytes], bag: np.ndarray, y: np.ndarray, exact: np.ndarray, f: np.ndarray) -> Machine:
     machine = Machine(marks, np.zeros(len(marks)), FLOOR)
-    f = np.array([r[3] for r in rows], dtype=np.float64).reshape(len(rows), len(marks))
-    bag, y, exact = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
-    k = machine.features(marks).astype(np.float64)
+    k = machine.features(marks)
+    misspelt = np.vstack([machine.features([v for w in marks for v in _variants(w)]), k])
+    k = k.astype(np.float64)
     # Nyström: a linear machine on K(., landmarks) K(landmarks, landmarks)^(-1/2)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    misspelt = machine.features([v for w in marks for v in _variants(w)]).astype(np.float64)
-    misspelt = np.vstack([misspelt, k])
     chosen = (y == 1) & (exact == 1)
     w, bias = np.zeros(len(marks)), FLOOR
     for _ in range(ROUNDS):
-        good, bad = f[chosen], f[y == 0]
+        good, bad = int(chosen.sum()), int((y == 0).sum())
         # All sentences without a near unit are one point, the origin.
-        x = np.vstack([good, misspelt, bad, np.zeros((1, len(marks)))])
-        side = np.array([1.0] * (len(good) + len(misspelt)) + [-1.0] * (len(bad) + 1))
-        heavy = max(1.0, NEGATIVE_SHARE * max(len(good), 1) / (len(bad) + 1))
-        weight = np.array([1.0] * len(good) + [VARIANT_WEIGHT * max(1.0, len(good) / len(misspelt))] * len(misspelt) + [heavy] * (len(bad) + 1))
-        w, bias = svm(x @ root, side, weight / max(1.0, len(good) / 1000))
-        margin = f @ (root @ w) + bias
+        x = _times(np.vstack([f[chosen], misspelt, f[y == 0], np.zeros((1, len(marks)), np.float32)]), root)
+        side = np.array([1.0] * (good + len(misspelt)) + [-1.0] * (bad + 1))
+        heavy = max(1.0, NEGATIVE_SHARE * max(good, 1) / (bad + 1))
+        weight = np.array([1.0] * good + [VARIANT_WEIGHT * max(1.0, good / len(misspelt))] * len(misspelt) + [heavy] * (bad + 1))
+        w, bias = svm(x, side, weight / max(1.0, good / 1000))
+        margin = _times(f, root @ w) + bias
         best: dict[int, int] = {}
         for i in np.flatnonzero(y == 1):
             if bag[i] not in best or margin[i] > margin[best[bag[i]]]:
@@ -424,7 +458,7 @@ def trained(marks: list[bytes], rows: list[tuple[int, int, bool, list[float]]])
         if (after == chosen).all():
             break
         chosen = after
-    return Machine(marks, root @ w, bias - _border(bag, y, f @ (root @ w) + bias))
+    return Machine(marks, root @ w, bias - _border(bag, y, _times(f, root @ w) + bias))
 
 
 def _border(bag: np.ndarray, y: np.ndarray, margin: np.ndarray) -> float:
@@ -453,13 +487,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
             return Machine([], np.empty(0), FLOOR)
         bags = texts.select(F.xxhash64("text").alias("bag"), "text", "y")
         found = bags.mapInArrow(_sentence_rows(Machine(marks, np.zeros(len(marks)), FLOOR)), "bag bigint, y int, exact boolean, f array<float>").cache()
-        own = []
-        for c in (0, 1):
-            own += [tuple(r) for r in found.filter(F.col("y") == c).orderBy(F.xxhash64("bag"), "bag", "f").limit(SENTENCES).collect()]
+        own = [_fetched(found.filter(F.col("y") == c).orderBy(F.xxhash64("bag"), "bag", "f").limit(SENTENCES), len(marks)) for c in (0, 1)]
         found.unpersist()
     finally:
         texts.unpersist()
-    return trained(marks, own)
+    machine = _trained(marks, *(np.concatenate(c) for c in zip(*own, strict=True)))
+    del own
+    give_back()
+    return machine
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[bytes | None]:

@@ -359,6 +359,31 @@ def test_bags_find_the_sentence_that_is_the_reason():
     assert toxicity._border(bag, y, m) == pytest.approx(0.55)
 
 
+def test_fitting_makes_no_object_for_each_number():
+    """Of 32,000 sentences and 128 landmarks, as many as the driver may get: as lists of numbers, with copies of all in double precision, they took 347 MB."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    marks = [b"".join(bytes([x]) for x in r.integers(97, 123, 6)) for _ in range(128)]
+    y = np.repeat([0, 1], 16_000)
+    f = (r.random((32_000, 128), dtype=np.float32) ** 8) * (r.random((32_000, 128)) < 0.05)
+    tracemalloc.start()
+    try:
+        machine = toxicity._trained(marks, np.arange(32_000), y, y * (np.arange(32_000) % 3 == 0), f.astype(np.float32))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(machine.weights) == 128 and np.isfinite(machine.weights).all() and peak < 120e6
+
+
+def test_features_are_fetched_as_columns(spark):
+    rows = [(k, k % 2, k % 3 == 0, [float(k), k / 2]) for k in range(50)]
+    table = spark.createDataFrame(rows, "bag bigint, y int, exact boolean, f array<float>")
+    for got, want in zip(toxicity._fetched(table.orderBy("bag"), 2), toxicity._columns(rows, 2), strict=True):
+        assert got.dtype == want.dtype and (got == want).all()
+    assert [len(c) for c in toxicity._fetched(table.filter("y = 7").orderBy("bag").limit(3), 2)] == [0, 0, 0, 0]
+
+
 def test_a_worker_that_forgets_gives_the_same_scores(monkeypatch):
     marks = [b"blorgnak", b"fenwizzle"]
     machine = toxicity.Machine(marks, np.array([2.0, 2.0]), -1.0)
