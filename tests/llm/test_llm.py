@@ -619,3 +619,22 @@ def test_long_texts_have_the_sets_of_their_words(monkeypatch):
     for piece in (1, 7, 64):
         monkeypatch.setattr(shingles, "PIECE", piece)
         assert [shingles.shingle_set(t).tolist() for t in texts] == want
+
+
+def test_hits_of_a_long_text_carry_no_text(spark):
+    """A text of 20,000 words that holds an item 200 times, 800 runs of seeds: copies of the text for each masked hit would be gigabytes."""
+    item = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, " ".join(f"{item} {prose(60, k)}" for k in range(200))), (2, prose(50, 1))]
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs(spark, rows), bench).collect()] == [(1, 7, 20, 800)]
+
+
+def test_pieces_find_what_whole_texts_hold(spark):
+    item = " ".join(f"word{k}" for k in range(40))
+    items = [(1, item), (2, "one two three four five six"), (3, "yes"), (4, prose(12, 8))]
+    rows = [(k, f"{prose(k, k)} {' '.join(item.split()[k % 9 : 20 + k])} {prose(k % 7, 3)} {items[k % 4][1]} {prose(15, k)}") for k in range(30)] + [(30, "yes"), (31, "yes yes"), (32, None), (33, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs(spark, rows), bench, piece=1 << 20).collect()))
+    assert len({x[0] for x in want}) > 20 and len({x[1] for x in want}) == 4
+    for piece in (1, 13):
+        assert sorted(map(tuple, decontaminate.leaks(docs(spark, rows), bench, piece=piece).collect())) == want
